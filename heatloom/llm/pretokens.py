@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 
 import regex
@@ -13,17 +12,11 @@ BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 
 
-def unassigned_pattern():
-    """Characters without a category here: their class may differ between Unicode versions, so the library splits those texts."""
-    spans, start = [], None
-    for c in range(sys.maxunicode + 2):
-        odd = c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn"
-        if odd and start is None:
-            start = c
-        elif not odd and start is not None:
-            spans.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return regex.compile("[" + "".join(spans) + "]")
+def byte_letters() -> dict[int, int]:
+    """The character that stands for each byte in the vocabularies: printable ones for themselves, the rest from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 256 + k for k, b in enumerate(rest)}
 
 
 class PreTokenizer:
@@ -41,10 +34,16 @@ class PreTokenizer:
         self.find = regex.compile(WORD_PATTERN if self.words else BYTE_PATTERN).findall
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split
-        self.odd = unassigned_pattern().search
+        self.assigned: set[str] = set()
+        self.letters = byte_letters()
 
     def plain(self, text: str) -> bool:
-        return text.isascii() or self.odd(text) is None
+        """False if a character has no category here: its class may differ between Unicode versions."""
+        if text.isascii():
+            return True
+        new = set(text) - self.assigned
+        self.assigned |= {c for c in new if unicodedata.category(c) != "Cn"}
+        return new <= self.assigned
 
     def parts(self, text: str) -> list[str]:
         """Stretches of the text; every second one is a special string."""
@@ -58,7 +57,7 @@ class PreTokenizer:
 
     def ids(self, piece: str) -> list[int]:
         """Ids of one pre-token, by the library's model alone."""
-        return [t.id for mapped, _ in self.library.pre_tokenizer.pre_tokenize_str(piece) for t in self.library.model.tokenize(mapped)]
+        return [t.id for t in self.library.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
 
     def whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids

@@ -7,8 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from heatloom.llm import decontaminate
 from heatloom.llm.common import read_table
 from heatloom.llm.piece_codec import encode_decode
+from heatloom.llm.simhash import near_duplicates
 from heatloom.llm.token_counts import token_counts
 from heatloom.llm.token_store import token_store
 
@@ -21,13 +23,21 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_piece_codec, op5_token_counts, op9_token_store)}
+    return {f.__name__: f for f in (op2_piece_codec, op5_token_counts, op6_simhash, op8_decontamination, op9_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_decontamination": decontaminate.ORACLE}
