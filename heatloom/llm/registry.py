@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from heatloom.llm import decontaminate
 from heatloom.llm.common import read_table
 from heatloom.llm.piece_codec import encode_decode
+from heatloom.llm.pii import find_private
+from heatloom.llm.quality import quality_scores
 from heatloom.llm.simhash import near_duplicates
 from heatloom.llm.token_counts import token_counts
 from heatloom.llm.token_store import token_store
@@ -19,6 +21,10 @@ def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_private(read_table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -35,8 +41,12 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_piece_codec, op5_token_counts, op6_simhash, op8_decontamination, op9_token_store)}
+    return {f.__name__: f for f in (op2_piece_codec, op3_private_data, op5_token_counts, op6_simhash, op8_decontamination, op9_token_store, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
