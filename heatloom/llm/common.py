@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import pickle
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -40,6 +42,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def trained(sample: DataFrame, fit):
+    """fit(rows as dicts) run in one task over a bounded sample (ordered and limited by the caller): its result."""
+
+    def run(batches):
+        model = fit(row for batch in batches for row in batch.to_pylist())
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    found = sample.coalesce(1).mapInArrow(run, "model binary").first()
+    return fit(iter(())) if found is None else pickle.loads(found.model)
+
+
 def texts_of(batch, column: str = "text") -> list[str]:
     """The strings of an Arrow batch; null is the empty text."""
     return [x or "" for x in batch.column(column).to_pylist()]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heatloom.llm.char_tagger import CharTagger, codes
-from heatloom.llm.common import texts_of
+from heatloom.llm.common import texts_of, trained
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -141,7 +141,7 @@ def fit(examples: list[tuple[str, str]]) -> CharTagger | None:
     return CharTagger(2 * len(KINDS) + 1).train(padded(texts), np.array(tags), FIT_STEPS)
 
 
-def training_windows(docs: DataFrame, most: int) -> list[tuple[str, str]]:
+def training_windows(docs: DataFrame, most: int) -> DataFrame:
     """At most `most` labelled windows of all documents, by hash of their text: one around each span or other number."""
 
     def cut(batches):
@@ -159,7 +159,7 @@ def training_windows(docs: DataFrame, most: int) -> list[tuple[str, str]]:
                 yield pa.RecordBatch.from_pydict({"text": [t for t, _ in out], "spans": [x for _, x in out]})
 
     found = docs.select("text").mapInArrow(cut, "text string, spans string").distinct()
-    return [tuple(r) for r in found.orderBy(F.xxhash64("text"), "text", "spans").limit(most).collect()]
+    return found.orderBy(F.xxhash64("text"), "text", "spans").limit(most)
 
 
 def valid(kind: str, s: str) -> bool:
@@ -215,7 +215,7 @@ def find_private(docs: DataFrame, fit_windows: int = FIT_WINDOWS) -> DataFrame:
     or repeated doc_id have results of their own. Other columns are ignored, so their names cannot clash. An empty table gives an empty one; where the
     patterns find nothing there is nothing to learn and nothing is added. Whole texts are read; the tagger is fitted on at most `fit_windows` windows.
     """
-    tagger = docs.sparkSession.sparkContext.broadcast(fit(training_windows(docs, fit_windows)))
+    tagger = docs.sparkSession.sparkContext.broadcast(trained(training_windows(docs, fit_windows), lambda rows: fit([(r["text"], r["spans"]) for r in rows])))
 
     def run(batches):
         for batch in batches:

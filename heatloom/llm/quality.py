@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heatloom.llm.common import texts_of
+from heatloom.llm.common import texts_of, trained
 from heatloom.llm.pretokens import Bounded
 
 #: The sample that the model is fitted on: labelled rows, and characters of their texts, at most.
@@ -178,14 +178,17 @@ def fitted(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int
     texts = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
     sample = texts.join(F.broadcast(chosen), "doc_id")  # at most `rows` rows of two numbers
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows)
-    got_texts, got_labels, total = [], [], 0
-    for row in sample.toLocalIterator():
-        total += len(row.text)
-        if total > chars:
-            break
-        got_texts.append(row.text)
-        got_labels.append(row.quality)
-    return fit(got_texts, got_labels)
+    def learn(found) -> QualityModel:
+        texts, known, total = [], [], 0
+        for row in found:
+            total += len(row["text"])
+            if total > chars:
+                break
+            texts.append(row["text"])
+            known.append(row["quality"])
+        return fit(texts, known)
+
+    return trained(sample, learn)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
