@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from heatloom.llm import decontaminate
+from heatloom.llm import decontaminate, line_dedup
 from heatloom.llm.common import read_table
+from heatloom.llm.neighbours import nearest
 from heatloom.llm.piece_codec import encode_decode
 from heatloom.llm.pii import find_private
 from heatloom.llm.quality import quality_scores
@@ -25,6 +26,10 @@ def op3_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_private(read_table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(read_table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -33,6 +38,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read_table(spark, sf_dir, "embeddings"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -46,8 +55,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_piece_codec, op3_private_data, op5_token_counts, op6_simhash, op8_decontamination, op9_token_store, op10_quality)}
+    return {f.__name__: f for f in (
+        op2_piece_codec, op3_private_data, op4_line_dedup, op5_token_counts, op6_simhash, op7_neighbours, op8_decontamination, op9_token_store, op10_quality,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontamination": decontaminate.ORACLE}
+    return {"op4_line_dedup": line_dedup.ORACLE, "op8_decontamination": decontaminate.ORACLE}
