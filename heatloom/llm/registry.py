@@ -14,10 +14,15 @@ from heatloom.llm.piece_codec import encode_decode
 from heatloom.llm.pii import find_private
 from heatloom.llm.quality import quality_scores
 from heatloom.llm.simhash import near_duplicates
+from heatloom.llm.suffix_dedup import suffix_dedup
 from heatloom.llm.token_counts import token_counts
 from heatloom.llm.token_store import token_store
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -56,7 +61,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op2_piece_codec, op3_private_data, op4_line_dedup, op5_token_counts, op6_simhash, op7_neighbours, op8_decontamination, op9_token_store, op10_quality,
+        op1_suffix_dedup, op2_piece_codec, op3_private_data, op4_line_dedup, op5_token_counts, op6_simhash, op7_neighbours, op8_decontamination, op9_token_store, op10_quality,
     )}
 
 
