@@ -72,6 +72,23 @@ def windows_hit(docs: DataFrame, items: DataFrame, length: int, small: int) -> D
     return met.select("k1", "k2", "ids", "place", F.explode(same).alias("d")).select("k1", "k2", (F.col("place") - F.col("d")).alias("begin"), F.lit(length).alias("length"), "ids")
 
 
+def keyed_words(docs: DataFrame) -> DataFrame:
+    """doc_id, k1, k2 (a key of id and text), words."""
+    k1 = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)))
+    return docs.select(F.col("doc_id").cast("bigint"), k1.alias("k1"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k2"), words_of(F.col("text")).alias("words"))
+
+
+def benchmark_hits(keyed: DataFrame, benchmark: DataFrame, window: int, small: int) -> DataFrame:
+    """k1, k2, begin, length, ids: all windows of benchmark items in keyed (k1, k2, words)."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
+    items = stored(items, "benchmark-words")
+    lengths = sorted(r[0] for r in items.select(F.least(F.size("words"), F.lit(window))).distinct().collect())  # at most `window` numbers
+    if not lengths:
+        lengths = [window]
+    hits = [windows_hit(keyed, items.where(F.size("words") >= n if n == window else F.size("words") == n), n, small) for n in lengths]
+    return reduce(DataFrame.unionByName, hits)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, small: int = 1_000_000) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of docs (doc_id, text).
 
@@ -81,14 +98,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, small
     give no rows, or no hits. Whole texts of any length are read (hits are kept for a document at a time). Windows of
     items are broadcast up to `small` rows.
     """
-    keyed = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("k1"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k2"), words_of(F.col("text")).alias("words"))
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
-    items = stored(items, "benchmark-words")
-    lengths = sorted(r[0] for r in items.select(F.least(F.size("words"), F.lit(window))).distinct().collect())  # at most `window` numbers
-    if not lengths:
-        lengths = [window]
-    hits = [windows_hit(keyed, items.where(F.size("words") >= n if n == window else F.size("words") == n), n, small) for n in lengths]
-    hits = reduce(DataFrame.unionByName, hits)
+    keyed = keyed_words(docs)
+    hits = benchmark_hits(keyed, benchmark, window, small)
     spans = hits.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("begin", "length"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("ids"))
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("n"))
 
@@ -105,6 +116,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, small
     )
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, small: int = 1_000_000) -> DataFrame:
+    """The rows of docs, with all their columns (k1, k2 must not be among them), in which no window of a benchmark item occurs."""
+    hit = benchmark_hits(keyed_words(docs), benchmark, window, small).select("k1", "k2").distinct()
+    k1 = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)))
+    return docs.withColumns({"k1": k1, "k2": F.xxhash64(F.coalesce("text", F.lit("")))}).join(hit, ["k1", "k2"], "left_anti").drop("k1", "k2")
+
+
 #: DuckDB SQL of op8; also a part of the pipeline's checks.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),

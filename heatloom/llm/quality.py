@@ -211,3 +211,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("bigint"), held_out(F.col("doc_id")).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is at least `least`. Else as quality_scores."""
+    model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels))
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                yield part.filter(pa.array(model.value.scores(texts_of(part)) >= least))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -137,3 +137,98 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
     least = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = labelled.join(least, "root").select("fp", "component_id")
     return table.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# Near copies by exact similarity: SimHash finds candidates, shingle sets decide.
+
+#: Grids for 128-bit fingerprints: of each choice of segments, all must have equal counts. With these numbers a pair of similarity 0.8
+#: in five-word shingles (about 0.96 in the cosine of word sets) meets in some cell with a chance of 98 %, closer pairs nearly always.
+CHOICES, SEGMENTS, APART = 48, 14, 24
+
+
+def segment_masks(choices: int = CHOICES, segments: int = SEGMENTS, seed: int = 11) -> list[tuple[int, int]]:
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(choices):
+        picked = rng.permutation(64)[:segments].tolist()
+        out.append(tuple(signed(sum(3 << 2 * (s % 32) for s in picked if s // 32 == half)) for half in (0, 1)))
+    return out
+
+
+def word_set_table(docs: DataFrame) -> DataFrame:
+    """k1, k2, node (hash of the text's words), f1, f2 (SimHash of the set of words) of every row of docs (k1, k2, text)."""
+
+    def run(batches):
+        for batch in batches:
+            nodes, halves = [], []
+            for text in texts_of(batch):
+                words = text.encode().lower().split()
+                nodes.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
+                distinct = sorted(set(words))
+                for seed in (1, 2):
+                    h = np.array(list(map(xxhash.xxh64_intdigest, distinct, repeat(seed))), ">u8")
+                    halves.append(majority_bits(h) if distinct else bytes(8))
+            f = np.frombuffer(b"".join(halves), ">i8").astype(np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("k1"), batch.column("k2"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(f[:, 0]), pa.array(f[:, 1])], ["k1", "k2", "node", "f1", "f2"]
+            )
+
+    return docs.mapInArrow(run, "k1 bigint, k2 bigint, node bigint, f1 bigint, f2 bigint")
+
+
+def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
+    """node, grams (distinct hashes of its k-word shingles) for docs (node, text)."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [sorted({xxhash.xxh3_64_intdigest(s) - 2**63 for s in shingles(t.encode().lower().split(), k)}) for t in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "grams"])
+
+    return docs.mapInArrow(run, "node bigint, grams array<bigint>")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"k1": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))), "k2": F.xxhash64(F.coalesce("text", F.lit("")))})
+
+
+def first_of_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of near copies: the smallest doc_id (null first), by text where ids repeat.
+
+    Texts with the same lower-cased words are one node. Nodes whose sets of k-word shingles (the whole text, if shorter) have a Jaccard similarity of at least
+    `similarity` are linked, and groups are connected components. Candidates are nodes that share a grid cell of the popcount embedding of a 128-bit
+    SimHash and differ in few bits. First each node is tried with one member of each of its cells; then, within cells that still hold several components, all
+    pairs from different ones are tried. Null and empty texts are one node. Columns k1, k2 must not be in docs.
+    """
+    rows = keyed(docs)
+    table = stored(word_set_table(rows.select("k1", "k2", "text")), "word-sets")
+    nodes = stored(table.groupBy("node", "f1", "f2").agg(F.min(F.struct("k1", "k2")).alias("first")), "word-set-nodes")
+    points = nodes.select("node", counts_of(F.col("f1")).alias("p1"), counts_of(F.col("f2")).alias("p2"))
+    cell = F.array(*[F.xxhash64(F.lit(i), F.col("p1").bitwiseAND(F.lit(a)), F.col("p2").bitwiseAND(F.lit(b))) for i, (a, b) in enumerate(segment_masks())])
+    cells = points.select("node", "p1", "p2", F.explode(cell).alias("cell"))
+    leader = F.min_by(F.struct(F.col("node").alias("leader"), F.col("p1").alias("q1"), F.col("p2").alias("q2")), F.xxhash64("node", "cell"))
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("n"), leader.alias("l")).where("n > 1").select("cell", "l.*")
+    full = stored(cells.join(sizes, "cell"), "word-set-cells")
+    close = lambda a1, a2, b1, b2: apart(F.col(a1), F.col(b1)) + apart(F.col(a2), F.col(b2)) <= APART
+    ordered = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+    tried = stored(full.where((F.col("node") != F.col("leader")) & close("p1", "p2", "q1", "q2")).select(*ordered("node", "leader")).distinct(), "near-pairs")
+    texts = rows.select("k1", "k2", "text").join(nodes.select("first.*", "node"), ["k1", "k2"]).select("node", "text")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        sets = stored(shingle_sets(texts.join(wanted, "node"), k).dropDuplicates(["node"]), "shingle-sets")
+        both = pairs.join(sets.withColumnsRenamed({"node": "a", "grams": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "grams": "y"}), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        return stored(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), "near-links")
+
+    links = verified(tried)
+    roots = stored(components(links), "near-roots")
+    # full, with the components so far; only cells with several go on
+    known = full.select("cell", "node", "p1", "p2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = known.groupBy("cell").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("cell")
+    rest = stored(known.join(open_, "cell"), "near-open")
+    x, y = rest.alias("x"), rest.alias("y")
+    met = x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & close("x.p1", "x.p2", "y.p1", "y.p2"))
+    more = stored(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
+    roots = components(links.union(verified(more)))
+    grouped = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    return rows.join(grouped.select("first.*"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).drop("k1", "k2")
