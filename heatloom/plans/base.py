@@ -35,12 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-OBS = """obs AS (SELECT ts AS time, CAST(user_id AS VARCHAR) AS station_id, 41.2 + (user_id % 40) / 100.0 AS lat, 2.0 + (user_id % 30) / 100.0 AS lon, value AS obs_c, event_type AS model FROM events)"""
+OBS = """obs AS (SELECT ts AS time, CAST(user_id AS VARCHAR) AS station_id, 41.2::DOUBLE + (user_id % 40) / 100.0::DOUBLE AS lat, 2.0::DOUBLE + (user_id % 30) / 100.0::DOUBLE AS lon, value AS obs_c, event_type AS model FROM events)"""
 HOURLY = OBS + """, hourly AS (SELECT date_trunc('hour', time) AS time, station_id, avg(obs_c) AS obs_c, count(obs_c) AS n_obs_raw FROM obs GROUP BY 1, 2)"""
 TMAX = HOURLY + """, tmax AS (SELECT station_id, CAST(time AS DATE) AS day, max(obs_c) AS tmax FROM hourly GROUP BY 1, 2)"""
 THR = TMAX + """, thr AS (SELECT station_id, quantile_cont(tmax, 0.95) AS thr FROM tmax GROUP BY 1)"""
 GRID = """grid AS (SELECT date_trunc('week', l_shipdate) AS time, CAST(l_suppkey // 10 AS INT) AS y, CAST(l_suppkey % 10 AS INT) AS x, avg(l_quantity) AS pred_c, avg(l_quantity * (1 + l_tax - l_discount)) AS t_c FROM lineitem GROUP BY 1, 2, 3)"""
-CELLS = """cells AS (SELECT CAST(s_suppkey // 10 AS INT) AS y, CAST(s_suppkey % 10 AS INT) AS x, 41.2 + (s_suppkey // 10) * 0.01 AS lat, 2.0 + (s_suppkey % 10) * 0.03 AS lon, s_acctbal AS value FROM supplier)"""
+CELLS = """cells AS (SELECT CAST(s_suppkey // 10 AS INT) AS y, CAST(s_suppkey % 10 AS INT) AS x, 41.2::DOUBLE + (s_suppkey // 10) * 0.01::DOUBLE AS lat, 2.0::DOUBLE + (s_suppkey % 10) * 0.03::DOUBLE AS lon, s_acctbal AS value FROM supplier)"""
 RUNS = """raw AS (SELECT o_orderpriority AS model, o_orderstatus AS variant, o_orderdate + to_hours(o_orderkey % 24) AS time, o_totalprice / 1000 AS mae, o_totalprice / 800 + o_orderkey % 7 AS rmse, 1 - o_totalprice / 1000000 AS ssim,
 CASE WHEN o_orderkey % 3 = 0 THEN 'run' ELSE 'run_S' || (o_custkey % 5) || '_a' END AS experiment FROM orders)"""
 STATIC = """static AS (SELECT CAST(p_partkey // 40 AS INT) AS y, CAST(p_partkey % 40 AS INT) AS x, p_retailprice AS avg_height, p_size / 50.0 AS building_density, (p_partkey * 7 % 100) / 100.0 AS ndvi_mean, (p_partkey * 13 % 101) / 101.0 AS svf, p_size * p_retailprice / 10000 AS roughness, p_brand AS brand, p_partkey FROM part)"""

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heatloom.plans import base, heat, verify
+from heatloom.plans import base, grids, heat, verify
 
-__all__ = ["heat", "verify", "oracle_sql", "queries"]
+__all__ = ["grids", "heat", "verify", "oracle_sql", "queries"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
