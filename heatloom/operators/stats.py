@@ -140,8 +140,8 @@ def bootstrap_delta_ci(raw: DataFrame, baseline: str, metrics: list[str] = ("mae
     """model, variable, delta, low, high of the gain over the baseline, both resampled; for ssim higher is better."""
     rows = long_form(raw, list(metrics), ["model"]).where("value is not null")
     base = rows.where(F.col("model") == baseline).select("variable", F.col("value").alias("base"))
-    models = rows.where(F.col("model") != baseline).select("model").distinct()
-    paired = models.crossJoin(base)  # the baseline's rows for each model, of which there are few
+    models = rows.where(F.col("model") != baseline).select(F.col("model").alias("of")).distinct()
+    paired = models.crossJoin(base.withColumnRenamed("variable", "metric"))  # the baseline's rows for each model, of which there are few
     columns = ["model", "variable", "delta", "low", "high"]
 
     def one(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
@@ -154,4 +154,4 @@ def bootstrap_delta_ci(raw: DataFrame, baseline: str, metrics: list[str] = ("mae
         low, high = np.quantile(draws, [alpha / 2, 1 - alpha / 2])
         return pd.DataFrame([[*key, sign * (b.mean() - a.mean()), low, high]], columns=columns)
 
-    return rows.groupBy("model", "variable").cogroup(paired.groupBy("model", "variable")).applyInPandas(one, "model string, variable string, delta double, low double, high double")
+    return rows.groupBy("model", "variable").cogroup(paired.groupBy("of", "metric")).applyInPandas(one, "model string, variable string, delta double, low double, high double")

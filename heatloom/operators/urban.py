@@ -52,7 +52,7 @@ def buffer_intersect(stations: DataFrame, buildings: DataFrame, radius: float =
     span = lambda a, b: F.explode(F.sequence(square(a), square(b)))
     s = stations.select("station_id", F.col("x").alias("sx"), F.col("y").alias("sy"))
     s = s.withColumn("qx", span(F.col("sx") - radius, F.col("sx") + radius)).withColumn("qy", span(F.col("sy") - radius, F.col("sy") + radius))
-    b = buildings.select("id", "height_m", "levels", "ring", *[f(F.transform("ring", lambda p, c=c: p[c])).alias(f"{c}{n}") for c in "xy" for n, f in (("a", F.array_min), ("b", F.array_max))])
+    b = buildings.select("id", "height_m", "levels", "ring", *[f(F.col(f"ring.{c}")).alias(f"{c}{n}") for c in "xy" for n, f in (("a", F.array_min), ("b", F.array_max))])
     b = b.withColumn("qx", span(F.col("xa"), F.col("xb"))).withColumn("qy", span(F.col("ya"), F.col("yb")))
     pairs = s.join(b, ["qx", "qy"])
     first = (F.col("qx") == F.greatest(square(F.col("sx") - radius), square(F.col("xa")))) & (F.col("qy") == F.greatest(square(F.col("sy") - radius), square(F.col("ya"))))

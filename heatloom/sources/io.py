@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import io
+import os
+import tempfile
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -110,3 +113,9 @@ def write_alerts(hourly: DataFrame, daily: DataFrame, events: DataFrame, summary
     for name, df in (("hourly", hourly), ("daily", daily), ("events", events)):
         df.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/{name}")  # a row an hour, a day or an event
     summary.select(C.to_sorted_json(summary.columns).alias("value")).write.mode("overwrite").text(f"{path}/summary")
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder name under the shared one that spark.checkpoint.dir names; a local one only where the session names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "heatloom-scratch")
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -150,3 +150,13 @@ def stream_heat_events(alerts: DataFrame, key: str = "model", min_h: float = 6,
     schema = f"{key} string, time timestamp, event_status string, start timestamp, end timestamp, peak_level string, peak_temp double, peak_area double"
     rows = alerts.select(key, "time", "alert_level", "max_pred_c", "exceed_fraction")
     return rows.groupBy(key).applyInPandasWithState(step, schema, "event string", "append", GroupStateTimeout.NoTimeout)
+
+
+def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "update") -> DataFrame:
+    """All of a stream's available input, each batch written as out/batch=<n>; the table of all batches."""
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
+
+    stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return stream.sparkSession.read.parquet(out)
