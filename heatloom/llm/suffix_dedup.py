@@ -248,10 +248,11 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     keys = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("k1"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k2")]
     rows = docs.select(F.col("doc_id").cast("bigint"), "text", *keys)
     listed = stored(rows.select("k1", "k2", "text").mapInArrow(list_contexts, f"k1 bigint, k2 bigint, start bigint, {CONTEXT}"), "contexts")
-    often = listed.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
+    # Counts are tables of their own: a join can then split the rows of a frequent key over tasks.
+    often = stored(listed.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h"), "anchors-often")
     shared = stored(listed.join(often, "h"), "contexts-shared")
     kinds = stored(shared.groupBy(*KEYS).agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "start")).alias("at")), "context-kinds")
-    mixed = kinds.groupBy("h").agg(F.count("*").alias("times"), F.min("copies").alias("least")).where("times > 1 and least = 1").select("h")
+    mixed = stored(kinds.groupBy("h").agg(F.count("*").alias("times"), F.min("copies").alias("least")).where("times > 1 and least = 1").select("h"), "anchors-mixed")
     asked = kinds.join(mixed, "h").select("at.*", *KEYS).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", *KEYS)).alias("asked"))
     cut = rows.select("k1", "k2", "text").join(asked, ["k1", "k2"]).select("text", "asked").mapInArrow(cut_contexts, f"{CONTEXT}, data binary")
     ordered = cut.repartition("h").sortWithinPartitions(*KEYS)
@@ -259,6 +260,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     sorted_ = stored(ordered.mapInArrow(sort_buckets, f"{CONTEXT}, spans {spans}"), "context-repeats")
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
     verdict = kinds.join(sorted_, KEYS, "left").select(*KEYS, F.when(F.col("copies") > 1, whole).otherwise(F.col("spans")).alias("spans")).where("spans is not null")
+    verdict = stored(verdict, "context-verdicts")
     found = shared.join(verdict, KEYS).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "spans")).alias("found"))
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
     return rows.join(found, ["k1", "k2"], "left").select("doc_id", "text", "found").mapInArrow(remove, schema)
