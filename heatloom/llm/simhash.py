@@ -99,7 +99,7 @@ def fingerprint_links(nodes: DataFrame, radius: int = 3, groups: int = 6, block:
     masks = grid_masks(radius, groups)
     points = nodes.select("fp", counts_of(F.col("fp")).alias("c"))
     cells = points.select("fp", F.posexplode(F.array(*[F.col("c").bitwiseAND(F.lit(m)) for m in masks])).alias("grid", "cell"))
-    sizes = cells.groupBy("grid", "cell").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = stored(cells.groupBy("grid", "cell").agg(F.count("*").alias("n")).where("n > 1"), "simhash-sizes")
     full = stored(cells.join(sizes, ["grid", "cell"]), "simhash-cells")
     few = full.where(F.col("n") <= block).select("grid", "cell", "fp")
     x, y = F.col("x.fp"), F.col("y.fp")
@@ -206,7 +206,7 @@ def first_of_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -
     cell = F.array(*[F.xxhash64(F.lit(i), F.col("p1").bitwiseAND(F.lit(a)), F.col("p2").bitwiseAND(F.lit(b))) for i, (a, b) in enumerate(segment_masks())])
     cells = points.select("node", "p1", "p2", F.explode(cell).alias("cell"))
     leader = F.min_by(F.struct(F.col("node").alias("leader"), F.col("p1").alias("q1"), F.col("p2").alias("q2")), F.xxhash64("node", "cell"))
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("n"), leader.alias("l")).where("n > 1").select("cell", "l.*")
+    sizes = stored(cells.groupBy("cell").agg(F.count("*").alias("n"), leader.alias("l")).where("n > 1").select("cell", "l.*"), "word-set-sizes")
     full = stored(cells.join(sizes, "cell"), "word-set-cells")
     close = lambda a1, a2, b1, b2: apart(F.col(a1), F.col(b1)) + apart(F.col(a2), F.col(b2)) <= APART
     ordered = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
@@ -224,7 +224,7 @@ def first_of_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -
     roots = stored(components(links), "near-roots")
     # full, with the components so far; only cells with several go on
     known = full.select("cell", "node", "p1", "p2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = known.groupBy("cell").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("cell")
+    open_ = stored(known.groupBy("cell").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("cell"), "near-open-cells")
     rest = stored(known.join(open_, "cell"), "near-open")
     x, y = rest.alias("x"), rest.alias("y")
     met = x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & close("x.p1", "x.p2", "y.p1", "y.p2"))
