@@ -23,6 +23,13 @@ def finite(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
 
 
+def corr(a: Column | str, b: Column | str) -> Column:
+    """Pearson correlation of the pairs without nulls; null without variance (Spark's own divides by zero there)."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    both = a.isNotNull() & b.isNotNull()
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b)))
+
+
 def clip(c: Column, low: float, high: float) -> Column:
     """c within [low, high]; null stays null."""
     return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(low)), F.lit(high)))

@@ -22,7 +22,7 @@ def split_coverage(times: DataFrame, bounds: list[tuple[str, str, str]], good: f
     hours = times.select(F.date_trunc("hour", "time").alias("time")).distinct()
     held = spans.join(hours, (F.col("time") >= F.col("a")) & (F.col("time") < F.col("b")), "left").groupBy("split", "a", "b").agg(F.count("time").alias("present"))
     expected = ((F.unix_timestamp("b") - F.unix_timestamp("a")) / 3600).cast("bigint")
-    out = held.select("split", "present", expected.alias("expected")).withColumn("pct", 100.0 * F.col("present") / F.col("expected"))
+    out = held.select("split", "present", expected.alias("expected")).withColumn("pct", F.try_divide(100.0 * F.col("present"), F.col("expected")))
     return out.withColumn("grade", F.when(F.col("pct") >= good, "good").when(F.col("pct") >= fair, "fair").otherwise("poor"))
 
 

@@ -49,7 +49,7 @@ def bilinear_weights(stations: DataFrame, lats: DataFrame, lons: DataFrame, key:
 def weighted_extract(grid: DataFrame, weights: DataFrame, value: str, by: list[str], key: str = "station_id") -> DataFrame:
     """by, key, value: the weighted mean of the grid's cells with a value. The join keeps only wanted cells before anything is grouped."""
     v = C.finite(F.col(value))
-    return grid.join(weights, ["y", "x"]).where(v.isNotNull()).groupBy(*by, key).agg((F.sum(v * F.col("w")) / F.sum("w")).alias(value))
+    return grid.join(weights, ["y", "x"]).where(v.isNotNull()).groupBy(*by, key).agg(F.try_divide(F.sum(v * F.col("w")), F.sum("w")).alias(value))
 
 
 def footprint_weights(stations: DataFrame, radius: int, sigma: float, key: str = "station_id") -> DataFrame:
@@ -168,8 +168,7 @@ def mosaic(tiles: DataFrame, patch: int, by: list[str] = ("time",), value: str =
 
 def frame_correlation(df: DataFrame, by: str = "time", a: str = "pred_c", b: str = "t_c") -> DataFrame:
     """by, r and is_anomaly: frames whose correlation is over two population deviations below the mean."""
-    r = F.corr(a, b)
-    rows = df.groupBy(by).agg(F.when(~F.isnan(r), r).alias("r"))
+    rows = df.groupBy(by).agg(C.corr(a, b).alias("r"))
     stats = F.broadcast(rows.agg(F.avg("r").alias("m"), F.stddev_pop("r").alias("s")))
     return rows.crossJoin(stats).select(by, "r", (F.col("r") < F.col("m") - 2 * F.col("s")).alias("is_anomaly"))
 
@@ -187,8 +186,7 @@ def orientation_score(a: DataFrame, b: DataFrame, n: int, by: list[str] = ()) ->
     """by, variant, r, is_best: correlation of each turned or mirrored square frame a with b (by, y, x, value)."""
     moved = F.explode(F.array(*[F.struct(F.lit(k).alias("variant"), yy.cast("int").alias("y2"), xx.cast("int").alias("x2")) for k, (yy, xx) in orientations(n, n).items()]))
     turned = a.select(*by, F.col("value").alias("a"), moved.alias("m")).select(*by, "a", "m.variant", F.col("m.y2").alias("y"), F.col("m.x2").alias("x"))
-    r = F.corr("a", "b")
-    scores = turned.join(b.withColumnRenamed("value", "b"), [*by, "y", "x"]).groupBy(*by, "variant").agg(F.when(~F.isnan(r), r).alias("r"))
+    scores = turned.join(b.withColumnRenamed("value", "b"), [*by, "y", "x"]).groupBy(*by, "variant").agg(C.corr("a", "b").alias("r"))
     first = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc_nulls_last("r"), "variant"))
     return scores.withColumn("is_best", first == 1)
 

@@ -52,14 +52,14 @@ def complete(df: DataFrame, cols: list[str]) -> DataFrame:
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """a, b, r: Pearson correlation of each pair (a before b in cols) on rows where all columns are finite, in one aggregation."""
     pairs = list(combinations(cols, 2))
-    one = complete(df, cols).agg(*[F.corr(a, b).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
-    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.when(~F.isnan(f"r{k}"), F.col(f"r{k}")).alias("r")) for k, (a, b) in enumerate(pairs)]))
+    one = complete(df, cols).agg(*[C.corr(a, b).alias(f"r{k}") for k, (a, b) in enumerate(pairs)])
+    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{k}").alias("r")) for k, (a, b) in enumerate(pairs)]))
     return one.select(rows.alias("p")).select("p.*")
 
 
 def corr_with_target(df: DataFrame, cols: list[str], target: str) -> DataFrame:
-    one = df.agg(*[F.corr(C.finite(F.col(c)), C.finite(F.col(target))).alias(c) for c in cols])
-    return one.unpivot([], cols, "variable", "r").withColumn("r", F.when(~F.isnan("r"), F.col("r")))
+    one = df.agg(*[C.corr(C.finite(F.col(c)), C.finite(F.col(target))).alias(c) for c in cols])
+    return one.unpivot([], cols, "variable", "r")
 
 
 def vif(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -11,8 +11,7 @@ from heatloom.functions import columns as C
 def correlation(a: Column, b: Column, least: int = 2) -> Column:
     """Pearson correlation; null for fewer than `least` pairs or without variance."""
     n = F.count(F.when(a.isNotNull() & b.isNotNull(), 1))
-    r = F.corr(a, b)
-    return F.when((n >= least) & ~F.isnan(r), r)
+    return F.when(n >= least, C.corr(a, b))
 
 
 def metrics(pred: str, obs: str, suffix: str = "") -> list[Column]:

@@ -176,7 +176,7 @@ MEANS = RUNS + ", agg AS (SELECT variant, model, avg(mae) AS MAE, avg(rmse) AS R
 
 
 def means(spark, d):
-    return runs(spark, d).groupBy("variant", "model").agg(F.avg("mae").alias("MAE"), F.avg("rmse").alias("RMSE"), F.corr("mae", "rmse").alias("Corr"), F.avg("ssim").alias("ssim"))
+    return runs(spark, d).groupBy("variant", "model").agg(F.avg("mae").alias("MAE"), F.avg("rmse").alias("RMSE"), C.corr("mae", "rmse").alias("Corr"), F.avg("ssim").alias("ssim"))
 
 
 @query(f"WITH {MEANS} SELECT *, row_number() OVER (PARTITION BY variant ORDER BY RMSE, MAE, Corr DESC, model) AS rank FROM agg", "MAE RMSE Corr ssim")
