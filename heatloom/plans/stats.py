@@ -132,7 +132,7 @@ def filter_period(spark, d):
     return clean.filter_period(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_shipdate").cast("timestamp").alias("time")), "1996-01-01", "2000-01-01", [7, 8])
 
 
-@query(f"WITH {OBS}, c AS (SELECT 41.2::DOUBLE + (s_suppkey // 10) * 0.01::DOUBLE AS lat, 2.0::DOUBLE + (s_suppkey % 10) * 0.03::DOUBLE AS lon FROM supplier), i AS (SELECT min(lat) AS a, max(lat) AS b, min(lon) AS c, max(lon) AS d FROM c), o AS (SELECT min(lat) AS a, max(lat) AS b, min(lon) AS c, max(lon) AS d FROM obs) SELECT greatest(least(i.b, o.b) - greatest(i.a, o.a), 0) * greatest(least(i.d, o.d) - greatest(i.c, o.c), 0) / ((i.b - i.a) * (i.d - i.c)) AS covered FROM i, o", "covered")
+@query(f"WITH {OBS}, c AS (SELECT 41.2::DOUBLE + (s_suppkey // 10) * 0.01::DOUBLE AS lat, 2.0::DOUBLE + (s_suppkey % 10) * 0.03::DOUBLE AS lon FROM supplier), i AS (SELECT min(lat) AS a, max(lat) AS b, min(lon) AS c, max(lon) AS d FROM c), o AS (SELECT min(lat) AS a, max(lat) AS b, min(lon) AS c, max(lon) AS d FROM obs) SELECT CASE WHEN (i.b - i.a) * (i.d - i.c) > 0 THEN greatest(least(i.b, o.b) - greatest(i.a, o.a), 0) * greatest(least(i.d, o.d) - greatest(i.c, o.c), 0) / ((i.b - i.a) * (i.d - i.c)) END AS covered FROM i, o", "covered")
 def bbox_overlap(spark, d):
     """A27."""
     return audit.bbox_overlap(cells(spark, d), obs(spark, d))
