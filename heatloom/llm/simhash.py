@@ -143,7 +143,9 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
 
 #: Grids for 128-bit fingerprints: of each choice of segments, all must have equal counts. With these numbers a pair of similarity 0.8
 #: in five-word shingles (about 0.96 in the cosine of word sets) meets in some cell with a chance of 98 %, closer pairs nearly always.
-CHOICES, SEGMENTS, APART = 48, 14, 24
+CHOICES, SEGMENTS, APART = 64, 16, 24
+#: A cell of up to this many nodes gives its pairs to a join; a larger one is compared in blocks of BLOCK nodes.
+FEW, BLOCK = 12, 256
 
 
 def segment_masks(choices: int = CHOICES, segments: int = SEGMENTS, seed: int = 11) -> list[tuple[int, int]]:
@@ -191,44 +193,75 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"k1": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))), "k2": F.xxhash64(F.coalesce("text", F.lit("")))})
 
 
+def similar_forest(points: np.ndarray, grams: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Label of each node: the first one that it reaches over similar pairs inside the arrays. points: both halves of the embeddings."""
+    n = len(points)
+    apart_ = sum(np.bitwise_count(points[:, None, h] ^ points[None, :, h]).astype(np.int16) for h in (0, 1))
+    near = apart_ <= APART
+    sizes = np.array([len(g) for g in grams])
+    # common shingles of all pairs: those that several nodes have, a block of columns at a time
+    owner = np.repeat(np.arange(n), sizes)
+    kinds, column, times = np.unique(np.concatenate(grams) if len(owner) else np.zeros(0, np.int64), return_inverse=True, return_counts=True)
+    keep = times[column] > 1 if len(kinds) else np.zeros(0, bool)
+    owner, column = owner[keep], np.unique(column[keep], return_inverse=True)[1] if keep.any() else column[keep]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((n, n), np.float32)
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, 4_096):
+        low, high = np.searchsorted(column, [a, a + 4_096])
+        part = np.zeros((n, 4_096), np.float32)
+        part[owner[low:high], column[low:high] - a] = 1
+        common += part @ part.T
+    near &= common >= similarity * (sizes[:, None] + sizes[None, :] - common) - 1e-6
+    np.fill_diagonal(near, True)
+    label = np.arange(n)
+    while True:
+        new = np.where(near, label[None, :], n).min(axis=1)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def first_of_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near copies: the smallest doc_id (null first), by text where ids repeat.
 
     Texts with the same lower-cased words are one node. Nodes whose sets of k-word shingles (the whole text, if shorter) have a Jaccard similarity of at least
     `similarity` are linked, and groups are connected components. Candidates are nodes that share a grid cell of the popcount embedding of a 128-bit
-    SimHash and differ in few bits. First each node is tried with one member of each of its cells; then, within cells that still hold several components, all
-    pairs from different ones are tried. Null and empty texts are one node. Columns k1, k2 must not be in docs.
+    SimHash and lie within APART of each other. Pairs of small cells are joined with their shingle sets. A large cell is split into blocks by hash; each pair
+    of blocks compares all its nodes with one another and returns a forest, not its pairs, so that no cell meets in one task. Null and empty texts are one node.
+    Columns k1, k2 must not be in docs.
     """
     rows = keyed(docs)
     table = stored(word_set_table(rows.select("k1", "k2", "text")), "word-sets")
     nodes = stored(table.groupBy("node", "f1", "f2").agg(F.min(F.struct("k1", "k2")).alias("first")), "word-set-nodes")
     points = nodes.select("node", counts_of(F.col("f1")).alias("p1"), counts_of(F.col("f2")).alias("p2"))
     cell = F.array(*[F.xxhash64(F.lit(i), F.col("p1").bitwiseAND(F.lit(a)), F.col("p2").bitwiseAND(F.lit(b))) for i, (a, b) in enumerate(segment_masks())])
-    cells = points.select("node", "p1", "p2", F.explode(cell).alias("cell"))
-    leader = F.min_by(F.struct(F.col("node").alias("leader"), F.col("p1").alias("q1"), F.col("p2").alias("q2")), F.xxhash64("node", "cell"))
-    sizes = stored(cells.groupBy("cell").agg(F.count("*").alias("n"), leader.alias("l")).where("n > 1").select("cell", "l.*"), "word-set-sizes")
-    full = stored(cells.join(sizes, "cell"), "word-set-cells")
-    close = lambda a1, a2, b1, b2: apart(F.col(a1), F.col(b1)) + apart(F.col(a2), F.col(b2)) <= APART
-    ordered = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-    tried = stored(full.where((F.col("node") != F.col("leader")) & close("p1", "p2", "q1", "q2")).select(*ordered("node", "leader")).distinct(), "near-pairs")
-    texts = rows.select("k1", "k2", "text").join(nodes.select("first.*", "node"), ["k1", "k2"]).select("node", "text")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        sets = stored(shingle_sets(texts.join(wanted, "node"), k).dropDuplicates(["node"]), "shingle-sets")
-        both = pairs.join(sets.withColumnsRenamed({"node": "a", "grams": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "grams": "y"}), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        return stored(both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), "near-links")
-
-    links = verified(tried)
-    roots = stored(components(links), "near-roots")
-    # full, with the components so far; only cells with several go on
-    known = full.select("cell", "node", "p1", "p2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = stored(known.groupBy("cell").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("cell"), "near-open-cells")
-    rest = stored(known.join(open_, "cell"), "near-open")
-    x, y = rest.alias("x"), rest.alias("y")
-    met = x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & close("x.p1", "x.p2", "y.p1", "y.p2"))
-    more = stored(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
-    roots = components(links.union(verified(more)))
+    cells = points.select("node", F.explode(cell).alias("cell"))
+    sizes = stored(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "word-set-sizes")
+    full = stored(cells.join(sizes, "cell").join(points, "node"), "word-set-cells")
+    few = full.where(F.col("n") <= FEW)
+    x, y = few.alias("x"), few.alias("y")
+    close = apart(F.col("x.p1"), F.col("y.p1")) + apart(F.col("x.p2"), F.col("y.p2")) <= APART
+    met = x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.node") < F.col("y.node")) & close)
+    pairs = stored(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "near-pairs")
+    many = full.where(F.col("n") > FEW).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(many.select("node")).distinct()
+    chosen = stored(wanted.join(nodes, "node").select("first.*", "node"), "near-nodes")
+    texts = rows.select("k1", "k2", "text").join(chosen, ["k1", "k2"]).select("node", "text")
+    sets = stored(shingle_sets(texts, k).dropDuplicates(["node"]), "shingle-sets")
+    both = pairs.join(sets.withColumnsRenamed({"node": "a", "grams": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "grams": "y"}), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    links = both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+    own = many.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = own.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "p1", "p2").join(sets, "node")
+
+    def link(group: pd.DataFrame) -> pd.DataFrame:
+        label = similar_forest(group[["p1", "p2"]].to_numpy(), group.grams.to_list(), similarity)
+        off, ids = label != np.arange(len(label)), group.node.to_numpy()
+        return pd.DataFrame({"a": ids[off], "b": ids[label[off]]})
+
+    forest_links = dealt.groupBy("cell", "i", "j").applyInPandas(link, "a bigint, b bigint")
+    roots = components(links.union(forest_links))
     grouped = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     return rows.join(grouped.select("first.*"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).drop("k1", "k2")

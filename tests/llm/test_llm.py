@@ -415,7 +415,11 @@ def test_near_copies(spark, docs, empty):
     assert simhash.first_of_near_copies(empty).count() == 0
 
 
-def test_near_copies_against_all_pairs(spark):
+@pytest.mark.parametrize(("few", "block"), [(12, 256), (1, 8)])
+def test_near_copies_against_all_pairs(spark, monkeypatch, few, block):
+    """Whether pairs are joined or cells are compared in blocks, the groups are those of all pairs."""
+    monkeypatch.setattr(simhash, "FEW", few)
+    monkeypatch.setattr(simhash, "BLOCK", block)
     rnd = random.Random(12)
     texts = []
     for _ in range(25):
