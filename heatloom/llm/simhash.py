@@ -78,7 +78,8 @@ def grid_masks(radius: int, groups: int) -> list[int]:
 
 def forest(fps: np.ndarray, radius: int) -> np.ndarray:
     """Label of each fingerprint: the smallest one it reaches over links inside the array."""
-    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius
+    bits = fps.view(np.uint64)  # of a negative number, numpy would count the bits of its absolute value
+    near = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= radius
     label = np.arange(len(fps))
     while True:
         # a row's smallest label among its neighbours, then the label of that label
@@ -196,7 +197,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 def similar_forest(points: np.ndarray, grams: list[np.ndarray], similarity: float) -> np.ndarray:
     """Label of each node: the first one that it reaches over similar pairs inside the arrays. points: both halves of the embeddings."""
     n = len(points)
-    apart_ = sum(np.bitwise_count(points[:, None, h] ^ points[None, :, h]).astype(np.int16) for h in (0, 1))
+    bits = np.ascontiguousarray(points).view(np.uint64)
+    apart_ = sum(np.bitwise_count(bits[:, None, h] ^ bits[None, :, h]).astype(np.int16) for h in (0, 1))
     near = apart_ <= APART
     sizes = np.array([len(g) for g in grams])
     # common shingles of all pairs: those that several nodes have, a block of columns at a time

@@ -198,7 +198,7 @@ def test_simhash(spark, docs, empty):
 def test_fingerprint_links_in_blocks(spark):
     """A dense cloud of fingerprints, far over a block: the same components as by all pairs."""
     rng = np.random.default_rng(3)
-    flips = np.array([np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 40, 4).astype(np.uint64)) for _ in range(400)], np.uint64)
+    flips = np.array([np.bitwise_or.reduce(np.uint64(1) << rng.integers(24, 64, 4).astype(np.uint64)) for _ in range(400)], np.uint64)
     f = np.unique(flips ^ np.uint64(0x0F0F33335555AAAA))
     label = reach(np.bitwise_count(f[:, None] ^ f[None, :]) <= 3)
     nodes = spark.createDataFrame([(int(x),) for x in f.view(np.int64)], "fp bigint")
