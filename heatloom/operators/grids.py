@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heatloom.functions import columns as C
+from heatloom.operators.audit import even_sample
+from heatloom.operators.verify import split_metrics
 
 
 def nearest_on_axis(points: DataFrame, axis: DataFrame, value: str, index: str) -> DataFrame:
@@ -306,3 +308,10 @@ def ssim(df: DataFrame, by: list[str], pred: str = "pred_c", ref: str = "t_c") -
 
     schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in by) + ", ssim double"
     return df.select(*by, "y", "x", pred, ref).groupBy(*by).applyInPandas(one, schema)
+
+
+def split_report(df: DataFrame, frames: int = 50, pred: str = "pred_c", ref: str = "t_c") -> DataFrame:
+    """One row: MAE, RMSE and MSE over all cells and times, and the mean similarity of at most `frames` evenly spaced frames."""
+    times = even_sample(df, frames)
+    similar = ssim(df.join(times, "time", "left_semi"), ["time"], pred, ref).agg(F.avg("ssim").alias("ssim"), F.count("ssim").alias("n_frames"))
+    return split_metrics(df, pred, ref).crossJoin(similar)

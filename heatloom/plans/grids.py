@@ -244,6 +244,14 @@ def ssim(spark, d):
     return grids.ssim(fine.withColumnRenamed("value", "pred_c").join(near.withColumnRenamed("value", "t_c"), ["vec_id", "y", "x"]), ["vec_id"])
 
 
+@query()
+def split_report(spark, d):
+    """A39, with the similarity of 50 frames of 16 x 16."""
+    fine = grids.upsample(frames(spark, d), (8, 8), (16, 16), ["vec_id"], "value").withColumnRenamed("value", "pred_c")
+    near = grids.upsample(frames(spark, d), (8, 8), (16, 16), ["vec_id"], "value", "nearest").withColumnRenamed("value", "t_c")
+    return grids.split_report(fine.join(near, ["vec_id", "y", "x"]).withColumnRenamed("vec_id", "time"))
+
+
 @query(f"WITH {CELLS}, b AS (SELECT min(lat) AS a, max(lat) AS b, min(lon) AS c, max(lon) AS d FROM cells WHERE y < 4 AND x < 4) SELECT y, x FROM cells, b WHERE lat BETWEEN a - 0.02 AND b + 0.02 AND lon BETWEEN c - 0.02 AND d + 0.02")
 def clip_bbox(spark, d):
     """P6."""

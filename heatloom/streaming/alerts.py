@@ -37,11 +37,14 @@ def stream_daily_maxima(pred: DataFrame, watermark: str = "1 day", cell: tuple[s
 
 
 def stream_daily_alerts(pred: DataFrame, thr: DataFrame, store: str, out: str, watermark: str = "1 day", cell: tuple[str, ...] = ("y", "x")):
-    """A writer that keeps the cells' maxima under store and writes the alerts of all days that a batch touched under out/batch=<n>; of a day the last batch counts."""
+    """A writer that keeps the cells' maxima under store, by day, and writes the alerts of all days that a batch touched under out/batch=<n>; of a day the last batch counts.
+
+    Reading a day's maxima back touches only that day's folders.
+    """
 
     def update(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{store}/batch={n}")
+        batch.repartition("day").write.mode("overwrite").partitionBy("day").parquet(f"{store}/batch={n}")
         seen = spark.read.parquet(store).join(batch.select("day").distinct(), "day", "left_semi")
         newest = seen.groupBy("day", *cell).agg(F.max("pred_c").alias("pred_c"))
         heat._alerts(newest.join(thr, list(cell)), "day", "pred_c").write.mode("overwrite").parquet(f"{out}/batch={n}")
