@@ -28,7 +28,7 @@ SPACE = "▁"
 
 
 class PieceCodec:
-    def __init__(self, path: str, cached: int = 400_000):
+    def __init__(self, path: str, cached: int = 300_000):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = range(model.get_piece_size())
         self.begin, self.end = model.bos_id(), model.eos_id()
@@ -48,7 +48,7 @@ class PieceCodec:
         for p in usable:
             self.starts.add_word(p[::-1], p)
         self.starts.make_automaton()
-        self.fits = Bounded(lambda pair: self.merged(pair[0] + pair[1]) == [*pair], most=2_000_000)
+        self.fits = Bounded(lambda pair: self.merged(pair[0] + pair[1]) == [*pair], most=500_000)
         known = set("".join(self.id))
         alone = "" if "\n" in known else r"\n|"
         gap = "" if "\n" in known else r"\n"

@@ -76,7 +76,7 @@ def pretokenizer(path: str) -> PreTokenizer:
 class Bounded(dict):
     """A dict that makes missing values and starts again from its first entries when it is full."""
 
-    def __init__(self, make, first=(), most: int = 400_000):
+    def __init__(self, make, first=(), most: int = 300_000):
         super().__init__(first)
         self.make, self.first, self.most = make, dict(first), most
 

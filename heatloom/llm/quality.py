@@ -28,7 +28,7 @@ AGAIN = "=again"
 SHAPE_OF = {c: "x" for c in map(chr, range(0x250)) if c.islower()} | {c: "X" for c in map(chr, range(0x250)) if c.isupper()} | {c: "9" for c in "0123456789"}
 
 
-@functools.lru_cache(400_000)
+@functools.lru_cache(100_000)
 def shape(word: str) -> str:
     """Letters as x or X, digits as 9, other characters as they are; each run in short."""
     out: list[str] = []
