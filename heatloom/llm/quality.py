@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heatloom.llm.common import texts_of, trained
@@ -169,24 +169,23 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> QualityModel:
-    """A model from a bounded sample: at most `rows` labelled rows that aren't held out, by hash of their ids, as long as their texts have `chars` in all.
+    """A model from a bounded sample: at most `rows` labelled ids that aren't held out, by hash, as long as their texts have `chars` characters in all.
 
     A repeated id in labels counts with its mean label; rows with a null id or label are left out.
     """
     known = labels.select(F.col("doc_id").cast("bigint"), "quality").where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id")))
     chosen = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(chosen), "doc_id")  # at most `rows` rows of two numbers
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows)
+    # Lengths first, so that the one task that fits never holds more than `chars` characters.
+    sizes = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.length("text").alias("size"))  # chosen: at most `rows` rows of two numbers
+    sizes = sizes.groupBy("doc_id", "quality").agg(F.sum("size").alias("size"))
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # at most `rows` rows
+    held = sizes.select("doc_id", "quality", F.row_number().over(order).alias("at"), F.sum("size").over(order).alias("total")).where(F.col("total") <= chars)
+    sample = texts.join(F.broadcast(held.select("doc_id", "quality", "at")), "doc_id").select("at", "text", "quality").repartition(1)
+
     def learn(found) -> QualityModel:
-        texts, known, total = [], [], 0
-        for row in found:
-            total += len(row["text"])
-            if total > chars:
-                break
-            texts.append(row["text"])
-            known.append(row["quality"])
-        return fit(texts, known)
+        ordered = sorted(found, key=lambda r: (r["at"], r["text"]))
+        return fit([r["text"] for r in ordered], [r["quality"] for r in ordered])
 
     return trained(sample, learn)
 
