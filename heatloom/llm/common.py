@@ -8,7 +8,8 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +39,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """row (all columns of docs but text, in a struct, so that no name of theirs can clash), text, and k1, k2: a key of doc_id and text. A null doc_id counts as the smallest long."""
+    own = F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != "text"])
+    k1 = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)))
+    return docs.select(own.alias("row"), "text", k1.alias("k1"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k2"))
+
+
+def unkeyed(rows: DataFrame, columns: list[str], text: Column | None = None, more: list[Column] = ()) -> DataFrame:
+    """The columns of keyed rows as they were, with another text if one is given, and more columns after them."""
+    new = F.col("text") if text is None else text
+    return rows.select(*(new.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in columns), *more)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heatloom.llm.common import stored
+from heatloom.llm.common import keyed, stored, unkeyed
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -117,10 +117,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, small
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, small: int = 1_000_000) -> DataFrame:
-    """The rows of docs, with all their columns (k1, k2 must not be among them), in which no window of a benchmark item occurs."""
+    """The rows of docs, with all their columns, in which no window of a benchmark item occurs; else as contamination."""
     hit = benchmark_hits(keyed_words(docs), benchmark, window, small).select("k1", "k2").distinct()
-    k1 = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)))
-    return docs.withColumns({"k1": k1, "k2": F.xxhash64(F.coalesce("text", F.lit("")))}).join(hit, ["k1", "k2"], "left_anti").drop("k1", "k2")
+    return unkeyed(keyed(docs).join(hit, ["k1", "k2"], "left_anti"), docs.columns)
 
 
 #: DuckDB SQL of op8; also a part of the pipeline's checks.

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heatloom.llm.common import stored, texts_of
+from heatloom.llm.common import keyed, stored, texts_of, unkeyed
 from heatloom.llm.components import components
 
 ODD = 0x5555555555555555  # the lower bit of every segment
@@ -190,10 +190,6 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "node bigint, grams array<bigint>")
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"k1": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))), "k2": F.xxhash64(F.coalesce("text", F.lit("")))})
-
-
 def similar_forest(points: np.ndarray, grams: list[np.ndarray], similarity: float) -> np.ndarray:
     """Label of each node: the first one that it reaches over similar pairs inside the arrays. points: both halves of the embeddings."""
     n = len(points)
@@ -232,7 +228,7 @@ def first_of_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -
     `similarity` are linked, and groups are connected components. Candidates are nodes that share a grid cell of the popcount embedding of a 128-bit
     SimHash and lie within APART of each other. Pairs of small cells are joined with their shingle sets. A large cell is split into blocks by hash; each pair
     of blocks compares all its nodes with one another and returns a forest, not its pairs, so that no cell meets in one task. Null and empty texts are one node.
-    Columns k1, k2 must not be in docs.
+    Columns of any name pass unchanged. An empty table gives an empty one; long texts are read whole.
     """
     rows = keyed(docs)
     table = stored(word_set_table(rows.select("k1", "k2", "text")), "word-sets")
@@ -266,4 +262,4 @@ def first_of_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -
     forest_links = dealt.groupBy("cell", "i", "j").applyInPandas(link, "a bigint, b bigint")
     roots = components(links.union(forest_links))
     grouped = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
-    return rows.join(grouped.select("first.*"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).drop("k1", "k2")
+    return unkeyed(rows.join(grouped.select("first.*"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]), docs.columns)

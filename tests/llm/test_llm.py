@@ -37,8 +37,8 @@ ODD = [
 @pytest.fixture(scope="module")
 def docs(spark):
     """Ids from 0; then a null id, and a row that is there twice. Other columns clash with results."""
-    rows = [(i, t, "x", 1.0, -1) for i, t in enumerate(ODD)] + [(None, BASE, "x", 2.0, -1), (9, BASE, "x", 3.0, -1)]
-    return spark.createDataFrame(rows, "doc_id bigint, text string, spans string, score double, n_tokens int")
+    rows = [(i, t, "x", 1.0, -1, 0, "y", [1]) for i, t in enumerate(ODD)] + [(None, BASE, "x", 2.0, -1, 0, "y", [1]), (9, BASE, "x", 3.0, -1, 0, "y", [1])]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, spans string, score double, n_tokens int, k1 int, row string, removed array<int>")
 
 
 @pytest.fixture(scope="module")
@@ -298,7 +298,7 @@ def test_line_dedup(spark, min_lines):
 
 def test_line_dedup_odd_rows(docs, empty):
     got = line_dedup.line_dedup(docs)
-    assert got.count() == docs.count() and got.columns[:5] == docs.columns
+    assert got.count() == docs.count() and got.columns[:8] == docs.columns
     # the null id is the first of the copies; the row that is there twice is one document
     assert [r.n_removed for r in got.where("doc_id is null").collect()] == [0]
     assert {r.n_removed for r in got.where("doc_id in (9, 10)").collect()} == {1}
