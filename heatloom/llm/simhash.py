@@ -146,7 +146,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
 #: in five-word shingles (about 0.96 in the cosine of word sets) meets in some cell with a chance of 98 %, closer pairs nearly always.
 CHOICES, SEGMENTS, APART = 64, 16, 24
 #: A cell of up to this many nodes gives its pairs to a join; a larger one is compared in blocks of BLOCK nodes.
-FEW, BLOCK = 12, 256
+FEW, BLOCK = 12, 512
 
 
 def segment_masks(choices: int = CHOICES, segments: int = SEGMENTS, seed: int = 11) -> list[tuple[int, int]]:
@@ -251,8 +251,9 @@ def first_of_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -
     both = pairs.join(sets.withColumnsRenamed({"node": "a", "grams": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "grams": "y"}), "b")
     common = F.size(F.array_intersect("x", "y"))
     links = both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
-    own = many.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = own.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "p1", "p2").join(sets, "node")
+    own = many.join(sets, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = own.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "p1", "p2", "grams")
 
     def link(group: pd.DataFrame) -> pd.DataFrame:
         label = similar_forest(group[["p1", "p2"]].to_numpy(), group.grams.to_list(), similarity)
