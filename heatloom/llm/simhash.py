@@ -140,43 +140,75 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
     return table.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# Near copies by exact similarity: SimHash finds candidates, shingle sets decide.
+# Near copies by exact similarity: prefixes of shingle sets find candidates, the whole sets decide.
 
-#: Grids for 128-bit fingerprints: of each choice of segments, all must have equal counts. With these numbers a pair of similarity 0.8
-#: in five-word shingles (about 0.96 in the cosine of word sets) meets in some cell with a chance of 98 %, closer pairs nearly always.
-CHOICES, SEGMENTS, APART = 64, 16, 24
+#: Shingles that are counted in one text of SAMPLE are frequent; at most LISTED, the most frequent ones, come last in the order of shingles.
+SAMPLE, LISTED = 16, 100_000
 #: A cell of up to this many nodes gives its pairs to a join; a larger one is compared in blocks of BLOCK nodes.
 FEW, BLOCK = 12, 512
 
 
-def segment_masks(choices: int = CHOICES, segments: int = SEGMENTS, seed: int = 11) -> list[tuple[int, int]]:
-    rng = np.random.default_rng(seed)
-    out = []
-    for _ in range(choices):
-        picked = rng.permutation(64)[:segments].tolist()
-        out.append(tuple(signed(sum(3 << 2 * (s % 32) for s in picked if s // 32 == half)) for half in (0, 1)))
-    return out
+def gram_set(words: list[bytes], k: int) -> np.ndarray:
+    """Distinct hashes of the k-word shingles, in order; a shorter text is one shingle."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    h = np.array(list(map(xxhash.xxh3_64_intdigest, words)), np.uint64)
+    n, mixed = max(1, len(words) - k + 1), np.uint64(min(len(words), k))
+    for i in range(min(len(words), k)):
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(mixed ^ (mixed >> np.uint64(32)))
 
 
-def word_set_table(docs: DataFrame) -> DataFrame:
-    """k1, k2, node (hash of the text's words), f1, f2 (SimHash of the set of words) of every row of docs (k1, k2, text)."""
+def frequent_grams(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and counts of at most LISTED shingles that are frequent in a sample of docs (k2, text). They order shingles, no more."""
 
     def run(batches):
         for batch in batches:
-            nodes, halves = [], []
+            for text in texts_of(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(gram_set(text.encode().lower().split(), k).view(np.int64))], ["gram"])
+
+    sample = docs.where(F.pmod("k2", F.lit(SAMPLE)) == 0).dropDuplicates(["k2"]).select("text")
+    counts = stored(sample.mapInArrow(run, "gram bigint").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "gram-counts")
+    total, least = 0, None
+    for n, grams in sorted((tuple(r) for r in counts.groupBy("n").agg(F.count("*")).collect()), reverse=True):
+        total += grams
+        if total > LISTED:
+            break
+        least = n
+    found = sorted((r.gram & (2**64 - 1), r.n) for r in counts.where(F.col("n") >= least).collect()) if least else []
+    return np.array([g for g, _ in found], np.uint64), np.array([n for _, n in found], np.int64)
+
+
+def gram_prefix(grams: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first shingles, rare ones before frequent ones, of which two sets of at least this Jaccard similarity have one in common."""
+    listed, counts = frequent
+    times = np.zeros(len(grams), np.int64)
+    if len(listed) and len(grams):
+        at = np.minimum(np.searchsorted(listed, grams), len(listed) - 1)
+        times = np.where(listed[at] == grams, counts[at], 0)
+    # similar sets share at least similarity * size shingles, so less than the prefix lies outside the common ones
+    return grams[np.lexsort((grams, times))][: len(grams) - int(np.ceil(similarity * len(grams) - 1e-6)) + 1]
+
+
+def prefix_table(docs: DataFrame, k: int, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """k1, k2, node (hash of the text's words), size (distinct shingles), prefix of every row of docs (k1, k2, text)."""
+
+    def run(batches):
+        for batch in batches:
+            nodes, sizes, prefixes = [], [], []
             for text in texts_of(batch):
                 words = text.encode().lower().split()
+                grams = gram_set(words, k)
                 nodes.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
-                distinct = sorted(set(words))
-                for seed in (1, 2):
-                    h = np.array(list(map(xxhash.xxh64_intdigest, distinct, repeat(seed))), ">u8")
-                    halves.append(majority_bits(h) if distinct else bytes(8))
-            f = np.frombuffer(b"".join(halves), ">i8").astype(np.int64).reshape(-1, 2)
+                sizes.append(len(grams))
+                prefixes.append(gram_prefix(grams, frequent, similarity).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("k1"), batch.column("k2"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(f[:, 0]), pa.array(f[:, 1])], ["k1", "k2", "node", "f1", "f2"]
+                [batch.column("k1"), batch.column("k2"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], ["k1", "k2", "node", "size", "prefix"]
             )
 
-    return docs.mapInArrow(run, "k1 bigint, k2 bigint, node bigint, f1 bigint, f2 bigint")
+    return docs.mapInArrow(run, "k1 bigint, k2 bigint, node bigint, size int, prefix array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -184,18 +216,15 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            sets = [sorted({xxhash.xxh3_64_intdigest(s) - 2**63 for s in shingles(t.encode().lower().split(), k)}) for t in texts_of(batch)]
+            sets = [gram_set(t.encode().lower().split(), k).view(np.int64) for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "grams"])
 
     return docs.mapInArrow(run, "node bigint, grams array<bigint>")
 
 
-def similar_forest(points: np.ndarray, grams: list[np.ndarray], similarity: float) -> np.ndarray:
-    """Label of each node: the first one that it reaches over similar pairs inside the arrays. points: both halves of the embeddings."""
-    n = len(points)
-    bits = np.ascontiguousarray(points).view(np.uint64)
-    apart_ = sum(np.bitwise_count(bits[:, None, h] ^ bits[None, :, h]).astype(np.int16) for h in (0, 1))
-    near = apart_ <= APART
+def similar_forest(grams: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Label of each node: the first one that it reaches over similar pairs inside the list."""
+    n = len(grams)
     sizes = np.array([len(g) for g in grams])
     # common shingles of all pairs: those that several nodes have, a block of columns at a time
     owner = np.repeat(np.arange(n), sizes)
@@ -210,7 +239,7 @@ def similar_forest(points: np.ndarray, grams: list[np.ndarray], similarity: floa
         part = np.zeros((n, 4_096), np.float32)
         part[owner[low:high], column[low:high] - a] = 1
         common += part @ part.T
-    near &= common >= similarity * (sizes[:, None] + sizes[None, :] - common) - 1e-6
+    near = common >= similarity * (sizes[:, None] + sizes[None, :] - common) - 1e-6
     np.fill_diagonal(near, True)
     label = np.arange(n)
     while True:
@@ -225,42 +254,46 @@ def first_of_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -
     """docs with one row of each group of near copies: the smallest doc_id (null first), by text where ids repeat.
 
     Texts with the same lower-cased words are one node. Nodes whose sets of k-word shingles (the whole text, if shorter) have a Jaccard similarity of at least
-    `similarity` are linked, and groups are connected components. Candidates are nodes that share a grid cell of the popcount embedding of a 128-bit
-    SimHash and lie within APART of each other. Pairs of small cells are joined with their shingle sets. A large cell is split into blocks by hash; each pair
+    `similarity` are linked, and groups are connected components. Candidates are nodes that share a shingle of their prefixes: with one order of all
+    shingles, two similar sets always do, so no pair is lost. The order puts frequent shingles last, which keeps cells small. Cells with
+    the same nodes count once, and large ones with the same smallest node are one. Pairs of small cells are joined with their shingle sets. A large cell is split into blocks by hash; each pair
     of blocks compares all its nodes with one another and returns a forest, not its pairs, so that no cell meets in one task. Null and empty texts are one node.
     Columns of any name pass unchanged. An empty table gives an empty one; long texts are read whole.
     """
     rows = keyed(docs)
-    table = stored(word_set_table(rows.select("k1", "k2", "text")), "word-sets")
-    nodes = stored(table.groupBy("node", "f1", "f2").agg(F.min(F.struct("k1", "k2")).alias("first")), "word-set-nodes")
-    points = nodes.select("node", counts_of(F.col("f1")).alias("p1"), counts_of(F.col("f2")).alias("p2"))
-    cell = F.array(*[F.xxhash64(F.lit(i), F.col("p1").bitwiseAND(F.lit(a)), F.col("p2").bitwiseAND(F.lit(b))) for i, (a, b) in enumerate(segment_masks())])
-    cells = points.select("node", F.explode(cell).alias("cell"))
-    sizes = stored(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "word-set-sizes")
-    full = stored(cells.join(sizes, "cell").join(points, "node"), "word-set-cells")
+    keyed_texts = rows.select("k1", "k2", "text")
+    table = prefix_table(keyed_texts, k, similarity, frequent_grams(keyed_texts, k))
+    nodes = stored(table.groupBy("node").agg(F.min(F.struct("k1", "k2", "size", "prefix")).alias("first")), "prefix-nodes")
+    cells = nodes.select("node", F.explode("first.prefix").alias("cell"))
+    sizes = stored(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "prefix-sizes")
+    met = stored(cells.join(sizes, "cell"), "prefix-cells")
+    members = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"members{i}") for i in (0, 1)]
+    different = met.groupBy("cell", "n").agg(*members, F.min("node").alias("leader")).groupBy("n", "members0", "members1", "leader").agg(F.min("cell").alias("cell"))
+    full = stored(met.join(stored(different.select("cell", "leader"), "prefix-different"), "cell").join(nodes.select("node", "first.size"), "node"), "prefix-full")
     few = full.where(F.col("n") <= FEW)
     x, y = few.alias("x"), few.alias("y")
-    close = apart(F.col("x.p1"), F.col("y.p1")) + apart(F.col("x.p2"), F.col("y.p2")) <= APART
-    met = x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.node") < F.col("y.node")) & close)
-    pairs = stored(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "near-pairs")
-    many = full.where(F.col("n") > FEW).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    close = F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size") - 1e-6
+    both = x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.node") < F.col("y.node")) & close)
+    pairs = stored(both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "near-pairs")
+    led = stored(full.where(F.col("n") > FEW).select(F.col("leader").alias("cell"), "node").distinct(), "prefix-led")
+    many = led.join(stored(led.groupBy("cell").agg(F.count("*").alias("n")), "prefix-leaders"), "cell").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(many.select("node")).distinct()
-    chosen = stored(wanted.join(nodes, "node").select("first.*", "node"), "near-nodes")
-    texts = rows.select("k1", "k2", "text").join(chosen, ["k1", "k2"]).select("node", "text")
+    chosen = stored(wanted.join(nodes, "node").select("first.k1", "first.k2", "node"), "near-nodes")
+    texts = keyed_texts.join(chosen, ["k1", "k2"]).select("node", "text")
     sets = stored(shingle_sets(texts, k).dropDuplicates(["node"]), "shingle-sets")
     both = pairs.join(sets.withColumnsRenamed({"node": "a", "grams": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "grams": "y"}), "b")
     common = F.size(F.array_intersect("x", "y"))
-    links = both.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+    links = both.where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-6).select("a", "b")
     own = many.join(sets, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = own.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "p1", "p2", "grams")
+    dealt = own.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "grams")
 
     def link(group: pd.DataFrame) -> pd.DataFrame:
-        label = similar_forest(group[["p1", "p2"]].to_numpy(), group.grams.to_list(), similarity)
+        label = similar_forest(group.grams.to_list(), similarity)
         off, ids = label != np.arange(len(label)), group.node.to_numpy()
         return pd.DataFrame({"a": ids[off], "b": ids[label[off]]})
 
     forest_links = dealt.groupBy("cell", "i", "j").applyInPandas(link, "a bigint, b bigint")
     roots = components(links.union(forest_links))
-    grouped = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    grouped = nodes.select("node", F.struct("first.k1", "first.k2").alias("first")).join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     return unkeyed(rows.join(grouped.select("first.*"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]), docs.columns)

@@ -436,6 +436,33 @@ def test_near_copies_against_all_pairs(spark, monkeypatch, few, block):
     assert want <= kept and len(kept - want) <= 1
 
 
+@pytest.mark.parametrize(("few", "sample"), [(12, 16), (1, 1)])
+def test_near_copies_extended_and_truncated(spark, monkeypatch, few, sample):
+    """Pairs of one text and a longer one that holds it, from 0.8 of similarity on, also with few distinct words, are never lost."""
+    monkeypatch.setattr(simhash, "FEW", few)
+    monkeypatch.setattr(simhash, "SAMPLE", sample)
+    rnd = random.Random(21)
+    new = lambda n: ["".join(rnd.choice("klmnopqrst") for _ in range(9)) for _ in range(n)]
+    pairs = []
+    for i in range(60):
+        grams = rnd.randint(20, 60) * 4
+        base = prose(grams + 4, rnd).split() if i % 2 else new(grams + 4)
+        pairs.append((base, base + new(grams // 4)))  # 0.8
+        pairs.append((new(grams // 8) + base, base))
+        pairs.append((base[: grams // 2 + 4] + new(5), new(7) + base[: grams // 2 + 4]))
+    known = new(50)
+    for _ in range(20):
+        base = [rnd.choice(known) for _ in range(204)]
+        pairs.append((base, base + new(50)))
+    texts = [" ".join(w) for pair in pairs for w in pair]
+    grams = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    near = np.array([[len(a & b) >= 0.8 * len(a | b) for b in grams] for a in grams])
+    want = {int(x) for x in reach(near)}
+    assert len(want) < 0.7 * len(texts)
+    kept = {r.doc_id for r in simhash.first_of_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert kept == want
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = docs
