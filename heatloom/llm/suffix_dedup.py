@@ -9,7 +9,8 @@ share. A context is a stretch of windows with one anchor, with the bytes they co
 3. Anchors with several different contexts are suffix-sorted: each context's text travels once, to the task of its anchor. A task takes a
    bounded block of buckets, ranks the suffixes at the places of a difference cover, then sorts each bucket's suffixes by their few
    bytes up to the next place of the cover and the rank there. Anchors lie on multiples of the cover's period, so a bucket's suffixes have
-   one such place. Neighbours in the order that agree in `length` bytes are repeats.
+   one such place. Neighbours in the order that agree in `length` bytes are repeats. An anchor with more than HOT different contexts is no
+   bucket: its windows are hashed (128 bits) and counted, so that no task holds them all.
 4. The repeated windows return to the documents, where their union is removed.
 """
 
@@ -28,6 +29,8 @@ from heatloom.llm.common import stored, texts_of
 LENGTH, GRAM = 200, 32
 #: Window starts that are listed at a time, and suffixes that are sorted at a time.
 PIECE, BLOCK = 1 << 22, 400_000
+#: Different contexts of an anchor up to which they are sorted in one task.
+HOT = 1_000
 PLACE_BITS = 24
 PERIOD = 64
 CONTEXT = "h bigint, c bigint, n int, off int"
@@ -138,6 +141,21 @@ def cut_contexts(batches):
             yield pa.RecordBatch.from_arrays([pa.array(v[k : k + 5_000], kinds[x]) for x, v in out.items()], list(out))
 
 
+def hash_windows(batches):
+    """Rows (context, place, w1, w2) of all windows of the contexts that a document is asked for; w1 and w2 are a hash of the window's bytes."""
+    for batch in batches:
+        for text, asked in zip(texts_of(batch), batch.column("asked").to_pylist(), strict=True):
+            view = memoryview(text.encode())
+            for k in range(0, len(asked), 200):
+                some = asked[k : k + 200]
+                n = np.array([x["n"] for x in some])
+                place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                at = np.repeat([x["start"] for x in some], n) + place
+                w = np.frombuffer(b"".join(xxhash.xxh3_128_digest(view[i : i + LENGTH]) for i in at.tolist()), np.int64).reshape(-1, 2)
+                keys = [pa.array(np.repeat(np.array([x[c] for x in some], np.int64 if c in "hc" else np.int32), n)) for c in KEYS]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(place.astype(np.int32)), pa.array(w[:, 0]), pa.array(w[:, 1])], [*KEYS, "place", "w1", "w2"])
+
+
 def repeated_windows(bucket: np.ndarray, n: np.ndarray, off: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Context and place of each window that occurs in another context of its bucket. bucket: a number for each context."""
     sizes = np.array([len(t) for t in texts])
@@ -252,12 +270,21 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     often = stored(listed.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h"), "anchors-often")
     shared = stored(listed.join(often, "h"), "contexts-shared")
     kinds = stored(shared.groupBy(*KEYS).agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "start")).alias("at")), "context-kinds")
-    mixed = stored(kinds.groupBy("h").agg(F.count("*").alias("times"), F.min("copies").alias("least")).where("times > 1 and least = 1").select("h"), "anchors-mixed")
-    asked = kinds.join(mixed, "h").select("at.*", *KEYS).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", *KEYS)).alias("asked"))
-    cut = rows.select("k1", "k2", "text").join(asked, ["k1", "k2"]).select("text", "asked").mapInArrow(cut_contexts, f"{CONTEXT}, data binary")
+    mixed = stored(kinds.groupBy("h").agg(F.count("*").alias("times"), F.min("copies").alias("least")).where("times > 1 and least = 1").select("h", "times"), "anchors-mixed")
+
+    def asked_texts(anchors: DataFrame) -> DataFrame:
+        asked = kinds.join(anchors.select("h"), "h").select("at.*", *KEYS).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", *KEYS)).alias("asked"))
+        return rows.select("k1", "k2", "text").join(asked, ["k1", "k2"])
+
+    cut = asked_texts(mixed.where(F.col("times") <= HOT)).select("text", "asked").mapInArrow(cut_contexts, f"{CONTEXT}, data binary")
     ordered = cut.repartition("h").sortWithinPartitions(*KEYS)
     spans = "array<struct<a: int, b: int>>"
     sorted_ = stored(ordered.mapInArrow(sort_buckets, f"{CONTEXT}, spans {spans}"), "context-repeats")
+    hot = asked_texts(mixed.where(F.col("times") > HOT)).dropDuplicates(["k1", "k2"]).select("text", "asked")
+    windows = stored(hot.mapInArrow(hash_windows, f"{CONTEXT}, place int, w1 bigint, w2 bigint"), "hot-windows")
+    twice = stored(windows.groupBy("w1", "w2").agg(F.count("*").alias("times")).where("times > 1").select("w1", "w2"), "hot-repeats")
+    places = windows.join(twice, ["w1", "w2"]).groupBy(*KEYS).agg(F.collect_list(F.struct(F.col("place").alias("a"), (F.col("place") + 1).alias("b"))).alias("spans"))
+    sorted_ = sorted_.union(places)
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
     verdict = kinds.join(sorted_, KEYS, "left").select(*KEYS, F.when(F.col("copies") > 1, whole).otherwise(F.col("spans")).alias("spans")).where("spans is not null")
     verdict = stored(verdict, "context-verdicts")

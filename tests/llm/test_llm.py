@@ -166,6 +166,35 @@ def test_suffix_dedup_small_pieces(spark, monkeypatch):
     assert n.sum() == len(data[1]) - 199 and (begin[1:] == begin[:-1] + n[:-1]).all() and (at >= begin).all()
 
 
+def test_suffix_dedup_hot_anchor(spark, monkeypatch):
+    """An anchor with many different contexts doesn't meet in one task, and its repeats are those of all windows."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 4, raising=False)
+    rnd = random.Random(5)
+    noise = lambda n: "".join(rnd.choice("fghijklm") for _ in range(n))
+    phrase, tails = noise(60), [noise(170) for _ in range(4)]
+    texts = [noise(300) + phrase + noise(300) for _ in range(60)] + [noise(250) + phrase + rnd.choice(tails)[: rnd.randint(120, 170)] + noise(150) for _ in range(40)]
+    texts += [noise(90) + texts[3][200:500] + noise(90), texts[70], texts[70]]
+    sort = suffix_dedup.sort_buckets
+
+    def bounded(batches):
+        held = collections.Counter()
+
+        def watched():
+            for batch in batches:
+                held.update(batch.column("h").to_pylist())
+                assert max(held.values(), default=0) <= 4
+                yield batch
+
+        yield from sort(watched())
+
+    monkeypatch.setattr(suffix_dedup, "sort_buckets", bounded)
+    rows = [*enumerate(texts), (7, texts[7])]
+    got = rows_of(suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).drop("kept"))
+    want = brute_repeats([t for _, t in sorted(rows)])
+    assert sum(w[1] > 0 for w in want) > 30
+    assert [tuple(r) for r in got[["n_bytes", "n_removed", "n_spans", "kept_sha256"]].itertuples(index=False)] == want
+
+
 def brute_fingerprint(text):
     w = (text or "").encode().lower().split()
     grams = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else ([b" ".join(w)] if w else [])
