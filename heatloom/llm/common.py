@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import pickle
 import tempfile
@@ -17,9 +18,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
+    """The folder that driver and executors share. Where the session names none, a local one serves a local master; a cluster must name it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = os.path.join(tempfile.gettempdir(), "heatloom-shared")
         os.makedirs(found, exist_ok=True)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -31,12 +34,42 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+#: Tables of this process that are still there, by path.
+_TABLES: dict[str, SparkSession] = {}
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: cuts lineage and survives lost executors."""
+    """df written as a table in the shared folder and read again: cuts lineage and survives lost executors.
+
+    `drop` deletes it; what the caller's result still reads goes when the program ends.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, label)
+    _TABLES[path] = spark
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for table in tables:
+        delete(table.stored_at)
+
+
+def delete(path: str) -> None:
+    spark = _TABLES.pop(path, None)
+    if spark is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def delete_all() -> None:
+    for path, spark in list(_TABLES.items()):
+        if spark.sparkContext._jsc is not None:
+            delete(path)
 
 
 def keyed(docs: DataFrame) -> DataFrame:

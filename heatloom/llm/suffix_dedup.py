@@ -7,10 +7,11 @@ share. A context is a stretch of windows with one anchor, with the bytes they co
 1. Contexts of all documents are listed (about one in 85 bytes); those whose anchor occurs once hold no repeat and leave.
 2. Equal contexts meet in a count, before any text moves; a context with two copies is repeated as a whole.
 3. Anchors with several different contexts are suffix-sorted: each context's text travels once, to the task of its anchor. A task takes a
-   bounded block of buckets, ranks the suffixes at the places of a difference cover, then sorts each bucket's suffixes by their few
-   bytes up to the next place of the cover and the rank there. Anchors lie on multiples of the cover's period, so a bucket's suffixes have
-   one such place. Neighbours in the order that agree in `length` bytes are repeats. An anchor with more than HOT different contexts is no
-   bucket: its windows are hashed (128 bits) and counted, so that no task holds them all.
+   bounded block of buckets and ranks the suffixes at the places of a difference cover once: by PERIOD bytes, then by twice as many, from the
+   ranks of two places a period apart. It sorts each bucket's suffixes by their few bytes up to the next place of the cover, the rank there, and the
+   few bytes of the window that are left. Anchors lie on multiples of the cover's period, so a bucket's suffixes that can be equal have
+   the same way to such a place. Neighbours in the order that agree in all of these are repeats. An anchor with more than `hot` different contexts is
+   no bucket: its windows are hashed (128 bits) and counted, so that no task holds them all.
 4. The repeated windows return to the documents, where their union is removed.
 """
 
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heatloom.llm.common import stored, texts_of
+from heatloom.llm.common import drop, stored, texts_of
 
 LENGTH, GRAM = 200, 32
 #: Window starts that are listed at a time, and suffixes that are sorted at a time.
@@ -95,17 +96,17 @@ def contexts_of(data: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
     return begin, end - begin, at, h[at]
 
 
-def list_contexts(batches):
+def list_contexts(batches, piece: int = PIECE):
     """Rows of all contexts: k1, k2, start, h, c (hash of the context's bytes), n (windows), off (from start to the anchor)."""
     for batch in batches:
         k1, k2 = (batch.column(k).to_pylist() for k in ("k1", "k2"))
         pieces = []  # (row, offset of the piece, bytes)
         for row, text in enumerate(texts_of(batch)):
             raw = text.encode()
-            pieces += [(row, a, raw[a : a + PIECE + LENGTH - 1]) for a in range(0, max(0, len(raw) - LENGTH + 1), PIECE)]
+            pieces += [(row, a, raw[a : a + piece + LENGTH - 1]) for a in range(0, max(0, len(raw) - LENGTH + 1), piece)]
         while pieces:
             some, total = [], 0
-            while pieces and (not some or total + len(pieces[-1][2]) <= PIECE):
+            while pieces and (not some or total + len(pieces[-1][2]) <= piece):
                 some.append(pieces.pop())
                 total += len(some[-1][2])
             joined = b"".join(p for _, _, p in some)
@@ -167,39 +168,43 @@ def repeated_windows(bucket: np.ndarray, n: np.ndarray, off: np.ndarray, texts:
     data = np.zeros(int(room.sum()) + LENGTH + 2 * PERIOD, np.uint8)
     for b, t in zip(base.tolist(), texts, strict=True):
         data[b : b + len(t)] = np.frombuffer(t, np.uint8)
-    strings = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
     which = np.repeat(np.arange(len(texts)), n)
     place = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
     suffix = base[which] + place
     ahead = AHEAD[suffix % PERIOD]
-    # ranks of the cover's places that suffixes look at
+    # ranks of the cover's places that suffixes look at, by PERIOD bytes and then by two periods: a place and the next period's are both in the cover
     sample = np.unique(suffix + ahead)
-    _, rank = np.unique(strings[sample].view(f"S{LENGTH}")[:, 0], return_inverse=True)
-    rank = rank[np.searchsorted(sample, suffix + ahead)]
-    # the bytes before that place, eight to a number
-    words = []
-    for k in range(0, int(AHEAD.max()), 8):
-        w = np.zeros(len(suffix), np.uint64)
-        for j in range(8):
-            w = (w << np.uint64(8)) | np.where(k + j < ahead, data[suffix + k + j], 0).astype(np.uint64)
-        words.append(w)
+    both = np.union1d(sample, sample + PERIOD)
+    strings = np.lib.stride_tricks.sliding_window_view(data, PERIOD)
+    _, short = np.unique(strings[both].view(f"S{PERIOD}")[:, 0], return_inverse=True)
+    pair = short[np.searchsorted(both, sample)] * (len(both) + 1) + short[np.searchsorted(both, sample + PERIOD)]
+    rank = np.unique(pair, return_inverse=True)[1][np.searchsorted(sample, suffix + ahead)]
+
+    def bytes_at(at: np.ndarray, size: np.ndarray, most: int) -> list[np.ndarray]:
+        """The `size` bytes at each place, eight to a number."""
+        words = []
+        for k in range(0, most, 8):
+            w = np.zeros(len(at), np.uint64)
+            for j in range(8):
+                w = (w << np.uint64(8)) | np.where(k + j < size, data[at + k + j], 0).astype(np.uint64)
+            words.append(w)
+        return words
+
     shift = place - off[which]  # suffixes of a bucket that can be equal lie as far from the anchor
-    order = np.lexsort((rank, *reversed(words), shift, bucket[which]))
+    left = LENGTH - 2 * PERIOD - ahead
+    keys = [bucket[which], shift, *bytes_at(suffix, ahead, int(AHEAD.max())), rank, *bytes_at(suffix + ahead + 2 * PERIOD, left, LENGTH - 2 * PERIOD)]
+    order = np.lexsort(keys[::-1])
     a, b = order[:-1], order[1:]
-    same = (bucket[which[a]] == bucket[which[b]]) & (shift[a] == shift[b])
-    for w in words:
-        same &= w[a] == w[b]
-    equal = same & (rank[a] == rank[b])
-    # a pair whose ranks differ may differ only past the window
-    for k in np.array_split(np.nonzero(same & ~equal)[0], max(1, int((same & ~equal).sum()) // 50_000)):
-        equal[k] = (strings[suffix[a[k]]] == strings[suffix[b[k]]]).all(axis=1)
+    equal = np.ones(len(a), bool)
+    for x in keys:
+        equal &= x[a] == x[b]
     hit = np.zeros(len(suffix), bool)
     hit[a[equal]] = True
     hit[b[equal]] = True
     return which[hit], place[hit]
 
 
-def sort_buckets(batches):
+def sort_buckets(batches, block: int = BLOCK):
     """Rows (context, data) in order of h: each context's repeated windows as ranges of places."""
     held: list[tuple] = []
     windows, last = 0, None
@@ -224,7 +229,7 @@ def sort_buckets(batches):
         for row in zip(*(batch.column(k).to_pylist() for k in (*KEYS, "data")), strict=True):
             if row[:4] == last:  # rows equal in id and text bring their contexts twice
                 continue
-            if windows >= BLOCK and row[0] != last[0]:
+            if windows >= block and row[0] != last[0]:
                 yield close()
                 held, windows = [], 0
             held.append(row)
@@ -255,17 +260,18 @@ def remove(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))], ["doc_id", *out])
 
 
-def suffix_dedup(docs: DataFrame) -> DataFrame:
+def suffix_dedup(docs: DataFrame, piece: int = PIECE, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary) of every row of docs (doc_id, text).
 
     Every byte in a string of 200 bytes that starts elsewhere too, in this or another document, is removed; overlaps count, and strings are those of the
     input. A null text is the empty text; texts under 200 bytes lose nothing. Rows with a null or repeated doc_id are documents like others, so
     two equal rows of 200 bytes remove each other. What is left need not be valid UTF-8. Other columns are ignored, so their names cannot clash. An
-    empty table gives an empty one. Long texts are read whole, in pieces.
+    empty table gives an empty one. Long texts are read whole, in pieces of `piece` bytes. `block` suffixes, and at most the `hot` contexts of one more
+    anchor, are sorted at a time; neither number changes a result.
     """
     keys = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("k1"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k2")]
     rows = docs.select(F.col("doc_id").cast("bigint"), "text", *keys)
-    listed = stored(rows.select("k1", "k2", "text").mapInArrow(list_contexts, f"k1 bigint, k2 bigint, start bigint, {CONTEXT}"), "contexts")
+    listed = stored(rows.select("k1", "k2", "text").mapInArrow(lambda batches: list_contexts(batches, piece), f"k1 bigint, k2 bigint, start bigint, {CONTEXT}"), "contexts")
     # Counts are tables of their own: a join can then split the rows of a frequent key over tasks.
     often = stored(listed.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h"), "anchors-often")
     shared = stored(listed.join(often, "h"), "contexts-shared")
@@ -276,18 +282,19 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
         asked = kinds.join(anchors.select("h"), "h").select("at.*", *KEYS).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", *KEYS)).alias("asked"))
         return rows.select("k1", "k2", "text").join(asked, ["k1", "k2"])
 
-    cut = asked_texts(mixed.where(F.col("times") <= HOT)).select("text", "asked").mapInArrow(cut_contexts, f"{CONTEXT}, data binary")
+    cut = asked_texts(mixed.where(F.col("times") <= hot)).select("text", "asked").mapInArrow(cut_contexts, f"{CONTEXT}, data binary")
     ordered = cut.repartition("h").sortWithinPartitions(*KEYS)
     spans = "array<struct<a: int, b: int>>"
-    sorted_ = stored(ordered.mapInArrow(sort_buckets, f"{CONTEXT}, spans {spans}"), "context-repeats")
-    hot = asked_texts(mixed.where(F.col("times") > HOT)).dropDuplicates(["k1", "k2"]).select("text", "asked")
-    windows = stored(hot.mapInArrow(hash_windows, f"{CONTEXT}, place int, w1 bigint, w2 bigint"), "hot-windows")
+    sorted_ = stored(ordered.mapInArrow(lambda batches: sort_buckets(batches, block), f"{CONTEXT}, spans {spans}"), "context-repeats")
+    drop(listed, often)
+    many = asked_texts(mixed.where(F.col("times") > hot)).dropDuplicates(["k1", "k2"]).select("text", "asked")
+    windows = stored(many.mapInArrow(hash_windows, f"{CONTEXT}, place int, w1 bigint, w2 bigint"), "hot-windows")
     twice = stored(windows.groupBy("w1", "w2").agg(F.count("*").alias("times")).where("times > 1").select("w1", "w2"), "hot-repeats")
     places = windows.join(twice, ["w1", "w2"]).groupBy(*KEYS).agg(F.collect_list(F.struct(F.col("place").alias("a"), (F.col("place") + 1).alias("b"))).alias("spans"))
-    sorted_ = sorted_.union(places)
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
-    verdict = kinds.join(sorted_, KEYS, "left").select(*KEYS, F.when(F.col("copies") > 1, whole).otherwise(F.col("spans")).alias("spans")).where("spans is not null")
+    verdict = kinds.join(sorted_.union(places), KEYS, "left").select(*KEYS, F.when(F.col("copies") > 1, whole).otherwise(F.col("spans")).alias("spans")).where("spans is not null")
     verdict = stored(verdict, "context-verdicts")
+    drop(kinds, mixed, sorted_, windows, twice)
     found = shared.join(verdict, KEYS).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "spans")).alias("found"))
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
     return rows.join(found, ["k1", "k2"], "left").select("doc_id", "text", "found").mapInArrow(remove, schema)

@@ -157,18 +157,21 @@ def test_difference_cover():
     assert {(a - b) % suffix_dedup.PERIOD for a in cover for b in cover} == set(range(suffix_dedup.PERIOD))
 
 
-def test_suffix_dedup_small_pieces(spark, monkeypatch):
-    """Pieces and blocks change nothing."""
-    monkeypatch.setattr(suffix_dedup, "PIECE", 1_000)
-    text = ["", "a" * 150 + BASE * 3 + "b" * 4_000, BASE * 2]
-    data = [(t or "").encode() for t in text]
-    begin, n, at, _ = suffix_dedup.contexts_of(np.frombuffer(data[1], np.uint8), np.zeros(len(data[1]), np.int32))
-    assert n.sum() == len(data[1]) - 199 and (begin[1:] == begin[:-1] + n[:-1]).all() and (at >= begin).all()
+@pytest.mark.parametrize("hot", [3, 100_000])
+def test_suffix_dedup_small_pieces(spark, hot):
+    """Pieces, blocks and the bound of hot anchors change nothing, also for a long text and an anchor in thousands of contexts."""
+    rnd = random.Random(6)
+    noise = lambda n: "".join(rnd.choice("fghijklm") for _ in range(n))
+    phrase, tails = noise(70), [noise(200) for _ in range(5)]
+    texts = ["".join(noise(90) + phrase + rnd.choice(tails)[: rnd.randint(100, 200)] + noise(60) for _ in range(500)) for _ in range(6)]
+    texts += ["", "a" * 150 + BASE * 3 + "b" * 4_000, BASE * 2, noise(1_200_000) + texts[0][5_000:5_400] + "é" * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = rows_of(suffix_dedup.suffix_dedup(df, piece=5_000, block=2_000, hot=hot).drop("kept"))
+    assert [tuple(r) for r in got[["n_bytes", "n_removed", "n_spans", "kept_sha256"]].itertuples(index=False)] == brute_repeats(texts)
 
 
 def test_suffix_dedup_hot_anchor(spark, monkeypatch):
     """An anchor with many different contexts doesn't meet in one task, and its repeats are those of all windows."""
-    monkeypatch.setattr(suffix_dedup, "HOT", 4, raising=False)
     rnd = random.Random(5)
     noise = lambda n: "".join(rnd.choice("fghijklm") for _ in range(n))
     phrase, tails = noise(60), [noise(170) for _ in range(4)]
@@ -176,7 +179,7 @@ def test_suffix_dedup_hot_anchor(spark, monkeypatch):
     texts += [noise(90) + texts[3][200:500] + noise(90), texts[70], texts[70]]
     sort = suffix_dedup.sort_buckets
 
-    def bounded(batches):
+    def bounded(batches, block):
         held = collections.Counter()
 
         def watched():
@@ -185,11 +188,11 @@ def test_suffix_dedup_hot_anchor(spark, monkeypatch):
                 assert max(held.values(), default=0) <= 4
                 yield batch
 
-        yield from sort(watched())
+        yield from sort(watched(), block)
 
     monkeypatch.setattr(suffix_dedup, "sort_buckets", bounded)
     rows = [*enumerate(texts), (7, texts[7])]
-    got = rows_of(suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).drop("kept"))
+    got = rows_of(suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), hot=4).drop("kept"))
     want = brute_repeats([t for _, t in sorted(rows)])
     assert sum(w[1] > 0 for w in want) > 30
     assert [tuple(r) for r in got[["n_bytes", "n_removed", "n_spans", "kept_sha256"]].itertuples(index=False)] == want
@@ -292,35 +295,40 @@ def test_contamination(spark, docs, empty):
     assert clean.count() == sum(not r[4] for r in brute_contamination(docs.toPandas().text, items))
 
 
-def brute_lines(rows, min_lines, min_words):
-    """Removed line numbers by all pairs of runs; rows in document order."""
-    seen, out = set(), []
+def brute_lines(rows, min_words):
+    """Removed line numbers by all pairs of places; rows in document order."""
+    out = []
     lines = [[(i, x) for i, x in enumerate((t or "").split("\n")) if x.strip(" ")] for t in rows]
     where = collections.defaultdict(list)
-    for d, ls in enumerate(lines):
-        for length in {1, min_lines}:
-            for k in range(len(ls) - length + 1):
-                where[tuple(x for _, x in ls[k : k + length])].append((d, k))
-    del seen
     for d, ls in enumerate(lines):
         gone = set()
-        for length in {1, min_lines}:
-            for k in range(len(ls) - length + 1):
-                run = tuple(x for _, x in ls[k : k + length])
-                if sum(len([w for w in x.split(" ") if w]) for x in run) >= min_words and min(where[run]) < (d, k):
-                    gone |= {ls[j][0] for j in range(k, k + length)}
+        for k, (_, line) in enumerate(ls):
+            longest = 0
+            for d2, k2 in where[line]:
+                n = 0
+                while k + n < len(ls) and k2 + n < len(lines[d2]) and ls[k + n][1] == lines[d2][k2 + n][1]:
+                    n += 1
+                longest = max(longest, n)
+            if sum(len([w for w in x.split(" ") if w]) for _, x in ls[k : k + longest]) >= min_words:
+                gone |= {i for i, _ in ls[k : k + longest]}
+            where[line].append((d, k))
         out.append(gone)
     return out
 
 
-@pytest.mark.parametrize("min_lines", [1, 2, 4])
-def test_line_dedup(spark, min_lines):
+@pytest.mark.parametrize("min_words", [1, 10, 25])
+def test_line_dedup(spark, min_words):
     rnd = random.Random(8)
-    pool = [prose(rnd.randint(1, 14), rnd) for _ in range(25)] + ["", "  "]
+    pool = [prose(rnd.randint(1, 14), rnd) for _ in range(20)] + [prose(2, rnd) for _ in range(6)] + ["", "  "]
     texts = ["\n".join(rnd.choice(pool) for _ in range(rnd.randint(0, 12))) for _ in range(60)] + [None, "", pool[0] * 300]
+    verse = [prose(rnd.randint(1, 4), rnd) for _ in range(70)]  # runs of short lines, in copies of many lengths
+    for _ in range(40):
+        a, n = rnd.randrange(60), rnd.randint(1, 40)
+        texts.append("\n".join([prose(3, rnd), *verse[a : a + n], *([""] if rnd.random() < 0.5 else []), prose(3, rnd), *verse[a + 2 : a + 2 + rnd.randint(0, 9)]]))
+    texts += ["\n".join([verse[0]] * 30), "\n".join([verse[0]] * 17)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("n_runs", line_dedup.F.lit("clash"))
-    got = rows_of(line_dedup.line_dedup(df, min_lines, 10))
-    for text, gone, kept, n in zip(texts, brute_lines(texts, min_lines, 10), got.text, got.n_removed, strict=True):
+    got = rows_of(line_dedup.line_dedup(df, min_words))
+    for text, gone, kept, n in zip(texts, brute_lines(texts, min_words), got.text, got.n_removed, strict=True):
         want = None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
         assert kept == want and n == len(gone)
 
@@ -332,8 +340,6 @@ def test_line_dedup_odd_rows(docs, empty):
     assert [r.n_removed for r in got.where("doc_id is null").collect()] == [0]
     assert {r.n_removed for r in got.where("doc_id in (9, 10)").collect()} == {1}
     assert line_dedup.line_dedup(empty).count() == 0
-    with pytest.raises(ValueError):
-        line_dedup.line_dedup(docs, 3)
 
 
 def test_pii_base():
