@@ -17,7 +17,7 @@ from heatloom.llm.common import keyed, stored, unkeyed
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Low bits of a packed value: a gram's place in its text; the other bits are its hash.
+#: Low bits of a packed value: a gram's place in its text, as long as they last (the window tells which of the places it is); the other bits are its hash.
 PLACE = (1 << 26) - 1
 
 
@@ -28,48 +28,81 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(low, NOT_WORD), "")
 
 
-def fingerprints(rows: DataFrame, keys: list[str], length: int) -> DataFrame:
-    """keys, fp, place, around, at: a row for each winnowed gram of the column words, for windows of `length` words.
-
-    around holds the words of all windows with the gram, at is the gram's index in it.
-    """
+def grams_of(length: int, places: int) -> Column:
+    """Grams for windows of `length` words, of the column h (hashes of words): hash and place in one number."""
     k = (length + 1) // 2
     w = length - k + 1
     # No filter on the number of words: it would split each text once more.
-    places = lambda last, least: F.when(last >= least, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    hashed = rows.select(*keys, "words", F.transform("words", lambda x: F.xxhash64(x)).alias("h"))
-    grams = hashed.select(
-        *keys, "words", "h",
-        F.transform(places(F.size("h") - k, w - 1), lambda i: F.xxhash64(*[F.get("h", i + j) for j in range(k)]).bitwiseAND(~PLACE).bitwiseOR(i.cast("bigint"))).alias("g"),
-    )
-    least = F.transform(places(F.size("g") - w, 0), lambda i: F.least(*[F.get("g", i + j) for j in range(w)]) if w > 1 else F.get("g", i))
-    chosen = grams.select(*keys, "words", F.array_distinct(least).alias("least"))
-    place = lambda x: x.bitwiseAND(PLACE).cast("int")
-    begin = lambda x: F.greatest(place(x) - (w - 1), F.lit(0))
-    detail = F.transform(
-        "least",
-        lambda x: F.struct(x.bitwiseAND(~PLACE).alias("fp"), place(x).alias("place"), F.slice("words", begin(x) + 1, place(x) + length - begin(x)).alias("around"), (place(x) - begin(x)).alias("at")),
-    )
-    return chosen.select(*keys, F.explode(detail).alias("f")).select(*keys, "f.*")
+    upto = lambda last, least: F.when(last >= least, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    gram = lambda i: F.xxhash64(*[F.get("h", i + j) for j in range(k)]).bitwiseAND(~places)
+    return F.transform(upto(F.size("h") - k, w - 1), lambda i: gram(i).bitwiseOR(i.cast("bigint").bitwiseAND(places)))
+
+
+def least_grams(length: int, grams: str, places: int) -> Column:
+    """The leftmost of the smallest grams of each window of `length` words, from the column `grams`."""
+    k = (length + 1) // 2
+    w = length - k + 1
+    all_of = lambda i, more: [F.get(grams, i + j).bitwiseAND(~places).bitwiseOR(F.lit(j).cast("bigint")) if more else F.get(grams, i + j) for j in range(w)]
+    smallest = lambda xs: F.least(*xs) if w > 1 else xs[0]
+
+    def pick(i: Column) -> Column:
+        if w == 1:
+            return F.get(grams, i)
+        # where places start again inside the window, the place in the window decides between equal hashes
+        wraps = (i.cast("bigint") % (places + 1)) + w > places + 1
+        y = smallest(all_of(i, True))
+        return F.when(wraps, y.bitwiseAND(~places).bitwiseOR((i + y).bitwiseAND(places))).otherwise(smallest(all_of(i, False)))
+
+    begins = F.when(F.size(grams) >= w, F.sequence(F.lit(0), F.greatest(F.size(grams) - w, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    return F.transform(begins, pick)
+
+
+def fingerprints(rows: DataFrame, keys: list[str], lengths: list[int], places: int = PLACE) -> DataFrame:
+    """keys, length, fp, place, around, at: a row for each winnowed gram of the column words, for windows of each of `lengths` words.
+
+    around holds the words of all windows with the gram, at is the gram's index in it. A text is split and its words are hashed once for all lengths.
+    """
+    rows = rows.select(*keys, "words", F.transform("words", lambda x: F.xxhash64(x)).alias("h"))
+    rows = rows.select(*keys, "words", *[grams_of(n, places).alias(f"g{n}") for n in lengths])
+    rows = rows.select(*keys, "words", *[least_grams(n, f"g{n}", places).alias(f"m{n}") for n in lengths])
+
+    def details(n: int) -> Column:
+        m, w = F.col(f"m{n}"), n - (n + 1) // 2 + 1
+        new = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: (i == 0) | (F.get(m, i) != F.get(m, i - 1)))
+
+        def detail(i: Column) -> Column:
+            place = i + (F.get(m, i) - i).bitwiseAND(places).cast("int")
+            begin = F.greatest(place - (w - 1), F.lit(0))
+            return F.struct(F.lit(n).alias("length"), F.get(m, i).bitwiseAND(~places).alias("fp"), place.alias("place"), F.slice("words", begin + 1, place + n - begin).alias("around"), (place - begin).alias("at"))
+
+        return F.when(F.size(m) > 0, F.transform(new, detail))
+
+    found = F.concat(*[F.coalesce(details(n), F.array().cast("array<struct<length: int, fp: bigint, place: int, around: array<string>, at: int>>")) for n in lengths])
+    return rows.select(*keys, F.explode(found).alias("f")).select(*keys, "f.*")
 
 
-def windows_hit(docs: DataFrame, items: DataFrame, length: int, small: int) -> DataFrame:
-    """doc keys, begin, length, ids: windows of `length` words of items in docs. docs: k1, k2, words; items: item, words."""
-    found = fingerprints(items, ["item"], length).groupBy("fp", "around", "at").agg(F.collect_set("item").alias("ids"))
+def windows_hit(docs: DataFrame, items: DataFrame, window: int, lengths: list[int], small: int, places: int) -> DataFrame:
+    """doc keys, begin, length, ids: windows of items in docs. docs: k1, k2, words; items: item, words. An item of fewer than `window` words is one window."""
+    own = [fingerprints(items.where(F.size("words") >= n if n == window else F.size("words") == n), ["item"], [n], places) for n in lengths]
+    found = reduce(DataFrame.union, own).groupBy("length", "fp", "around", "at").agg(F.collect_set("item").alias("ids"))
     found = stored(found.withColumnsRenamed({"around": "i_around", "at": "i_at"}), "benchmark-fingerprints")
-    if found.count() <= small:  # the measured size decides; beyond it the join shuffles
+    # The measured size in memory decides (characters, and about 60 bytes for each word, id and row); beyond it the join shuffles.
+    words = F.aggregate("i_around", F.lit(0).cast("bigint"), lambda acc, x: acc + F.octet_length(x) + 60)
+    size = found.agg(F.sum(words + F.aggregate("ids", F.lit(60).cast("bigint"), lambda acc, x: acc + F.octet_length(x) + 60))).first()[0]
+    if (size or 0) <= small:
         found = F.broadcast(found)
-    met = fingerprints(docs, ["k1", "k2"], length).join(found, "fp")
-    w = length - (length + 1) // 2 + 1
+    met = fingerprints(docs, ["k1", "k2"], lengths, places).join(found, ["length", "fp"])
+    n = F.col("length")
+    w = n - F.floor((n + 1) / 2).cast("int") + 1
     same = F.filter(
-        F.sequence(F.lit(0), F.lit(w - 1)) if w > 1 else F.array(F.lit(0)),
+        F.sequence(F.lit(0), w - 1),
         lambda d: (d <= F.col("at"))
         & (d <= F.col("i_at"))
-        & (F.size("around") >= F.col("at") - d + length)
-        & (F.size("i_around") >= F.col("i_at") - d + length)
-        & (F.slice("around", F.greatest(F.col("at") - d + 1, F.lit(1)), length) == F.slice("i_around", F.greatest(F.col("i_at") - d + 1, F.lit(1)), length)),
+        & (F.size("around") >= F.col("at") - d + n)
+        & (F.size("i_around") >= F.col("i_at") - d + n)
+        & (F.slice("around", F.greatest(F.col("at") - d + 1, F.lit(1)), n) == F.slice("i_around", F.greatest(F.col("i_at") - d + 1, F.lit(1)), n)),
     )
-    return met.select("k1", "k2", "ids", "place", F.explode(same).alias("d")).select("k1", "k2", (F.col("place") - F.col("d")).alias("begin"), F.lit(length).alias("length"), "ids")
+    return met.select("k1", "k2", "ids", "place", "length", F.explode(same).alias("d")).select("k1", "k2", (F.col("place") - F.col("d")).alias("begin"), "length", "ids")
 
 
 def keyed_words(docs: DataFrame) -> DataFrame:
@@ -78,28 +111,25 @@ def keyed_words(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), k1.alias("k1"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k2"), words_of(F.col("text")).alias("words"))
 
 
-def benchmark_hits(keyed: DataFrame, benchmark: DataFrame, window: int, small: int) -> DataFrame:
+def benchmark_hits(keyed: DataFrame, benchmark: DataFrame, window: int, small: int, places: int) -> DataFrame:
     """k1, k2, begin, length, ids: all windows of benchmark items in keyed (k1, k2, words)."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
     items = stored(items, "benchmark-words")
     lengths = sorted(r[0] for r in items.select(F.least(F.size("words"), F.lit(window))).distinct().collect())  # at most `window` numbers
-    if not lengths:
-        lengths = [window]
-    hits = [windows_hit(keyed, items.where(F.size("words") >= n if n == window else F.size("words") == n), n, small) for n in lengths]
-    return reduce(DataFrame.unionByName, hits)
+    return windows_hit(keyed, items, window, lengths or [window], small, places)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, small: int = 1_000_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, small: int = 64_000_000, places: int = PLACE) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of docs (doc_id, text).
 
     benchmark has item_id, text. A window is `window` words of an item in a row, or a shorter item's whole words; words inside any occurrence of
     a window are hit. Null and empty texts have no words and no hits; items without words have no windows; an item with a null id counts under
     the id "". Rows with a null or repeated doc_id have results of their own. Other columns are ignored, so their names cannot clash. Empty tables
     give no rows, or no hits. Whole texts of any length are read (hits are kept for a document at a time). Windows of
-    items are broadcast up to `small` rows.
+    items are broadcast up to `small` bytes. `places` (a power of two less one, no smaller than the window) packs a word's place and changes no result.
     """
     keyed = keyed_words(docs)
-    hits = benchmark_hits(keyed, benchmark, window, small)
+    hits = benchmark_hits(keyed, benchmark, window, small, places)
     spans = hits.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("begin", "length"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("ids"))
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("n"))
 
@@ -116,9 +146,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, small
     )
 
 
-def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, small: int = 1_000_000) -> DataFrame:
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, small: int = 64_000_000, places: int = PLACE) -> DataFrame:
     """The rows of docs, with all their columns, in which no window of a benchmark item occurs; else as contamination."""
-    hit = benchmark_hits(keyed_words(docs), benchmark, window, small).select("k1", "k2").distinct()
+    hit = benchmark_hits(keyed_words(docs), benchmark, window, small, places).select("k1", "k2").distinct()
     return unkeyed(keyed(docs).join(hit, ["k1", "k2"], "left_anti"), docs.columns)
 
 

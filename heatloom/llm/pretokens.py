@@ -36,6 +36,7 @@ class PreTokenizer:
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split
         self.assigned: set[str] = set()
         self.letters = byte_letters()
+        self.numbers = {chr(c): b for b, c in self.letters.items()}
 
     def plain(self, text: str) -> bool:
         """False if a character has no category here: its class may differ between Unicode versions."""
@@ -59,6 +60,13 @@ class PreTokenizer:
         """Ids of one pre-token, by the library's model alone."""
         return [t.id for t in self.library.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
 
+    def surface(self, piece: str) -> str | None:
+        """The text that a piece of the vocabulary stands for; none if it is a part of a character."""
+        try:
+            return bytes(self.numbers[c] for c in piece).decode()
+        except (KeyError, UnicodeDecodeError):
+            return None
+
     def whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 

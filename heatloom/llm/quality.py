@@ -7,7 +7,7 @@ is the mean vector of each stream. The network and the vectors are small and go
 
 from __future__ import annotations
 
-import functools
+import itertools
 import operator
 from collections import Counter
 from dataclasses import dataclass
@@ -15,36 +15,31 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heatloom.llm.common import texts_of, trained
 from heatloom.llm.pretokens import Bounded
 
-#: The sample that the model is fitted on: labelled rows, and characters of their texts, at most.
-FIT_ROWS, FIT_CHARS = 6_000, 60_000_000
-DIM, PARTS, WINDOW, WORDS = 96, 6, 2, 30_000
+#: The sample that the model is fitted on: labelled rows, and characters of their texts, at most; and the words of that sample that get a vector, at most.
+FIT_ROWS, FIT_CHARS, FIT_WORDS = 6_000, 60_000_000, 30_000
+DIM, PARTS, WINDOW = 96, 6, 2
 AGAIN = "=again"
 SHAPE_OF = {c: "x" for c in map(chr, range(0x250)) if c.islower()} | {c: "X" for c in map(chr, range(0x250)) if c.isupper()} | {c: "9" for c in "0123456789"}
 
 
-@functools.lru_cache(100_000)
 def shape(word: str) -> str:
-    """Letters as x or X, digits as 9, other characters as they are; each run in short."""
-    out: list[str] = []
-    for c in word[:64]:
-        c = SHAPE_OF.get(c) or ("x" if c.isalpha() else c)
-        if not out or out[-1] != c:
-            out.append(c)
-    return "".join(out[:12])
+    """Letters as x or X, digits as 9, other characters as they are; each run of the whole word in short."""
+    return "".join(c for c, _ in itertools.groupby(SHAPE_OF.get(c) or ("x" if c.isalpha() else c) for c in word))
 
 
 def streams(text: str) -> tuple[list[str], list[str]]:
     """A text's words in lower case; their shapes, with a mark after each word that repeats the one before."""
     words = text.split()
     shapes: list[str] = []
+    short = Bounded(shape)
     for before, word in zip(["", *words], words):
-        shapes += [shape(word), AGAIN] if word == before else [shape(word)]
+        shapes += [short[word], AGAIN] if word == before else [short[word]]
     return [w.lower() for w in words], shapes
 
 
@@ -57,7 +52,7 @@ def index_parts(word: str) -> tuple[np.ndarray, np.ndarray]:
 def word_vectors(texts: list[list[str]], least: int) -> dict[str, np.ndarray]:
     """Unit context vectors of the most frequent words that occur `least` times."""
     counts = Counter(w for t in texts for w in t)
-    kept = [w for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:WORDS] if n >= least]
+    kept = [w for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:FIT_WORDS] if n >= least]
     if not kept:
         return {}
     number = {w: i for i, w in enumerate(kept)}
@@ -169,7 +164,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> QualityModel:
-    """A model from a bounded sample: at most `rows` labelled ids that aren't held out, by hash, as long as their texts have `chars` characters in all.
+    """A model from a bounded sample: at most `rows` labelled ids that aren't held out, by hash; an id whose texts don't fit in what is left of `chars` characters is passed over.
 
     A repeated id in labels counts with its mean label; rows with a null id or label are left out.
     """
@@ -179,9 +174,13 @@ def fitted(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int
     # Lengths first, so that the one task that fits never holds more than `chars` characters.
     sizes = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.length("text").alias("size"))  # chosen: at most `rows` rows of two numbers
     sizes = sizes.groupBy("doc_id", "quality").agg(F.sum("size").alias("size"))
-    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # at most `rows` rows
-    held = sizes.select("doc_id", "quality", F.row_number().over(order).alias("at"), F.sum("size").over(order).alias("total")).where(F.col("total") <= chars)
-    sample = texts.join(F.broadcast(held.select("doc_id", "quality", "at")), "doc_id").select("at", "text", "quality").repartition(1)
+    held, left = [], chars
+    for r in sizes.orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # at most `rows` rows of three numbers
+        if r["size"] <= left:
+            held.append((r.doc_id, r.quality, len(held)))
+            left -= r["size"]
+    held = docs.sparkSession.createDataFrame(held, "doc_id bigint, quality int, at int")
+    sample = texts.join(F.broadcast(held), "doc_id").select("at", "text", "quality").repartition(1)
 
     def learn(found) -> QualityModel:
         ordered = sorted(found, key=lambda r: (r["at"], r["text"]))

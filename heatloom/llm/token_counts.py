@@ -1,45 +1,45 @@
 """Token counts by a map-side two-tier lookup.
 
-The first tier is a broadcast hash table from frequent pre-tokens to their number of tokens. A worker encodes a miss with
-the library and keeps it in a bounded cache, the second tier. No pre-token is shuffled: to find the frequent ones, each
-task keeps a bounded summary of all pre-tokens it sees, and only those summaries meet. The tables are caches; no count
-depends on them.
+The first tier is a broadcast hash table from frequent pre-tokens to their number of tokens: the pieces of the vocabulary that are
+pre-tokens by themselves, which are the ones that were frequent when it was made. Its size is bounded by the vocabulary's, and no pass over the data is needed to
+fill it. A worker encodes a miss with the library and keeps it in a bounded cache, the second tier, as long as the worker lives. No pre-token is
+shuffled. Both tables are caches; no count depends on them.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heatloom.llm.common import texts_of
-from heatloom.llm.pretokens import Bounded, pretokenizer
+from heatloom.llm.pretokens import Bounded, PreTokenizer, pretokenizer
 
-SUMMARY, KEPT = 200_000, 4_096
 
+def frequent_lengths(vocabulary: str) -> dict[str, int]:
+    """Tokens of each piece of the vocabulary that the pre-tokenizer leaves whole; at most as many entries as the vocabulary has."""
+    split = pretokenizer(vocabulary)
+    texts = filter(None, map(split.surface, split.library.get_vocab(with_added_tokens=False)))
+    return {t: len(split.ids(t)) for t in texts if len(t) <= 64 and split.pieces(t) == [t]}
 
-def frequent_lengths(docs: DataFrame, vocabulary: str, size: int) -> dict[str, int]:
-    """Tokens of the `size` most frequent pre-tokens (by the tasks' summaries of all texts); at most `size` entries."""
 
-    def summaries(batches):
-        split, seen = pretokenizer(vocabulary), Counter()
-        for batch in batches:
-            for text in texts_of(batch):
-                seen.update(split.pieces(text))
-                if len(seen) > SUMMARY:
-                    seen = Counter(dict(seen.most_common(SUMMARY // 4)))
-        top = [x for x in seen.most_common(KEPT) if len(x[0]) <= 64]
-        if top:
-            yield pa.RecordBatch.from_pydict({"piece": pa.array([p for p, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
-
-    top = docs.select("text").mapInArrow(summaries, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
-    split = pretokenizer(vocabulary)
-    return {r.piece: len(split.ids(r.piece)) for r in top.orderBy(F.desc("n"), "piece").limit(size).collect()}
+class TokenCounter:
+    def __init__(self, split: PreTokenizer, frequent: dict[str, int], cached: int):
+        self.split = split
+        self.look = Bounded(lambda piece: len(split.ids(piece)), frequent, cached).__getitem__
+
+    def count(self, text: str) -> int:
+        split = self.split
+        if not split.plain(text):
+            return len(split.whole(text))
+        parts = split.parts(text)
+        return len(parts) // 2 + sum(sum(map(self.look, split.pieces(p))) for p in parts[::2])
+
+
+_WORKER: dict[tuple, TokenCounter] = {}
 
 
-def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, frequent: int = 16_384, cached: int = 400_000) -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, cached: int = 400_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row of docs (doc_id, text).
 
     Counts are those of the library without added special tokens, truncation or padding. A null or empty text has 0 bytes
@@ -47,21 +47,16 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, frequent: i
     cannot clash; an empty table gives an empty one. Long texts are counted whole. Pre-tokens over 64 characters
     are encoded but not cached.
     """
-    lengths = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, vocabulary, frequent))
+    lengths = docs.sparkSession.sparkContext.broadcast(frequent_lengths(vocabulary))
 
     def count(batches):
-        split = pretokenizer(vocabulary)
-        table = Bounded(lambda piece: len(split.ids(piece)), lengths.value, cached)
-        look = table.__getitem__
+        key = (vocabulary, cached)
+        if key not in _WORKER:
+            _WORKER[key] = TokenCounter(pretokenizer(vocabulary), lengths.value, cached)
+        counter = _WORKER[key]
         for batch in batches:
             texts = texts_of(batch)
-            n = []
-            for text in texts:
-                if split.plain(text):
-                    parts = split.parts(text)
-                    n.append(len(parts) // 2 + sum(sum(map(look, split.pieces(p))) for p in parts[::2]))
-                else:
-                    n.append(len(split.whole(text)))
+            n = [counter.count(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],

@@ -12,6 +12,7 @@ import posixpath
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -121,6 +122,16 @@ class Shard:
         safe = np.where(held, slot, 0)
         return np.where(held, self.first[safe].astype(np.int64), 0), np.where(held, self.count[safe].astype(np.int64), 0)
 
+    def blocks(self, most: int):
+        """(first, last, ids) of neighbouring records, read together up to about `most` ids; a longer record is a block."""
+        self.data = self.data or self.files.open_input_file(self.path)
+        i, n = 0, len(self.offsets) - 1
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(self.offsets, self.offsets[i] + most, "right")) - 1)
+            begin, end = int(self.offsets[i]), int(self.offsets[j])
+            yield i, j, np.frombuffer(self.data.read_at((end - begin) * self.width, begin * self.width), f"<u{self.width}")
+            i = j
+
     def record(self, i: int) -> np.ndarray:
         self.data = self.data or self.files.open_input_file(self.path)
         begin, end = int(self.offsets[i]), int(self.offsets[i + 1])
@@ -131,12 +142,13 @@ class Shard:
         return [self.record(i) for i in range(first, first + count)]
 
 
-def write_store(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1, shard_ids: int = 32_000_000, cached: int = 400_000) -> DataFrame:
+def write_store(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1, shard_ids: int = 32_000_000, shard_docs: int = 4_000_000, cached: int = 400_000) -> DataFrame:
     """Writes the shards and returns one row a shard: path, task, part, first_key, last_key, n_docs, n_ids.
 
     Ids are the library's without added special tokens, then end_id. The shards hold the documents in ascending doc_id
-    order (nulls first, equal ids by text). A task writes each file under names of its own, so a repeated task disturbs no
-    other, and only files that the returned table names count.
+    order (nulls first, equal ids by a hash of the text). A shard closes after `shard_ids` ids or `shard_docs` documents, also between records of one id, and a
+    range of ids is split by that hash, so a frequent id meets neither in a task nor in a file. A task writes each file under names of its own, so a
+    repeated task disturbs no other, and only files that the returned table names count.
     """
     spark = docs.sparkSession
 
@@ -156,7 +168,7 @@ def write_store(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1, sh
             out.close()
             name = posixpath.join(root, f"shard-{task:06d}-{part:04d}-{uuid.uuid4().hex[:8]}.ids")
             all_keys = np.array(keys, "<i8")
-            for end_, data in ((".idx", index_bytes(all_keys, np.cumsum([0, *sizes]), width)), (".keys", all_keys.tobytes())):
+            for end_, data in ((".idx", index_bytes(all_keys, np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))]), width)), (".keys", all_keys.tobytes())):
                 with files.open_output_stream(name + end_) as f:
                     f.write(data)
             files.move(temp, name)
@@ -169,12 +181,12 @@ def write_store(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1, sh
                 else:
                     body = np.array(split.whole(text), kind).tobytes()
                 key = NULL_KEY if key is None else key
-                if out is not None and sum_ids >= shard_ids and key != keys[-1]:
+                if out is not None and (sum_ids >= shard_ids or len(keys) >= shard_docs):
                     yield close()
                     part, out = part + 1, None
                 if out is None:
                     temp = posixpath.join(root, f"_open-{uuid.uuid4().hex}")
-                    out, keys, sizes, sum_ids = files.open_output_stream(temp), [], [], 0
+                    out, keys, sizes, sum_ids = files.open_output_stream(temp), array("q"), array("q"), 0
                 out.write(body + end)
                 keys.append(key)
                 sizes.append(len(body) // width + 1)
@@ -184,14 +196,14 @@ def write_store(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1, sh
 
     files, root = fs.FileSystem.from_uri(path)
     files.create_dir(root, recursive=True)
-    rows = docs.select(F.col("doc_id").cast("bigint"), "text")
-    ordered = rows.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("bigint"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("k2"))
+    ordered = rows.repartitionByRange(shuffle_partitions(spark), "doc_id", "k2").sortWithinPartitions("doc_id", "k2").drop("k2")
     shards = ordered.mapInArrow(encode, "path string, task int, part int, first_key bigint, last_key bigint, n_docs bigint, n_ids bigint")
     return stored(shards, "token-shards")
 
 
-def read_store(shards: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every record, read back from the shard files, each found through its index.
+def read_store(shards: DataFrame, block_ids: int = 4_000_000) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every record, read back from the shard files in blocks of about `block_ids` ids and cut by the index.
 
     start counts the ids of all records before it in the whole store.
     """
@@ -203,19 +215,25 @@ def read_store(shards: DataFrame) -> DataFrame:
             for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist(), strict=True):
                 shard = Shard(path)
                 keys = shard.keys()
-                firsts, counts = shard.spans(np.unique(keys))
-                for k in range(0, len(firsts), 20_000):
-                    records = [i for f, c in zip(firsts[k : k + 20_000].tolist(), counts[k : k + 20_000].tolist(), strict=True) for i in range(f, f + c)]
-                    ids = [shard.record(i) for i in records]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([None if x == NULL_KEY else x for x in keys[records].tolist()], pa.int64()),
-                            pa.array(base + shard.offsets[records], pa.int64()),
-                            pa.array([len(x) for x in ids], pa.int64()),
-                            pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
-                        ],
-                        ["doc_id", "start", "n_tokens", "ids_crc32"],
-                    )
+                distinct = np.unique(keys)
+                firsts, counts = shard.spans(distinct)
+                # what the index says of each key, held against the keys' file: each record is found under its key
+                if not (np.repeat(distinct, counts) == keys[np.repeat(firsts - np.cumsum(counts) + counts, counts) + np.arange(len(keys))]).all():
+                    raise ValueError(f"{path}: the index doesn't fit the records")
+                for i, j, ids in shard.blocks(block_ids):
+                    at = shard.offsets[i : j + 1]
+                    for a in range(i, j, 20_000):
+                        own = range(a, min(j, a + 20_000))
+                        crcs = [zlib.crc32(ids[x - at[0] : y - at[0]].astype("<u4").tobytes()) for x, y in zip(shard.offsets[own.start : own.stop].tolist(), shard.offsets[own.start + 1 : own.stop + 1].tolist(), strict=True)]
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array([None if x == NULL_KEY else x for x in keys[own.start : own.stop].tolist()], pa.int64()),
+                                pa.array(base + shard.offsets[own.start : own.stop], pa.int64()),
+                                pa.array(np.diff(shard.offsets[own.start : own.stop + 1]), pa.int64()),
+                                pa.array(crcs, pa.int64()),
+                            ],
+                            ["doc_id", "start", "n_tokens", "ids_crc32"],
+                        )
 
     spread = based.select("path", "base").repartition(shuffle_partitions(shards.sparkSession), "path")
     return spread.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
@@ -244,7 +262,7 @@ def token_store(docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
 
     A null or empty text has the end id alone. A null doc_id comes first and reads back as null (the smallest long is
     taken for it, so that id must not occur). Rows with the same doc_id are records of one key, next to each other, by
-    text. Other columns are ignored, so their names cannot clash. An empty table gives an empty one. Texts of any
+    a hash of the text. Other columns are ignored, so their names cannot clash. An empty table gives an empty one. Texts of any
     length are written whole.
     """
     return read_store(write_store(docs, vocabulary, fresh_path(docs.sparkSession, "token-store"), end_id))

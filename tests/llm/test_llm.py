@@ -85,7 +85,7 @@ def test_token_counts(spark, docs, empty):
 def test_token_counts_do_not_depend_on_caches(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     a = rows_of(token_counts.token_counts(real(spark), path))
-    b = rows_of(token_counts.token_counts(real(spark), path, frequent=1, cached=3))
+    b = rows_of(token_counts.token_counts(real(spark), path, cached=3))
     pd.testing.assert_frame_equal(a, b)
 
 
@@ -117,6 +117,23 @@ def test_token_store_lookup(spark, tmp_path):
         assert list(ids) == library.encode(texts[key], add_special_tokens=False).ids + [1]
 
 
+def test_token_store_splits_repeated_ids(spark, tmp_path):
+    """Records of one id, and null ids, in several shards and in small blocks; empty texts among them."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    rows = [(7 if i % 3 else None, prose(i % 40)) for i in range(300)] + [(8, None), (8, ""), (9, "x")]
+    shards = token_store.write_store(spark.createDataFrame(rows, "doc_id bigint, text string"), path, str(tmp_path), shard_ids=500, shard_docs=20)
+    assert shards.where("first_key = 7 and last_key = 7").count() > 4 and shards.agg({"n_docs": "max"}).first()[0] <= 20
+    got = token_store.read_store(shards, block_ids=50).toPandas().sort_values("start")
+    assert got.doc_id.fillna(-1).tolist() == sorted(-1 if i is None else i for i, _ in rows)
+    assert got.start.tolist() == [0, *np.cumsum(got.n_tokens)[:-1]]
+    ids = lambda t: library.encode(t or "", add_special_tokens=False).ids + [1]
+    want = collections.Counter((i or -1, len(ids(t)), zlib.crc32(np.array(ids(t), "<u4").tobytes())) for i, t in rows)
+    assert collections.Counter(zip(got.doc_id.fillna(-1).astype(int), got.n_tokens, got.ids_crc32, strict=True)) == want
+    found = token_store.lookup(shards, spark.createDataFrame([(7,), (8,)], "key bigint")).toPandas()
+    assert collections.Counter((k, tuple(x)) for k, x in zip(found.key, found.ids, strict=True)) == collections.Counter((i, tuple(ids(t))) for i, t in rows if i in (7, 8))
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(-(2**62), 2**62, 20_000))
     table = token_store.PerfectHash.build(keys)
@@ -282,8 +299,8 @@ def test_contamination(spark, docs, empty):
     items = [(1, " ".join(pieces[5:30])), (2, " ".join(pieces[5:30])), (10, " ".join(pieces[40:44])), (3, None), (4, "!!"), (None, " ".join(pieces[90:104])), (5, "x " * 12), (6, "漢字 🙂"), (7, pieces[3].upper())]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     columns = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    for small in (10**6, 0):
-        got = decontaminate.contamination(docs, bench, small=small).toPandas()
+    for small, places in ((10**8, decontaminate.PLACE), (0, decontaminate.PLACE), (10**8, 15)):
+        got = decontaminate.contamination(docs, bench, small=small, places=places).toPandas()
         want = docs.toPandas()
         expected = collections.Counter((None if pd.isna(i) else int(i), *r) for i, r in zip(want.doc_id, brute_contamination(want.text, items), strict=True))
         assert collections.Counter((None if pd.isna(i) else int(i), *r) for i, *r in got[["doc_id", *columns]].itertuples(index=False)) == expected
@@ -295,6 +312,18 @@ def test_contamination(spark, docs, empty):
     assert clean.count() == sum(not r[4] for r in brute_contamination(docs.toPandas().text, items))
 
 
+@pytest.mark.parametrize("places", [15, 31])
+def test_contamination_of_long_texts(spark, places):
+    """Places start again many times inside a text; repeated words tie."""
+    rnd = random.Random(31)
+    few = ["aa", "bb", "cc"]
+    items = [(i, " ".join(rnd.choice(few) for _ in range(rnd.randint(1, 30)))) for i in range(12)] + [(20, "aa " * 14), (21, "zz yy xx " * 6)]
+    texts = [" ".join(rnd.choice(few) for _ in range(600)), "aa " * 300, prose(2_000) + " zz yy xx zz yy xx zz yy xx zz " + prose(50), " ".join(["q"] * 500)]
+    tables = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = rows_of(decontaminate.contamination(*tables, places=places))
+    assert [tuple(r) for r in got.drop(columns="doc_id").itertuples(index=False)] == brute_contamination(texts, items)
+
+
 def brute_lines(rows, min_words):
     """Removed line numbers by all pairs of places; rows in document order."""
     out = []
@@ -440,6 +469,22 @@ def test_quality(spark, docs, empty):
     assert quality.quality_scores(empty, tables[1]).count() == 0
 
 
+def test_quality_sample(spark):
+    """A long first text doesn't use up the sample; repeated, null and odd labels don't break it."""
+    rnd = random.Random(17)
+    rows = [(i, ("good words here " if i % 2 else "bad junk there ") * rnd.randint(5, 20) + prose(5, rnd)) for i in range(400)]
+    order = spark.createDataFrame(rows, "doc_id bigint, text string").where(~quality.held_out(quality.F.col("doc_id"))).orderBy(quality.F.xxhash64("doc_id"))
+    first = order.first().doc_id
+    rows = [(i, t * 2_000 if i == first else t) for i, t in rows]
+    labels = [(i, i % 2) for i in range(400)] + [(3, 1), (3, None), (None, 1), (5, 7)]
+    tables = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int")
+    model = quality.fitted(*tables, rows=300, chars=60_000)
+    scores = model.scores([t for _, t in rows])
+    assert model.constant is None and np.mean((scores >= 0.5) == np.array([i % 2 == 1 for i, _ in rows])) > 0.98
+    assert quality.fitted(*tables, rows=300, chars=10).constant == 0.5
+    assert quality.shape("aB" * 250) == "xX" * 250 and quality.shape("a" * 500 + "9-9") == "x9-9"
+
+
 def test_near_copies(spark, docs, empty):
     kept = simhash.first_of_near_copies(docs)
     assert kept.columns == docs.columns
