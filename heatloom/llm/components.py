@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heatloom.llm.common import stored
+from heatloom.llm.common import drop, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,8 +25,11 @@ def components(links: DataFrame) -> DataFrame:
         large = stored(large, "links")
         low = stored(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stored(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "links")
+        before, edges = edges, stored(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "links")
+        drop(before, least, large, low)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            roots.stored_at = edges.stored_at
+            return roots
         state = now

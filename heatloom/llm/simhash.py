@@ -3,12 +3,13 @@
 A fingerprint is cut into segments of two bits; the numbers of set bits of its segments are its point. The Manhattan distance of two points is at
 most the number of differing bits. The segments form groups; if the distance is at most r, at most r groups differ, so two
 points share a grid cell (the counts of all groups but r) for some choice of groups. Cells are joined, the Manhattan
-distance is the first bound and the differing bits the exact test.
+distance is the first bound and the differing bits the exact test. More groups make finer grids, but more of them; the number of fingerprints decides.
 """
 
 from __future__ import annotations
 
 from itertools import combinations, repeat
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heatloom.llm.common import keyed, stored, texts_of, unkeyed
+from heatloom.llm.common import drop, keyed, stored, texts_of, unkeyed
 from heatloom.llm.components import components
 
 ODD = 0x5555555555555555  # the lower bit of every segment
@@ -76,6 +77,12 @@ def grid_masks(radius: int, groups: int) -> list[int]:
     return [signed(sum(chosen)) for chosen in combinations(members, groups - radius)]
 
 
+def groups_for(n: int, radius: int) -> int:
+    """The number of groups with the least work for n points: a row a grid and point, and the pairs that random points form (a count has 1.5 bits)."""
+    cost = {g: comb(g, radius) * (n + n * n / 2 / 2 ** (1.5 * 32 * (g - radius) / g)) for g in range(radius + 1, 17)}
+    return min(cost, key=cost.get)
+
+
 def forest(fps: np.ndarray, radius: int) -> np.ndarray:
     """Label of each fingerprint: the smallest one it reaches over links inside the array."""
     bits = fps.view(np.uint64)  # of a negative number, numpy would count the bits of its absolute value
@@ -90,29 +97,24 @@ def forest(fps: np.ndarray, radius: int) -> np.ndarray:
         label = new
 
 
-def fingerprint_links(nodes: DataFrame, radius: int = 3, groups: int = 6, block: int = 512) -> DataFrame:
+def fingerprint_links(nodes: DataFrame, radius: int = 3, groups: int | None = None, block: int = 512) -> DataFrame:
     """a, b: links that connect all of nodes (distinct fp) within `radius` differing bits, directly or through others.
 
     A cell of up to `block` points is joined with itself. A larger one is split into blocks by hash; each pair of blocks is a
     task's group of at most about twice `block` points, and returns a forest, not its pairs. No link is lost and no cell meets
-    in one task.
+    in one task. Neither `groups` nor `block` changes what is connected.
     """
-    masks = grid_masks(radius, groups)
+    masks = grid_masks(radius, groups or groups_for(nodes.count(), radius))
     points = nodes.select("fp", counts_of(F.col("fp")).alias("c"))
-    cells = points.select("fp", F.posexplode(F.array(*[F.col("c").bitwiseAND(F.lit(m)) for m in masks])).alias("grid", "cell"))
-    sizes = stored(cells.groupBy("grid", "cell").agg(F.count("*").alias("n")).where("n > 1"), "simhash-sizes")
-    full = stored(cells.join(sizes, ["grid", "cell"]), "simhash-cells")
-    few = full.where(F.col("n") <= block).select("grid", "cell", "fp")
+    # a cell is named by a hash of its grid and counts: the test of the bits is exact, so cells that share a name only cost time
+    cells = points.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(g), F.col("c").bitwiseAND(F.lit(m))) for g, m in enumerate(masks)])).alias("cell"))
+    sizes = stored(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "simhash-sizes")
+    full = stored(cells.join(sizes, "cell"), "simhash-cells")
+    few = full.where(F.col("n") <= block).select("cell", "fp")
     x, y = F.col("x.fp"), F.col("y.fp")
-    pairs = few.alias("x").join(
-        few.alias("y"),
-        (F.col("x.grid") == F.col("y.grid")) & (F.col("x.cell") == F.col("y.cell")) & (x < y) & (apart(counts_of(x), counts_of(y)) <= radius) & (F.bit_count(x.bitwiseXOR(y)) <= radius),
-    )
+    pairs = few.alias("x").join(few.alias("y"), (F.col("x.cell") == F.col("y.cell")) & (x < y) & (apart(counts_of(x), counts_of(y)) <= radius) & (F.bit_count(x.bitwiseXOR(y)) <= radius))
     found = pairs.select(x.alias("a"), y.alias("b"))
-    many = full.where(F.col("n") > block).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    many = many.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    dealt = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("grid", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
+    dealt = blocks_of(full.where(F.col("n") > block), "fp", block)
 
     def link(group: pd.DataFrame) -> pd.DataFrame:
         fps = group.fp.to_numpy()
@@ -120,7 +122,17 @@ def fingerprint_links(nodes: DataFrame, radius: int = 3, groups: int = 6, block:
         off = label != np.arange(len(fps))
         return pd.DataFrame({"a": fps[off], "b": fps[label[off]]})
 
-    return found.union(dealt.groupBy("grid", "cell", "i", "j").applyInPandas(link, "a bigint, b bigint"))
+    links = stored(found.union(dealt.groupBy("cell", "i", "j").applyInPandas(link, "a bigint, b bigint")), "simhash-links")
+    drop(sizes, full)
+    return links
+
+
+def blocks_of(cells: DataFrame, member: str, block: int) -> DataFrame:
+    """cells (cell, member, n: members of the cell) dealt to pairs (i, j) of blocks of about `block` members, chosen by hash: any two members of a cell meet in one."""
+    many = cells.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    own = many.withColumn("own", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("n", "blocks", "own", "other")
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
@@ -133,19 +145,24 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
     """
     table = stored(fingerprint_table(docs, k), "fingerprints")
     nodes = stored(table.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-nodes")
-    roots = components(fingerprint_links(nodes.select("fp"), radius))
+    links = fingerprint_links(nodes.select("fp"), radius)
+    roots = components(links)
     labelled = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = labelled.join(least, "root").select("fp", "component_id")
+    classes = stored(labelled.join(least, "root").select("fp", "component_id"), "fingerprint-classes")
+    drop(links, roots, nodes)
     return table.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# Near copies by exact similarity: prefixes of shingle sets find candidates, the whole sets decide.
+# Near copies by exact similarity. Candidates share a shingle of their prefixes; the numbers of shingles by segment of their hashes bound how far two sets can
+# be apart (their Manhattan distance is at most the number of shingles that only one of them has); the whole sets decide.
 
 #: Shingles that are counted in one text of SAMPLE are frequent; at most LISTED, the most frequent ones, come last in the order of shingles.
 SAMPLE, LISTED = 16, 100_000
 #: A cell of up to this many nodes gives its pairs to a join; a larger one is compared in blocks of BLOCK nodes.
 FEW, BLOCK = 12, 512
+#: Segments of hashes: about one for SHARE shingles, a power of two; sets of different sizes are compared by the lesser number.
+SHARE, LEAST_SEGMENTS, MOST_SEGMENTS = 4, 64, 4_096
 
 
 def gram_set(words: list[bytes], k: int) -> np.ndarray:
@@ -161,6 +178,37 @@ def gram_set(words: list[bytes], k: int) -> np.ndarray:
     return np.unique(mixed ^ (mixed >> np.uint64(32)))
 
 
+def segment_counts(grams: np.ndarray) -> np.ndarray:
+    """The number of shingles in each segment of the hashes (by their leading bits)."""
+    bits = min(max(int(len(grams) // SHARE).bit_length(), LEAST_SEGMENTS.bit_length() - 1), MOST_SEGMENTS.bit_length() - 1)
+    found = np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(found, 65_535).astype("<u2")  # what is cut off makes distances smaller, so they stay a bound
+
+
+def folded(counts: np.ndarray, segments: int) -> np.ndarray:
+    """Counts of fewer, larger segments."""
+    return counts.astype(np.int64).reshape(segments, -1).sum(1)
+
+
+def may_be_similar(x: bytes, y: bytes, size_x: int, size_y: int, similarity: float) -> bool:
+    """False if the Manhattan distance shows that two sets are further apart than `similarity` allows."""
+    a, b = np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")
+    n = min(len(a), len(b))
+    return np.abs(folded(a, n) - folded(b, n)).sum() <= (size_x + size_y) * (1 - similarity) / (1 + similarity) + 1e-6
+
+
+def near_somebody(counts: list[bytes], sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """True for each set for which the Manhattan distance doesn't rule out a similar one in the list."""
+    table = np.array([folded(np.frombuffer(c, "<u2"), LEAST_SEGMENTS) for c in counts], np.float32)
+    near = np.zeros(len(counts), bool)
+    for k in range(0, len(counts), 32):
+        apart_by = np.abs(table[k : k + 32, None, :] - table[None, :, :]).sum(2)
+        close = apart_by <= (sizes[k : k + 32, None] + sizes[None, :]) * (1 - similarity) / (1 + similarity) + 1e-3
+        close[np.arange(len(close)), np.arange(k, k + len(close))] = False
+        near[k : k + 32] = close.any(1)
+    return near
+
+
 def frequent_grams(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (sorted) and counts of at most LISTED shingles that are frequent in a sample of docs (k2, text). They order shingles, no more."""
 
@@ -178,6 +226,7 @@ def frequent_grams(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
             break
         least = n
     found = sorted((r.gram & (2**64 - 1), r.n) for r in counts.where(F.col("n") >= least).collect()) if least else []
+    drop(counts)
     return np.array([g for g, _ in found], np.uint64), np.array([n for _, n in found], np.int64)
 
 
@@ -193,22 +242,22 @@ def gram_prefix(grams: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], simi
 
 
 def prefix_table(docs: DataFrame, k: int, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """k1, k2, node (hash of the text's words), size (distinct shingles), prefix of every row of docs (k1, k2, text)."""
+    """k1, k2, node (hash of the text's words), size (distinct shingles), prefix, counts (of segments) of every row of docs (k1, k2, text)."""
 
     def run(batches):
         for batch in batches:
-            nodes, sizes, prefixes = [], [], []
+            nodes, sizes, prefixes, counts = [], [], [], []
             for text in texts_of(batch):
                 words = text.encode().lower().split()
                 grams = gram_set(words, k)
                 nodes.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
                 sizes.append(len(grams))
                 prefixes.append(gram_prefix(grams, frequent, similarity).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("k1"), batch.column("k2"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], ["k1", "k2", "node", "size", "prefix"]
-            )
+                counts.append(segment_counts(grams).tobytes())
+            arrays = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(counts, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), *arrays], ["k1", "k2", "node", "size", "prefix", "counts"])
 
-    return docs.mapInArrow(run, "k1 bigint, k2 bigint, node bigint, size int, prefix array<bigint>")
+    return docs.mapInArrow(run, "k1 bigint, k2 bigint, node bigint, size int, prefix array<bigint>, counts binary")
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -250,50 +299,79 @@ def similar_forest(grams: list[np.ndarray], similarity: float) -> np.ndarray:
         label = new
 
 
+def possible_pairs(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that the Manhattan distance of their segment counts doesn't rule out. nodes: node, size, counts."""
+    both = pairs
+    for end in "ab":
+        both = both.join(nodes.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col("counts").alias(f"counts_{end}")), end)
+
+    def run(batches):
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("counts_a", "counts_b", "size_a", "size_b")]
+            keep = [may_be_similar(*row, similarity) for row in zip(*columns, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "size_a", "size_b", "counts_a", "counts_b").mapInArrow(run, "a bigint, b bigint")
+
+
 def first_of_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near copies: the smallest doc_id (null first), by text where ids repeat.
 
     Texts with the same lower-cased words are one node. Nodes whose sets of k-word shingles (the whole text, if shorter) have a Jaccard similarity of at least
     `similarity` are linked, and groups are connected components. Candidates are nodes that share a shingle of their prefixes: with one order of all
     shingles, two similar sets always do, so no pair is lost. The order puts frequent shingles last, which keeps cells small. Cells with
-    the same nodes count once, and large ones with the same smallest node are one. Pairs of small cells are joined with their shingle sets. A large cell is split into blocks by hash; each pair
+    the same nodes count once, and large ones with the same smallest node are one. Pairs of small cells, and nodes of large ones, go on if the Manhattan
+    distance of segment counts leaves them similar. Then shingle sets are made and compared. A large cell is split into blocks by hash; each pair
     of blocks compares all its nodes with one another and returns a forest, not its pairs, so that no cell meets in one task. Null and empty texts are one node.
     Columns of any name pass unchanged. An empty table gives an empty one; long texts are read whole.
     """
     rows = keyed(docs)
-    keyed_texts = rows.select("k1", "k2", "text")
-    table = prefix_table(keyed_texts, k, similarity, frequent_grams(keyed_texts, k))
-    nodes = stored(table.groupBy("node").agg(F.min(F.struct("k1", "k2", "size", "prefix")).alias("first")), "prefix-nodes")
-    cells = nodes.select("node", F.explode("first.prefix").alias("cell"))
+    texts = rows.select("k1", "k2", "text")
+    table = prefix_table(texts, k, similarity, frequent_grams(texts, k))
+    nodes = stored(table.groupBy("node").agg(F.min(F.struct("k1", "k2", "size", "prefix", "counts")).alias("first")).select("node", "first.*"), "prefix-nodes")
+    cells = nodes.select("node", F.explode("prefix").alias("cell"))
     sizes = stored(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "prefix-sizes")
     met = stored(cells.join(sizes, "cell"), "prefix-cells")
     members = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"members{i}") for i in (0, 1)]
     different = met.groupBy("cell", "n").agg(*members, F.min("node").alias("leader")).groupBy("n", "members0", "members1", "leader").agg(F.min("cell").alias("cell"))
-    full = stored(met.join(stored(different.select("cell", "leader"), "prefix-different"), "cell").join(nodes.select("node", "first.size"), "node"), "prefix-full")
-    few = full.where(F.col("n") <= FEW)
+    different = stored(different.select("cell", "leader"), "prefix-different")
+    few = met.where(F.col("n") <= FEW).join(different.select("cell"), "cell").join(nodes.select("node", "size"), "node")
+    few = stored(few.select("cell", "node", "size"), "prefix-few")
     x, y = few.alias("x"), few.alias("y")
     close = F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size") - 1e-6
     both = x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.node") < F.col("y.node")) & close)
-    pairs = stored(both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "near-pairs")
-    led = stored(full.where(F.col("n") > FEW).select(F.col("leader").alias("cell"), "node").distinct(), "prefix-led")
-    many = led.join(stored(led.groupBy("cell").agg(F.count("*").alias("n")), "prefix-leaders"), "cell").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    pairs = both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    pairs = stored(possible_pairs(pairs, nodes, similarity), "near-pairs")
+    led = stored(met.where(F.col("n") > FEW).join(different, "cell").select(F.col("leader").alias("cell"), "node").distinct(), "prefix-led")
+    drop(sizes, met, different, few)
+
+    def possible(group: pd.DataFrame) -> pd.DataFrame:
+        return group.loc[near_somebody(group.counts.to_list(), group["size"].to_numpy(), similarity), ["cell", "node"]]
+
+    leaders = stored(led.groupBy("cell").agg(F.count("*").alias("n")), "prefix-leaders")
+    counted = led.join(leaders, "cell").join(nodes.select("node", "size", "counts"), "node")
+    many = blocks_of(counted, "node", BLOCK).groupBy("cell", "i", "j").applyInPandas(possible, "cell bigint, node bigint")
+    many = stored(many.distinct(), "prefix-many")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(many.select("node")).distinct()
-    chosen = stored(wanted.join(nodes, "node").select("first.k1", "first.k2", "node"), "near-nodes")
-    texts = keyed_texts.join(chosen, ["k1", "k2"]).select("node", "text")
-    sets = stored(shingle_sets(texts, k).dropDuplicates(["node"]), "shingle-sets")
+    chosen = stored(wanted.join(nodes, "node").select("k1", "k2", "node"), "near-nodes")
+    sets = stored(shingle_sets(texts.join(chosen, ["k1", "k2"]).select("node", "text"), k).dropDuplicates(["node"]), "shingle-sets")
+    drop(led, leaders, chosen)
     both = pairs.join(sets.withColumnsRenamed({"node": "a", "grams": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "grams": "y"}), "b")
     common = F.size(F.array_intersect("x", "y"))
     links = both.where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-6).select("a", "b")
-    own = many.join(sets, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = own.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "grams")
+    left = stored(many.groupBy("cell").agg(F.count("*").alias("n")), "prefix-left")
+    dealt = blocks_of(many.join(left, "cell").join(sets, "node"), "node", BLOCK)
 
     def link(group: pd.DataFrame) -> pd.DataFrame:
         label = similar_forest(group.grams.to_list(), similarity)
         off, ids = label != np.arange(len(label)), group.node.to_numpy()
         return pd.DataFrame({"a": ids[off], "b": ids[label[off]]})
 
-    forest_links = dealt.groupBy("cell", "i", "j").applyInPandas(link, "a bigint, b bigint")
-    roots = components(links.union(forest_links))
-    grouped = nodes.select("node", F.struct("first.k1", "first.k2").alias("first")).join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
-    return unkeyed(rows.join(grouped.select("first.*"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]), docs.columns)
+    links = stored(links.union(dealt.groupBy("cell", "i", "j").applyInPandas(link, "a bigint, b bigint")), "near-links")
+    drop(pairs, many, left, sets)
+    roots = components(links)
+    drop(links)
+    grouped = nodes.select("node", F.struct("k1", "k2").alias("first")).join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    kept = stored(grouped.select("first.*"), "near-kept")
+    drop(nodes, roots)
+    return unkeyed(rows.join(kept, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]), docs.columns)
