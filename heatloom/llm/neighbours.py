@@ -1,13 +1,15 @@
 """Approximate nearest neighbours by cosine with an inverted multi-index.
 
-Unit vectors are cut in halves; each half has its own centroids. A row's cell is its pair of centroids. A query walks over the pairs by
-summed distance, with a heap, until the cells it has seen hold the wanted share of all rows; the rows of these cells are then
-ranked by the exact measure on the original vectors.
+Unit vectors are cut in halves; each half has its own centroids, whose number grows with the root of the table. A row's cell is its pair of
+centroids. A query walks over the pairs by summed distance, with a heap, until the cells it has seen hold the wanted number of rows; the rows of these
+cells are then ranked by the exact measure on the original vectors. The wanted number is measured: for some queries the true neighbours are found by brute
+force, and the walk is made as long as it takes to meet the wanted share of them. So clustered vectors are searched in a few cells, and vectors without structure in many.
 """
 
 from __future__ import annotations
 
 import heapq
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -15,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heatloom.llm.common import stored, trained
+from heatloom.llm.common import drop, stored, trained
 
-#: Rows that the centroids are fitted on, at most (by hash of their ids); all rows are indexed.
-FIT_ROWS = 20_000
+#: Rows that the centroids are fitted on, at most (by hash of their ids); all rows are indexed. Queries that the length of the walk is measured on, at most (by hash).
+FIT_ROWS, MEASURED = 20_000, 256
+#: Centroids of a half: a quarter of the root of the number of rows, between these. The table of cells goes to all tasks, and has at most the square of the latter.
+LEAST_CENTROIDS, MOST_CENTROIDS = 8, 1_024
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -118,41 +122,108 @@ def best(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.concat(out)
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, centroids: int = 32, share: float = 0.55, block: int = 4_096) -> DataFrame:
+@dataclass
+class Index:
+    """cells: vec_id, embedding, c1, c2 of all rows; books: the centroids of the halves; held: rows of each cell."""
+
+    cells: DataFrame
+    books: list[np.ndarray]
+    held: np.ndarray
+
+    def distances(self, x: np.ndarray) -> list[np.ndarray]:
+        return [distances(h, b) for h, b in zip(halves(unit(x)), self.books, strict=True)]
+
+
+def build_index(rows: DataFrame, centroids: int | None = None) -> Index | None:
+    """The index of rows (vec_id, embedding: usable vectors); none of no rows."""
+    count = rows.count()
+    wanted = centroids or min(MOST_CENTROIDS, max(LEAST_CENTROIDS, round(count**0.5 / 4)))
+    books = trained(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS), lambda found: fit(found, wanted))
+    if not books:
+        return None
+
+    def assign(batches):
+        for batch in batches:
+            c = [distances(h, b).argmin(1).astype(np.int32) for h, b in zip(halves(unit(matrix(batch.column("embedding")))), books, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, c)], ["vec_id", "embedding", "c1", "c2"])
+
+    cells = stored(rows.mapInArrow(assign, "vec_id bigint, embedding array<double>, c1 int, c2 int"), "vector-cells")
+    held = np.zeros((len(books[0]), len(books[1])), np.int64)
+    for r in cells.groupBy("c1", "c2").count().collect():  # a row a cell
+        held[r.c1, r.c2] = r["count"]
+    return Index(cells, books, held)
+
+
+def rows_to_visit(index: Index, queries: DataFrame, k: int, recall: float) -> int:
+    """Rows that a walk must meet so that `recall` of the true k neighbours of a sample of queries (qid, embedding) are among them."""
+    total = int(index.held.sum())
+    sample = queries.orderBy(F.xxhash64("qid"), "qid").limit(MEASURED).collect()
+    if recall >= 1 or not sample:
+        return total
+    qid, q = np.array([r.qid for r in sample]), np.array([r.embedding for r in sample])
+    uq = unit(q)
+
+    def true_neighbours(batches):
+        best_of: list[tuple] = []
+
+        def kept() -> list[tuple]:
+            score, n, ids, c1, c2 = (np.concatenate(x) for x in zip(*best_of, strict=True))
+            order = np.lexsort((ids, -score, n))
+            place = np.arange(len(order)) - np.searchsorted(n[order], n[order])
+            return [tuple(x[order[place <= k]] for x in (score, n, ids, c1, c2))]
+
+        for batch in batches:
+            ids, c1, c2 = (batch.column(c).to_numpy() for c in ("vec_id", "c1", "c2"))
+            x = unit(matrix(batch.column("embedding")))
+            for a in range(0, len(x), 2_000):
+                score = uq @ x[a : a + 2_000].T
+                top = np.argsort(-score, axis=1, kind="stable")[:, : k + 1]
+                n, at = np.repeat(np.arange(len(score)), top.shape[1]), top.ravel()
+                best_of.append((score[n, at], n, ids[a + at], c1[a + at], c2[a + at]))
+            best_of[:] = kept()
+        for score, n, ids, c1, c2 in best_of:
+            yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(ids), pa.array(score), pa.array(c1), pa.array(c2)], ["n", "vec_id", "score", "c1", "c2"])
+
+    found = index.cells.mapInArrow(true_neighbours, "n bigint, vec_id bigint, score double, c1 int, c2 int")
+    top = found.withColumn("place", F.row_number().over(Window.partitionBy("n").orderBy(F.desc("score"), "vec_id"))).where(F.col("place") <= k + 1)
+    d1, d2 = index.distances(q)
+    need, taken = [], dict.fromkeys(range(len(sample)), 0)
+    for r in sorted(top.collect(), key=lambda r: (r.n, r.place)):  # at most MEASURED times k + 1 rows
+        if r.vec_id != qid[r.n] and taken[r.n] < k:
+            taken[r.n] += 1
+            sums = d1[r.n][:, None] + d2[r.n][None, :]
+            need.append(int(index.held[sums <= sums[r.c1, r.c2]].sum()))
+    return int(np.quantile(need, recall, method="higher")) if need else total
+
+
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = 0.95, centroids: int | None = None, block: int = 4_096) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest other rows found for each row of vectors (vec_id, embedding) whose id is divisible by `every`.
 
     Rows with a null id, a null or zero vector, null or non-finite components or another length than most take no part. Rows with a repeated vec_id are
     one's own and never each other's neighbours. Of equal vectors the k + 1 smallest ids are kept in the index: others can be in no answer. Equal queries are searched once. Rows
     and queries of a centroid are dealt in blocks, so no cell meets in one task. Ties go to the smaller id. An empty table gives an empty one; other columns
-    are ignored, so their names cannot clash.
+    are ignored, so their names cannot clash. `recall` is the share of true neighbours that walks are measured for; 1 visits all cells.
     """
     rows = stored(usable(vectors), "vectors")
     same = Window.partitionBy(F.xxhash64("embedding"), "embedding").orderBy("vec_id")
-    index = stored(rows.distinct().withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).drop("n"), "vectors-distinct")
-    books = trained(index.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS), lambda found: fit(found, centroids))
+    distinct_rows = stored(rows.distinct().withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).drop("n"), "vectors-distinct")
     queries = rows.where(F.col("vec_id") % every == 0).distinct()
     distinct = queries.groupBy("embedding").agg(F.min("vec_id").alias("qid"))
-    if not books:
+    index = build_index(distinct_rows, centroids)
+    if index is None:
         return queries.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).where("false")
-
-    def assign(batches):
-        for batch in batches:
-            c = [distances(h, b).argmin(1).astype(np.int32) for h, b in zip(halves(unit(matrix(batch.column("embedding")))), books, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, c)], ["vec_id", "embedding", "c1", "c2"])
-
-    cells = stored(index.mapInArrow(assign, "vec_id bigint, embedding array<double>, c1 int, c2 int"), "vector-cells")
-    held = np.zeros((len(books[0]), len(books[1])), np.int64)
-    for r in cells.groupBy("c1", "c2").count().collect():  # a row a cell: at most centroids squared
-        held[r.c1, r.c2] = r["count"]
-    wanted = max(share * held.sum(), 20 * k)
+    drop(distinct_rows)
+    cells, held = index.cells, index.held
+    wanted = max(rows_to_visit(index, distinct, k, recall), 20 * k)
+    bounds = Index(None, index.books, held)  # what tasks need
 
     def probe(batches):
         for batch in batches:
-            d = [distances(h, b) for h, b in zip(halves(unit(matrix(batch.column("embedding")))), books, strict=True)]
+            d = bounds.distances(matrix(batch.column("embedding")))
             out: list[tuple[int, int, list[int]]] = []
             for n in range(batch.num_rows):
                 found: dict[int, list[int]] = {}
-                for i, j in walk(d[0][n], d[1][n], held, wanted):
+                for i, j in walk(d[0][n], d[1][n], bounds.held, wanted):
                     found.setdefault(i, []).append(j)
                 out += [(n, i, js) for i, js in found.items()]
             at = pa.array([n for n, _, _ in out], pa.int64())

@@ -1,10 +1,10 @@
 """Personal data: exact patterns, and a character-level bidirectional LSTM with CRF that adds spans the patterns miss.
 
-The tagger is trained from labelled spans: those that the patterns find in the documents, some of them rewritten (a phone number
-without its plus sign, a card number after another number), with all tags moved along. It reads overlapping windows around
-digits and @ (no kind has neither), and the windows' spans are reconciled over the whole text: a span that
-touches an inner edge of its window is left to the next window, the surest of overlapping spans wins, and a
-span must pass its kind's test and touch no span of the patterns.
+The tagger is trained from labelled spans of the documents: those that the patterns find, and secrets (keys, tokens, passwords) where a text names them as such. Some
+are rewritten (a phone number without its plus sign, a card number after another number, a secret with another name before it or none, all in
+capitals), with all tags moved along. The tagger reads overlapping windows around digits and @; no valid span of any kind is without one, so the
+rest of a text can hold none. The windows' spans are reconciled over the whole text: a span that touches an inner edge of its window is left
+to the next window, the surest of overlapping spans wins, and a span must pass its kind's test and touch no span of the patterns.
 """
 
 from __future__ import annotations
@@ -14,13 +14,16 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heatloom.llm.char_tagger import CharTagger, codes
 from heatloom.llm.common import texts_of, trained
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds of the tagger: those of the patterns, and secrets.
+TAGGED = (*KINDS, "secret")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A match can only begin where a run of digits does, so looking back changes nothing but the time for long runs.
@@ -29,11 +32,16 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 CUE = re.compile(r"[0-9@]")
 DIGIT = re.compile(r"[0-9]")
+SECRET = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+SECRET_END = re.compile(r"[A-Za-z0-9+/_-]")
+#: Where a text names a secret as such: a label for training.
+NAMED = re.compile(r"""(?:token|secret|password|api_?key) ?[=:] ?["']([A-Za-z0-9+/_-]{20,})["']""")
+LEADS = ("", "key ", "auth=", "pw: ", "id ", "see ")
 
 #: Characters in a window, how far the next one begins, and the longest span that the tagger finds.
-WINDOW, STRIDE, LONGEST = 96, 48, 48
-#: Labelled windows that the tagger is trained on, at most, and training steps.
-FIT_WINDOWS, FIT_STEPS = 4_000, 260
+WINDOW, STRIDE, LONGEST = 128, 64, 64
+#: Labelled windows that the tagger is trained on, at most, of them at most OFFERED of each kind from a task; and training steps.
+FIT_WINDOWS, OFFERED, FIT_STEPS = 4_000, 200, 260
 SURE = 0.9
 
 
@@ -105,7 +113,7 @@ def tagged(length: int, spans: list[tuple[int, str, int]]) -> list[int]:
     """0 outside, 2k + 1 and 2k + 2 at the first and the other characters of kind k."""
     tags = [0] * length
     for a, kind, b in spans:
-        k = 2 * KINDS.index(kind)
+        k = 2 * TAGGED.index(kind)
         for i in range(max(a, 0), min(b, length)):
             if tags[i] == 0:
                 tags[i] = k + 1 if i == a else k + 2
@@ -119,50 +127,82 @@ def padded(texts: list[str]) -> np.ndarray:
     return out
 
 
+def rewritten(n: int, text: str, spans: list[tuple[int, str, int]]) -> tuple[str, list[tuple[int, str, int]]]:
+    """The n-th example as it is, or so that the patterns and names that label spans no longer give them away."""
+    kinds = [k for _, k, _ in spans]
+    if n % 3 == 1:
+        for a, kind, _ in reversed(spans):
+            if kind == "phone":
+                text = text[:a] + text[a + 1 :]
+                spans = [(x - (x > a), k, y - (y > a)) for x, k, y in spans]
+    elif n % 3 == 2 and kinds == ["card"]:
+        a, _, b = spans[0]
+        lead = f"{n % 97} "
+        text, spans = text[:a] + lead + text[a:], [(a + len(lead), "card", b + len(lead))]
+    if n % 3 and kinds == ["secret"]:
+        a, _, b = spans[0]
+        # a window that begins inside the name begins with it
+        named, lead = next((m.start() for m in NAMED.finditer(text) if m.start(1) == a), 0), LEADS[n % len(LEADS)]
+        text, spans = text[:named] + lead + text[a:b] + text[b + 1 :], [(named + len(lead), "secret", named + len(lead) + b - a)]
+    if n % 5 == 4 and len(text.upper()) == len(text):
+        text = text.upper()
+    return text[:WINDOW], spans
+
+
 def fit(examples: list[tuple[str, str]]) -> CharTagger | None:
     """A tagger from windows (text, spans as kind:start:end joined by commas); none without a labelled span."""
     if not any(spans for _, spans in examples):
         return None
     texts, tags = [], []
     for n, (text, joined) in enumerate(examples):
-        spans = [(int(a), k, int(b)) for k, a, b in (s.split(":") for s in joined.split(",") if s)]
-        if n % 3 == 1:
-            for a, kind, b in reversed(spans):
-                if kind == "phone":
-                    text = text[:a] + text[a + 1 :]
-                    spans = [(x - (x > a), k, y - (y > a)) for x, k, y in spans]
-        elif n % 3 == 2 and [k for _, k, _ in spans] == ["card"]:
-            a, _, b = spans[0]
-            lead = f"{n % 97} "
-            text, spans = text[:a] + lead + text[a:], [(a + len(lead), "card", b + len(lead))]
-        text = text[:WINDOW]
+        text, spans = rewritten(n, text, [(int(a), k, int(b)) for k, a, b in (s.split(":") for s in joined.split(",") if s)])
         texts.append(text)
         tags.append(tagged(len(text), spans) + [0] * (WINDOW - len(text)))
-    return CharTagger(2 * len(KINDS) + 1).train(padded(texts), np.array(tags), FIT_STEPS)
+    return CharTagger(2 * len(TAGGED) + 1).train(padded(texts), np.array(tags), FIT_STEPS)
+
+
+def labelled_spans(text: str) -> list[tuple[int, str, int]]:
+    """The patterns' spans and named secrets."""
+    named = [(m.start(1), "secret", m.end(1)) for m in NAMED.finditer(text) if valid("secret", m[1])]
+    base = base_spans(text)
+    return sorted(base + [x for x in named if all(x[2] <= a or b <= x[0] for a, _, b in base)])
+
+
+def labelled_windows(text: str) -> list[tuple[str, str]]:
+    """Windows around digits and @ that cut no labelled span, with their spans."""
+    out, found = [], labelled_spans(text)
+    for s in windows(text):
+        if not any(a < s < b or a < s + WINDOW < b for a, _, b in found):
+            inside = [(a - s, k, b - s) for a, k, b in found if a >= s and b <= s + WINDOW]
+            out.append((text[s : s + WINDOW], ",".join(f"{k}:{a}:{b}" for a, k, b in inside)))
+    return out
 
 
 def training_windows(docs: DataFrame, most: int) -> DataFrame:
-    """At most `most` labelled windows of all documents, by hash of their text: one around each span or other number."""
+    """At most `most` labelled windows (text, spans) of all documents, by hash of their text, none of their kinds more than a sixth of them."""
 
     def cut(batches):
+        held: dict[str, dict[int, tuple[str, str]]] = {}
         for batch in batches:
-            out = []
             for text in texts_of(batch):
-                if CUE.search(text):
-                    base = base_spans(text)
-                    for s in windows(text):
-                        inside = [(a - s, k, b - s) for a, k, b in base if a >= s and b <= s + WINDOW]
-                        split = any(a < s < b or a < s + WINDOW < b for a, _, b in base)
-                        if not split:
-                            out.append((text[s : s + WINDOW], ",".join(f"{k}:{a}:{b}" for a, k, b in inside)))
-            if out:
-                yield pa.RecordBatch.from_pydict({"text": [t for t, _ in out], "spans": [x for _, x in out]})
+                for window in labelled_windows(text) if CUE.search(text) else ():
+                    own = held.setdefault(",".join(sorted({x.split(":")[0] for x in window[1].split(",")})), {})
+                    own[xxhash.xxh64_intdigest(window[0]) >> 1] = window
+                    if len(own) > 2 * OFFERED:
+                        for h in sorted(own)[OFFERED:]:
+                            del own[h]
+        for kinds, own in held.items():
+            h = sorted(own)[:OFFERED]
+            yield pa.RecordBatch.from_pydict({"kinds": [kinds] * len(h), "h": pa.array(h, pa.int64()), "text": [own[x][0] for x in h], "spans": [own[x][1] for x in h]})
 
-    found = docs.select("text").mapInArrow(cut, "text string, spans string").distinct()
-    return found.orderBy(F.xxhash64("text"), "text", "spans").limit(most)
+    found = docs.select("text").mapInArrow(cut, "kinds string, h bigint, text string, spans string").distinct()
+    ranked = found.withColumn("n", F.row_number().over(Window.partitionBy("kinds").orderBy("h", "text", "spans"))).where(F.col("n") <= max(1, most // 6))
+    return ranked.orderBy("h", "text", "spans").select("text", "spans").limit(most)
 
 
 def valid(kind: str, s: str) -> bool:
+    if kind == "secret":
+        return SECRET.fullmatch(s) is not None and DIGIT.search(s) is not None and not s.isdigit() and len(set(s)) >= 8
     if kind == "email":
         return emails(s) == [(0, len(s))]
     if kind == "phone":
@@ -170,6 +210,11 @@ def valid(kind: str, s: str) -> bool:
     return {"ip": is_ip, "card": is_card}[kind](s) and (kind == "ip" or CARD.fullmatch(s) is not None)
 
 
+def whole(kind: str, text: str, a: int, b: int) -> bool:
+    """Whether a span is valid, and, for a secret, not a part of a longer run of its characters."""
+    return valid(kind, text[a:b]) and (kind != "secret" or not (SECRET_END.search(text[max(0, a - 1) : a]) or SECRET_END.search(text[b : b + 1])))
+
+
 def added_spans(tagger: CharTagger, texts: list[str], base: list[list[tuple[int, str, int]]]) -> list[list[tuple[int, str, int]]]:
     """Further spans of each text."""
     found: list[list[tuple[float, int, str, int]]] = [[] for _ in texts]
@@ -189,8 +234,8 @@ def added_spans(tagger: CharTagger, texts: list[str], base: list[list[tuple[int,
                 while j < length and tags[j] == 2 * kind + 2:
                     j += 1
                 cut = (i == 0 and s > 0) or (j == WINDOW and s + j < len(texts[n]))
-                if not cut and p[i:j].mean() >= SURE and valid(KINDS[kind], texts[n][s + i : s + j]):
-                    found[n].append((-float(p[i:j].mean()), s + i, KINDS[kind], s + j))
+                if not cut and p[i:j].mean() >= SURE and whole(TAGGED[kind], texts[n], s + i, s + j):
+                    found[n].append((-float(p[i:j].mean()), s + i, TAGGED[kind], s + j))
                 i = j
     out = []
     for spans, own in zip(found, base, strict=True):
@@ -205,13 +250,13 @@ def added_spans(tagger: CharTagger, texts: list[str], base: list[list[tuple[int,
 
 
 def joined(spans: list[tuple[int, str, int]]) -> str:
-    return ",".join(f"{k}:{a}:{b}" for a, k, b in sorted(spans, key=lambda x: (x[0], KINDS.index(x[1]))))
+    return ",".join(f"{k}:{a}:{b}" for a, k, b in sorted(spans, key=lambda x: (x[0], TAGGED.index(x[1]))))
 
 
 def find_private(docs: DataFrame, fit_windows: int = FIT_WINDOWS) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added of every row of docs (doc_id, text).
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_added of every row of docs (doc_id, text).
 
-    The numbers and the digest are of the patterns' spans; spans holds these and the tagger's. A null text is the empty text, without spans. Rows with a null
+    The first numbers and the digest are of the patterns' spans; spans holds these and the tagger's, which n_added counts; n_secret counts the secrets among them. A null text is the empty text, without spans. Rows with a null
     or repeated doc_id have results of their own. Other columns are ignored, so their names cannot clash. An empty table gives an empty one; where the
     patterns find nothing there is nothing to learn and nothing is added. Whole texts are read; the tagger is fitted on at most `fit_windows` windows.
     """
@@ -229,10 +274,11 @@ def find_private(docs: DataFrame, fit_windows: int = FIT_WINDOWS) -> DataFrame:
                     *(pa.array(c, pa.int64()) for c in counts),
                     pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b in base], pa.string()),
                     pa.array([joined(b + m) for b, m in zip(base, more, strict=True)], pa.string()),
+                    pa.array([sum(k == "secret" for _, k, _ in m) for m in more], pa.int64()),
                     pa.array([len(m) for m in more], pa.int64()),
                 ],
-                ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"],
+                ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_secret", "n_added"],
             )
 
-    schema = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint"
+    schema = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_secret bigint, n_added bigint"
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
