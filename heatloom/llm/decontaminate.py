@@ -42,19 +42,17 @@ def least_grams(length: int, grams: str, places: int) -> Column:
     """The leftmost of the smallest grams of each window of `length` words, from the column `grams`."""
     k = (length + 1) // 2
     w = length - k + 1
-    all_of = lambda i, more: [F.get(grams, i + j).bitwiseAND(~places).bitwiseOR(F.lit(j).cast("bigint")) if more else F.get(grams, i + j) for j in range(w)]
     smallest = lambda xs: F.least(*xs) if w > 1 else xs[0]
+    plain = lambda i: smallest([F.get(grams, i + j) for j in range(w)])
 
-    def pick(i: Column) -> Column:
-        if w == 1:
-            return F.get(grams, i)
+    def careful(i: Column) -> Column:
         # where places start again inside the window, the place in the window decides between equal hashes
+        y = smallest([F.get(grams, i + j).bitwiseAND(~places).bitwiseOR(F.lit(j).cast("bigint")) for j in range(w)])
         wraps = (i.cast("bigint") % (places + 1)) + w > places + 1
-        y = smallest(all_of(i, True))
-        return F.when(wraps, y.bitwiseAND(~places).bitwiseOR((i + y).bitwiseAND(places))).otherwise(smallest(all_of(i, False)))
+        return F.when(wraps, y.bitwiseAND(~places).bitwiseOR((i + y).bitwiseAND(places))).otherwise(plain(i))
 
     begins = F.when(F.size(grams) >= w, F.sequence(F.lit(0), F.greatest(F.size(grams) - w, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(begins, pick)
+    return F.when(F.size(grams) <= places, F.transform(begins, plain)).otherwise(F.transform(begins, careful))
 
 
 def fingerprints(rows: DataFrame, keys: list[str], lengths: list[int], places: int = PLACE) -> DataFrame:
@@ -68,16 +66,18 @@ def fingerprints(rows: DataFrame, keys: list[str], lengths: list[int], places: i
 
     def details(n: int) -> Column:
         m, w = F.col(f"m{n}"), n - (n + 1) // 2 + 1
-        new = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: (i == 0) | (F.get(m, i) != F.get(m, i - 1)))
 
-        def detail(i: Column) -> Column:
-            place = i + (F.get(m, i) - i).bitwiseAND(places).cast("int")
+        def detail(x: Column, place: Column) -> Column:
             begin = F.greatest(place - (w - 1), F.lit(0))
-            return F.struct(F.lit(n).alias("length"), F.get(m, i).bitwiseAND(~places).alias("fp"), place.alias("place"), F.slice("words", begin + 1, place + n - begin).alias("around"), (place - begin).alias("at"))
+            return F.struct(F.lit(n).alias("length"), x.bitwiseAND(~places).alias("fp"), place.alias("place"), F.slice("words", begin + 1, place + n - begin).alias("around"), (place - begin).alias("at"))
 
-        return F.when(F.size(m) > 0, F.transform(new, detail))
+        # neighbouring windows with the same gram give it once; in a long text a packed value may come again elsewhere
+        new = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: (i == 0) | (F.get(m, i) != F.get(m, i - 1)))
+        few = F.transform(F.array_distinct(m), lambda x: detail(x, x.bitwiseAND(places).cast("int")))
+        many = F.transform(new, lambda i: detail(F.get(m, i), i + (F.get(m, i) - i).bitwiseAND(places).cast("int")))
+        return F.when(F.size("words") <= places, few).otherwise(many)
 
-    found = F.concat(*[F.coalesce(details(n), F.array().cast("array<struct<length: int, fp: bigint, place: int, around: array<string>, at: int>>")) for n in lengths])
+    found = F.concat(*[details(n) for n in lengths])
     return rows.select(*keys, F.explode(found).alias("f")).select(*keys, "f.*")
 
 

@@ -170,7 +170,8 @@ def gram_set(words: list[bytes], k: int) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     h = np.array(list(map(xxhash.xxh3_64_intdigest, words)), np.uint64)
-    n, mixed = max(1, len(words) - k + 1), np.uint64(min(len(words), k))
+    n = max(1, len(words) - k + 1)
+    mixed = np.full(n, min(len(words), k), np.uint64)
     for i in range(min(len(words), k)):
         mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
     mixed ^= mixed >> np.uint64(29)
@@ -260,15 +261,23 @@ def prefix_table(docs: DataFrame, k: int, similarity: float, frequent: tuple[np.
     return docs.mapInArrow(run, "k1 bigint, k2 bigint, node bigint, size int, prefix array<bigint>, counts binary")
 
 
-def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """node, grams (distinct hashes of its k-word shingles) for docs (node, text)."""
+def grams_of(text: str | None, k: int) -> np.ndarray:
+    return gram_set((text or "").encode().lower().split(), k)
+
+
+def similar_pairs(pairs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """a, b of the rows of pairs (a, b, x, y: texts) whose shingle sets are similar."""
 
     def run(batches):
         for batch in batches:
-            sets = [gram_set(t.encode().lower().split(), k).view(np.int64) for t in texts_of(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "grams"])
+            keep = []
+            for x, y in zip(*(batch.column(c).to_pylist() for c in "xy"), strict=True):
+                x, y = grams_of(x, k), grams_of(y, k)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= similarity * (len(x) + len(y) - common) - 1e-6)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, "node bigint, grams array<bigint>")
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
 def similar_forest(grams: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -321,7 +330,7 @@ def first_of_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -
     `similarity` are linked, and groups are connected components. Candidates are nodes that share a shingle of their prefixes: with one order of all
     shingles, two similar sets always do, so no pair is lost. The order puts frequent shingles last, which keeps cells small. Cells with
     the same nodes count once, and large ones with the same smallest node are one. Pairs of small cells, and nodes of large ones, go on if the Manhattan
-    distance of segment counts leaves them similar. Then shingle sets are made and compared. A large cell is split into blocks by hash; each pair
+    distance of segment counts leaves them similar. Then their texts' shingle sets are made and compared. A large cell is split into blocks by hash; each pair
     of blocks compares all its nodes with one another and returns a forest, not its pairs, so that no cell meets in one task. Null and empty texts are one node.
     Columns of any name pass unchanged. An empty table gives an empty one; long texts are read whole.
     """
@@ -354,21 +363,21 @@ def first_of_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -
     many = stored(many.distinct(), "prefix-many")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(many.select("node")).distinct()
     chosen = stored(wanted.join(nodes, "node").select("k1", "k2", "node"), "near-nodes")
-    sets = stored(shingle_sets(texts.join(chosen, ["k1", "k2"]).select("node", "text"), k).dropDuplicates(["node"]), "shingle-sets")
+    # texts travel, not shingle sets: they are smaller
+    near = stored(texts.join(chosen, ["k1", "k2"]).select("node", "text").dropDuplicates(["node"]), "near-texts")
     drop(led, leaders, chosen)
-    both = pairs.join(sets.withColumnsRenamed({"node": "a", "grams": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "grams": "y"}), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    links = both.where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-6).select("a", "b")
+    both = pairs.join(near.withColumnsRenamed({"node": "a", "text": "x"}), "a").join(near.withColumnsRenamed({"node": "b", "text": "y"}), "b")
     left = stored(many.groupBy("cell").agg(F.count("*").alias("n")), "prefix-left")
-    dealt = blocks_of(many.join(left, "cell").join(sets, "node"), "node", BLOCK)
+    dealt = blocks_of(many.join(left, "cell").join(near, "node"), "node", BLOCK)
 
     def link(group: pd.DataFrame) -> pd.DataFrame:
-        label = similar_forest(group.grams.to_list(), similarity)
+        label = similar_forest([grams_of(t, k) for t in group.text], similarity)
         off, ids = label != np.arange(len(label)), group.node.to_numpy()
         return pd.DataFrame({"a": ids[off], "b": ids[label[off]]})
 
-    links = stored(links.union(dealt.groupBy("cell", "i", "j").applyInPandas(link, "a bigint, b bigint")), "near-links")
-    drop(pairs, many, left, sets)
+    links = similar_pairs(both, k, similarity).union(dealt.groupBy("cell", "i", "j").applyInPandas(link, "a bigint, b bigint"))
+    links = stored(links, "near-links")
+    drop(pairs, many, left, near)
     roots = components(links)
     drop(links)
     grouped = nodes.select("node", F.struct("k1", "k2").alias("first")).join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
