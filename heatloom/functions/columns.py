@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -196,12 +198,20 @@ def morphology_synthetic(height_index: Column, ndvi: Column, residential: Column
     }
 
 
-ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+def _plain(text: str | None) -> str | None:
+    if text is None or text.isascii():
+        return text
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
 def norm_text(c: Column) -> Column:
-    """Trimmed, lower-case, without the accents of Latin-1 letters, spaces collapsed."""
-    return F.regexp_replace(F.translate(F.lower(F.trim(c)), ACCENTED, PLAIN), r"\s+", " ")
+    """Lower-case, in compatibility form (NFKD) without combining marks, white space collapsed and trimmed; null stays null."""
+
+    @F.pandas_udf("string")
+    def plain(texts: pd.Series) -> pd.Series:
+        return texts.map(_plain)
+
+    return F.trim(F.regexp_replace(plain(F.lower(c)), r"(?U)\s+", " "))
 
 
 def to_sorted_json(columns: list[str]) -> Column:

@@ -21,7 +21,7 @@ def pool_rare_classes(df: DataFrame, cls: str, min_count: int = 400, groups: dic
 
 
 def hashed_sample(points: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    return points.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)
+    return points.orderBy(F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}"))), "id").limit(n)
 
 
 def variogram(points: DataFrame, n_bins: int = 15, max_frac: float = 0.5, sample: int = 1_500) -> DataFrame:
@@ -96,12 +96,16 @@ def empirical(xy: np.ndarray, v: np.ndarray, n_bins: int = 15, max_frac: float =
     d, g = np.sqrt(((p[i] - p[j]) ** 2).sum(1)), 0.5 * (z[i] - z[j]) ** 2
     if not len(d):
         return np.zeros(0), np.zeros(0)
-    near = d <= d.max() * max_frac
+    cut = d.max() * max_frac
+    near = d <= cut
     d, g = d[near], g[near]
-    at = np.minimum((d / max(d.max(), 1e-12) * n_bins).astype(int), n_bins - 1) if len(d) else d.astype(int)
+    if len(d) < 30 or cut <= 0:
+        return np.zeros(0), np.zeros(0)
+    at = np.floor(d / cut * n_bins).astype(int)
+    d, g, at = d[at < n_bins], g[at < n_bins], at[at < n_bins]
     n = np.bincount(at, minlength=n_bins)
     full = n >= 10
-    return (np.bincount(at, d, n_bins)[full] / n[full], np.bincount(at, g, n_bins)[full] / n[full]) if len(d) >= 30 else (np.zeros(0), np.zeros(0))
+    return np.bincount(at, d, n_bins)[full] / n[full], np.bincount(at, g, n_bins)[full] / n[full]
 
 
 def block_folds(points: DataFrame, n_blocks: int = 4) -> DataFrame:

@@ -114,8 +114,9 @@ def asof_next(times: DataFrame, requested: DataFrame) -> DataFrame:
 
 def append_climatology(static: DataFrame, clim: DataFrame, name: str = "climatology") -> DataFrame:
     """static with clim (y, x, value) as one more column if both have the same cells; unchanged otherwise."""
-    cells = lambda d: d.select("y", "x")
-    if not cells(static).exceptAll(cells(clim)).isEmpty() or not cells(clim).exceptAll(cells(static)).isEmpty():
+    count = lambda d, n: d.groupBy("y", "x").agg(F.count("*").alias(n))
+    both = count(static, "n").join(count(clim, "m"), ["y", "x"], "full_outer")
+    if not both.where("n is null or m is null or n <> m").isEmpty():
         return static
     return static.join(clim.select("y", "x", F.col("value").alias(name)), ["y", "x"])
 
@@ -151,10 +152,27 @@ def error_map(df: DataFrame, cells: DataFrame, pred: str = "pred_c", ref: str =
     return cells.select("y", "x").distinct().join(known, ["y", "x"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
-def tile_grid(spark, h: int, w: int, patch: int = 96, stride: int = 48) -> DataFrame:
-    """y0, x0 of regular tiles, the last ones flush with the edges."""
-    starts = lambda n: F.array_sort(F.array_union(F.sequence(F.lit(0), F.lit(max(0, n - patch)), F.lit(stride)), F.array(F.lit(max(0, n - patch)))))
-    return spark.range(1).select(F.explode(starts(h)).alias("y0"), starts(w).alias("xs")).select("y0", F.explode("xs").alias("x0"))
+def hour_residuals(rows: DataFrame, hours: tuple[int, ...] = (3, 15), least: int = 10) -> DataFrame:
+    """hour, mae, bias, pred_mean, ref_mean, r2 (of the error on the feature, from `least` rows) of rows (hour, pred_c, t_c, feature) at some hours of the day."""
+    e = F.col("pred_c") - F.col("t_c")
+    r2 = F.when(F.count("*") >= least, F.regr_r2(e, F.col("feature")))
+    return rows.where(F.col("hour").isin(*hours)).groupBy("hour").agg(F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("bias"), F.avg("pred_c").alias("pred_mean"), F.avg("t_c").alias("ref_mean"), r2.alias("r2"))
+
+
+def day_night_delta(residuals: DataFrame, day: int = 15, night: int = 3) -> DataFrame:
+    """One row with the day's figures less the night's, of hour_residuals."""
+    at = lambda c, h: F.max(F.when(F.col("hour") == h, F.col(c)))
+    return residuals.agg(*[(at(c, day) - at(c, night)).alias(f"delta_{c}") for c in ("mae", "bias", "pred_mean", "ref_mean", "r2")])
+
+
+def tile_grid(frames: DataFrame, patch: int = 96, stride: int = 48) -> DataFrame:
+    """frames (h, w, more) with y0, x0: a row for each regular tile, the last ones flush with the edges."""
+
+    def starts(size: str) -> Column:
+        last = F.greatest(F.col(size) - patch, F.lit(0)).cast("int")
+        return F.array_sort(F.array_union(F.sequence(F.lit(0), last, F.lit(stride)), F.array(last)))
+
+    return frames.withColumn("y0", F.explode(starts("h"))).withColumn("x0", F.explode(starts("w")))
 
 
 def hann(i: Column, n: int) -> Column:
@@ -261,26 +279,50 @@ def frame_of(pdf: pd.DataFrame, value: str) -> np.ndarray:
 
 
 def repair_nan(df: DataFrame, value: str = "value", sigma: float = 1.0) -> DataFrame:
-    """y, x, time, value, repaired_by: a bad cell takes the mean of its neighbours in time if both are good, else a Gaussian mean of its zero-filled frame.
+    """y, x, time, value, repaired_by: a bad cell takes the mean of the frames before and after it, else a Gaussian mean of its zero-filled frame.
 
-    Neighbours are the frames as they came, so two bad frames in a row are left to the spatial step. Only frames with such cells leave Spark's own operators.
+    Frames are repaired in order of time: the one before is taken as repaired, the one after as it came; the first and the last have the spatial step alone. A
+    frame with bad cells that were bad in the frame before too waits for that one, so such frames make a run that one task repairs in order; runs are short.
+    Frames whose bad cells are good before and after stay in Spark's own operators.
     """
     v = C.finite(F.col(value))
     w = Window.partitionBy("y", "x").orderBy("time")
-    rows = df.select("y", "x", "time", v.alias(value), F.lag(v).over(w).alias("__a"), F.lead(v).over(w).alias("__b"))
-    mean = (F.col("__a") + F.col("__b")) / 2
-    rows = rows.withColumn("repaired_by", F.when(F.col(value).isNull(), F.when(mean.isNotNull(), "time").otherwise("space")).otherwise("none")).withColumn(value, F.coalesce(value, mean)).drop("__a", "__b")
-    bad = rows.where("repaired_by = 'space'").select("time").distinct()
+    a, b = F.lag(v).over(w), F.lead(v).over(w)
+    rows = df.select("y", "x", "time", v.alias(value), a.alias("__a"), b.alias("__b"))
+    bad, has_next = F.col(value).isNull(), F.col("__b").isNotNull()
+    frames = rows.groupBy("time").agg(F.bool_or(bad & F.col("__a").isNull() & has_next).alias("waits"), F.bool_or(bad & (F.col("__a").isNull() | ~has_next)).alias("holes"))
+    order = Window.orderBy("time")  # a row a frame
+    frames = frames.withColumn("edge", F.lag("time").over(order).isNull() | F.lead("time").over(order).isNull()).withColumn("holes", F.col("holes") | (F.col("edge") & F.col("waits")))
+    frames = frames.withColumn("run", F.sum((~(F.col("waits") & ~F.col("edge"))).cast("int")).over(order))
+    frames = frames.withColumn("ordered", F.max("holes").over(Window.partitionBy("run")) | (F.count("*").over(Window.partitionBy("run")) > 1))
+    known = rows.join(frames.select("time", "edge", "run", "ordered"), "time")
     kernel = gaussian_kernel(sigma, int(4 * sigma + 0.5))
 
     def fix(pdf: pd.DataFrame) -> pd.DataFrame:
-        frame = smooth(np.nan_to_num(frame_of(pdf, value)), kernel)
-        hole = pdf[value].isna()
-        pdf.loc[hole, value] = frame[pdf.y[hole], pdf.x[hole]]
-        return pdf
-
-    fixed = rows.join(bad, "time", "left_semi").groupBy("time").applyInPandas(fix, rows.schema)
-    return rows.join(bad, "time", "left_anti").unionByName(fixed)
+        out, before = [], None
+        for _, own in sorted(pdf.groupby("time")):
+            own = own.copy()
+            frame = frame_of(own, value)
+            hole, by = own[value].isna().to_numpy(), np.full(len(own), "none", object)
+            prev = before[own.y, own.x] if before is not None else own["__a"].to_numpy(float)
+            mean = (prev + own["__b"].to_numpy(float)) / 2
+            timely = hole & np.isfinite(mean) & ~own.edge.to_numpy(bool)
+            frame[own.y[timely], own.x[timely]] = mean[timely]
+            left = hole & ~timely
+            smoothed = smooth(np.nan_to_num(frame), kernel)
+            frame[own.y[left], own.x[left]] = smoothed[own.y[left], own.x[left]]
+            by[timely], by[left] = "time", "space"
+            own[value], own["repaired_by"] = frame[own.y, own.x], by
+            before = frame
+            out.append(own[["y", "x", "time", value, "repaired_by"]])
+        return pd.concat(out)
+
+    kinds = df.schema
+    schema = f"y {kinds['y'].dataType.simpleString()}, x {kinds['x'].dataType.simpleString()}, time {kinds['time'].dataType.simpleString()}, {value} double, repaired_by string"
+    fixed = known.where("ordered").groupBy("run").applyInPandas(fix, schema)
+    mean = (F.col("__a") + F.col("__b")) / 2
+    rest = known.where(~F.col("ordered")).select("y", "x", "time", F.coalesce(value, mean).alias(value), F.when(bad, "time").otherwise("none").alias("repaired_by"))
+    return rest.unionByName(fixed)
 
 
 def ssim_value(a: np.ndarray, b: np.ndarray, sigma: float = 1.5, size: int = 11) -> float | None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,10 +66,11 @@ def events_from_flags(daily: DataFrame, flag: str, day: str = "day", min_days: i
 
 
 def heat_peaks(level: str = "alert_level", max_c: str = "max_pred_c") -> dict[str, Column]:
-    """Peak aggregates of alert days for events_from_flags: the peak day is the first of the largest fraction."""
+    """Peak aggregates of alert days for events_from_flags: the peak day is the first of the largest exceedance; days without one come last."""
     rank = C.level_rank(F.col(level))
+    least = F.coalesce(-C.finite(F.col("max_exceedance_c")), F.lit(math.inf))
     return {
-        "peak_date": F.min_by("day", F.struct(-F.col("exceed_fraction"), F.col("day"))), "peak_alert_level": F.max_by(level, rank),
+        "peak_date": F.min_by("day", F.struct(least, F.col("day"))), "peak_max_exceedance_c": F.max("max_exceedance_c"), "peak_alert_level": F.max_by(level, rank),
         "peak_exceed_fraction": F.max("exceed_fraction"), "mean_exceed_fraction": F.avg("exceed_fraction"), "peak_max_pred_c": F.max(max_c),
     }
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,9 +34,11 @@ def p95_weights(series: DataFrame, min_prob: float = 1e-6) -> DataFrame:
 
 
 def weights_cdf(df: DataFrame, order: list[str]) -> DataFrame:
-    """df with low and high: the running sum of weights before and after each row. One window over all rows: time steps or cells of one grid."""
+    """df with low and high: the running sum of weights before and after each row; the last one ends at 1 or above. One window over all rows: time steps or cells of one grid."""
     w = Window.orderBy(*order)
-    return df.withColumns({"high": F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, 0)), "low": F.coalesce(F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))})
+    high = F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    is_last = F.lead(F.lit(1)).over(w).isNull()
+    return df.withColumns({"high": F.when(is_last, F.greatest(high, F.lit(1.0))).otherwise(high), "low": F.coalesce(F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))})
 
 
 def draws(spark, n: int, seed: int) -> DataFrame:
@@ -44,8 +48,15 @@ def draws(spark, n: int, seed: int) -> DataFrame:
 
 
 def sample_times(cdf: DataFrame, n: int, seed: int) -> DataFrame:
-    """draw and the row of cdf that holds its number: n draws with replacement by weight."""
-    return draws(cdf.sparkSession, n, seed).join(cdf, (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))).drop("u", "low", "high")
+    """draw and the row of cdf that holds its number: n draws with replacement by weight.
+
+    The numbers from 0 to 1 are cut into as many parts as there are draws (a million at most); draws and rows meet by part, a row in all parts that it reaches into.
+    """
+    parts = max(1, min(n, 1_000_000))
+    part = lambda c: F.least(F.floor(F.col(c) * parts), F.lit(parts - 1)).cast("int")
+    rows = cdf.withColumn("__part", F.explode(F.sequence(part("low"), F.greatest(part("low"), part("high")))))
+    drawn = draws(cdf.sparkSession, n, seed).withColumn("__part", part("u"))
+    return drawn.join(rows, "__part").where((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high"))).drop("u", "low", "high", "__part")
 
 
 def season_balanced(times: DataFrame, season: Column) -> DataFrame:
@@ -117,12 +128,15 @@ def sequences(df: DataFrame, seq_len: int = 6, stride: int = 1, include_last: bo
 def perturb(lr: DataFrame, variable: str, eps: list[float], n_trials: int, seed: int = 0) -> DataFrame:
     """A copy of lr for each noise and trial, with normal noise of that size on one variable (long rows: variable, value)."""
     copies = lr.withColumn("epsilon_K", F.explode(F.array(*[F.lit(float(e)) for e in eps]))).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(n_trials - 1))))
-    return copies.withColumn("value", F.when(F.col("variable") == variable, F.col("value") + F.randn(seed) * F.col("epsilon_K")).otherwise(F.col("value")))
+    # normal numbers from two uniform ones, which come from a hash of the whole row, so that they don't depend on partitions
+    uniform = lambda k: (F.pmod(F.xxhash64(*[F.col(c) for c in copies.columns], F.lit(seed), F.lit(k)), F.lit(2**53)).cast("double") + 1) / float(2**53 + 1)
+    normal = F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * math.pi * uniform(2))
+    return copies.withColumn("value", F.when(F.col("variable") == variable, F.col("value") + normal * F.col("epsilon_K")).otherwise(F.col("value")))
 
 
 def subsample_stations(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """Rows of n stations, chosen by a hash of id and seed."""
-    chosen = df.select("station_id").distinct().orderBy(F.xxhash64("station_id", F.lit(seed)), "station_id").limit(n)
+    chosen = df.select("station_id").distinct().orderBy(F.md5(F.concat(F.col("station_id"), F.lit(f":{seed}"))), "station_id").limit(n)
     return df.join(chosen, "station_id", "left_semi")
 
 
@@ -146,6 +160,16 @@ def cooling_by_pair(frames: DataFrame, pairs: DataFrame) -> DataFrame:
     return joined.groupBy("model", "pair_id").agg(F.avg("d").alias("mean"), F.percentile("d", 0.1).alias("p10"), F.percentile("d", 0.9).alias("p90"), F.min("d").alias("min"), F.max("d").alias("max"))
 
 
+def cooling_summary(frames: DataFrame, pairs: DataFrame) -> DataFrame:
+    """model, n_pairs and mean, p10, p90 over cells of each model's mean map of changes (as cooling_by_pair)."""
+    side = lambda k: frames.select("model", F.col("time").alias(f"t{k}"), "y", "x", F.col("value").alias(f"v{k}"))
+    changes = side(1).join(pairs, "t1").join(side(2), ["model", "t2", "y", "x"])
+    cells = changes.groupBy("model", "y", "x").agg(F.avg(F.col("v2") - F.col("v1")).alias("d"))
+    n = changes.groupBy("model").agg(F.count_distinct("pair_id").alias("n_pairs"))
+    spread = cells.groupBy("model").agg(F.avg("d").alias("mean_delta_t"), F.percentile("d", 0.1).alias("p10_delta_t"), F.percentile("d", 0.9).alias("p90_delta_t"))
+    return n.join(spread, "model")
+
+
 def persistence(frames: DataFrame, threshold: float, nights: int = 3) -> DataFrame:
     """model, pct_persistent: the share of cells that are over the threshold in at least `nights` frames (one frame a night). The maker of the reference's maps isn't in its tree; this is our definition."""
     cells = frames.groupBy("model", "y", "x").agg(F.sum((F.col("value") > threshold).cast("int")).alias("n"))

@@ -111,47 +111,57 @@ def feature_drop_candidates(
     return a.union(b).union(c).distinct()
 
 
-def resampled_means(values: np.ndarray, n_boot: int, seed: int) -> np.ndarray:
-    """Means of n_boot samples with replacement, drawn in chunks of about a million."""
-    rng, out = np.random.default_rng(seed), []
-    chunk = max(1, 1_000_000 // max(1, len(values)))
-    for k in range(0, n_boot, chunk):
-        out.append(values[rng.integers(0, len(values), (min(chunk, n_boot - k), len(values)))].mean(axis=1))
-    return np.concatenate(out)
+def replicate_means(rows: DataFrame, by: list[str], n_boot: int, seed: int) -> DataFrame:
+    """by, replicate, mean of n_boot resamples of the column value in each group.
 
+    A value that occurs m times gets a Poisson(m) weight in each replicate, from a generator that its hash seeds: numbers don't depend on partitions. Tasks sum weights and
+    weighted values, so no group meets in one task. A replicate in which no row has a weight is left out.
+    """
+    counts = rows.groupBy(*by, "value").agg(F.count("*").alias("n")).withColumn("h", F.xxhash64(*by, "value", F.lit(seed)))
 
-def bootstrap_mean_ci(raw: DataFrame, by: list[str], metrics: list[str] = ("mae", "rmse", "ssim"), n_boot: int = 2000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """by, variable, n, mean, low, high: percentile interval of the resampled mean; one value is its own interval. Values are sorted first, so results repeat."""
-    rows = long_form(raw, list(metrics), by).where("value is not null")
+    def draw(batches):
+        sums: dict[tuple, np.ndarray] = {}
+
+        def taken():
+            for key, (w, s) in sums.items():
+                yield pd.DataFrame({**{c: [k] * n_boot for c, k in zip(by, key, strict=True)}, "replicate": np.arange(n_boot), "w": w, "s": s})
+            sums.clear()
+
+        for pdf in batches:
+            for *key, value, n, h in pdf[[*by, "value", "n", "h"]].itertuples(index=False):
+                weight = np.random.Generator(np.random.Philox(h & 0xFFFFFFFFFFFFFFFF)).poisson(n, n_boot)
+                own = sums.setdefault(tuple(key), np.zeros((2, n_boot)))
+                own[0] += weight
+                own[1] += weight * value
+                if len(sums) >= 500:
+                    yield from taken()
+        yield from taken()
 
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.sort(pdf.value.to_numpy())
-        if len(v) == 1:
-            low = high = v[0]
-        else:
-            low, high = np.quantile(resampled_means(v, n_boot, seed + list(metrics).index(key[-1])), [alpha / 2, 1 - alpha / 2])
-        return pd.DataFrame([[*key, len(v), v.mean(), low, high]], columns=[*by, "variable", "n", "mean", "low", "high"])
+    keys = "".join(f"{k} {rows.schema[k].dataType.simpleString()}, " for k in by)
+    sums = counts.mapInPandas(draw, keys + "replicate int, w double, s double").groupBy(*by, "replicate").agg(F.sum("w").alias("w"), F.sum("s").alias("s"))
+    return sums.where("w > 0").select(*by, "replicate", (F.col("s") / F.col("w")).alias("mean"))
 
-    schema = ", ".join(f"{k} {raw.schema[k].dataType.simpleString()}" for k in by) + (", " if by else "") + "variable string, n bigint, mean double, low double, high double"
-    return rows.groupBy(*by, "variable").applyInPandas(one, schema)
+
+def bootstrap_mean_ci(raw: DataFrame, by: list[str], metrics: list[str] = ("mae", "rmse", "ssim"), n_boot: int = 2000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+    """by, variable, n, mean, low, high: percentile interval of the resampled mean (Poisson weights); one value is its own interval. Results repeat with the seed."""
+    rows = long_form(raw, list(metrics), by).where("value is not null")
+    keys = [*by, "variable"]
+    own = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    ends = replicate_means(rows, keys, n_boot, seed).groupBy(*keys).agg(F.percentile("mean", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("ends"))
+    end = lambda k: F.when(F.col("n") == 1, F.col("mean")).otherwise(F.get("ends", F.lit(k)))
+    return own.join(ends, keys).select(*keys, "n", "mean", end(0).alias("low"), end(1).alias("high"))
 
 
 def bootstrap_delta_ci(raw: DataFrame, baseline: str, metrics: list[str] = ("mae", "rmse", "ssim"), n_boot: int = 2000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
     """model, variable, delta, low, high of the gain over the baseline, both resampled; for ssim higher is better."""
     rows = long_form(raw, list(metrics), ["model"]).where("value is not null")
-    base = rows.where(F.col("model") == baseline).select("variable", F.col("value").alias("base"))
-    models = rows.where(F.col("model") != baseline).select(F.col("model").alias("of")).distinct()
-    paired = models.crossJoin(base.withColumnRenamed("variable", "metric"))  # the baseline's rows for each model, of which there are few
-    columns = ["model", "variable", "delta", "low", "high"]
-
-    def one(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pd.DataFrame(columns=columns)
-        k = list(metrics).index(key[1])
-        a, b = np.sort(x.value.to_numpy()), np.sort(y.base.to_numpy())
-        sign = -1 if key[1] == "ssim" else 1
-        draws = sign * (resampled_means(b, n_boot, seed + k) - resampled_means(a, n_boot, seed + 1000 + k))
-        low, high = np.quantile(draws, [alpha / 2, 1 - alpha / 2])
-        return pd.DataFrame([[*key, sign * (b.mean() - a.mean()), low, high]], columns=columns)
-
-    return rows.groupBy("model", "variable").cogroup(paired.groupBy("of", "metric")).applyInPandas(one, "model string, variable string, delta double, low double, high double")
+    sign = F.when(F.col("variable") == "ssim", -1.0).otherwise(1.0)
+
+    def against(means: DataFrame, keys: list[str]) -> DataFrame:
+        base = means.where(F.col("model") == baseline).select(*keys, F.col("mean").alias("base"))
+        return means.where(F.col("model") != baseline).join(base, keys).withColumn("delta", sign * (F.col("base") - F.col("mean")))
+
+    whole = against(rows.groupBy("model", "variable").agg(F.avg("value").alias("mean")), ["variable"])
+    drawn = against(replicate_means(rows, ["model", "variable"], n_boot, seed), ["variable", "replicate"])
+    ends = drawn.groupBy("model", "variable").agg(F.percentile("delta", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("ends"))
+    return whole.join(ends, ["model", "variable"]).select("model", "variable", "delta", F.get("ends", F.lit(0)).alias("low"), F.get("ends", F.lit(1)).alias("high"))

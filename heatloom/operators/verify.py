@@ -93,7 +93,7 @@ def first_n_times(df: DataFrame, n: int, stride: int = 1) -> DataFrame:
 def align_times(hr: DataFrame, lr: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Both tables at their common hours, and one row with the numbers of hours kept and dropped; an error where there are none."""
     a, b = hr.select("time").distinct(), lr.select("time").distinct()
-    both = a.join(b, "time").cache()
+    both = a.join(b, "time")
     counts = both.agg(F.count("*").alias("n_common")).crossJoin(a.join(b, "time", "left_anti").agg(F.count("*").alias("hr_dropped"))).crossJoin(b.join(a, "time", "left_anti").agg(F.count("*").alias("lr_dropped")))
     if both.isEmpty():
         raise ValueError("no common hours")

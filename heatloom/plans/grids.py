@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from heatloom.functions import columns as C
@@ -39,13 +40,14 @@ c AS (SELECT station_id, least(CAST(floor(fy) AS INT), 3) AS y0, least(CAST(floo
 
 
 @query(
-    f"""WITH {BILINEAR}, g AS (SELECT y, x, 10.0 * y + x * x + 1 AS v FROM range(5) a(y), range(4) b(x)) SELECT w.station_id, sum(v * (CASE WHEN y = y0 THEN 1 - wy ELSE wy END) * (CASE WHEN x = x0 THEN 1 - wx ELSE wx END)) AS v
+    f"""WITH {BILINEAR}, g AS (SELECT CAST(s_suppkey % 5 AS INT) AS y, CAST(s_suppkey // 5 % 4 AS INT) AS x, avg(s_acctbal) AS v FROM supplier GROUP BY 1, 2) SELECT w.station_id, sum(v * (CASE WHEN y = y0 THEN 1 - wy ELSE wy END) * (CASE WHEN x = x0 THEN 1 - wx ELSE wx END)) AS v
 FROM w JOIN g ON y IN (y0, y0 + 1) AND x IN (x0, x0 + 1) GROUP BY 1""",
     "v",
 )
 def bilinear_extract(spark, d):
     """J4."""
-    field = spark.range(5).select(F.col("id").cast("int").alias("y")).crossJoin(spark.range(4).select(F.col("id").cast("int").alias("x"))).withColumn("v", 10.0 * F.col("y") + F.col("x") * F.col("x") + 1)
+    k = F.col("s_suppkey")
+    field = table(spark, d, "supplier").groupBy((k % 5).cast("int").alias("y"), (F.floor(k / 5) % 4).cast("int").alias("x")).agg(F.avg("s_acctbal").alias("v"))
     return grids.weighted_extract(field, grids.bilinear_weights(places(spark, d), *axes(spark)), "v", [])
 
 
@@ -71,16 +73,15 @@ def nearest_lr(spark, d):
 
 IDW = HOURLY + ", " + CELLS + """, st AS (SELECT DISTINCT station_id, lat, lon FROM obs),
 dd AS (SELECT y, x, station_id, greatest(sqrt(pow(c.lat - s.lat, 2) + pow(c.lon - s.lon, 2)), 1e-9) AS dist FROM cells c, st s), nn AS (SELECT *, row_number() OVER (PARTITION BY y, x ORDER BY dist, station_id) AS n FROM dd),
-ww AS (SELECT y, x, station_id, 1 / (dist * dist) / sum(1 / (dist * dist)) OVER (PARTITION BY y, x) AS w FROM nn WHERE n <= 4),
-few AS (SELECT * FROM hourly WHERE time < TIMESTAMP '2024-01-02'), mm AS (SELECT time, avg(obs_c) AS m FROM few GROUP BY 1),
-full_ AS (SELECT mm.time, st.station_id, coalesce(f.obs_c, m, 0) AS obs_c FROM mm CROSS JOIN st LEFT JOIN few f ON f.time = mm.time AND f.station_id = st.station_id)"""
+ww AS (SELECT y, x, station_id, 1 / (dist * dist) / sum(1 / (dist * dist)) OVER (PARTITION BY y, x) AS w FROM nn WHERE n <= 12),
+mm AS (SELECT time, avg(obs_c) AS m FROM hourly GROUP BY 1),
+full_ AS (SELECT mm.time, st.station_id, coalesce(f.obs_c, m, 0) AS obs_c FROM mm CROSS JOIN st LEFT JOIN hourly f ON f.time = mm.time AND f.station_id = st.station_id)"""
 
 
 @query(f"WITH {IDW} SELECT time, y, x, sum(w * obs_c) AS t_c FROM full_ JOIN ww USING (station_id) GROUP BY 1, 2, 3", "t_c")
 def idw(spark, d):
     """J6."""
-    hourly = heat.hourly_station_mean(obs(spark, d)).where("time < '2024-01-02'")
-    return grids.idw(hourly, places(spark, d), cells(spark, d), k=4)
+    return grids.idw(heat.hourly_station_mean(obs(spark, d)), places(spark, d), cells(spark, d))
 
 
 @query(f"WITH {PLACES}, {CELLS}, n AS (SELECT station_id, arg_min(y * 1000 + x, pow(c.lat - s.lat, 2) + pow(c.lon - s.lon, 2) + (y * 1000 + x) * 1e-15) AS k FROM st s, cells c GROUP BY 1) SELECT y, x, CAST(CASE WHEN y * 1000 + x IN (SELECT k FROM n) THEN 1 ELSE 0 END AS INT) AS mask FROM cells")
@@ -135,10 +136,10 @@ def upsample_nearest(spark, d):
     return grids.upsample(frames(spark, d), (8, 8), (16, 16), ["vec_id"], "value", "nearest")
 
 
-@query(f"WITH {GRID}, {CELLS}, e AS (SELECT y, x, avg(abs(pred_c - t_c)) AS v FROM grid WHERE x < 8 GROUP BY 1, 2) SELECT c.y, c.x, coalesce(v, 0) AS value FROM cells c LEFT JOIN e ON e.y = c.y AND e.x = c.x", "value")
+@query(f"WITH {GRID}, {CELLS}, e AS (SELECT y, x, avg(abs(pred_c - t_c)) AS v FROM grid GROUP BY 1, 2) SELECT c.y, c.x, coalesce(v, 0) AS value FROM cells c LEFT JOIN e ON e.y = c.y AND e.x = c.x", "value")
 def error_map(spark, d):
     """A19."""
-    return grids.error_map(grid(spark, d).where("x < 8"), cells(spark, d))
+    return grids.error_map(grid(spark, d), cells(spark, d))
 
 
 TILES = "tl AS (SELECT vec_id AS time, CAST(t // 2 * 4 AS INT) AS y0, CAST(t % 2 * 4 AS INT) AS x0, gy AS dy, gx AS dx, value + t AS value FROM lr, range(4) q(t))"
@@ -152,11 +153,11 @@ def mosaic(spark, d):
     return grids.mosaic(tiles, 8)
 
 
-@query("WITH s AS (SELECT unnest([0, 48, 96, 144, 155]) AS v) SELECT CAST(a.v AS INT) AS y0, CAST(b.v AS INT) AS x0, CAST((SELECT count(*) FROM events) AS BIGINT) AS n FROM s a, s b")
+@query("WITH f AS (SELECT DISTINCT CAST(60 + p_size * 4 AS INT) AS h, CAST(90 + p_partkey % 170 AS INT) AS w FROM part), y AS (SELECT h, w, unnest(list_distinct(list_append(range(0, greatest(h - 96, 0) + 1, 48), greatest(h - 96, 0)))) AS y0 FROM f) SELECT h, w, CAST(y0 AS INT) AS y0, CAST(unnest(list_distinct(list_append(range(0, greatest(w - 96, 0) + 1, 48), greatest(w - 96, 0)))) AS INT) AS x0 FROM y")
 def tile_grid(spark, d):
-    """R6, for a frame of 251 x 251; n counts the readings that each tile set serves."""
-    n = table(spark, d, "events").agg(F.count("*").alias("n"))
-    return grids.tile_grid(spark, 251, 251).crossJoin(n)
+    """R6, for frames of the sizes in a table."""
+    sizes = table(spark, d, "part").select((60 + F.col("p_size") * 4).cast("int").alias("h"), (90 + F.col("p_partkey") % 170).cast("int").alias("w")).distinct()
+    return grids.tile_grid(sizes)
 
 
 @query(f"WITH {GRID}, r AS (SELECT time, CASE WHEN isnan(corr(pred_c, t_c)) THEN NULL ELSE corr(pred_c, t_c) END AS r FROM grid GROUP BY 1), s AS (SELECT avg(r) AS m, stddev_pop(r) AS sd FROM r) SELECT time, r, r < m - 2 * sd AS is_anomaly FROM r, s", "r")
@@ -293,18 +294,27 @@ def kelvin_guard(spark, d):
     return clean.kelvin_guard(grid(spark, d).select("time", "y", "x", v.alias("v")), "v")
 
 
-PAIR = GRID + ", pp AS (SELECT pair_id, t1, t2 FROM (SELECT row_number() OVER (ORDER BY time) AS pair_id, time AS t1, lead(time) OVER (ORDER BY time) AS t2 FROM (SELECT DISTINCT time FROM grid)) WHERE pair_id % 10 = 0 AND t2 IS NOT NULL), fr AS (SELECT 'a' AS model, time, y, x, t_c AS value FROM grid)"
+PAIR = GRID + ", pp AS (SELECT pair_id, t1, t2 FROM (SELECT row_number() OVER (ORDER BY time) AS pair_id, time AS t1, lead(time) OVER (ORDER BY time) AS t2 FROM (SELECT DISTINCT time FROM grid)) WHERE t2 IS NOT NULL), fr AS (SELECT 'a' AS model, time, y, x, t_c AS value FROM grid)"
+
+
+def steps(spark, d):
+    """Frames, and all pairs of one time and the next."""
+    g = grid(spark, d)
+    w = Window.orderBy("time")
+    pairs = g.select("time").distinct().select(F.row_number().over(w).cast("bigint").alias("pair_id"), F.col("time").alias("t1"), F.lead("time").over(w).alias("t2")).where("t2 is not null")
+    return g.select(F.lit("a").alias("model"), "time", "y", "x", F.col("t_c").alias("value")), pairs
 
 
 @query(f"WITH {PAIR} SELECT a.model, pair_id, avg(b.value - a.value) AS mean, quantile_cont(b.value - a.value, 0.1) AS p10, quantile_cont(b.value - a.value, 0.9) AS p90, min(b.value - a.value) AS min, max(b.value - a.value) AS max FROM fr a JOIN pp ON pp.t1 = a.time JOIN fr b ON b.time = pp.t2 AND b.y = a.y AND b.x = a.x GROUP BY 1, 2", "mean p10 p90 min max")
 def cooling_by_pair(spark, d):
     """A29."""
-    from pyspark.sql import Window
+    return sampling.cooling_by_pair(*steps(spark, d))
 
-    g = grid(spark, d)
-    w = Window.orderBy("time")
-    pairs = g.select("time").distinct().select(F.row_number().over(w).cast("bigint").alias("pair_id"), F.col("time").alias("t1"), F.lead("time").over(w).alias("t2")).where("pair_id % 10 = 0 and t2 is not null")
-    return sampling.cooling_by_pair(g.select(F.lit("a").alias("model"), "time", "y", "x", F.col("t_c").alias("value")), pairs)
+
+@query(f"WITH {PAIR}, dl AS (SELECT a.model, pair_id, a.y, a.x, b.value - a.value AS d FROM fr a JOIN pp ON pp.t1 = a.time JOIN fr b ON b.time = pp.t2 AND b.y = a.y AND b.x = a.x), m AS (SELECT model, avg(d) AS d FROM dl GROUP BY model, y, x) SELECT model, (SELECT count(DISTINCT pair_id) FROM dl) AS n_pairs, avg(d) AS mean_delta_t, quantile_cont(d, 0.1) AS p10_delta_t, quantile_cont(d, 0.9) AS p90_delta_t FROM m GROUP BY 1", "mean_delta_t p10_delta_t p90_delta_t")
+def cooling_summary(spark, d):
+    """A29, on the mean map."""
+    return sampling.cooling_summary(*steps(spark, d))
 
 
 @query(f"WITH {GRID}, c AS (SELECT y, x, sum(CASE WHEN t_c > 40 THEN 1 ELSE 0 END) AS n FROM grid GROUP BY 1, 2) SELECT 'a' AS model, 100 * avg(CAST(n >= 3 AS DOUBLE)) AS pct_persistent FROM c", "pct_persistent")
@@ -336,9 +346,13 @@ HOUR_RES = "hr AS (SELECT CAST(l_linenumber * 3 % 24 AS INT) AS hour, l_quantity
 def hour_residuals(spark, d):
     """A31."""
     rows = table(spark, d, "lineitem").select((F.col("l_linenumber") * 3 % 24).cast("int").alias("hour"), F.col("l_quantity").alias("pred_c"), (F.col("l_quantity") * (1 + F.col("l_tax") - F.col("l_discount"))).alias("t_c"), F.col("l_extendedprice").alias("feature"))
-    e = F.col("pred_c") - F.col("t_c")
-    r2 = F.when(F.count("*") >= 10, F.regr_r2(e, F.col("feature")))
-    return rows.where(F.col("hour").isin(3, 15)).groupBy("hour").agg(F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("bias"), F.avg("pred_c").alias("pred_mean"), F.avg("t_c").alias("ref_mean"), r2.alias("r2"))
+    return grids.hour_residuals(rows)
+
+
+@query(f"WITH {HOUR_RES}, h AS (SELECT hour, avg(abs(pred_c - t_c)) AS mae, avg(pred_c - t_c) AS bias, avg(pred_c) AS pred_mean, avg(t_c) AS ref_mean, regr_r2(pred_c - t_c, feature) AS r2 FROM hr WHERE hour IN (3, 15) GROUP BY 1) SELECT a.mae - b.mae AS delta_mae, a.bias - b.bias AS delta_bias, a.pred_mean - b.pred_mean AS delta_pred_mean, a.ref_mean - b.ref_mean AS delta_ref_mean, a.r2 - b.r2 AS delta_r2 FROM h a, h b WHERE a.hour = 15 AND b.hour = 3", "delta_mae delta_bias delta_pred_mean delta_ref_mean delta_r2")
+def day_night_delta(spark, d):
+    """A31, the day's figures less the night's."""
+    return grids.day_night_delta(hour_residuals.__wrapped__(spark, d))
 
 
 @query("SELECT p_partkey AS k, CAST(CAST(p_partkey % 90 AS VARCHAR) AS DOUBLE) AS lat, TRY_CAST(CASE WHEN p_partkey % 5 = 0 THEN 'x' ELSE CAST(p_size AS VARCHAR) END AS DOUBLE) AS lon FROM part")

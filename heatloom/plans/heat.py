@@ -134,17 +134,17 @@ def daily_alerts(spark, d):
 
 ALERT_EVENTS = ALERT_DAILY + """, fl AS (SELECT *, row_number() OVER (ORDER BY day) AS n, CASE alert_level WHEN 'severe' THEN 3 WHEN 'warning' THEN 2 WHEN 'watch' THEN 1 ELSE 0 END AS rk FROM days),
 ho AS (SELECT *, n - row_number() OVER (ORDER BY day) AS run FROM fl WHERE rk >= 2),
-ae AS (SELECT min(day) AS start_date, max(day) AS end_date, count(*) AS duration_days, max(rk) AS rk, max(exceed_fraction) AS peak_exceed_fraction, max(max_pred_c) AS peak_max_pred_c FROM ho GROUP BY run HAVING count(*) >= 2),
-aev AS (SELECT start_date, end_date, duration_days, CASE rk WHEN 3 THEN 'severe' ELSE 'warning' END AS peak_alert_level, peak_exceed_fraction, peak_max_pred_c, row_number() OVER (ORDER BY start_date) AS event_id FROM ae)"""
+ae AS (SELECT min(day) AS start_date, max(day) AS end_date, count(*) AS duration_days, max(rk) AS rk, max(exceed_fraction) AS peak_exceed_fraction, max(max_pred_c) AS peak_max_pred_c, max(max_exceedance_c) AS peak_max_exceedance_c, (list(day ORDER BY max_exceedance_c DESC NULLS LAST, day))[1] AS peak_date FROM ho GROUP BY run HAVING count(*) >= 2),
+aev AS (SELECT start_date, end_date, duration_days, CASE rk WHEN 3 THEN 'severe' ELSE 'warning' END AS peak_alert_level, peak_exceed_fraction, peak_max_pred_c, peak_max_exceedance_c, peak_date, row_number() OVER (ORDER BY start_date) AS event_id FROM ae)"""
 
 
 def alert_events_of(spark, d):
     flagged = days_of(spark, d).withColumn("flag", (C.level_rank(F.col("alert_level")) >= 2).cast("int"))
     peaks = heat.heat_peaks()
-    return heat.events_from_flags(flagged, "flag", min_days=2, extra={k: peaks[k] for k in ("peak_alert_level", "peak_exceed_fraction", "peak_max_pred_c")})
+    return heat.events_from_flags(flagged, "flag", min_days=2, extra={k: peaks[k] for k in ("peak_date", "peak_alert_level", "peak_exceed_fraction", "peak_max_pred_c", "peak_max_exceedance_c")})
 
 
-@query(f"WITH {ALERT_EVENTS} SELECT * FROM aev", "peak_exceed_fraction peak_max_pred_c")
+@query(f"WITH {ALERT_EVENTS} SELECT * FROM aev", "peak_exceed_fraction peak_max_pred_c peak_max_exceedance_c")
 def alert_events(spark, d):
     return alert_events_of(spark, d)
 

@@ -44,11 +44,11 @@ def verify_grouping_sets(spark, d):
     return verify.verify_grouping_sets(pairs(spark, d), "pred_c", "obs_c", "ref_c", [[], ["segment"], ["station_id"], ["segment", "station_id"]])
 
 
-STATION = HOURLY + ", pred AS (SELECT time, station_id, obs_c * 1.05 - 1 AS pred_c FROM hourly WHERE hour(time) % 2 = 0)"
+STATION = HOURLY + ", pred AS (SELECT time, station_id, obs_c * 1.05 - 1 AS pred_c FROM hourly)"
 
 
 def station_pred(spark, d):
-    return heat.hourly_station_mean(obs(spark, d)).where("hour(time) % 2 = 0").select("time", "station_id", (F.col("obs_c") * 1.05 - 1).alias("pred_c"))
+    return heat.hourly_station_mean(obs(spark, d)).select("time", "station_id", (F.col("obs_c") * 1.05 - 1).alias("pred_c"))
 
 
 @query(f"WITH {STATION} SELECT p.time, p.station_id, p.pred_c, h.obs_c FROM pred p JOIN hourly h USING (time, station_id)", "pred_c obs_c")

@@ -9,7 +9,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heatloom.functions import columns as C
@@ -66,10 +66,13 @@ def read_prediction_maps(spark: SparkSession, path: str, pattern: str = "*.npy",
                 yield pd.DataFrame({"time": time, "y": y.ravel(), "x": x.ravel(), "pred_c": frame.ravel().astype(float), "h": frame.shape[0], "w": frame.shape[1]})
 
     rows = named.mapInPandas(cells, "time timestamp, y int, x int, pred_c double, h int, w int")
-    shape = F.struct("h", "w")
-    same = Window.partitionBy()
-    checked = rows.groupBy("time", "h", "w").count().withColumn("bad", F.min(shape).over(same) != F.max(shape).over(same)).agg(F.bool_or("bad").alias("bad")).first()
-    if checked.bad:
+    def shapes(batches):
+        for pdf in batches:
+            found = [np.lib.format.read_magic(f := io.BytesIO(content)) and np.lib.format.read_array_header_1_0(f)[0] for content in pdf.content]
+            yield pd.DataFrame({"h": [s[0] for s in found], "w": [s[1] if len(s) > 1 else 0 for s in found]})
+
+    # the shapes stand at the head of each file, so no frame is decoded for them
+    if named.select("content").mapInPandas(shapes, "h int, w int").distinct().count() > 1:
         raise ValueError("frames have different shapes")
     return rows.select(F.lit(model).alias("model"), "time", "y", "x", "pred_c")
 
@@ -111,11 +114,15 @@ def read_grid(spark: SparkSession, path: str, start: str | None = None, end: str
 def write_alerts(hourly: DataFrame, daily: DataFrame, events: DataFrame, summary: DataFrame, path: str) -> None:
     """CSV tables of the alerts, and their summary as JSON with sorted keys."""
     for name, df in (("hourly", hourly), ("daily", daily), ("events", events)):
-        df.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/{name}")  # a row an hour, a day or an event
+        (df if name == "hourly" else df.coalesce(1)).write.mode("overwrite").option("header", True).csv(f"{path}/{name}")  # a row a day or an event
     summary.select(C.to_sorted_json(summary.columns).alias("value")).write.mode("overwrite").text(f"{path}/summary")
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder name under the shared one that spark.checkpoint.dir names; a local one only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "heatloom-scratch")
+    """A new folder name under the shared one that spark.checkpoint.dir names. Where it names none, a local one serves a local master; a cluster must name it."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = os.path.join(tempfile.gettempdir(), "heatloom-scratch")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

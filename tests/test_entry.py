@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 
 def test_entry(spark):
     df = entry.entry(spark)
-    assert "event_id" in df.columns and df.count() >= 0
+    assert "event_id" in df.columns and df.count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 

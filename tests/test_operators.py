@@ -195,7 +195,7 @@ def test_idw_stays_between_stations(spark):
 def test_upsampled_and_mosaicked_constants(spark):
     lr = spark.createDataFrame([(0, y, x, 5.0) for y in range(3) for x in range(2)], "t int, gy int, gx int, v double")
     assert {round(r.v, 9) for r in grids.upsample(lr, (3, 2), (9, 8), ["t"], "v").collect()} == {5.0}
-    corners = grids.tile_grid(spark, 10, 7, 4, 3)
+    corners = grids.tile_grid(spark.createDataFrame([(10, 7)], "h int, w int"), 4, 3)
     assert {r.y0 for r in corners.collect()} == {0, 3, 6} and {r.x0 for r in corners.collect()} == {0, 3}
     cell = F.explode(F.sequence(F.lit(0), F.lit(3)))
     tiles = corners.withColumn("dy", cell).withColumn("dx", cell).withColumns({"time": F.lit(1), "value": F.lit(2.5)})
@@ -247,6 +247,71 @@ def test_vif_and_scaling(spark):
     assert {r.v for r in stats.robust_scale(flat, ["v"]).collect()} == {0.0}
 
 
+def test_repair_goes_on_from_repaired_frames(spark):
+    """Two bad frames in a row: the first has no good frame after it, so space; the second takes the mean of that repaired frame and the next."""
+    good = lambda t: np.add.outer(np.arange(4.0), np.arange(5.0)) + t
+    frames = [good(t) for t in range(7)]
+    holes = {0: [(2, 2)], 2: [(1, 1), (0, 3)], 3: [(1, 1)], 5: [(3, 3)], 6: [(3, 3), (0, 0)]}
+    for t, cells in holes.items():
+        for c in cells:
+            frames[t][c] = np.nan
+    kernel = grids.gaussian_kernel(1.0, 4)
+    want, by = [f.copy() for f in frames], {}
+    for t, f in enumerate(want):
+        bad = ~np.isfinite(f)
+        for c in zip(*np.nonzero(bad), strict=True):
+            if 0 < t < 6 and np.isfinite(want[t - 1][c]) and np.isfinite(frames[t + 1][c]):
+                f[c], by[t, *c] = (want[t - 1][c] + frames[t + 1][c]) / 2, "time"
+        left = ~np.isfinite(f)
+        f[left] = grids.smooth(np.nan_to_num(f), kernel)[left]
+        by |= {(t, *c): by.get((t, *c), "space") for c in zip(*np.nonzero(bad), strict=True)}
+    rows = [(y, x, T0 + timedelta(hours=t), float(frames[t][y, x])) for t in range(7) for y in range(4) for x in range(5)]
+    got = grids.repair_nan(spark.createDataFrame(rows, "y int, x int, time timestamp, value double")).collect()
+    assert len(got) == len(rows) and by[3, 1, 1] == "time" and by[2, 1, 1] == "space"
+    for r in got:
+        assert r.value == pytest.approx(want[r.time.hour][r.y, r.x]) and r.repaired_by == by.get((r.time.hour, r.y, r.x), "none")
+
+
+def test_variograms_agree_on_a_lattice(spark):
+    rng = np.random.default_rng(2)
+    xy = np.array([(i, j) for i in range(8) for j in range(8)], float)
+    v = rng.normal(size=64)
+    df = spark.createDataFrame([(k, *map(float, p), float(z)) for k, (p, z) in enumerate(zip(xy, v, strict=True))], "id int, x double, y double, value double")
+    table = geostat.variogram(df).orderBy("bin").toPandas()
+    lag, semi = geostat.empirical(xy, v)
+    assert np.allclose(table.lag, lag) and np.allclose(table.semivariance, semi)
+    i, j = np.triu_indices(64, 1)
+    d = np.sqrt(((xy[i] - xy[j]) ** 2).sum(1))
+    which = np.digitize(d, np.linspace(0, d.max() / 2, 16)) - 1
+    assert np.allclose(lag, [d[which == b].mean() for b in range(15) if (which == b).sum() >= 10])
+
+
+def test_names_are_decomposed(spark):
+    row = spark.createDataFrame([("\tÇa  d'Œuvre ő ŀ ﬁ \n", None, "")], "a string, b string, c string").select(*[C.norm_text(F.col(c)) for c in "abc"]).first()
+    assert list(row) == ["ca d'œuvre o l· fi", None, ""]
+
+
+def test_noise_does_not_depend_on_partitions(spark):
+    df = spark.createDataFrame([(k, "v", 1.0) for k in range(2_000)], "y int, variable string, value double")
+    one, two = (sorted(map(tuple, sampling.perturb(df.repartition(n), "v", [0.5], 2, 3).collect())) for n in (1, 5))
+    values = np.array([r[2] for r in one])
+    assert one == two and abs(values.mean() - 1) < 0.05 and abs(values.std() - 0.5) < 0.03
+
+
+def test_draws_are_never_lost(spark):
+    """Weights whose sum falls short of 1, and one row that spans most parts."""
+    cdf = sampling.weights_cdf(spark.createDataFrame([(k, 0.9 if k == 3 else 0.001) for k in range(50)], "k int, weight double"), ["k"])
+    assert sampling.sample_times(cdf, 5_000, 1).count() == 5_000
+
+
+def test_peak_day_is_that_of_the_largest_exceedance(spark):
+    day = lambda k: (T0 + timedelta(days=k)).date()
+    rows = [(day(0), 1, "warning", 0.9, 30.0, 1.0), (day(1), 1, "severe", 0.2, 31.0, 4.0), (day(2), 1, "warning", 0.3, 35.0, 4.0), (day(3), 1, "warning", 0.1, 20.0, None), (day(4), 0, "normal", 0.0, 9.0, 9.0)]
+    df = spark.createDataFrame(rows, "day date, flag int, alert_level string, exceed_fraction double, max_pred_c double, max_exceedance_c double")
+    r = heat.events_from_flags(df, "flag", extra=heat.heat_peaks()).first()
+    assert (r.peak_date, r.peak_alert_level, r.peak_max_exceedance_c, r.peak_max_pred_c, r.peak_exceed_fraction) == (day(1), "severe", 4.0, 35.0, 0.9)
+
+
 def test_bootstrap_repeats_and_holds_the_mean(spark):
     raw = spark.createDataFrame([("a", float(k), 1.0) for k in range(20)] + [("b", 3.0, 1.0)], "model string, mae double, ssim double")
     one, two = (sorted(map(tuple, stats.bootstrap_mean_ci(raw.repartition(n), ["model"], ["mae"], 300).collect())) for n in (1, 3))
