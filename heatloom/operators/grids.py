@@ -278,6 +278,13 @@ def frame_of(pdf: pd.DataFrame, value: str) -> np.ndarray:
     return out
 
 
+def values_at(frame: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The frame's values at some cells; NaN outside it."""
+    inside, out = (y < frame.shape[0]) & (x < frame.shape[1]), np.full(len(y), np.nan)
+    out[inside] = frame[y[inside], x[inside]]
+    return out
+
+
 def repair_nan(df: DataFrame, value: str = "value", sigma: float = 1.0) -> DataFrame:
     """y, x, time, value, repaired_by: a bad cell takes the mean of the frames before and after it, else a Gaussian mean of its zero-filled frame.
 
@@ -304,7 +311,7 @@ def repair_nan(df: DataFrame, value: str = "value", sigma: float = 1.0) -> DataF
             own = own.copy()
             frame = frame_of(own, value)
             hole, by = own[value].isna().to_numpy(), np.full(len(own), "none", object)
-            prev = before[own.y, own.x] if before is not None else own["__a"].to_numpy(float)
+            prev = values_at(before, own.y.to_numpy(), own.x.to_numpy()) if before is not None else own["__a"].to_numpy(float)
             mean = (prev + own["__b"].to_numpy(float)) / 2
             timely = hole & np.isfinite(mean) & ~own.edge.to_numpy(bool)
             frame[own.y[timely], own.x[timely]] = mean[timely]

@@ -46,4 +46,6 @@ def test_same_rows_as_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_gives_rows(spark, name):
-    assert registry.queries()[name](spark, SF).count() > 0
+    # kriging learns from 200 points or more, which the smallest table doesn't hold outside a block
+    sf = "/root/testdata/sf0.01" if name == "block_cv" else SF
+    assert registry.queries()[name](spark, sf).count() > 0
