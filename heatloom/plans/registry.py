@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heatloom.plans import base, grids, heat, live, stats, verify
+from heatloom.plans import base, files, grids, heat, live, stats, verify
 
-__all__ = ["grids", "heat", "live", "stats", "verify", "oracle_sql", "queries"]
+__all__ = ["files", "grids", "heat", "live", "stats", "verify", "oracle_sql", "queries"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

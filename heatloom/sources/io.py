@@ -9,6 +9,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +78,24 @@ def read_prediction_maps(spark: SparkSession, path: str, pattern: str = "*.npy",
     return rows.select(F.lit(model).alias("model"), "time", "y", "x", "pred_c")
 
 
+def write_prediction_maps(df: DataFrame, path: str) -> None:
+    """A .npy frame for each time of df (time, y, x, pred_c), named by its time; cells without a row are NaN. A task holds one frame."""
+    height, width = df.agg(F.max("y") + 1, F.max("x") + 1).first()
+
+    def write(group: pd.DataFrame) -> pd.DataFrame:
+        frame = np.full((height, width), np.nan)
+        frame[group.y, group.x] = group.pred_c
+        system, root = fs.FileSystem.from_uri(path)
+        system.create_dir(root)
+        with system.open_output_stream(f"{root}/{group['name'].iloc[0]}.npy") as f:
+            np.save(out := io.BytesIO(), frame)
+            f.write(out.getvalue())
+        return group.iloc[:1][["name"]]
+
+    frames = df.withColumn("name", F.date_format("time", "yyyy-MM-dd_HH-mm-ss")).groupBy("name")
+    frames.applyInPandas(write, "name string").write.format("noop").mode("overwrite").save()
+
+
 def read_manifest(spark: SparkSession, path: str, root: str) -> DataFrame:
     """time, path of a manifest CSV in order of time; relative paths are put under root."""
     raw = spark.read.option("header", True).csv(path)
