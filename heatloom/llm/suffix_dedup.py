@@ -290,7 +290,8 @@ def suffix_dedup(docs: DataFrame, piece: int = PIECE, block: int = BLOCK, hot: i
     many = asked_texts(mixed.where(F.col("times") > hot)).dropDuplicates(["k1", "k2"]).select("text", "asked")
     windows = stored(many.mapInArrow(hash_windows, f"{CONTEXT}, place int, w1 bigint, w2 bigint"), "hot-windows")
     twice = stored(windows.groupBy("w1", "w2").agg(F.count("*").alias("times")).where("times > 1").select("w1", "w2"), "hot-repeats")
-    places = windows.join(twice, ["w1", "w2"]).groupBy(*KEYS).agg(F.collect_list(F.struct(F.col("place").alias("a"), (F.col("place") + 1).alias("b"))).alias("spans"))
+    # a filter: a window comes out once at most, however often its bytes occur
+    places = windows.join(twice, ["w1", "w2"], "left_semi").groupBy(*KEYS).agg(F.collect_list(F.struct(F.col("place").alias("a"), (F.col("place") + 1).alias("b"))).alias("spans"))
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
     verdict = kinds.join(sorted_.union(places), KEYS, "left").select(*KEYS, F.when(F.col("copies") > 1, whole).otherwise(F.col("spans")).alias("spans")).where("spans is not null")
     verdict = stored(verdict, "context-verdicts")
