@@ -11,13 +11,16 @@ share. A context is a stretch of windows with one anchor, with the bytes they co
    ranks of two places a period apart. It sorts each bucket's suffixes by their few bytes up to the next place of the cover, the rank there, and the
    few bytes of the window that are left. Anchors lie on multiples of the cover's period, so a bucket's suffixes that can be equal have
    the same way to such a place. Neighbours in the order that agree in all of these are repeats. An anchor with more than `hot` different contexts is
-   no bucket: its windows are hashed (128 bits) and counted, so that no task holds them all.
+   no bucket: blocks of its windows are hashed (128 bits) and counted, and only where they are equal in part fall into smaller blocks, down to
+   single windows, so that no task holds them all.
 4. The repeated windows return to the documents, where their union is removed.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,8 @@ LENGTH, GRAM = 200, 32
 PIECE, BLOCK = 1 << 22, 400_000
 #: Different contexts of an anchor up to which they are sorted in one task.
 HOT = 1_000
+#: Windows in a block of those that have more, step by step; each at most LENGTH, the last 1.
+WIDTHS = (16, 4, 1)
 PLACE_BITS = 24
 PERIOD = 64
 CONTEXT = "h bigint, c bigint, n int, off int"
@@ -142,19 +147,25 @@ def cut_contexts(batches):
             yield pa.RecordBatch.from_arrays([pa.array(v[k : k + 5_000], kinds[x]) for x, v in out.items()], list(out))
 
 
-def hash_windows(batches):
-    """Rows (context, place, w1, w2) of all windows of the contexts that a document is asked for; w1 and w2 are a hash of the window's bytes."""
+def hash_blocks(batches, width: int):
+    """Rows (context, a, b, known, core, w1, w2) of the blocks of the ranges asked of each context: its windows a to b - 1, which have `width` successive
+    distances from the anchor in common with the blocks of other contexts. core: a hash of the bytes that all windows of such a block share, which
+    every context with one of them has. w1, w2: a hash of all bytes of the block's windows."""
     for batch in batches:
-        for text, asked in zip(texts_of(batch), batch.column("asked").to_pylist(), strict=True):
-            view = memoryview(text.encode())
-            for k in range(0, len(asked), 200):
-                some = asked[k : k + 200]
-                n = np.array([x["n"] for x in some])
-                place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                at = np.repeat([x["start"] for x in some], n) + place
-                w = np.frombuffer(b"".join(xxhash.xxh3_128_digest(view[i : i + LENGTH]) for i in at.tolist()), np.int64).reshape(-1, 2)
-                keys = [pa.array(np.repeat(np.array([x[c] for x in some], np.int64 if c in "hc" else np.int32), n)) for c in KEYS]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(place.astype(np.int32)), pa.array(w[:, 0]), pa.array(w[:, 1])], [*KEYS, "place", "w1", "w2"])
+        out: dict[str, list] = {k: [] for k in (*KEYS, "a", "b", "known", "core", "whole")}
+        for h, c, n, off, data, ranges in zip(*(batch.column(k).to_pylist() for k in (*KEYS, "data", "ranges")), strict=True):
+            for x in ranges:
+                for block in range((x["a"] - off) // width, (x["b"] - 1 - off) // width + 1):
+                    low = off + block * width
+                    a, b = max(x["a"], low), min(x["b"], low + width)
+                    out["core"].append(xxhash.xxh3_64_intdigest(struct.pack("<qi", h, block) + data[low + width - 1 : low + LENGTH]))
+                    out["whole"].append(xxhash.xxh3_128_digest(struct.pack("<ii", a - off, b - off) + data[a : b + LENGTH - 1]))
+                    for k, v in zip((*KEYS, "a", "b", "known"), (h, c, n, off, a, b, x["known"]), strict=True):
+                        out[k].append(v)
+        w = np.frombuffer(b"".join(out.pop("whole")), np.int64).reshape(-1, 2)
+        core = pa.array(np.array(out.pop("core"), np.uint64).view(np.int64))
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([*(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)), core, pa.array(w[:, 0]), pa.array(w[:, 1])], [*out, "core", "w1", "w2"])
 
 
 def repeated_windows(bucket: np.ndarray, n: np.ndarray, off: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -260,6 +271,28 @@ def remove(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))], ["doc_id", *out])
 
 
+def repeated_ranges(contexts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """KEYS and spans, the ranges of repeated windows, of contexts (KEYS, data), and the tables that it reads.
+
+    Blocks of WIDTHS[0] windows are compared first. A block that another context has in full is repeated; one whose core no other has holds no repeat.
+    Only between these do blocks fall into smaller ones, each different block once (known: its own windows are already decided).
+    """
+    done, used = [], []
+    asked = contexts.select("*", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"), F.lit(False).alias("known"))).alias("ranges"))
+    for width in WIDTHS:
+        blocks = stored(asked.mapInArrow(lambda batches, width=width: hash_blocks(batches, width), f"{CONTEXT}, a int, b int, known boolean, core bigint, w1 bigint, w2 bigint"), "hot-blocks")
+        # Counts are tables of their own here too, so that joins can split a frequent core.
+        one = F.min(F.struct(*KEYS, "a", "b", "known")).alias("one")
+        different = stored(blocks.groupBy("core", "w1", "w2").agg(F.count("*").alias("times"), one), "hot-different")
+        done.append(blocks.where("not known").join(different.where("times > 1"), ["w1", "w2"], "left_semi").select(*KEYS, "a", "b"))
+        used += [blocks, different]
+        if width > 1:
+            torn = different.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1").select("core")
+            ranges = F.collect_list(F.struct("one.a", "one.b", (F.col("one.known") | (F.col("times") > 1)).alias("known"))).alias("ranges")
+            asked = contexts.join(different.join(torn, "core", "left_semi").groupBy(*[F.col(f"one.{k}").alias(k) for k in KEYS]).agg(ranges), KEYS)
+    return reduce(DataFrame.union, done).groupBy(*KEYS).agg(F.collect_list(F.struct("a", "b")).alias("spans")), used
+
+
 def suffix_dedup(docs: DataFrame, piece: int = PIECE, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary) of every row of docs (doc_id, text).
 
@@ -288,14 +321,12 @@ def suffix_dedup(docs: DataFrame, piece: int = PIECE, block: int = BLOCK, hot: i
     sorted_ = stored(ordered.mapInArrow(lambda batches: sort_buckets(batches, block), f"{CONTEXT}, spans {spans}"), "context-repeats")
     drop(listed, often)
     many = asked_texts(mixed.where(F.col("times") > hot)).dropDuplicates(["k1", "k2"]).select("text", "asked")
-    windows = stored(many.mapInArrow(hash_windows, f"{CONTEXT}, place int, w1 bigint, w2 bigint"), "hot-windows")
-    twice = stored(windows.groupBy("w1", "w2").agg(F.count("*").alias("times")).where("times > 1").select("w1", "w2"), "hot-repeats")
-    # a filter: a window comes out once at most, however often its bytes occur
-    places = windows.join(twice, ["w1", "w2"], "left_semi").groupBy(*KEYS).agg(F.collect_list(F.struct(F.col("place").alias("a"), (F.col("place") + 1).alias("b"))).alias("spans"))
+    crowd = stored(many.mapInArrow(cut_contexts, f"{CONTEXT}, data binary"), "hot-contexts")
+    places, used = repeated_ranges(crowd)
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
     verdict = kinds.join(sorted_.union(places), KEYS, "left").select(*KEYS, F.when(F.col("copies") > 1, whole).otherwise(F.col("spans")).alias("spans")).where("spans is not null")
     verdict = stored(verdict, "context-verdicts")
-    drop(kinds, mixed, sorted_, windows, twice)
+    drop(kinds, mixed, sorted_, crowd, *used)
     found = shared.join(verdict, KEYS).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "spans")).alias("found"))
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
     return rows.join(found, ["k1", "k2"], "left").select("doc_id", "text", "found").mapInArrow(remove, schema)
