@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from heatloom.llm import decontaminate, line_dedup
 from heatloom.llm.common import read_table
 from heatloom.llm.neighbours import nearest
+from heatloom.llm.periodic_runs import run_digests
 from heatloom.llm.piece_codec import encode_decode
 from heatloom.llm.pii import find_private
 from heatloom.llm.quality import quality_scores
@@ -59,9 +60,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_suffix_dedup, op2_piece_codec, op3_private_data, op4_line_dedup, op5_token_counts, op6_simhash, op7_neighbours, op8_decontamination, op9_token_store, op10_quality,
+        op13_periodic_runs,
     )}
 
 
