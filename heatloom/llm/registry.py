@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from heatloom.llm import decontaminate, line_dedup, vector_codes
+from heatloom.llm import decontaminate, jaccard_join, line_dedup, vector_codes
 from heatloom.llm.common import read_table
 from heatloom.llm.neighbours import nearest
 from heatloom.llm.periodic_runs import run_digests
@@ -64,6 +64,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.code_digests(read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_components(read_table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(read_table(spark, sf_dir, "documents"))
 
@@ -71,9 +75,9 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_suffix_dedup, op2_piece_codec, op3_private_data, op4_line_dedup, op5_token_counts, op6_simhash, op7_neighbours, op8_decontamination, op9_token_store, op10_quality,
-        op11_vector_codes, op13_periodic_runs,
+        op11_vector_codes, op12_jaccard_join, op13_periodic_runs,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_dedup.ORACLE, "op8_decontamination": decontaminate.ORACLE, "op11_vector_codes": vector_codes.ORACLE}
+    return {"op4_line_dedup": line_dedup.ORACLE, "op8_decontamination": decontaminate.ORACLE, "op11_vector_codes": vector_codes.ORACLE, "op12_jaccard_join": jaccard_join.ORACLE}

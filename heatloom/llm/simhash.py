@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from heatloom.llm.common import drop, keyed, stored, texts_of, unkeyed
 from heatloom.llm.components import components
+from heatloom.llm.shingle_sets import blocks_of, dense_links, gram_set, grams_of, may_be_similar, near_somebody, segment_counts
 
 ODD = 0x5555555555555555  # the lower bit of every segment
 
@@ -127,14 +128,6 @@ def fingerprint_links(nodes: DataFrame, radius: int = 3, groups: int | None = No
     return links
 
 
-def blocks_of(cells: DataFrame, member: str, block: int) -> DataFrame:
-    """cells (cell, member, n: members of the cell) dealt to pairs (i, j) of blocks of about `block` members, chosen by hash: any two members of a cell meet in one."""
-    many = cells.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    own = many.withColumn("own", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("n", "blocks", "own", "other")
-
-
 def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
     """doc_id, fingerprint, component_id of every row of docs (doc_id, text).
 
@@ -161,53 +154,6 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
 SAMPLE, LISTED = 16, 100_000
 #: A cell of up to this many nodes gives its pairs to a join; a larger one is compared in blocks of BLOCK nodes.
 FEW, BLOCK = 12, 512
-#: Segments of hashes: about one for SHARE shingles, a power of two; sets of different sizes are compared by the lesser number.
-SHARE, LEAST_SEGMENTS, MOST_SEGMENTS = 4, 64, 4_096
-
-
-def gram_set(words: list[bytes], k: int) -> np.ndarray:
-    """Distinct hashes of the k-word shingles, in order; a shorter text is one shingle."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.array(list(map(xxhash.xxh3_64_intdigest, words)), np.uint64)
-    n = max(1, len(words) - k + 1)
-    mixed = np.full(n, min(len(words), k), np.uint64)
-    for i in range(min(len(words), k)):
-        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
-    mixed ^= mixed >> np.uint64(29)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique(mixed ^ (mixed >> np.uint64(32)))
-
-
-def segment_counts(grams: np.ndarray) -> np.ndarray:
-    """The number of shingles in each segment of the hashes (by their leading bits)."""
-    bits = min(max(int(len(grams) // SHARE).bit_length(), LEAST_SEGMENTS.bit_length() - 1), MOST_SEGMENTS.bit_length() - 1)
-    found = np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-    return np.minimum(found, 65_535).astype("<u2")  # what is cut off makes distances smaller, so they stay a bound
-
-
-def folded(counts: np.ndarray, segments: int) -> np.ndarray:
-    """Counts of fewer, larger segments."""
-    return counts.astype(np.int64).reshape(segments, -1).sum(1)
-
-
-def may_be_similar(x: bytes, y: bytes, size_x: int, size_y: int, similarity: float) -> bool:
-    """False if the Manhattan distance shows that two sets are further apart than `similarity` allows."""
-    a, b = np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")
-    n = min(len(a), len(b))
-    return np.abs(folded(a, n) - folded(b, n)).sum() <= (size_x + size_y) * (1 - similarity) / (1 + similarity) + 1e-6
-
-
-def near_somebody(counts: list[bytes], sizes: np.ndarray, similarity: float) -> np.ndarray:
-    """True for each set for which the Manhattan distance doesn't rule out a similar one in the list."""
-    table = np.array([folded(np.frombuffer(c, "<u2"), LEAST_SEGMENTS) for c in counts], np.float32)
-    near = np.zeros(len(counts), bool)
-    for k in range(0, len(counts), 32):
-        apart_by = np.abs(table[k : k + 32, None, :] - table[None, :, :]).sum(2)
-        close = apart_by <= (sizes[k : k + 32, None] + sizes[None, :]) * (1 - similarity) / (1 + similarity) + 1e-3
-        close[np.arange(len(close)), np.arange(k, k + len(close))] = False
-        near[k : k + 32] = close.any(1)
-    return near
 
 
 def frequent_grams(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -261,10 +207,6 @@ def prefix_table(docs: DataFrame, k: int, similarity: float, frequent: tuple[np.
     return docs.mapInArrow(run, "k1 bigint, k2 bigint, node bigint, size int, prefix array<bigint>, counts binary")
 
 
-def grams_of(text: str | None, k: int) -> np.ndarray:
-    return gram_set((text or "").encode().lower().split(), k)
-
-
 def similar_pairs(pairs: DataFrame, k: int, similarity: float) -> DataFrame:
     """a, b of the rows of pairs (a, b, x, y: texts) whose shingle sets are similar."""
 
@@ -280,34 +222,6 @@ def similar_pairs(pairs: DataFrame, k: int, similarity: float) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def similar_forest(grams: list[np.ndarray], similarity: float) -> np.ndarray:
-    """Label of each node: the first one that it reaches over similar pairs inside the list."""
-    n = len(grams)
-    sizes = np.array([len(g) for g in grams])
-    # common shingles of all pairs: those that several nodes have, a block of columns at a time
-    owner = np.repeat(np.arange(n), sizes)
-    kinds, column, times = np.unique(np.concatenate(grams) if len(owner) else np.zeros(0, np.int64), return_inverse=True, return_counts=True)
-    keep = times[column] > 1 if len(kinds) else np.zeros(0, bool)
-    owner, column = owner[keep], np.unique(column[keep], return_inverse=True)[1] if keep.any() else column[keep]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    common = np.zeros((n, n), np.float32)
-    for a in range(0, int(column[-1]) + 1 if len(column) else 0, 4_096):
-        low, high = np.searchsorted(column, [a, a + 4_096])
-        part = np.zeros((n, 4_096), np.float32)
-        part[owner[low:high], column[low:high] - a] = 1
-        common += part @ part.T
-    near = common >= similarity * (sizes[:, None] + sizes[None, :] - common) - 1e-6
-    np.fill_diagonal(near, True)
-    label = np.arange(n)
-    while True:
-        new = np.where(near, label[None, :], n).min(axis=1)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def possible_pairs(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) that the Manhattan distance of their segment counts doesn't rule out. nodes: node, size, counts."""
     both = pairs
@@ -362,20 +276,15 @@ def first_of_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -
     many = blocks_of(counted, "node", BLOCK).groupBy("cell", "i", "j").applyInPandas(possible, "cell bigint, node bigint")
     many = stored(many.distinct(), "prefix-many")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(many.select("node")).distinct()
-    chosen = stored(wanted.join(nodes, "node").select("k1", "k2", "node"), "near-nodes")
+    chosen = stored(wanted.join(nodes, "node").select("k1", "k2", "node", "size"), "near-nodes")
     # texts travel, not shingle sets: they are smaller
-    near = stored(texts.join(chosen, ["k1", "k2"]).select("node", "text").dropDuplicates(["node"]), "near-texts")
+    near = stored(texts.join(chosen, ["k1", "k2"]).select("node", "size", "text").dropDuplicates(["node"]), "near-texts")
     drop(led, leaders, chosen)
-    both = pairs.join(near.withColumnsRenamed({"node": "a", "text": "x"}), "a").join(near.withColumnsRenamed({"node": "b", "text": "y"}), "b")
-    left = stored(many.groupBy("cell").agg(F.count("*").alias("n")), "prefix-left")
-    dealt = blocks_of(many.join(left, "cell").join(near, "node"), "node", BLOCK)
-
-    def link(group: pd.DataFrame) -> pd.DataFrame:
-        label = similar_forest([grams_of(t, k) for t in group.text], similarity)
-        off, ids = label != np.arange(len(label)), group.node.to_numpy()
-        return pd.DataFrame({"a": ids[off], "b": ids[label[off]]})
+    both = pairs.join(near.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(near.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    left = stored(many.join(near.select("node", "size"), "node").groupBy("cell").agg(F.count("*").alias("n"), F.max("size").alias("most")), "prefix-left")
+    dealt = blocks_of(many.join(left, "cell").join(near.select("node", "text"), "node"), "node", BLOCK)
 
-    links = similar_pairs(both, k, similarity).union(dealt.groupBy("cell", "i", "j").applyInPandas(link, "a bigint, b bigint"))
+    links = similar_pairs(both, k, similarity).union(dense_links(dealt, k, round(100 * similarity)))
     links = stored(links, "near-links")
     drop(pairs, many, left, near)
     roots = components(links)

@@ -14,7 +14,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from heatloom.llm import decontaminate, line_dedup, neighbours, pii, quality, registry, simhash, suffix_dedup, token_counts, token_store
+from heatloom.llm import decontaminate, line_dedup, neighbours, pii, quality, registry, shingle_sets, simhash, suffix_dedup, token_counts, token_store
 from heatloom.llm.components import components
 from heatloom.llm.piece_codec import encode_decode
 
@@ -274,14 +274,14 @@ def test_segment_counts_bound():
         x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
         for cut in (0, 1, n // 9, n // 2):
             y = np.unique(np.concatenate([x[cut:], rng.integers(0, 2**63, cut).astype(np.uint64) * np.uint64(2) + np.uint64(1)]))
-            a, b = simhash.segment_counts(x), simhash.segment_counts(y)
+            a, b = shingle_sets.segment_counts(x), shingle_sets.segment_counts(y)
             m = min(len(a), len(b))
-            assert np.abs(simhash.folded(a, m) - simhash.folded(b, m)).sum() <= len(np.setxor1d(x, y))
+            assert np.abs(shingle_sets.folded(a, m) - shingle_sets.folded(b, m)).sum() <= len(np.setxor1d(x, y))
             similar = len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y))
-            assert simhash.may_be_similar(a.tobytes(), b.tobytes(), len(x), len(y), 0.8) or not similar
-            assert simhash.near_somebody([a.tobytes(), b.tobytes()], np.array([len(x), len(y)]), 0.8).all() or not similar
+            assert shingle_sets.may_be_similar(a.tobytes(), b.tobytes(), len(x), len(y), 0.8) or not similar
+            assert shingle_sets.near_somebody([a.tobytes(), b.tobytes()], np.array([len(x), len(y)]), 0.8).all() or not similar
     y = np.unique(rng.integers(0, 2**63, 9_000).astype(np.uint64))
-    assert not simhash.may_be_similar(simhash.segment_counts(x).tobytes(), simhash.segment_counts(y).tobytes(), len(x), len(y), 0.8)
+    assert not shingle_sets.may_be_similar(shingle_sets.segment_counts(x).tobytes(), shingle_sets.segment_counts(y).tobytes(), len(x), len(y), 0.8)
 
 
 def test_components(spark):
@@ -642,9 +642,10 @@ def test_oracles(spark):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in registry.oracle_sql().items():
-        got = rows_of(registry.queries()[name](spark, SF))
-        want = con.sql(sql).df().sort_values("doc_id").reset_index(drop=True)
+        df = registry.queries()[name](spark, SF)
+        got = rows_of(df, df.columns[0])
+        want = con.sql(sql).df().sort_values(df.columns[0]).reset_index(drop=True)
         pd.testing.assert_frame_equal(got, want[got.columns], check_dtype=False)
