@@ -196,18 +196,19 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-#: DuckDB SQL: sets of shingles (g), the different ones, pairs by common shingles, and what each one reaches.
+#: DuckDB SQL: sets of shingles (g), the different ones (by h, a digest), pairs by common shingles, and what each one reaches.
 ORACLE = r"""
 WITH RECURSIVE t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
-w AS (SELECT doc_id, list_filter(string_split_regex(text, '[ 	-
-]+'), lambda x: x <> '') AS w FROM t),
-s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS g FROM w),
-c AS MATERIALIZED (SELECT min(doc_id) AS rep, g, len(g) AS n FROM s GROUP BY g),
-m AS MATERIALIZED (SELECT rep, n, unnest(g) AS g FROM c),
-l AS MATERIALIZED (SELECT x.rep AS a, y.rep AS b FROM m AS x JOIN m AS y ON x.g = y.g AND x.rep <> y.rep AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+w AS MATERIALIZED (SELECT doc_id, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM t),
+p AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0),
+m AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM p),
+s AS MATERIALIZED (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS h FROM m GROUP BY doc_id),
+c AS MATERIALIZED (SELECT h, min(doc_id) AS rep FROM s GROUP BY h),
+o AS MATERIALIZED (SELECT rep, n, g FROM c JOIN s ON s.h = c.h AND s.doc_id = c.rep JOIN m ON m.doc_id = c.rep),
+l AS MATERIALIZED (SELECT x.rep AS a, y.rep AS b FROM o AS x JOIN o AS y ON x.g = y.g AND x.rep <> y.rep AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
   GROUP BY x.rep, y.rep, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
-r AS (SELECT rep AS a, rep AS b FROM c UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
-k AS (SELECT a AS rep, min(b) AS component_id FROM r GROUP BY a)
-SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, CASE WHEN len(s.g) = 0 THEN s.doc_id ELSE k.component_id END AS component_id
-FROM s JOIN c ON s.g = c.g JOIN k USING (rep)
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+k AS (SELECT a AS rep, min(b) AS least FROM r GROUP BY a)
+SELECT w.doc_id, coalesce(s.n, 0) AS n_shingles, CASE WHEN s.n IS NULL THEN w.doc_id ELSE least(c.rep, coalesce(k.least, c.rep)) END AS component_id
+FROM w LEFT JOIN s USING (doc_id) LEFT JOIN c USING (h) LEFT JOIN k USING (rep)
 """
