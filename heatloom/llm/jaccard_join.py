@@ -100,8 +100,14 @@ def prefix_table(rows: DataFrame, k: int, percent: int, counts: np.ndarray) -> D
     return rows.mapInArrow(run, "k1 bigint, k2 bigint, doc_id bigint, node bigint, size bigint, prefix array<bigint>, segments binary")
 
 
+def place_and_size(at: str = "at") -> tuple[Column, Column]:
+    """A shingle's position in a prefix and its set's size, which travel in one number."""
+    return F.col(at).bitwiseAND(F.lit(2**32 - 1)).alias("pos"), F.shiftright(at, 32).alias("size")
+
+
 def joined_pairs(cells: DataFrame, percent: int) -> DataFrame:
-    """a, b, size_a, size_b of nodes that share a cell (cell, node, size, pos), once each, as far as lengths and positions leave them similar."""
+    """a, b, size_a, size_b of nodes that share a cell (cell, node, at), once each, as far as lengths and positions leave them similar."""
+    cells = cells.select("cell", "node", *place_and_size())
     x, y = cells.alias("x"), cells.alias("y")
     size_x, size_y = F.col("x.size"), F.col("y.size")
     # before a common shingle two sets share at most the lesser number of shingles there, after it likewise
@@ -161,13 +167,13 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     table = stored(prefix_table(rows, k, percent, counters(rows, k)), "jaccard-rows")
     full = table.where("prefix is not null and size > 0")
     nodes = stored(full.groupBy("node").agg(F.min(F.struct("k1", "k2", "size", "prefix", "segments")).alias("first")).select("node", "first.*"), "jaccard-nodes")
-    cells = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "cell"))
+    cells = nodes.select("node", "size", F.posexplode("prefix").alias("pos", "cell")).select("node", "cell", (F.shiftleft("size", 32) + F.col("pos")).alias("at"))
     sizes = stored(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "jaccard-sizes")
     met = stored(cells.join(sizes, "cell"), "jaccard-cells")
     members = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"members{i}") for i in (0, 1)]
-    different = met.groupBy("cell", "n").agg(*members, F.min("node").alias("leader"), F.sum("pos").alias("place"))
+    different = met.groupBy("cell", "n").agg(*members, F.min("node").alias("leader"), F.sum(place_and_size()[0]).alias("place"))
     different = stored(different.groupBy("n", "members0", "members1", "leader").agg(F.min_by("cell", F.struct("place", "cell")).alias("cell")), "jaccard-different")
-    few = met.where(F.col("n") <= FEW).join(different.where(F.col("n") <= FEW).select("cell"), "cell").select("cell", "node", "size", "pos")
+    few = met.where(F.col("n") <= FEW).join(different.where(F.col("n") <= FEW).select("cell"), "cell").select("cell", "node", "at")
     few = stored(few, "jaccard-few")
     pairs = stored(suffix_filtered(joined_pairs(few, percent), nodes, percent), "jaccard-pairs")
     led = stored(met.where(F.col("n") > FEW).join(different.select("cell", "leader"), "cell").select(F.col("leader").alias("cell"), "node").distinct(), "jaccard-led")
@@ -181,7 +187,7 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     many = stored(blocks_of(counted, "node", BLOCK).groupBy("cell", "i", "j").applyInPandas(possible, "cell bigint, node bigint").distinct(), "jaccard-many")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(many.select("node")).distinct()
     chosen = stored(wanted.join(nodes, "node").select("k1", "k2", "node", "size"), "jaccard-chosen")
-    texts = stored(rows.select("k1", "k2", "text").join(chosen, ["k1", "k2"]).select("node", "size", "text").dropDuplicates(["node"]), "jaccard-texts")
+    texts = stored(rows.select("k1", "k2", "text").join(chosen.hint("merge"), ["k1", "k2"]).select("node", "size", "text").dropDuplicates(["node"]), "jaccard-texts")
     left = stored(many.join(texts.select("node", "size"), "node").groupBy("cell").agg(F.count("*").alias("n"), F.max("size").alias("most")), "jaccard-left")
     dealt = blocks_of(many.join(left, "cell").join(texts.select("node", "text"), "node"), "node", BLOCK)
     links = stored(verified(pairs, texts, k, percent).union(dense_links(dealt, k, percent)), "jaccard-links")
