@@ -48,10 +48,17 @@ def bilinear_weights(stations: DataFrame, lats: DataFrame, lons: DataFrame, key:
     return cells.select(key, F.col("a.i").alias("y"), F.col("b.i").alias("x"), (F.col("a.w") * F.col("b.w")).alias("w"))
 
 
-def weighted_extract(grid: DataFrame, weights: DataFrame, value: str, by: list[str], key: str = "station_id") -> DataFrame:
-    """by, key, value: the weighted mean of the grid's cells with a value. The join keeps only wanted cells before anything is grouped."""
+def weighted_extract(grid: DataFrame, weights: DataFrame, value: str, by: list[str], key: str = "station_id", whole: bool = False) -> DataFrame:
+    """by, key, value: the weighted mean of the grid's cells with a value. The join keeps only wanted cells before anything is grouped.
+
+    With `whole` (bilinear weights) a value is null unless all of a station's cells have one, also where a weight is 0; otherwise (footprints) the weights that are left are divided by.
+    """
     v = C.finite(F.col(value))
-    return grid.join(weights, ["y", "x"]).where(v.isNotNull()).groupBy(*by, key).agg(F.try_divide(F.sum(v * F.col("w")), F.sum("w")).alias(value))
+    if not whole:
+        return grid.join(weights, ["y", "x"]).where(v.isNotNull()).groupBy(*by, key).agg(F.try_divide(F.sum(v * F.col("w")), F.sum("w")).alias(value))
+    needed = weights.groupBy(key).agg(F.count("*").alias("__n"), F.collect_list(F.struct("y", "x", "w")).alias("__c")).select(key, "__n", F.explode("__c").alias("__c")).select(key, "__n", "__c.*")
+    out = grid.join(needed, ["y", "x"]).groupBy(*by, key).agg(F.sum(v * F.col("w")).alias(value), F.count(v).alias("__k"), F.first("__n").alias("__n"))
+    return out.select(*by, key, F.when(F.col("__k") == F.col("__n"), F.col(value)).alias(value))
 
 
 def footprint_weights(stations: DataFrame, radius: int, sigma: float, key: str = "station_id") -> DataFrame:
@@ -152,17 +159,33 @@ def error_map(df: DataFrame, cells: DataFrame, pred: str = "pred_c", ref: str =
     return cells.select("y", "x").distinct().join(known, ["y", "x"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
-def hour_residuals(rows: DataFrame, hours: tuple[int, ...] = (3, 15), least: int = 10) -> DataFrame:
-    """hour, mae, bias, pred_mean, ref_mean, r2 (of the error on the feature, from `least` rows) of rows (hour, pred_c, t_c, feature) at some hours of the day."""
+def hour_residuals(rows: DataFrame, hours: tuple[int, ...] = (3, 14), cell: tuple[str, ...] = ("y", "x"), least: int = 10) -> DataFrame:
+    """hour, mae, pred_mean, ref_mean, r2 of rows (hour, cell, pred_c, t_c, feature) at some hours of the day.
+
+    r2 is that of a line through the cells' mean absolute errors over the feature (a cell's mean one), for at least `least` cells where both are finite.
+    """
+    wanted = rows.where(F.col("hour").isin(*hours)).withColumn("__e", F.abs(F.col("pred_c") - F.col("t_c")))
+    cells = wanted.groupBy("hour", *cell).agg(
+        F.avg("__e").alias("e"), F.avg("feature").alias("f"), F.sum("__e").alias("__se"), F.count("__e").alias("__ne"),
+        *[x for c in ("pred_c", "t_c") for x in (F.sum(c).alias(f"__s_{c}"), F.count(c).alias(f"__n_{c}"))],
+    )
+    e, f = C.finite(F.col("e")), C.finite(F.col("f"))
+    both = e.isNotNull() & f.isNotNull()
+    line = F.when(F.count(F.when(both, 1)) >= least, F.regr_r2(F.when(both, e), F.when(both, f)))
+    mean = lambda c: F.try_divide(F.sum(f"__s_{c}"), F.sum(f"__n_{c}"))
+    return cells.groupBy("hour").agg(F.try_divide(F.sum("__se"), F.sum("__ne")).alias("mae"), mean("pred_c").alias("pred_mean"), mean("t_c").alias("ref_mean"), line.alias("r2"))
+
+
+def overall_residuals(rows: DataFrame) -> DataFrame:
+    """One row: bias, mae and rmse over rows of all hours (pred_c, t_c)."""
     e = F.col("pred_c") - F.col("t_c")
-    r2 = F.when(F.count("*") >= least, F.regr_r2(e, F.col("feature")))
-    return rows.where(F.col("hour").isin(*hours)).groupBy("hour").agg(F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("bias"), F.avg("pred_c").alias("pred_mean"), F.avg("t_c").alias("ref_mean"), r2.alias("r2"))
+    return rows.agg(F.avg(e).alias("bias"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
 
 
-def day_night_delta(residuals: DataFrame, day: int = 15, night: int = 3) -> DataFrame:
-    """One row with the day's figures less the night's, of hour_residuals."""
+def day_night_delta(residuals: DataFrame, day: int = 14, night: int = 3) -> DataFrame:
+    """One row with the night's means less the day's, of hour_residuals."""
     at = lambda c, h: F.max(F.when(F.col("hour") == h, F.col(c)))
-    return residuals.agg(*[(at(c, day) - at(c, night)).alias(f"delta_{c}") for c in ("mae", "bias", "pred_mean", "ref_mean", "r2")])
+    return residuals.agg(*[(at(c, night) - at(c, day)).alias(f"delta_{c}") for c in ("mae", "pred_mean", "ref_mean")])
 
 
 def tile_grid(frames: DataFrame, patch: int = 96, stride: int = 48) -> DataFrame:

@@ -128,13 +128,19 @@ def alert_summary(hourly: DataFrame, daily: DataFrame, events: DataFrame) -> Dat
     return h.crossJoin(d).crossJoin(e).crossJoin(active)  # one row each
 
 
-def heat_events_cooldown(alerts: DataFrame, by: list[str], min_h: float = 6, cooldown_h: float = 12) -> DataFrame:
+def heat_events_cooldown(alerts: DataFrame, by: list[str], min_h: float = 6, cooldown_h: float = 12, silence_h: float | None = None) -> DataFrame:
     """by, start, end, duration_hours, peak_level, peak_temp, peak_area of events with a cooldown.
 
     An event opens at a warning or severe row and closes at the first other row at least cooldown_h after the last such row; the time until then belongs to it. Shorter
-    ones than min_h and the open one are left out. alerts: by, time, alert_level, max_pred_c, exceed_fraction. The limited history of a live detector isn't kept.
+    ones than min_h and the open one are left out. With silence_h, more hours than that without a row end what is open, silence_h after the last row, and so does the end of the rows. alerts: by, time, alert_level, max_pred_c, exceed_fraction. The limited history of a live detector isn't kept.
     """
-    order = Window.partitionBy(*by).orderBy("time")
+    order, session = Window.partitionBy(*by).orderBy("time"), F.lit(0)
+    if silence_h is not None:
+        silent = F.unix_micros("time") - F.unix_micros(F.lag("time").over(order)) > silence_h * 3_600_000_000
+        session = F.coalesce(F.sum("__silent").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+        alerts = alerts.withColumn("__silent", silent.cast("int"))
+    alerts = alerts.withColumn("__s", session)
+    order = Window.partitionBy(*by, "__s").orderBy("time")
     hot = F.col("alert_level").isin("warning", "severe")
     rows = alerts.withColumn("__hot", hot).withColumn("__last", F.last(F.when(hot, F.col("time")), True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     quiet = (F.unix_timestamp("time") - F.unix_timestamp("__last")) / 3600.0
@@ -143,12 +149,15 @@ def heat_events_cooldown(alerts: DataFrame, by: list[str], min_h: float = 6, coo
     rows = rows.withColumn("__k", F.coalesce(F.sum(F.col("__close").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     is_hot = lambda c: F.when(F.col("__hot"), F.col(c))
     rank = F.when(F.col("__hot"), C.level_rank(F.col("alert_level")))
-    runs = rows.groupBy(*by, "__k").agg(
-        F.min(is_hot("time")).alias("start"), F.max(F.when(F.col("__close"), F.col("time"))).alias("end"),
+    closed = F.max(F.when(F.col("__close"), F.col("time")))
+    if silence_h is not None:
+        closed = F.coalesce(closed, F.max("time") + F.make_dt_interval(secs=F.lit(silence_h * 3600)))
+    runs = rows.groupBy(*by, "__s", "__k").agg(
+        F.min(is_hot("time")).alias("start"), closed.alias("end"),
         F.max_by("alert_level", rank).alias("peak_level"), F.max(is_hot("max_pred_c")).alias("peak_temp"), F.max(is_hot("exceed_fraction")).alias("peak_area"),
     ).where("start is not null and end is not null")
     runs = runs.withColumn("duration_hours", (F.unix_timestamp("end") - F.unix_timestamp("start")) / 3600.0)
-    return runs.where(F.col("duration_hours") >= min_h).drop("__k")
+    return runs.where(F.col("duration_hours") >= min_h).drop("__s", "__k")
 
 
 def dynamic_thresholds(history: DataFrame, least_rows: int = 24) -> DataFrame:

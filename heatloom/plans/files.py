@@ -53,7 +53,7 @@ def timestamps(spark, d):
     return io.read_timestamps(spark, path)
 
 
-@query(f"WITH {RUNS} SELECT experiment, CASE WHEN experiment = 'run' THEN 'lstm' ELSE lower(model) END AS model, mae, rmse, ssim, time FROM raw", "mae rmse ssim")
+@query(f"WITH {RUNS} SELECT experiment, CASE WHEN experiment = 'run' THEN 'lstm' ELSE lower(model) END AS model, mae, rmse, ssim, time FROM raw")
 def metric_files(spark, d):
     """Metric rows in one file for each task; one alias."""
     path = io.scratch(spark, "metrics")
@@ -74,7 +74,7 @@ def alert_files(spark, d):
 
 
 @query(
-    f"""WITH {RUNS} SELECT variant AS run, time, CASE WHEN variant <> 'O' THEN mae END AS mae, CASE WHEN variant <> 'F' THEN rmse END AS rmse FROM raw""", "mae rmse"
+    f"""WITH {RUNS} SELECT variant AS run, time, CASE WHEN variant <> 'O' THEN mae END AS mae, CASE WHEN variant <> 'F' THEN rmse END AS rmse FROM raw"""
 )
 def union_runs(spark, d):
     """Three runs, two of which lack a column."""

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from heatloom.functions import columns as C
-from heatloom.operators import clean, grids, heat, sampling
+from heatloom.operators import clean, grids, heat, sampling, scattered
 from heatloom.plans.base import CELLS, GRID, HOURLY, OBS, STATIC, cells, grid, obs, query, static, table
 
 PLACES = OBS + ", st AS (SELECT DISTINCT station_id, lat, lon FROM obs)"
@@ -40,15 +40,16 @@ c AS (SELECT station_id, least(CAST(floor(fy) AS INT), 3) AS y0, least(CAST(floo
 
 
 @query(
-    f"""WITH {BILINEAR}, g AS (SELECT CAST(s_suppkey % 5 AS INT) AS y, CAST(s_suppkey // 5 % 4 AS INT) AS x, avg(s_acctbal) AS v FROM supplier GROUP BY 1, 2) SELECT w.station_id, sum(v * (CASE WHEN y = y0 THEN 1 - wy ELSE wy END) * (CASE WHEN x = x0 THEN 1 - wx ELSE wx END)) AS v
-FROM w JOIN g ON y IN (y0, y0 + 1) AND x IN (x0, x0 + 1) GROUP BY 1""",
+    f"""WITH {BILINEAR}, g AS (SELECT CAST(s_suppkey % 5 AS INT) AS y, CAST(s_suppkey // 5 % 4 AS INT) AS x, avg(s_acctbal) AS v FROM supplier GROUP BY 1, 2),
+k AS (SELECT station_id, y0 + dy AS y, x0 + dx AS x, (CASE dy WHEN 0 THEN 1 - wy ELSE wy END) * (CASE dx WHEN 0 THEN 1 - wx ELSE wx END) AS share FROM w, (SELECT unnest([0, 1]) AS dy), (SELECT unnest([0, 1]) AS dx))
+SELECT station_id, CASE WHEN count(v) = count(*) THEN sum(v * share) END AS v FROM k LEFT JOIN g USING (y, x) GROUP BY 1 HAVING count(v) > 0""",
     "v",
 )
 def bilinear_extract(spark, d):
     """J4."""
     k = F.col("s_suppkey")
     field = table(spark, d, "supplier").groupBy((k % 5).cast("int").alias("y"), (F.floor(k / 5) % 4).cast("int").alias("x")).agg(F.avg("s_acctbal").alias("v"))
-    return grids.weighted_extract(field, grids.bilinear_weights(places(spark, d), *axes(spark)), "v", [])
+    return grids.weighted_extract(field, grids.bilinear_weights(places(spark, d), *axes(spark)), "v", [], whole=True)
 
 
 FOOT = CELLS + """, s AS (SELECT station_id, CAST(CAST(station_id AS INT) % 10 AS INT) AS y, CAST(CAST(station_id AS INT) // 10 % 10 AS INT) AS x FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS station_id FROM events)),
@@ -339,20 +340,60 @@ def robustness_summary(spark, d):
     return sampling.robustness_summary(trials, clean_, ["model", "time"])
 
 
-HOUR_RES = "hr AS (SELECT CAST(l_linenumber * 3 % 24 AS INT) AS hour, l_quantity AS pred_c, l_quantity * (1 + l_tax - l_discount) AS t_c, l_extendedprice AS feature FROM lineitem)"
+HOUR_RES = """hr AS (SELECT CAST(l_linenumber * 7 % 24 AS INT) AS l, CASE l_linenumber WHEN 1 THEN 3 WHEN 2 THEN 14 ELSE l_linenumber END AS hour, CAST(l_suppkey AS INT) AS y, CAST(l_quantity % 3 AS INT) AS x,
+  l_quantity AS pred_c, l_quantity * (1 + l_tax - l_discount) AS t_c, l_extendedprice AS feature FROM lineitem)"""
+HOUR_FIGURES = """c AS (SELECT hour, y, x, avg(abs(pred_c - t_c)) AS e, avg(feature) AS f FROM hr GROUP BY hour, y, x),
+q AS (SELECT hour, CASE WHEN count(*) >= 10 THEN regr_r2(e, f) END AS r2 FROM c GROUP BY hour),
+h AS (SELECT hour, avg(abs(pred_c - t_c)) AS mae, avg(pred_c) AS pred_mean, avg(t_c) AS ref_mean FROM hr WHERE hour IN (3, 14) GROUP BY hour)"""
 
 
-@query(f"WITH {HOUR_RES} SELECT hour, avg(abs(pred_c - t_c)) AS mae, avg(pred_c - t_c) AS bias, avg(pred_c) AS pred_mean, avg(t_c) AS ref_mean, regr_r2(pred_c - t_c, feature) AS r2 FROM hr WHERE hour IN (3, 15) GROUP BY 1", "mae bias pred_mean ref_mean r2")
+def hour_rows(spark, d):
+    k, q = F.col("l_linenumber"), F.col("l_quantity")
+    hour = F.when(k == 1, 3).when(k == 2, 14).otherwise(k.cast("int"))
+    cell = [F.col("l_suppkey").cast("int").alias("y"), (q % 3).cast("int").alias("x")]
+    return table(spark, d, "lineitem").select(hour.alias("hour"), *cell, q.alias("pred_c"), (q * (1 + F.col("l_tax") - F.col("l_discount"))).alias("t_c"), F.col("l_extendedprice").alias("feature"))
+
+
+@query(f"WITH {HOUR_RES}, {HOUR_FIGURES} SELECT hour, mae, pred_mean, ref_mean, r2 FROM h JOIN q USING (hour)", "mae pred_mean ref_mean r2")
 def hour_residuals(spark, d):
-    """A31."""
-    rows = table(spark, d, "lineitem").select((F.col("l_linenumber") * 3 % 24).cast("int").alias("hour"), F.col("l_quantity").alias("pred_c"), (F.col("l_quantity") * (1 + F.col("l_tax") - F.col("l_discount"))).alias("t_c"), F.col("l_extendedprice").alias("feature"))
-    return grids.hour_residuals(rows)
+    """A31, hours 3 and 14."""
+    return grids.hour_residuals(hour_rows(spark, d))
+
 
+@query(f"WITH {HOUR_RES} SELECT avg(pred_c - t_c) AS bias, avg(abs(pred_c - t_c)) AS mae, sqrt(avg((pred_c - t_c) * (pred_c - t_c))) AS rmse FROM hr", "bias mae rmse")
+def overall_residuals(spark, d):
+    """A31, all hours."""
+    return grids.overall_residuals(hour_rows(spark, d))
 
-@query(f"WITH {HOUR_RES}, h AS (SELECT hour, avg(abs(pred_c - t_c)) AS mae, avg(pred_c - t_c) AS bias, avg(pred_c) AS pred_mean, avg(t_c) AS ref_mean, regr_r2(pred_c - t_c, feature) AS r2 FROM hr WHERE hour IN (3, 15) GROUP BY 1) SELECT a.mae - b.mae AS delta_mae, a.bias - b.bias AS delta_bias, a.pred_mean - b.pred_mean AS delta_pred_mean, a.ref_mean - b.ref_mean AS delta_ref_mean, a.r2 - b.r2 AS delta_r2 FROM h a, h b WHERE a.hour = 15 AND b.hour = 3", "delta_mae delta_bias delta_pred_mean delta_ref_mean delta_r2")
+
+@query(
+    f"""WITH {HOUR_RES}, {HOUR_FIGURES}
+SELECT n.mae - d.mae AS delta_mae, n.pred_mean - d.pred_mean AS delta_pred_mean, n.ref_mean - d.ref_mean AS delta_ref_mean FROM h AS n, h AS d WHERE n.hour = 3 AND d.hour = 14""",
+    "delta_mae delta_pred_mean delta_ref_mean",
+)
 def day_night_delta(spark, d):
-    """A31, the day's figures less the night's."""
-    return grids.day_night_delta(hour_residuals.__wrapped__(spark, d))
+    """A31, the night's means less the day's."""
+    return grids.day_night_delta(grids.hour_residuals(hour_rows(spark, d)))
+
+
+# Of all triangles of points around a target, the Delaunay triangle has the least weighted sum of squared distances.
+LINEAR = """pt AS (SELECT s_suppkey AS k, 2 + (s_suppkey * 104729 % 997) / 997.0::DOUBLE AS x, 41 + (s_suppkey * 7919 % 1009) / 1009.0::DOUBLE AS y, CAST(s_acctbal AS DOUBLE) AS v FROM supplier),
+tg AS (SELECT DISTINCT p_size AS n, 1.95 + (p_size * 17 % 50) / 50.0::DOUBLE * 1.1 AS x, 40.95 + p_size / 50.0::DOUBLE * 1.1 AS y FROM part),
+tr AS (SELECT a.x AS ax, a.y AS ay, a.v AS av, b.x AS bx, b.y AS byy, b.v AS bv, c.x AS cx, c.y AS cy, c.v AS cv FROM pt AS a JOIN pt AS b ON b.k > a.k JOIN pt AS c ON c.k > b.k),
+de AS (SELECT *, (bx - ax) * (cy - ay) - (cx - ax) * (byy - ay) AS den FROM tr),
+w1 AS (SELECT tg.n, tg.x, tg.y, de.*, ((tg.x - ax) * (cy - ay) - (cx - ax) * (tg.y - ay)) / den AS b, ((bx - ax) * (tg.y - ay) - (tg.x - ax) * (byy - ay)) / den AS c FROM de, tg WHERE den <> 0),
+w2 AS (SELECT *, 1 - b - c AS a FROM w1 WHERE b >= 0 AND c >= 0 AND b + c <= 1),
+inn AS (SELECT n, arg_min(a * av + b * bv + c * cv, a * ((ax - x) ** 2 + (ay - y) ** 2) + b * ((bx - x) ** 2 + (byy - y) ** 2) + c * ((cx - x) ** 2 + (cy - y) ** 2)) AS v FROM w2 GROUP BY n),
+nea AS (SELECT tg.n, arg_min(pt.v, (tg.x - pt.x) ** 2 + (tg.y - pt.y) ** 2) AS v FROM tg, pt GROUP BY tg.n)"""
+
+
+@query(f"WITH {LINEAR} SELECT CAST(nea.n AS INT) AS y, 0 AS x, coalesce(inn.v, nea.v) AS v FROM nea LEFT JOIN inn USING (n)", "v", 2)
+def points_to_grid_linear(spark, d):
+    """G1, linear in the triangles of scattered points, the nearest point outside."""
+    k, n = F.col("s_suppkey"), F.col("p_size")
+    points = table(spark, d, "supplier").select((41 + k * 7919 % 1009 / 1009.0).alias("lat"), (2 + k * 104729 % 997 / 997.0).alias("lon"), F.col("s_acctbal").cast("double").alias("v"))
+    cells = table(spark, d, "part").select(n.cast("int").alias("y"), F.lit(0).alias("x"), (40.95 + n / 50.0 * 1.1).alias("lat"), (1.95 + n * 17 % 50 / 50.0 * 1.1).alias("lon")).distinct()
+    return scattered.interpolate_linear(points, cells, ["v"])
 
 
 @query("SELECT p_partkey AS k, CAST(CAST(p_partkey % 90 AS VARCHAR) AS DOUBLE) AS lat, TRY_CAST(CASE WHEN p_partkey % 5 = 0 THEN 'x' ELSE CAST(p_size AS VARCHAR) END AS DOUBLE) AS lon FROM part")

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
 import io
-import os
-import tempfile
 import uuid
 
 import numpy as np
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heatloom.functions import columns as C
+from heatloom.sources.frames import NpyFrames
 
 # Names of the value column, first come first taken; file layouts.
 OBS_NAMES = ("obs_c", "t2m_c", "air_temperature_c", "temperature_c", "value_c")
@@ -22,7 +22,6 @@ METRICS = (
     "experiment string, model string, mae double, rmse double, ssim double, patch_size string, stride double, seq_len int, temporal_stride int, time_index int, "
     "time timestamp, scale_from string, pct_low double, pct_high double, vmin double, vmax double"
 )
-NAME_TIME = r"\d{4}[-_T:]\d{2}[-_T:]\d{2}[-_T:]\d{2}[-_T:]\d{2}"
 
 
 def read_station_obs(spark: SparkSession, path: str) -> DataFrame:
@@ -51,31 +50,15 @@ def read_forecast_json(spark: SparkSession, path: str) -> DataFrame:
     return forecast_rows(spark.read.option("multiLine", True).json(path))
 
 
-def read_prediction_maps(spark: SparkSession, path: str, pattern: str = "*.npy", model: str = "model") -> DataFrame:
-    """model, time (from the file's name), y, x, pred_c of .npy frames (H x W, or H x W x 1). Frames of several shapes are an error; a name without a time is skipped."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    named = files.select(C.parse_name_time(F.regexp_extract("path", r"([^/]+)$", 1)).alias("time"), "content").where("time is not null")
+def read_prediction_maps(spark: SparkSession, path: str, pattern: str = "*.npy", model: str = "model", start: str | None = None, end: str | None = None) -> DataFrame:
+    """model, time (from the file's name, from start to before end, in UTC), y, x, pred_c of .npy frames (H x W, or H x W x 1). Frames of several shapes are an error; a name without a time is skipped.
 
-    def cells(batches):
-        for pdf in batches:
-            for time, content in zip(pdf.time, pdf.content, strict=True):
-                frame = np.load(io.BytesIO(content), allow_pickle=False)
-                frame = frame[:, :, 0] if frame.ndim == 3 and frame.shape[2] == 1 else frame
-                if frame.ndim != 2:
-                    raise ValueError(f"a frame of shape {frame.shape}")
-                y, x = np.indices(frame.shape)
-                yield pd.DataFrame({"time": time, "y": y.ravel(), "x": x.ravel(), "pred_c": frame.ravel().astype(float), "h": frame.shape[0], "w": frame.shape[1]})
-
-    rows = named.mapInPandas(cells, "time timestamp, y int, x int, pred_c double, h int, w int")
-    def shapes(batches):
-        for pdf in batches:
-            found = [np.lib.format.read_magic(f := io.BytesIO(content)) and np.lib.format.read_array_header_1_0(f)[0] for content in pdf.content]
-            yield pd.DataFrame({"h": [s[0] for s in found], "w": [s[1] if len(s) > 1 else 0 for s in found]})
-
-    # the shapes stand at the head of each file, so no frame is decoded for them
-    if named.select("content").mapInPandas(shapes, "h int, w int").distinct().count() > 1:
-        raise ValueError("frames have different shapes")
-    return rows.select(F.lit(model).alias("model"), "time", "y", "x", "pred_c")
+    Filters on time drop whole files at planning; the session's setting for that is switched on.
+    """
+    spark.dataSource.register(NpyFrames)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    options = {"path": path, "pattern": pattern, "push": "true"} | {k: v for k, v in (("start", start), ("end", end)) if v}
+    return spark.read.format("npy_frames").options(**options).load().select(F.lit(model).alias("model"), "time", "y", "x", "pred_c")
 
 
 def write_prediction_maps(df: DataFrame, path: str) -> None:
@@ -138,10 +121,37 @@ def write_alerts(hourly: DataFrame, daily: DataFrame, events: DataFrame, summary
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder name under the shared one that spark.checkpoint.dir names. Where it names none, a local one serves a local master; a cluster must name it."""
+    """A new folder name under the shared one that spark.checkpoint.dir has to name; the folder goes when the program ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = os.path.join(tempfile.gettempdir(), "heatloom-scratch")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _FOLDERS.append((spark, path))
+    return path
+
+
+#: Scratch folders of this program.
+_FOLDERS: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def delete_scratch() -> None:
+    while _FOLDERS:
+        spark, path = _FOLDERS.pop()
+        if spark.sparkContext._jsc is not None:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def files_in_order(spark: SparkSession, paths: list[str], into: str) -> None:
+    """Moves the part files of tables into one folder and dates them one second apart, table by table and by name, so that a stream reads them in this order."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    system = hadoop.Path(into).getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(hadoop.Path(into))
+    n = 0
+    for table in paths:
+        for name in sorted(f.getPath().getName() for f in system.listStatus(hadoop.Path(table)) if f.getPath().getName().startswith("part-")):
+            to = hadoop.Path(f"{into}/{n:05d}-{name}")
+            system.rename(hadoop.Path(f"{table}/{name}"), to)
+            system.setTimes(to, 1_700_000_000_000 + 1000 * n, -1)
+            n += 1

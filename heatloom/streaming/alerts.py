@@ -1,18 +1,19 @@
-"""Live alerts with Structured Streaming; each stream has the results of its batch twin."""
+"""Live alerts with Structured Streaming; each stream has the results of its batch twin, whatever the batches in which rows come, as long as none is older than the watermark."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter
 
 from heatloom.functions import columns as C
 from heatloom.operators import heat
+from heatloom.streaming.day_store import DayStore
+from heatloom.streaming.outbox import Outbox
+from heatloom.streaming.state import HOUR, Anomalies, HeatEvents, InOrder
 
 CHANNELS = {"watch": ["dashboard"], "warning": ["dashboard", "email"], "severe": ["dashboard", "email", "webhook"]}
 
@@ -36,17 +37,15 @@ def stream_daily_maxima(pred: DataFrame, watermark: str = "1 day", cell: tuple[s
     return out.select(F.to_date("window.start").alias("day"), *cell, "pred_c")
 
 
-def stream_daily_alerts(pred: DataFrame, thr: DataFrame, store: str, out: str, watermark: str = "1 day", cell: tuple[str, ...] = ("y", "x")):
-    """A writer that keeps the cells' maxima under store, by day, and writes the alerts of all days that a batch touched under out/batch=<n>; of a day the last batch counts.
+def stream_daily_alerts(pred: DataFrame, thr: DataFrame, store: str, out: str, watermark: str = "1 day", cell: tuple[str, ...] = ("y", "x"), fan: int = 4, keep_days: int = 7) -> DataStreamWriter:
+    """A writer that keeps the cells' maxima in a DayStore under store and writes the alerts of all days that a batch touched under out/batch=<n>; of a day the last batch counts.
 
-    Reading a day's maxima back touches only that day's folders.
+    A batch reads fewer than `fan` runs of each of its days, however many batches there were. keep_days has to be longer than the watermark.
     """
+    days = DayStore(store, cell, "pred_c", fan, keep_days)
 
     def update(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        batch.repartition("day").write.mode("overwrite").partitionBy("day").parquet(f"{store}/batch={n}")
-        seen = spark.read.parquet(store).join(batch.select("day").distinct(), "day", "left_semi")
-        newest = seen.groupBy("day", *cell).agg(F.max("pred_c").alias("pred_c"))
+        newest = days.update(batch, n)
         heat._alerts(newest.join(thr, list(cell)), "day", "pred_c").write.mode("overwrite").parquet(f"{out}/batch={n}")
 
     return stream_daily_maxima(pred, watermark, cell).writeStream.outputMode("update").foreachBatch(update)
@@ -80,86 +79,75 @@ def with_dynamic_thresholds(stream: DataFrame, history: DataFrame) -> DataFrame:
     return joined.withColumns({k: F.coalesce(k, F.lit(v)) for k, v in heat.BASE.items()})
 
 
-def find_anomalies(history: list[list], row: tuple) -> dict[str, float]:
-    """Anomalies of the newest row (time, mean, max), with up to 23 before it in history."""
-    if len(history) < 23:
-        return {}
-    means = np.array([h[1] for h in history[-23:]])
-    found = {"mean_jump": abs(row[1] - means[-1]), "max_jump": abs(row[2] - history[-1][2]), "mean_outlier": abs(row[1] - means.mean()) / (means.std() + 1e-6)}
-    found = {k: float(v) for k, v in found.items() if v > {"mean_jump": 5, "max_jump": 8, "mean_outlier": 3}[k]}
-    steps = np.diff([*means[-5:], row[1]])
-    if (steps > 0).all() and steps.sum() > 10:
-        found["rising_trend"] = float(steps.sum())
-    elif (steps < 0).all() and steps.sum() < -10:
-        found["falling_trend"] = float(steps.sum())
-    return found
-
-
-ANOMALIES = ("mean_jump", "max_jump", "mean_outlier", "rising_trend", "falling_trend")
-
-
-def stream_anomalies(stats: DataFrame, key: str = "model", kept: int = 168) -> DataFrame:
-    """key, time and the anomalies of sampling.anomalies, null where there is none, for each row (key, time, mean, max). State: the last rows of a key; rows of a batch are taken in order of time."""
-    state_schema = "rows string"
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        history = json.loads(state.get[0]) if state.exists else []
-        out = []
-        for r in pd.concat(list(frames)).sort_values("time").itertuples():
-            found = find_anomalies(history, (r.time, r.mean, r.max))
-            out.append([k[0], r.time, *(found.get(a) for a in ANOMALIES)])
-            history = [*history, [str(r.time), float(r.mean), float(r.max)]][-kept:]
-        state.update((json.dumps(history),))
-        yield pd.DataFrame(out, columns=[key, "time", *ANOMALIES]).astype(dict.fromkeys(ANOMALIES, "float64"))
-
-    schema = f"{key} string, time timestamp, " + ", ".join(f"{a} double" for a in ANOMALIES)
-    rows = stats.select(key, "time", F.col("mean").alias("mean"), F.col("max").alias("max"))
-    return rows.groupBy(key).applyInPandasWithState(step, schema, state_schema, "append", GroupStateTimeout.NoTimeout)
-
-
-def advance(event: dict | None, row: tuple, min_h: float, cooldown_h: float) -> tuple[dict | None, str, dict | None]:
-    """The open event after a row (seconds, level, temperature, area), what happened, and the event it happened to."""
-    at, level, temp, area = row
-    hot, rank = level in ("warning", "severe"), C.LEVELS.index
-    if event is None:
-        if not hot:
-            return None, "unchanged", None
-        event = {"start": at, "last": at, "level": level, "temp": temp, "area": area}
-        return event, "started", event
-    if hot:
-        event = {"start": event["start"], "last": at, "level": max(event["level"], level, key=rank), "temp": max(event["temp"], temp), "area": max(event["area"], area)}
-        return event, "updated", event
-    if at - event["last"] < cooldown_h * 3600:
-        return event, "unchanged", event
-    done = event | {"end": at}
-    return None, "ended" if at - event["start"] >= min_h * 3600 else "discarded", done
-
-
-def stream_heat_events(alerts: DataFrame, key: str = "model", min_h: float = 6, cooldown_h: float = 12) -> DataFrame:
-    """key, time, event_status, start, end, peak_level, peak_temp, peak_area for each row (key, time, alert_level, max_pred_c, exceed_fraction) that opens, changes, ends or discards an event."""
-    columns = [key, "time", "event_status", "start", "end", "peak_level", "peak_temp", "peak_area"]
-    stamp = lambda s: pd.Timestamp(s, unit="s") if s is not None else pd.NaT
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        event = json.loads(state.get[0]) if state.exists else None
-        out = []
-        for r in pd.concat(list(frames)).sort_values("time").itertuples():
-            event, status, told = advance(event, (r.time.timestamp(), r.alert_level, float(r.max_pred_c), float(r.exceed_fraction)), min_h, cooldown_h)
-            if status != "unchanged":
-                out.append([k[0], r.time, status, stamp(told["start"]), stamp(told.get("end")), told["level"], told["temp"], told["area"]])
-        state.update((json.dumps(event),))
-        yield pd.DataFrame(out, columns=columns).astype({"start": "datetime64[ns]", "end": "datetime64[ns]", "peak_temp": "float64", "peak_area": "float64"})
-
-    schema = f"{key} string, time timestamp, event_status string, start timestamp, end timestamp, peak_level string, peak_temp double, peak_area double"
-    rows = alerts.select(key, "time", "alert_level", "max_pred_c", "exceed_fraction")
-    return rows.groupBy(key).applyInPandasWithState(step, schema, "event string", "append", GroupStateTimeout.NoTimeout)
-
-
-def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "update") -> DataFrame:
-    """All of a stream's available input, each batch written as out/batch=<n>; the table of all batches."""
+def deliver(rows: DataFrame, path: str) -> DataStreamWriter:
+    """A writer that delivers each batch of rows once under path, also if a batch is written again after a crash (see outbox)."""
+    rows.sparkSession.dataSource.register(Outbox)
+    return rows.writeStream.format("outbox").option("path", path).outputMode("append")
+
+
+def in_order(rows: DataFrame, key: str, processor: InOrder, watermark: str) -> DataFrame:
+    """The processor's rows for a stream (key, time, more), with its times as timestamps. Needs a state store that keeps timers: see `timers`."""
+    taken = rows.withColumn("at", F.unix_micros("time")).withWatermark("time", watermark)
+    out = taken.groupBy(key).transformWithStateInPandas(processor, processor.out_schema, "append", "eventTime")
+    stamp = lambda c: F.timestamp_micros(F.col(c)).alias("time" if c == "at" else c)
+    return out.select(F.col("key").alias(key), *[stamp(c) if c in ("at", "start", "end") else c for c in processor.columns[1:]])
+
+
+def stream_anomalies(stats: DataFrame, key: str = "model", watermark: str = "3 hours", silence_h: float = 24 * 7) -> DataFrame:
+    """key, time and the anomalies of sampling.anomalies, null where there is none, for each row (key, time, mean, max) once the watermark has passed it.
+
+    Rows that come out of order are taken in order; those older than the watermark are dropped. The state of a key is the rows that wait and the last 23 taken; it goes after
+    silence_h hours of event time without a row, and the key begins anew.
+    """
+    rows = stats.select(F.col(key).cast("string").alias(key), "time", F.col("mean").cast("double").alias("mean"), F.col("max").cast("double").alias("max"))
+    return in_order(rows, key, Anomalies(int(silence_h * HOUR)), watermark)
+
+
+def stream_heat_events(alerts: DataFrame, key: str = "model", min_h: float = 6, cooldown_h: float = 12, watermark: str = "3 hours", silence_h: float = 48) -> DataFrame:
+    """key, time, event_status, start, end, peak_level, peak_temp, peak_area for each row (key, time, alert_level, max_pred_c, exceed_fraction) that opens, changes, ends or discards an event.
+
+    As heat.heat_events_cooldown with the same silence_h: rows are taken in order of time once the watermark has passed them, older ones are dropped, and an event whose key falls
+    silent ends silence_h hours after its last row, by a timer; then the key's state goes.
+    """
+    double = lambda c, name: F.col(c).cast("double").alias(name)
+    rows = alerts.select(F.col(key).cast("string").alias(key), "time", "alert_level", double("max_pred_c", "temp"), double("exceed_fraction", "area"))
+    return in_order(rows, key, HeatEvents(min_h, cooldown_h, int(silence_h * HOUR)), watermark)
+
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def timers(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started inside keep their state in RocksDB, which timers need."""
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(STORE, before)
+
+
+def finish(writer: DataStreamWriter, checkpoint: str, spark: SparkSession) -> list[dict]:
+    """Runs a stream over all of its available input; the progress of its batches."""
+    with timers(spark):
+        running = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        running.awaitTermination()
+    return running.recentProgress
+
+
+def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """All of a stream's available input, each batch written as out/batch=<n>; the table of all batches, whose attribute `progress` has that of the batches."""
 
     def write(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return stream.sparkSession.read.parquet(out)
+    progress = finish(stream.writeStream.outputMode(mode).foreachBatch(write), checkpoint, stream.sparkSession)
+    table = stream.sparkSession.read.parquet(out)
+    table.progress = progress
+    return table
+
+
+def state_rows(progress: list) -> list[int]:
+    """Rows of state after each batch, over all stateful operators."""
+    return [sum(s["numRowsTotal"] for s in p["stateOperators"]) for p in progress]

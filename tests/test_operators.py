@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from heatloom.functions import columns as C
 from heatloom.operators import audit, clean, geostat, grids, heat, report, sampling, stats, urban, verify
 from heatloom.sources import io
-from heatloom.streaming import alerts
+from heatloom.streaming import alerts, state
 
 T0 = datetime(2024, 7, 1)
 NAN, INF = float("nan"), float("inf")
@@ -122,24 +122,56 @@ def level_rows(spark):
     return spark.createDataFrame(rows, "model string, time timestamp, alert_level string, max_pred_c double, exceed_fraction double")
 
 
-def test_cooldown_events_and_their_stream(spark, tmp_path):
+def test_cooldown_events_and_their_stream(spark):
     rows = level_rows(spark)
     got = heat.heat_events_cooldown(rows, ["model"]).orderBy("start").collect()
     assert [(r.start.hour, r.duration_hours, r.peak_level) for r in got] == [(2, 13.0, "severe"), (18, 12.0, "warning")]
-    for k, part in enumerate((rows.where("hour(time) < 12"), rows.where("hour(time) >= 12"))):
-        part.coalesce(1).write.parquet(str(tmp_path / f"in{k}"))
-    state, out = None, []
+    detector, event, out = state.HeatEvents(6, 12, 48 * state.HOUR), None, []
     for r in rows.orderBy("time").collect():
-        state, status, told = alerts.advance(state, (r.time.timestamp(), r.alert_level, r.max_pred_c, r.exceed_fraction), 6, 12)
-        out.append((status, told))
-    ended = [t for s, t in out if s == "ended"]
-    assert [(t["start"], t["end"], t["level"]) for t in ended] == [(r.start.timestamp(), r.end.timestamp(), r.peak_level) for r in got]
-    assert [s for s, _ in out].count("started") == 3 and alerts.advance(None, (0, "watch", 1.0, 0.0), 6, 12) == (None, "unchanged", None)
+        event = detector.take(event, (int(r.time.timestamp() * 1_000_000), r.alert_level, r.max_pred_c, r.exceed_fraction), out)
+    assert [(t[2] / 1e6, t[3] / 1e6, t[4]) for t in out if t[1] == "ended"] == [(r.start.timestamp(), r.end.timestamp(), r.peak_level) for r in got]
+    assert [t[1] for t in out].count("started") == 3
+    assert detector.take(None, (0, "watch", 1.0, 0.0), out) is None
+
+
+def test_silence_ends_events(spark):
+    """A gap of more than silence_h hours ends what is open, silence_h after the last row, and so does the end of the rows."""
+    rows = [("m", T0, "severe", 30.0, 0.5), ("m", T0 + timedelta(hours=3), "normal", 20.0, 0.1), ("m", T0 + timedelta(hours=60), "warning", 25.0, 0.2)]
+    df = spark.createDataFrame(rows, "model string, time timestamp, alert_level string, max_pred_c double, exceed_fraction double")
+    got = heat.heat_events_cooldown(df, ["model"], silence_h=10).orderBy("start").collect()
+    assert [(r.start, r.end) for r in got] == [(T0, T0 + timedelta(hours=13)), (T0 + timedelta(hours=60), T0 + timedelta(hours=70))]
+    assert [r.peak_level for r in heat.heat_events_cooldown(df, ["model"]).collect()] == []
 
 
 def test_short_event_is_discarded():
-    event, _, _ = alerts.advance(None, (0, "warning", 1.0, 0.1), 6, 2)
-    assert alerts.advance(event, (2 * 3600, "normal", 1.0, 0.0), 6, 2)[1] == "discarded"
+    detector, out = state.HeatEvents(6, 2, 48 * state.HOUR), []
+    event = detector.take(None, (0, "warning", 1.0, 0.1), out)
+    assert detector.take(event, (2 * state.HOUR, "normal", 1.0, 0.0), out) is None and out[-1][1] == "discarded"
+
+
+def test_bilinear_needs_four_values(spark):
+    """A station with an empty corner has no value, also where the corner's weight is 0."""
+    lats, lons = (spark.createDataFrame([(0, 0.0), (1, 1.0)], "index int, value double") for _ in range(2))
+    places = spark.createDataFrame([("a", 0.5, 0.5), ("b", 0.0, 0.0)], "station_id string, lat double, lon double")
+    weights = grids.bilinear_weights(places, lats, lons)
+    full = spark.createDataFrame([(y, x, 1.0 + 2 * y + x) for y in range(2) for x in range(2)], "y int, x int, v double")
+    value = lambda f: {r.station_id: r.v for r in grids.weighted_extract(f, weights, "v", [], whole=True).collect()}
+    assert value(full) == {"a": 2.5, "b": 1.0}
+    assert value(full.where("y = 0 or x = 0")) == {"a": None, "b": None}
+    nan = full.withColumn("v", F.when(F.col("y") + F.col("x") == 2, float("nan")).otherwise(F.col("v")))
+    assert value(nan) == {"a": None, "b": None}
+
+
+def test_hour_residuals(spark):
+    """Night less day; R2 of the cells' mean absolute errors on their feature."""
+    rows = [(h, 0, x, 10.0 + h + sign * (1 + x) * (h == 3), 10.0 + h, float(x)) for x in range(12) for h in (3, 14, 15) for sign in (1, -1)]
+    df = spark.createDataFrame(rows, "hour int, y int, x int, pred_c double, t_c double, feature double")
+    got = {r.hour: r for r in grids.hour_residuals(df).collect()}
+    assert set(got) == {3, 14} and got[3].mae == pytest.approx(6.5) and got[3].r2 == pytest.approx(1.0) and got[14].mae == 0
+    delta = grids.day_night_delta(grids.hour_residuals(df)).first()
+    assert delta.delta_mae == pytest.approx(6.5) and delta.delta_ref_mean == pytest.approx(3 - 14)
+    assert {r.hour: r.r2 for r in grids.hour_residuals(df.where("x < 9")).collect()} == {3: None, 14: None}
+    assert grids.overall_residuals(df).first().bias == pytest.approx(0)
 
 
 def test_dynamic_thresholds_need_rows(spark):
@@ -404,8 +436,8 @@ def test_sources(spark, tmp_path):
     got = io.read_prediction_maps(spark, str(maps), model="m")
     assert got.count() == 12 and got.where("y = 1 and x = 2").agg(F.sum("pred_c")).first()[0] == 10.0
     np.save(maps / "p_2024_07_01_12_00.npy", np.zeros((4, 4)))
-    with pytest.raises(ValueError):
-        io.read_prediction_maps(spark, str(maps))
+    with pytest.raises(Exception, match="different shapes"):
+        io.read_prediction_maps(spark, str(maps)).count()
     (tmp_path / "manifest.csv").write_text("time,path\n2024-07-01 11:00:00,b.npy\n2024-07-01 10:00:00,/abs/a.npy\n")
     assert [r.path for r in io.read_manifest(spark, str(tmp_path / "manifest.csv"), "/root").collect()] == ["/abs/a.npy", "/root/b.npy"]
     (tmp_path / "times.txt").write_text("# note\n\n2024-07-01 10:20:00\n2024-07-01 10:40:00\n")
@@ -428,6 +460,6 @@ def test_late_readings_are_dropped_by_the_stream(spark, tmp_path):
     parts = [[(T0, "a", 1.0), (T0 + timedelta(hours=9), "a", 2.0)], [(T0 + timedelta(minutes=5), "a", 99.0), (T0 + timedelta(hours=20), "a", 3.0)], [(T0 + timedelta(hours=40), "a", 4.0)]]
     for part in parts:
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(source))
-        out = alerts.drain(alerts.stream_station_hourly(spark.readStream.schema(schema).parquet(str(source)), "2 hours"), str(tmp_path / "out"), str(tmp_path / "check"))
+        out = alerts.drain(alerts.stream_station_hourly(spark.readStream.schema(schema).parquet(str(source)), "2 hours"), str(tmp_path / "out"), str(tmp_path / "check"), "update")
     got = {r.time: (r.obs_c, r.n_obs_raw) for r in heat.latest(out, ["station_id", "time"], "batch").collect()}
     assert got[T0] == (1.0, 1) and got[T0 + timedelta(hours=20)] == (3.0, 1)
