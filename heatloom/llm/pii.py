@@ -3,8 +3,8 @@
 The tagger is trained from labelled spans of the documents: those that the patterns find, and secrets (keys, tokens, passwords) where a text names them as such. Some
 are rewritten (a phone number without its plus sign, a card number after another number, a secret with another name before it or none, all in
 capitals), with all tags moved along. The tagger reads overlapping windows around digits and @; no valid span of any kind is without one, so the
-rest of a text can hold none. The windows' spans are reconciled over the whole text: a span that touches an inner edge of its window is left
-to the next window, the surest of overlapping spans wins, and a span must pass its kind's test and touch no span of the patterns.
+rest of a text can hold none. The windows' paths are joined over the whole text: each character has the tag of the window in whose middle it lies, so spans may
+be longer than windows. The surest of overlapping spans wins, and a span must pass its kind's test and touch no span of the patterns.
 """
 
 from __future__ import annotations
@@ -36,13 +36,17 @@ SECRET = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 SECRET_END = re.compile(r"[A-Za-z0-9+/_-]")
 #: Where a text names a secret as such: a label for training.
 NAMED = re.compile(r"""(?:token|secret|password|api_?key) ?[=:] ?["']([A-Za-z0-9+/_-]{20,})["']""")
+#: Characters of the secrets that stand for others in training.
+ALPHABETS = ("0123456789abcdef", "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_-")
 LEADS = ("", "key ", "auth=", "pw: ", "id ", "see ")
 
-#: Characters in a window, how far the next one begins, and the longest span that the tagger finds.
-WINDOW, STRIDE, LONGEST = 128, 64, 64
-#: Labelled windows that the tagger is trained on, at most, of them at most OFFERED of each kind from a task; and training steps.
-FIT_WINDOWS, OFFERED, FIT_STEPS = 4_000, 200, 260
+#: Characters in a window, how far the next one begins, and how far from a digit or @ the tagger reads.
+WINDOW, STRIDE, AROUND = 128, 64, 64
+#: Labelled windows that the tagger is trained on, at most; and training steps.
+FIT_WINDOWS, FIT_STEPS = 4_000, 260
 SURE = 0.9
+#: Share of a run of a secret's characters that must have a secret's tags.
+MOSTLY = 0.6
 
 
 def luhn(digits: str) -> bool:
@@ -93,10 +97,10 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of the text near digits and @, that the tagger reads: at least a longest span around each."""
+    """Parts of the text near digits and @, that the tagger reads."""
     out: list[list[int]] = []
     for m in CUE.finditer(text):
-        a, b = max(0, m.start() - LONGEST), min(len(text), m.end() + LONGEST)
+        a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
         if out and a <= out[-1][1]:
             out[-1][1] = b
         else:
@@ -104,9 +108,14 @@ def stretches(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def windows_of(a: int, b: int) -> range:
+    """Where the windows of a stretch begin."""
+    return range(a, max(a + 1, b - WINDOW + STRIDE), STRIDE)
+
+
 def windows(text: str) -> list[int]:
     """Where windows begin."""
-    return [s for a, b in stretches(text) for s in range(a, max(a + 1, b - WINDOW + STRIDE), STRIDE)]
+    return [s for a, b in stretches(text) for s in windows_of(a, b)]
 
 
 def tagged(length: int, spans: list[tuple[int, str, int]]) -> list[int]:
@@ -127,9 +136,24 @@ def padded(texts: list[str]) -> np.ndarray:
     return out
 
 
+def exchanged(text: str, a: int, b: int) -> tuple[str, list[tuple[int, str, int]]]:
+    """A window somewhere in the text in which another secret, of 20 to 460 characters, stands for the one at a: so that neither length nor alphabet is learned."""
+    rng = np.random.default_rng(xxhash.xxh32_intdigest(text))
+    letters = ALPHABETS[rng.integers(len(ALPHABETS))]
+    size = int(rng.integers(20, 80) if rng.random() < 0.5 else rng.integers(80, 460))
+    text = text[:a] + "".join(letters[k] for k in rng.integers(0, len(letters), size)) + text[b:]
+    at = int(rng.integers(0, max(1, len(text) - WINDOW + 1)))
+    spans = [(a - at, "secret", a + size - at)]
+    return text[at : at + WINDOW], [x for x in spans if x[2] > 0 and x[0] < WINDOW]
+
+
 def rewritten(n: int, text: str, spans: list[tuple[int, str, int]]) -> tuple[str, list[tuple[int, str, int]]]:
     """The n-th example as it is, or so that the patterns and names that label spans no longer give them away."""
+    if any(a < 0 or b > len(text) for a, _, b in spans):
+        return text, spans
     kinds = [k for _, k, _ in spans]
+    if kinds == ["secret"] and n % 2:
+        return exchanged(text, *spans[0][::2])
     if n % 3 == 1:
         for a, kind, _ in reversed(spans):
             if kind == "phone":
@@ -169,18 +193,17 @@ def labelled_spans(text: str) -> list[tuple[int, str, int]]:
 
 
 def labelled_windows(text: str) -> list[tuple[str, str]]:
-    """Windows around digits and @ that cut no labelled span, with their spans."""
-    out, found = [], labelled_spans(text)
-    for s in windows(text):
-        if not any(a < s < b or a < s + WINDOW < b for a, _, b in found):
-            inside = [(a - s, k, b - s) for a, k, b in found if a >= s and b <= s + WINDOW]
-            out.append((text[s : s + WINDOW], ",".join(f"{k}:{a}:{b}" for a, k, b in inside)))
-    return out
+    """Windows around digits and @ with the labelled spans that lie in them, or reach into them (those begin before the window or end after it)."""
+    found = labelled_spans(text)
+    near = lambda s: [(a - s, k, b - s) for a, k, b in found if b > s and a < s + WINDOW]
+    return [(text[s : s + WINDOW], ",".join(f"{k}:{a}:{b}" for a, k, b in near(s))) for s in windows(text)]
 
 
 def training_windows(docs: DataFrame, most: int) -> DataFrame:
     """At most `most` labelled windows (text, spans) of all documents, by hash of their text, none of their kinds more than a sixth of them."""
 
+    share = max(1, most // 6)  # a task offers as many as the sample may take, so it doesn't depend on how rows are dealt
+
     def cut(batches):
         held: dict[str, dict[int, tuple[str, str]]] = {}
         for batch in batches:
@@ -188,15 +211,15 @@ def training_windows(docs: DataFrame, most: int) -> DataFrame:
                 for window in labelled_windows(text) if CUE.search(text) else ():
                     own = held.setdefault(",".join(sorted({x.split(":")[0] for x in window[1].split(",")})), {})
                     own[xxhash.xxh64_intdigest(window[0]) >> 1] = window
-                    if len(own) > 2 * OFFERED:
-                        for h in sorted(own)[OFFERED:]:
+                    if len(own) > 2 * share:
+                        for h in sorted(own)[share:]:
                             del own[h]
         for kinds, own in held.items():
-            h = sorted(own)[:OFFERED]
+            h = sorted(own)[:share]
             yield pa.RecordBatch.from_pydict({"kinds": [kinds] * len(h), "h": pa.array(h, pa.int64()), "text": [own[x][0] for x in h], "spans": [own[x][1] for x in h]})
 
     found = docs.select("text").mapInArrow(cut, "kinds string, h bigint, text string, spans string").distinct()
-    ranked = found.withColumn("n", F.row_number().over(Window.partitionBy("kinds").orderBy("h", "text", "spans"))).where(F.col("n") <= max(1, most // 6))
+    ranked = found.withColumn("n", F.row_number().over(Window.partitionBy("kinds").orderBy("h", "text", "spans"))).where(F.col("n") <= share)
     return ranked.orderBy("h", "text", "spans").select("text", "spans").limit(most)
 
 
@@ -215,33 +238,65 @@ def whole(kind: str, text: str, a: int, b: int) -> bool:
     return valid(kind, text[a:b]) and (kind != "secret" or not (SECRET_END.search(text[max(0, a - 1) : a]) or SECRET_END.search(text[b : b + 1])))
 
 
-def added_spans(tagger: CharTagger, texts: list[str], base: list[list[tuple[int, str, int]]]) -> list[list[tuple[int, str, int]]]:
-    """Further spans of each text."""
-    found: list[list[tuple[float, int, str, int]]] = [[] for _ in texts]
-    places = [(n, s) for n, t in enumerate(texts) for s in windows(t)]
+def joined_paths(tagger: CharTagger, texts: list[str]):
+    """(number of a text, where a stretch begins, tags, probabilities) of the stretches of texts that have a tag: overlapping windows, cut in the middle of what they share."""
+    places = [(n, a, b, s) for n, t in enumerate(texts) for a, b in stretches(t) for s in windows_of(a, b)]
+    tags = sure = None
     for k in range(0, len(places), 512):
         some = places[k : k + 512]
-        path, sure = (x.T for x in tagger.decode(padded([texts[n][s : s + WINDOW] for n, s in some]).T))
-        for (n, s), tags, p in zip(some, path, sure, strict=True):
-            if not tags.any():
-                continue
-            length, i = min(WINDOW, len(texts[n]) - s), 0
-            while i < length:
-                if tags[i] == 0:
-                    i += 1
-                    continue
-                kind, j = (tags[i] - 1) // 2, i + 1
-                while j < length and tags[j] == 2 * kind + 2:
-                    j += 1
-                cut = (i == 0 and s > 0) or (j == WINDOW and s + j < len(texts[n]))
-                if not cut and p[i:j].mean() >= SURE and whole(TAGGED[kind], texts[n], s + i, s + j):
-                    found[n].append((-float(p[i:j].mean()), s + i, TAGGED[kind], s + j))
-                i = j
+        paths, probabilities = (x.T for x in tagger.decode(padded([texts[n][s : min(s + WINDOW, b)] for n, _, b, s in some]).T))
+        for (n, a, b, s), path, p in zip(some, paths, probabilities, strict=True):
+            if s == a:
+                tags, sure = np.zeros(b - a, np.int8), np.zeros(b - a, np.float32)
+            low = s if s == a else s + (WINDOW - STRIDE) // 2
+            high = min(s + WINDOW, b)  # what the next window knows better it writes over
+            tags[low - a : high - a], sure[low - a : high - a] = path[low - s : high - s], p[low - s : high - s]
+            if s + STRIDE >= max(a + 1, b - WINDOW + STRIDE) and tags.any():
+                yield n, a, tags, sure
+
+
+def secret_around(text: str, i: int, j: int) -> tuple[int, int]:
+    """The run of a secret's characters that holds text[i:j]."""
+    while i > 0 and SECRET_END.match(text[i - 1]):
+        i -= 1
+    while j < len(text) and SECRET_END.match(text[j]):
+        j += 1
+    return i, j
+
+
+def added_spans(tagger: CharTagger, texts: list[str], base: list[list[tuple[int, str, int]]]) -> list[list[tuple[int, str, int]]]:
+    """Further spans of each text.
+
+    A secret is a whole run of its characters, most of which have its tags: so one wrong tag in a long key, or where two windows meet, doesn't lose it.
+    """
+    found: list[list[tuple[float, int, str, int]]] = [[] for _ in texts]
+    secret = 2 * TAGGED.index("secret")
+    for n, a, tags, p in joined_paths(tagger, texts):
+        text, i, done = texts[n], 0, 0
+        set_at = np.flatnonzero(tags)
+        while True:
+            k = int(np.searchsorted(set_at, i))
+            if k == len(set_at):
+                break
+            i = int(set_at[k])
+            kind, j = (int(tags[i]) - 1) // 2, i + 1
+            while j < len(tags) and tags[j] == 2 * kind + 2:
+                j += 1
+            if TAGGED[kind] == "secret":
+                x, y = secret_around(text, a + i, a + j) if a + i >= done else (0, 0)
+                own = slice(max(0, x - a), max(0, y - a))
+                right = tags[own] > secret
+                if y and right.mean() >= MOSTLY and p[own][right].mean() >= SURE and whole("secret", text, x, y):
+                    found[n].append((-float(p[own][right].mean()), x, "secret", y))
+                done = max(done, y)
+            elif not ((i == 0 and a > 0) or (j == len(tags) and a + j < len(text))) and p[i:j].mean() >= SURE and whole(TAGGED[kind], text, a + i, a + j):
+                found[n].append((-float(p[i:j].mean()), a + i, TAGGED[kind], a + j))
+            i = j
     out = []
     for spans, own in zip(found, base, strict=True):
         taken = [(a, b) for a, _, b in own]
         kept = []
-        for _, a, kind, b in sorted(spans):
+        for _, a, kind, b in sorted(set(spans)):
             if all(b <= x or y <= a for x, y in taken):
                 taken.append((a, b))
                 kept.append((a, kind, b))
