@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from heatloom.operators import ranges
+
 
 def nan_budget(df: DataFrame, cols: list[str]) -> DataFrame:
     """variable, null_ratio (nulls and NaN), inf_ratio."""
@@ -55,8 +57,7 @@ def largest_gaps(gaps: DataFrame, k: int = 20) -> DataFrame:
 def even_sample(times: DataFrame, n: int = 50) -> DataFrame:
     """time of n rows evenly spaced over the distinct times (all, if fewer)."""
     t = times.select("time").distinct()
-    at = F.row_number().over(Window.orderBy("time")) - 1  # a row a time step
-    numbered = t.withColumn("at", at.cast("bigint"))
+    numbered = ranges.row_numbers(t, ["time"], "at")
     total = t.agg(F.count("*").alias("total"))
     wanted = times.sparkSession.range(n).crossJoin(total).select(F.when(F.col("total") <= n, F.col("id")).otherwise(F.floor(F.col("id") * (F.col("total") - 1) / max(1, n - 1))).alias("at")).distinct()
     return numbered.join(F.broadcast(wanted), "at").select("time")  # n rows

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heatloom.functions import columns as C
+from heatloom.operators import ranges
 from heatloom.operators.audit import even_sample
 from heatloom.operators.verify import split_metrics
 
@@ -111,10 +112,10 @@ def station_mask(cells: DataFrame, stations: DataFrame) -> DataFrame:
 
 
 def asof_next(times: DataFrame, requested: DataFrame) -> DataFrame:
-    """requested (req) with time: the first available one at or after it, or the last one. Both lists are times only; a window over their union finds the next."""
+    """requested (req) with time: the first available one at or after it, or the last one. Both lists are merged by ranges of time; what a range lacks, the first of the next ones has."""
     both = times.select(F.col("time").alias("t"), F.lit(None).cast("timestamp").alias("req")).distinct().unionByName(requested.select(F.col("req").alias("t"), "req").distinct())
-    order = Window.orderBy("t", F.col("req").isNull().cast("int")).rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumn("next", F.first(F.when(F.col("req").isNull(), F.col("t")), True).over(order)).where("req is not null").select("req", "next")
+    available = F.when(F.col("req").isNull(), F.col("t"))
+    found = ranges.next_or_own(both, available, ["t", F.col("req").isNull().cast("int")], ["t"], "next").where("req is not null").select("req", "next")
     last = F.broadcast(times.agg(F.max("time").alias("__last")))
     return requested.join(found, "req").crossJoin(last).withColumn("time", F.coalesce("next", "__last")).drop("next", "__last")
 

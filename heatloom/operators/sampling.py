@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heatloom.operators import ranges
 from heatloom.operators.stats import robust_scale
 
 
@@ -21,8 +22,9 @@ def normalised(df: DataFrame, raw: Column, min_prob: float = 1e-6, gamma: float
 
 def temporal_weights(series: DataFrame, gamma: float = 1.0, min_prob: float = 1e-6) -> DataFrame:
     """series (time, value: the domain's mean) with weight by the change since the step before; the first step has none."""
-    change = F.abs(F.col("value") - F.lag("value").over(Window.orderBy("time")))  # a row a time step
-    return normalised(series.withColumn("change", F.coalesce(change, F.lit(0.0))), F.col("change"), min_prob, gamma)
+    rows = ranges.with_previous(series, "value", ["time"], "__v")
+    change = F.coalesce(F.abs(F.col("value") - F.col("__v")), F.lit(0.0))
+    return normalised(rows.withColumn("change", change).drop("__v"), F.col("change"), min_prob, gamma)
 
 
 def p95_weights(series: DataFrame, min_prob: float = 1e-6) -> DataFrame:
@@ -34,11 +36,12 @@ def p95_weights(series: DataFrame, min_prob: float = 1e-6) -> DataFrame:
 
 
 def weights_cdf(df: DataFrame, order: list[str]) -> DataFrame:
-    """df with low and high: the running sum of weights before and after each row; the last one ends at 1 or above. One window over all rows: time steps or cells of one grid."""
-    w = Window.orderBy(*order)
-    high = F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    is_last = F.lead(F.lit(1)).over(w).isNull()
-    return df.withColumns({"high": F.when(is_last, F.greatest(high, F.lit(1.0))).otherwise(high), "low": F.coalesce(F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))})
+    """df with low and high: the running sum of weights before and after each row; the last one ends at 1 or above. Sums run inside ranges of the order (see ranges)."""
+    rows = ranges.running_sum(df, "weight", order)
+    end = F.broadcast(rows.agg(F.max(F.struct(*order)).alias("__end")))
+    is_last = F.struct(*order) == F.col("__end")
+    high = F.when(is_last, F.greatest("__upto", F.lit(1.0))).otherwise(F.col("__upto"))
+    return rows.crossJoin(end).withColumns({"high": high, "low": F.col("__before")}).drop("__before", "__upto", "__end")
 
 
 def draws(spark, n: int, seed: int) -> DataFrame:
