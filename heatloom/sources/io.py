@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import io
+import os
+import tempfile
 import uuid
 
 import numpy as np
@@ -121,10 +123,12 @@ def write_alerts(hourly: DataFrame, daily: DataFrame, events: DataFrame, summary
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder name under the shared one that spark.checkpoint.dir has to name; the folder goes when the program ends."""
+    """A new folder name under the shared one that spark.checkpoint.dir names; the folder goes when the program ends. A cluster must name one; where it is unset, a local master gets its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = os.path.join(tempfile.gettempdir(), "heatloom-scratch")
     path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     _FOLDERS.append((spark, path))
     return path
