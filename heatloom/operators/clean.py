@@ -37,9 +37,9 @@ def label_split_fraction(df: DataFrame, train: float, val: float, time: str = "t
     return df.join(times.select(time, name.alias("split")), time)
 
 
-def filter_period(df: DataFrame, start: str, end: str, months: list[int] | None = None, time: str = "time") -> DataFrame:
-    t = F.col(time)
-    held = (t >= F.lit(start).cast("timestamp")) & (t < F.lit(end).cast("timestamp"))
+def filter_period(df: DataFrame, start: str, end: str, months: list[int] | None = None, time: str = "time", inclusive_end: bool = False) -> DataFrame:
+    t, last = F.col(time), F.lit(end).cast("timestamp")
+    held = (t >= F.lit(start).cast("timestamp")) & (t <= last if inclusive_end else t < last)
     return df.where(held & F.month(t).isin(months) if months else held)
 
 
@@ -147,11 +147,17 @@ def feature_diff(requested: DataFrame, available: DataFrame) -> DataFrame:
     return has.union(requested.subtract(available).withColumn("status", F.lit("missing")))
 
 
+def day_of(bound: str) -> str:
+    """The first day of a year (YYYY) or month (YYYYMM); a date stays as it is."""
+    bound = str(bound)
+    return bound if not bound.isdigit() else f"{bound[:4]}-{bound[4:6] or '01'}-01"
+
+
 def missing_months(existing: DataFrame, start: str, end: str) -> DataFrame:
-    """month (YYYYMM) from start to end, both included, that existing (month) lacks."""
-    wanted = existing.sparkSession.range(1).select(
-        F.explode(F.sequence(F.date_trunc("month", F.lit(start).cast("date")).cast("date"), F.lit(end).cast("date"), F.expr("interval 1 month"))).alias("d")
-    )
+    """month (YYYYMM) from start to end, both included, that existing (month) lacks. Both are dates, months (YYYYMM) or years (YYYY), and a year means its January."""
+    first, last = (F.date_trunc("month", F.lit(day_of(v)).cast("date")).cast("date") for v in (start, end))
+    months = F.when(first <= last, F.sequence(first, last, F.expr("interval 1 month"))).otherwise(F.array().cast("array<date>"))
+    wanted = existing.sparkSession.range(1).select(F.explode(months).alias("d"))
     return wanted.select(F.date_format("d", "yyyyMM").alias("month")).join(existing.select("month").distinct(), "month", "left_anti")
 
 

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heatloom.operators import selection
+
 #: Points that the cross-validation works on, at most, as in the method it follows; chosen by hash.
 SAMPLE = 4_000
 
@@ -112,9 +114,9 @@ def block_folds(points: DataFrame, n_blocks: int = 4) -> DataFrame:
     """points with fold: quantile blocks in x and in y."""
     half = n_blocks // 2
     cuts = [k / half for k in range(1, half)]
-    edges = F.broadcast(points.agg(*[F.percentile(c, F.array(*map(F.lit, cuts))).alias(f"__{c}") for c in "xy"]))
-    at = lambda c: F.size(F.filter(f"__{c}", lambda e: e <= F.col(c)))
-    return points.crossJoin(edges).withColumn("fold", at("x") * half + at("y")).drop("__x", "__y")
+    edges = selection.percentiles(points, {c: F.col(c) for c in "xy"}, cuts)
+    at = lambda c: sum((F.when(F.col(c) >= e, 1).otherwise(0) for e in edges[c]["at"]), F.lit(0))
+    return points.withColumn("fold", at("x") * half + at("y"))
 
 
 METHODS = ("global", "class_drift", "moving_window", "per_class")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from heatloom.functions import columns as C
 from heatloom.operators import ranges
 from heatloom.operators.audit import even_sample
+from heatloom.operators.nearest import nearest
 from heatloom.operators.verify import split_metrics
 
 
@@ -71,17 +72,11 @@ def footprint_weights(stations: DataFrame, radius: int, sigma: float, key: str =
 
 
 def nearest_stations(cells: DataFrame, stations: DataFrame, k: int, power: float) -> DataFrame:
-    """y, x, station_id, w: weights 1 / d^power of the k nearest stations (degrees), summing to 1.
-
-    cells x stations is a product of two lists of places, made once; a station list is short. The k nearest are found with a window.
-    """
-    d = F.greatest(F.sqrt((F.col("lat") - F.col("s_lat")) ** 2 + (F.col("lon") - F.col("s_lon")) ** 2), F.lit(1e-9))
-    named = stations.select("station_id", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
-    pairs = cells.select("y", "x", "lat", "lon").crossJoin(named).withColumn("d", d)
-    own = Window.partitionBy("y", "x")
-    near = pairs.withColumn("n", F.row_number().over(own.orderBy("d", "station_id"))).where(F.col("n") <= k)
-    raw = 1 / F.pow("d", F.lit(power))
-    return near.select("y", "x", "station_id", (raw / F.sum(raw).over(own)).alias("w"))
+    """y, x, station_id, w: weights 1 / d^power of the k nearest stations (degrees), summing to 1; found by squares (see nearest)."""
+    distance = lambda d2: F.greatest(F.sqrt(d2), F.lit(1e-9))
+    near = nearest(cells.select("y", "x", "lat", "lon"), ["y", "x"], stations.select("station_id", "lat", "lon"), ["station_id"], k, distance)
+    raw = 1 / F.pow(distance(F.col("d2")), F.lit(power))
+    return near.select("y", "x", "station_id", (raw / F.sum(raw).over(Window.partitionBy("y", "x"))).alias("w"))
 
 
 def idw(obs: DataFrame, stations: DataFrame, cells: DataFrame, k: int = 12, power: float = 2.0) -> DataFrame:
@@ -95,20 +90,19 @@ def idw(obs: DataFrame, stations: DataFrame, cells: DataFrame, k: int = 12, powe
 
 
 def points_to_grid(points: DataFrame, cells: DataFrame, features: list[str]) -> DataFrame:
-    """y, x and the features of the nearest point (lat, lon, in degrees); nulls take the feature's mean. points is the list of places, the smaller one."""
-    p = points.select(F.struct("lat", "lon").alias("p_at"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), *features)
-    d = (F.col("lat") - F.col("p_lat")) ** 2 + (F.col("lon") - F.col("p_lon")) ** 2
-    near = cells.select("y", "x", "lat", "lon").crossJoin(p).groupBy("y", "x").agg(F.min_by(F.struct(*features), F.struct(d.alias("d"), F.col("p_at"))).alias("f")).select("y", "x", "f.*")
+    """y, x and the features of the nearest point (lat, lon, in degrees), of equal ones that with the smaller lat and lon; nulls, and cells without a place, take the feature's mean."""
+    p = points.select("lat", "lon", F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), *features)
+    near = nearest(cells.select("y", "x", "lat", "lon"), ["y", "x"], p, ["__lat", "__lon"]).select("y", "x", *features)
+    lost = cells.where(C.finite(F.col("lat")).isNull() | C.finite(F.col("lon")).isNull()).select("y", "x")
+    near = near.unionByName(lost, allowMissingColumns=True)
     means = F.broadcast(near.agg(*[F.avg(C.finite(F.col(c))).alias(f"__{c}") for c in features]))
     return near.crossJoin(means).select("y", "x", *[F.coalesce(C.finite(F.col(c)), F.col(f"__{c}")).alias(c) for c in features])
 
 
 def station_mask(cells: DataFrame, stations: DataFrame) -> DataFrame:
     """cells (y, x, lat, lon) with mask 1 for the cell nearest to a station; lowest (y, x) of equal ones."""
-    named = stations.select("station_id", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
-    d2 = (F.col("lat") - F.col("s_lat")) ** 2 + (F.col("lon") - F.col("s_lon")) ** 2
-    own = cells.crossJoin(named).groupBy("station_id").agg(F.min_by(F.struct("y", "x"), F.struct(d2.alias("d"), F.col("y"), F.col("x"))).alias("c"))
-    return cells.join(own.select("c.*").distinct().withColumn("mask", F.lit(1)), ["y", "x"], "left").withColumn("mask", F.coalesce("mask", F.lit(0)))
+    own = nearest(stations.select("station_id", "lat", "lon"), ["station_id"], cells.select("y", "x", "lat", "lon"), ["y", "x"])
+    return cells.join(own.select("y", "x").distinct().withColumn("mask", F.lit(1)), ["y", "x"], "left").withColumn("mask", F.coalesce("mask", F.lit(0)))
 
 
 def asof_next(times: DataFrame, requested: DataFrame) -> DataFrame:
@@ -154,6 +148,14 @@ def climatology(hr: DataFrame, value: str = "t_c") -> DataFrame:
     return hr.groupBy("y", "x").agg(F.avg(value).alias("value"))
 
 
+def residual_map(hr: DataFrame, lr: DataFrame, shape_in: tuple[int, int], shape_out: tuple[int, int], value: str = "t_c") -> DataFrame:
+    """y, x, value: the fine field's mean over time (y, x, value) less the coarse one's (gy, gx, value), which is brought to the fine grid after its mean is taken, so little is upsampled."""
+    coarse = lr.groupBy("gy", "gx").agg(F.avg(C.finite(F.col(value))).alias(value))
+    up = upsample(coarse, shape_in, shape_out, [], value).withColumnRenamed(value, "__up")
+    fine = hr.groupBy("y", "x").agg(F.avg(C.finite(F.col(value))).alias("value"))
+    return fine.join(up, ["y", "x"]).select("y", "x", (F.col("value") - F.col("__up")).alias("value"))
+
+
 def error_map(df: DataFrame, cells: DataFrame, pred: str = "pred_c", ref: str = "t_c") -> DataFrame:
     """y, x, value: mean absolute error of each cell, 0 where nothing is known."""
     known = df.groupBy("y", "x").agg(F.avg(F.abs(F.col(pred) - F.col(ref))).alias("value"))
@@ -218,20 +220,21 @@ def frame_correlation(df: DataFrame, by: str = "time", a: str = "pred_c", b: str
 
 
 def orientations(h: int, w: int) -> dict[str, tuple[Column, Column]]:
-    """Where the cell (y, x) of a square frame goes in each variant."""
+    """Where the cell (y, x) of a square frame goes in each variant, in the order in which equal ones are preferred. The flipped transposes are rotations under another name."""
     y, x = F.col("y"), F.col("x")
     return {
         "as_is": (y, x), "rot90": (w - 1 - x, y), "rot180": (h - 1 - y, w - 1 - x), "rot270": (x, h - 1 - y), "flip_y": (h - 1 - y, x), "flip_x": (y, w - 1 - x),
-        "transpose": (x, y), "transpose_rot180": (w - 1 - x, h - 1 - y),
+        "transpose": (x, y), "transpose_flip_y": (w - 1 - x, y), "transpose_flip_x": (x, h - 1 - y),
     }
 
 
 def orientation_score(a: DataFrame, b: DataFrame, n: int, by: list[str] = ()) -> DataFrame:
-    """by, variant, r, is_best: correlation of each turned or mirrored square frame a with b (by, y, x, value)."""
-    moved = F.explode(F.array(*[F.struct(F.lit(k).alias("variant"), yy.cast("int").alias("y2"), xx.cast("int").alias("x2")) for k, (yy, xx) in orientations(n, n).items()]))
+    """by, variant, r, is_best: correlation of each turned or mirrored square frame a with b (by, y, x, value). The best is the first of those with the largest r (to 9 digits)."""
+    ways = orientations(n, n)
+    moved = F.explode(F.array(*[F.struct(F.lit(k).alias("variant"), yy.cast("int").alias("y2"), xx.cast("int").alias("x2")) for k, (yy, xx) in ways.items()]))
     turned = a.select(*by, F.col("value").alias("a"), moved.alias("m")).select(*by, "a", "m.variant", F.col("m.y2").alias("y"), F.col("m.x2").alias("x"))
     scores = turned.join(b.withColumnRenamed("value", "b"), [*by, "y", "x"]).groupBy(*by, "variant").agg(C.corr("a", "b").alias("r"))
-    first = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc_nulls_last("r"), "variant"))
+    first = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc_nulls_last(F.round("r", 9)), F.array_position(F.array(*map(F.lit, ways)), F.col("variant"))))
     return scores.withColumn("is_best", first == 1)
 
 
@@ -257,12 +260,16 @@ def nearest_fill(df: DataFrame, value: str, axis: str, within: list[str]) -> Dat
     return rows.withColumn(value, F.when(F.col("__lo").isNotNull() & low_near, F.col("__lo.v")).otherwise(F.col("__hi.v"))).drop("__lo", "__hi")
 
 
-def fill_grid(df: DataFrame, value: str, by: list[str] = ("variable",)) -> DataFrame:
-    """Three passes of nearest_fill, along x, y and time; what is left takes its variable's mean, and a variable without values is 0."""
-    for axis, within in (("x", [*by, "time", "y"]), ("y", [*by, "time", "x"]), ("time", [*by, "y", "x"])):
-        df = nearest_fill(df, value, axis, within)
-    means = df.groupBy(*by).agg(F.avg(value).alias("__m"))
-    return df.join(F.broadcast(means), list(by)).withColumn(value, F.coalesce(value, "__m", F.lit(0.0))).drop("__m")  # a row a variable
+def fill_grid(df: DataFrame, value: str, by: list[str] = ("variable",), axes: tuple[str, ...] = ("x", "y", "time")) -> DataFrame:
+    """Passes of nearest_fill along the axes in turn; what is left takes its variable's mean, and a variable without values is 0.
+
+    Coarse inputs take all three axes; a fine field has no time pass and one mean: axes=("x", "y"), by=[].
+    """
+    others = {"x": ["time", "y"], "y": ["time", "x"], "time": ["y", "x"]}
+    for axis in axes:
+        df = nearest_fill(df, value, axis, [*by, *others[axis]])
+    means = F.broadcast(df.groupBy(*by).agg(F.avg(value).alias("__m")))
+    return (df.join(means, list(by)) if by else df.crossJoin(means)).withColumn(value, F.coalesce(value, "__m", F.lit(0.0))).drop("__m")  # a row a variable
 
 
 def directional_fill(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heatloom.operators import ranges
+from heatloom.operators import ranges, selection
 from heatloom.operators.stats import robust_scale
 
 
@@ -29,8 +29,8 @@ def temporal_weights(series: DataFrame, gamma: float = 1.0, min_prob: float = 1e
 
 def p95_weights(series: DataFrame, min_prob: float = 1e-6) -> DataFrame:
     """series with weight by the excess over its 95th percentile. The reference's own switch never reaches this; its evident intent is built."""
-    q = F.broadcast(series.agg(F.percentile("value", 0.95).alias("__q")))
-    rows = series.crossJoin(q).withColumn("__e", F.greatest(F.col("value") - F.col("__q"), F.lit(0.0)) + min_prob).drop("__q")
+    q = selection.percentiles(series, {"value": F.col("value")}, [0.95])["value"]["at"][0]
+    rows = series.withColumn("__e", F.greatest(F.col("value") - F.lit(q), F.lit(0.0)) + min_prob)
     total = F.broadcast(rows.agg(F.sum("__e").alias("__t")))
     return rows.crossJoin(total).withColumn("weight", F.col("__e") / F.col("__t")).drop("__e", "__t")
 

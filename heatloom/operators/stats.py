@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -10,8 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heatloom.functions import columns as C
+from heatloom.operators import selection
+from heatloom.operators.clean import filter_period
 
 EPSILON = 1e-6
+#: Draws that a task holds at a time.
+AT_ONCE = 1 << 20
 
 
 def long_form(df: DataFrame, cols: list[str], ids: list[str] = ()) -> DataFrame:
@@ -19,8 +24,9 @@ def long_form(df: DataFrame, cols: list[str], ids: list[str] = ()) -> DataFrame:
     return df.select(*ids, *[C.finite(F.col(c)).alias(c) for c in cols]).unpivot(list(ids), cols, "variable", "value")
 
 
-def norm_stats(df: DataFrame, cols: list[str], floor: float = 0.01) -> DataFrame:
-    """variable, mean, std_raw (population), near_zero, std (at least floor) in one pass over the rows."""
+def norm_stats(df: DataFrame, cols: list[str], floor: float = 0.01, period: tuple[str, str] | None = None, inclusive_end: bool = True) -> DataFrame:
+    """variable, mean, std_raw (population), near_zero, std (at least floor) in one pass over the rows; with a period those of its times alone, its end as well unless told otherwise."""
+    df = filter_period(df, *period, inclusive_end=inclusive_end) if period else df
     stats = long_form(df, cols).groupBy("variable").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std_raw"))
     return stats.select("variable", "mean", "std_raw", (F.col("std_raw") < floor).alias("near_zero"), F.greatest("std_raw", F.lit(floor)).alias("std"))
 
@@ -79,21 +85,15 @@ def vif(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def robust_scale(df: DataFrame, cols: list[str], low: float = 0.02, high: float = 0.98, fall_back: bool = True) -> DataFrame:
-    """Columns between their percentiles, clipped to [0, 1]; equal percentiles fall back to the extremes, a flat column is 0."""
-    parts = []
-    for c in cols:
-        v = C.finite(F.col(c))
-        parts += [F.percentile(v, F.array(F.lit(low), F.lit(high))).alias(f"__p_{c}"), F.min(v).alias(f"__a_{c}"), F.max(v).alias(f"__b_{c}")]
-    stats = F.broadcast(df.agg(*parts))
+    """Columns between their percentiles, clipped to [0, 1]; equal percentiles fall back to the extremes, a flat column is 0. Percentiles are exact (see selection)."""
+    stats = selection.percentiles(df, {c: F.col(c) for c in cols}, [low, high])
     out = {}
     for c in cols:
-        a, b = F.get(f"__p_{c}", F.lit(0)), F.get(f"__p_{c}", F.lit(1))
-        if fall_back:
-            flat = ~(b > a)
-            a, b = F.when(flat, F.col(f"__a_{c}")).otherwise(a), F.when(flat, F.col(f"__b_{c}")).otherwise(b)
-        out[c] = F.when(b > a, C.clip((C.finite(F.col(c)) - a) / (b - a), 0, 1)).otherwise(0.0)
-    drop = [f"__{k}_{c}" for c in cols for k in "pab"]
-    return df.crossJoin(stats).withColumns(out).drop(*drop)
+        a, b = stats[c]["at"]
+        if fall_back and a is not None and not b > a:
+            a, b = stats[c]["min"], stats[c]["max"]
+        out[c] = C.clip((C.finite(F.col(c)) - a) / (b - a), 0, 1) if a is not None and b > a else F.lit(0.0)
+    return df.withColumns(out)
 
 
 def top_pairs(corr: DataFrame, threshold: float, k: int) -> DataFrame:
@@ -111,28 +111,60 @@ def feature_drop_candidates(
     return a.union(b).union(c).distinct()
 
 
+def weak_inputs(corr: DataFrame, least_r: float = 0.10) -> DataFrame:
+    """variable, r of the coarse inputs that hardly correlate with the target; an unknown correlation is no candidate."""
+    return corr.where(F.abs(C.finite(F.col("r"))) < least_r).select("variable", "r")
+
+
+def uniforms(hashes: np.ndarray, n: int) -> np.ndarray:
+    """n numbers in 0 to 1 for each hash: the mixed bits of the hash and a counter."""
+    x = hashes.astype(np.int64).view(np.uint64)[:, None] + np.arange(1, n + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2.0**53
+
+
+def poisson_draws(means: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
+    """n Poisson numbers of each mean (whole, 1 or more), by inversion of the sums of probabilities, which equal means share."""
+    u, out = uniforms(hashes, n), np.empty((len(means), n))
+    for m in np.unique(means):
+        reach = 12 * math.sqrt(m) + 30  # beyond, nothing is left in double precision
+        k = np.arange(max(0, math.floor(m - reach)), math.ceil(m + reach))
+        log_p = k[0] * math.log(m) - m - math.lgamma(k[0] + 1) + np.concatenate([[0.0], np.cumsum(math.log(m) - np.log(k[1:]))])
+        below = np.cumsum(np.exp(log_p))
+        own = means == m
+        out[own] = k[0] + np.minimum(np.searchsorted(below / below[-1], u[own], side="right"), len(k) - 1)
+    return out
+
+
 def replicate_means(rows: DataFrame, by: list[str], n_boot: int, seed: int) -> DataFrame:
     """by, replicate, mean of n_boot resamples of the column value in each group.
 
-    A value that occurs m times gets a Poisson(m) weight in each replicate, from a generator that its hash seeds: numbers don't depend on partitions. Tasks sum weights and
-    weighted values, so no group meets in one task. A replicate in which no row has a weight is left out.
+    A value that occurs m times gets a Poisson(m) weight in each replicate, from a hash of the value, its keys and the seed: numbers don't depend on partitions. Tasks draw for a
+    batch at once and sum weights and weighted values, so no group meets in one task. A replicate in which no row has a weight is left out.
     """
     counts = rows.groupBy(*by, "value").agg(F.count("*").alias("n")).withColumn("h", F.xxhash64(*by, "value", F.lit(seed)))
+    step = max(1, AT_ONCE // n_boot)
 
     def draw(batches):
         sums: dict[tuple, np.ndarray] = {}
 
         def taken():
-            for key, (w, s) in sums.items():
-                yield pd.DataFrame({**{c: [k] * n_boot for c, k in zip(by, key, strict=True)}, "replicate": np.arange(n_boot), "w": w, "s": s})
+            for key, (w, v) in sums.items():
+                yield pd.DataFrame({**{c: [k] * n_boot for c, k in zip(by, key, strict=True)}, "replicate": np.arange(n_boot), "w": w, "s": v})
             sums.clear()
 
         for pdf in batches:
-            for *key, value, n, h in pdf[[*by, "value", "n", "h"]].itertuples(index=False):
-                weight = np.random.Generator(np.random.Philox(h & 0xFFFFFFFFFFFFFFFF)).poisson(n, n_boot)
-                own = sums.setdefault(tuple(key), np.zeros((2, n_boot)))
-                own[0] += weight
-                own[1] += weight * value
+            pdf = pdf.assign(__g=pdf.groupby(by, sort=False, dropna=False).ngroup() if by else 0).sort_values("__g", kind="stable")
+            for a in range(0, len(pdf), step):
+                part = pdf.iloc[a : a + step]
+                weight = poisson_draws(part.n.to_numpy(), part.h.to_numpy(), n_boot)
+                _, starts = np.unique(part["__g"].to_numpy(), return_index=True)
+                w = np.add.reduceat(weight, starts, axis=0)
+                v = np.add.reduceat(weight * part.value.to_numpy(float)[:, None], starts, axis=0)
+                for k, key in enumerate(part[by].iloc[starts].itertuples(index=False, name=None)):
+                    own = sums.setdefault(key, np.zeros((2, n_boot)))
+                    own += (w[k], v[k])
                 if len(sums) >= 500:
                     yield from taken()
         yield from taken()

@@ -132,6 +132,21 @@ def upsample_bilinear(spark, d):
     return grids.upsample(frames(spark, d), (8, 8), (16, 16), ["vec_id"], "value")
 
 
+@query(
+    f"""WITH {FRAMES}, k AS (SELECT CAST(gy // 2 AS INT) AS gy, CAST(gx // 2 AS INT) AS gx, avg(value * 0.9) AS v FROM lr GROUP BY 1, 2), ax AS (SELECT CAST(o AS INT) AS o, least(greatest((o + 0.5) / 2 - 0.5, 0), 3) AS p FROM range(8) t(o)),
+w AS (SELECT o, CAST(floor(p) AS INT) AS i, 1 - (p - floor(p)) AS w FROM ax UNION ALL SELECT o, CAST(floor(p) AS INT) + 1, p - floor(p) FROM ax WHERE p > floor(p)),
+up AS (SELECT r.o AS y, c.o AS x, sum(r.w * c.w * v) AS v FROM k JOIN w r ON r.i = k.gy JOIN w c ON c.i = k.gx GROUP BY 1, 2), f AS (SELECT gy AS y, gx AS x, avg(value) AS m FROM lr GROUP BY 1, 2)
+SELECT y, x, m - v AS value FROM f JOIN up USING (y, x)""",
+    "value",
+)
+def residual_map(spark, d):
+    """A18, the fine field's mean less the coarse one's."""
+    hr = frames(spark, d, "y", "x")
+    half = lambda c: F.floor(F.col(c) / 2).cast("int")
+    lr = hr.select("vec_id", half("y").alias("gy"), half("x").alias("gx"), (F.col("value") * 0.9).alias("value"))
+    return grids.residual_map(hr, lr, (4, 4), (8, 8), "value")
+
+
 @query(f"WITH {FRAMES} SELECT vec_id, CAST(o.i AS INT) AS y, CAST(p.i AS INT) AS x, value FROM lr JOIN range(16) o(i) ON o.i // 2 = gy JOIN range(16) p(i) ON p.i // 2 = gx", "value")
 def upsample_nearest(spark, d):
     return grids.upsample(frames(spark, d), (8, 8), (16, 16), ["vec_id"], "value", "nearest")
@@ -167,12 +182,12 @@ def frame_correlation(spark, d):
     return grids.frame_correlation(grid(spark, d))
 
 
-MOVES = {"as_is": "gy, gx", "rot90": "7 - gx, gy", "rot180": "7 - gy, 7 - gx", "rot270": "gx, 7 - gy", "flip_y": "7 - gy, gx", "flip_x": "gy, 7 - gx", "transpose": "gx, gy", "transpose_rot180": "7 - gx, 7 - gy"}
+MOVES = {"as_is": "gy, gx", "rot90": "7 - gx, gy", "rot180": "7 - gy, 7 - gx", "rot270": "gx, 7 - gy", "flip_y": "7 - gy, gx", "flip_x": "gy, 7 - gx", "transpose": "gx, gy", "transpose_flip_y": "7 - gx, gy", "transpose_flip_x": "gx, 7 - gy"}
 
 
 @query(
     f"WITH {FRAMES}, m AS (" + " UNION ALL ".join(f"SELECT vec_id, '{k}' AS variant, value AS a, {v.split(', ')[0]} AS y, {v.split(', ')[1]} AS x FROM lr" for k, v in MOVES.items())
-    + "), b AS (SELECT vec_id - 1 AS vec_id, gy AS y, gx AS x, value AS b FROM lr), r AS (SELECT vec_id, variant, corr(a, b) AS r FROM m JOIN b USING (vec_id, y, x) GROUP BY 1, 2) SELECT vec_id, variant, r, row_number() OVER (PARTITION BY vec_id ORDER BY r DESC, variant) = 1 AS is_best FROM r",
+    + "), b AS (SELECT vec_id - 1 AS vec_id, gy AS y, gx AS x, value AS b FROM lr), r AS (SELECT vec_id, variant, corr(a, b) AS r FROM m JOIN b USING (vec_id, y, x) GROUP BY 1, 2) SELECT vec_id, variant, r, row_number() OVER (PARTITION BY vec_id ORDER BY round(r, 9) DESC, list_position([" + ", ".join(f"'{k}'" for k in MOVES) + "], variant)) = 1 AS is_best FROM r",
     "r",
 )
 def orientation_score(spark, d):
@@ -210,9 +225,28 @@ def nearest_fill(spark, d):
     return grids.nearest_fill(holes(spark, d), "v", "x", ["time", "y"]).select("time", "y", "x", "v")
 
 
-@query()
+def near_sql(src: str, axis: str, within: str) -> str:
+    """One pass over src (time, y, x, v): values known before and after along an axis, and the nearer of the two."""
+    at = "epoch(time)" if axis == "time" else axis
+    before = f"OVER (PARTITION BY {within} ORDER BY {axis} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    after = f"OVER (PARTITION BY {within} ORDER BY {axis} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+    known = f"CASE WHEN v IS NOT NULL THEN {at} END"
+    both = f"last_value(v IGNORE NULLS) {before} AS lv, max({known}) {before} AS lo, first_value(v IGNORE NULLS) {after} AS hv, min({known}) {after} AS hi"
+    return f"SELECT time, y, x, CASE WHEN lo IS NOT NULL AND (hi IS NULL OR {at} - lo <= hi - {at}) THEN lv ELSE hv END AS v FROM (SELECT time, y, x, v, {both} FROM {src})"
+
+
+PASSES = HOLES.replace("epoch(time)", "CAST(epoch(time) AS BIGINT)") + f", px AS ({near_sql('g', 'x', 'time, y')}), py AS ({near_sql('px', 'y', 'time, x')}), pt AS ({near_sql('py', 'time', 'y, x')})"
+
+
+@query(f"WITH {PASSES} SELECT time, y, x, coalesce(v, avg(v) OVER (), 0) AS v FROM py", "v")
+def fill_grid_fine(spark, d):
+    """W8, a fine field: no pass over time, one mean."""
+    return grids.fill_grid(holes(spark, d).select("time", "y", "x", "v"), "v", [], ("x", "y"))
+
+
+@query(f"WITH {PASSES} SELECT time, y, x, coalesce(v, avg(v) OVER (), 0) AS v, 't2m' AS variable FROM pt", "v")
 def fill_grid(spark, d):
-    """W8, all passes; tested on hand-made frames."""
+    """W8, all passes."""
     return grids.fill_grid(holes(spark, d).select("time", "y", "x", "v").withColumn("variable", F.lit("t2m")), "v")
 
 

@@ -21,6 +21,15 @@ def norm_stats(spark, d):
     return stats.norm_stats(static(spark, d), FEATURES)
 
 
+TRAIN = GRID + ", tr AS (SELECT unnest(['pred_c', 't_c']) AS variable, unnest([pred_c, t_c]) AS value FROM grid WHERE time >= TIMESTAMP '1994-01-03' AND time <= TIMESTAMP '1996-01-01')"
+
+
+@query(f"WITH {TRAIN} SELECT variable, avg(value) AS mean, stddev_pop(value) AS std_raw, stddev_pop(value) < 0.01 AS near_zero, greatest(stddev_pop(value), 0.01) AS std FROM tr GROUP BY 1", "mean std_raw std")
+def norm_stats_train(spark, d):
+    """A10, of the training period alone, its last step included."""
+    return stats.norm_stats(grid(spark, d), ["pred_c", "t_c"], period=("1994-01-03", "1996-01-01"))
+
+
 @query(f"WITH {STATS} SELECT y, x, variable, (value - mean) / (std + 1e-6) AS value FROM long JOIN stats USING (variable)", "value")
 def zscore(spark, d):
     """A11."""
@@ -76,6 +85,12 @@ def feature_drop_candidates(spark, d):
     return stats.feature_drop_candidates(stats.vif(s, FEATURES), stats.corr_with_target(s, FEATURES[1:], "avg_height"), pairs, [("building_density", "roughness"), ("avg_height", "roughness")])
 
 
+@query(f"WITH {STATIC}, r AS (" + " UNION ALL ".join(f"SELECT '{c}' AS variable, corr({c}, avg_height) AS r FROM static" for c in FEATURES[1:]) + ") SELECT variable, r FROM r WHERE NOT isnan(r) AND abs(r) < 0.10", "r")
+def weak_inputs(spark, d):
+    """T7, coarse inputs that hardly correlate with the target."""
+    return stats.weak_inputs(stats.corr_with_target(static(spark, d), FEATURES[1:], "avg_height"))
+
+
 SCALE = STATIC + ", q AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.02) AS a_{c}, quantile_cont({c}, 0.98) AS b_{c}" for c in FEATURES[:3]) + " FROM static)"
 
 
@@ -223,6 +238,12 @@ def tile_weights(spark, d):
     return sampling.tile_weights(static(spark, d), "static_weighted", ["avg_height", "svf"]).select("y", "x", "weight")
 
 
+@query(f"WITH {STATIC}, w AS (SELECT y, x, (roughness - min(roughness) OVER ()) ** 2 + 1e-6 AS w FROM static) SELECT y, x, w / sum(w) OVER () AS weight FROM w", "weight", 9)
+def tile_weights_error(spark, d):
+    """R4, by known errors, squared."""
+    return sampling.tile_weights(static(spark, d).withColumn("error", F.col("roughness")), "error_weighted", [], 2.0).select("y", "x", "weight")
+
+
 def unit(c: str, expr: str) -> str:
     return f"CASE WHEN b_{c} > a_{c} THEN least(greatest(({expr} - a_{c}) / (b_{c} - a_{c}), 0), 1) ELSE 0 END"
 
@@ -443,6 +464,12 @@ def missing_months(spark, d):
     return clean.missing_months(table(spark, d, "lineitem").select(F.date_format("l_shipdate", "yyyyMM").alias("month")), "1995-01-01", "2002-06-01")
 
 
+@query("SELECT strftime(d, '%Y%m') AS month FROM (SELECT unnest(generate_series(DATE '1990-01-01', DATE '1993-01-01', INTERVAL 1 MONTH)) AS d) WHERE strftime(d, '%Y%m') NOT IN (SELECT DISTINCT strftime(l_shipdate, '%Y%m') FROM lineitem)")
+def missing_months_of_years(spark, d):
+    """S9, years as bounds."""
+    return clean.missing_months(table(spark, d, "lineitem").select(F.date_format("l_shipdate", "yyyyMM").alias("month")), "1990", "1993")
+
+
 @query("SELECT feature, CASE WHEN feature IN (SELECT DISTINCT p_type FROM part) THEN 'selected' ELSE 'missing' END AS status FROM (SELECT DISTINCT p_type AS feature FROM part WHERE p_size < 5 UNION SELECT 'NONE')")
 def feature_diff(spark, d):
     """U3."""
