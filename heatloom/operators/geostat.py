@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heatloom.operators import selection
+from heatloom.functions import columns as C
+from heatloom.operators import ranges, regions, selection
+from heatloom.sources import io
 
-#: Points that the cross-validation works on, at most, as in the method it follows; chosen by hash.
-SAMPLE = 4_000
+MODEL = "struct<nugget: double, sill: double, range: double>"
 
 
 def pool_rare_classes(df: DataFrame, cls: str, min_count: int = 400, groups: dict[int, int] | None = None) -> DataFrame:
@@ -22,20 +23,30 @@ def pool_rare_classes(df: DataFrame, cls: str, min_count: int = 400, groups: dic
     return df.join(counts, cls, "left").withColumn(cls, F.when(F.col("__n") < min_count, -1).otherwise(F.col(cls))).drop("__n")
 
 
-def hashed_sample(points: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    return points.orderBy(F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}"))), "id").limit(n)
-
-
-def variogram(points: DataFrame, n_bins: int = 15, max_frac: float = 0.5, sample: int = 1_500) -> DataFrame:
-    """bin, lag, semivariance, n of pairs of at most `sample` points (id, x, y, value), up to a part of the largest distance; bins with 10 pairs."""
-    some = hashed_sample(points, sample).select("id", "x", "y", "value")
-    a, b = some.alias("a"), some.alias("b")  # pairs of the sample: the method's own bound
-    d = F.sqrt((F.col("a.x") - F.col("b.x")) ** 2 + (F.col("a.y") - F.col("b.y")) ** 2)
-    pairs = a.join(b, F.col("a.id") < F.col("b.id")).select(d.alias("d"), (0.5 * (F.col("a.value") - F.col("b.value")) ** 2).alias("g"))
-    cut = F.broadcast(pairs.agg((F.max("d") * max_frac).alias("cut")))
-    at = F.floor(F.col("d") / F.col("cut") * n_bins).cast("int")
-    binned = pairs.crossJoin(cut).where(F.col("d") <= F.col("cut")).withColumn("bin", at).where(F.col("bin") < n_bins)
-    return binned.groupBy("bin").agg(F.avg("d").alias("lag"), F.avg("g").alias("semivariance"), F.count("*").alias("n")).where("n >= 10")
+def hashed_sample(points: DataFrame, n: int, seed: int = 0, by: list[str] | None = None) -> DataFrame:
+    """The first n points by hash, of each `by` if given (rows without one take no part)."""
+    rows = points.withColumn("__h", F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}"))))
+    if not by:
+        return rows.orderBy("__h", "id").limit(n).drop("__h")
+    # by its first digits, a few times n of each group pass, so that no window holds a whole group
+    share = F.conv(F.substring("__h", 1, 8), 16, 10).cast("double") / 2**32
+    few = rows.join(points.groupBy(*by).agg(F.count("*").alias("__n")), by).where(share * F.col("__n") <= 4 * n + 64)
+    return few.withColumn("__k", F.row_number().over(Window.partitionBy(*by).orderBy("__h", "id"))).where(F.col("__k") <= n).drop("__h", "__n", "__k")
+
+
+def variogram(points: DataFrame, n_bins: int = 15, max_frac: float = 0.5, sample: int = 1_500, by: list[str] | None = None) -> DataFrame:
+    """by, bin, lag, semivariance, n of pairs of at most `sample` points (id, x, y, value) of each `by`, up to a part of the largest distance; bins with 10 pairs."""
+    by = by or []
+    some = hashed_sample(points, sample, by=by).select(*by, "id", "x", "y", "value")
+    other = some.select(*by, *[F.col(c).alias(f"__{c}") for c in ("id", "x", "y", "value")])
+    d = F.sqrt((F.col("x") - F.col("__x")) ** 2 + (F.col("y") - F.col("__y")) ** 2)
+    met = some.join(other, by) if by else some.crossJoin(other)  # pairs of the sample: the method's own bound
+    pairs = met.where(F.col("id") < F.col("__id")).select(*by, d.alias("d"), (0.5 * (F.col("value") - F.col("__value")) ** 2).alias("g"))
+    cut = F.broadcast(pairs.groupBy(*by).agg((F.max("d") * max_frac).alias("cut")))
+    at = F.floor(F.try_divide(F.col("d"), F.col("cut")) * n_bins).cast("int")
+    near = (pairs.join(cut, by) if by else pairs.crossJoin(cut)).where(F.col("d") <= F.col("cut"))
+    binned = near.withColumn("bin", at).where(F.col("bin") < n_bins)
+    return binned.groupBy(*by, "bin").agg(F.avg("d").alias("lag"), F.avg("g").alias("semivariance"), F.count("*").alias("n")).where("n >= 10")
 
 
 def spherical(h: np.ndarray, nugget: float, sill: float, reach: float) -> np.ndarray:
@@ -68,28 +79,73 @@ def fit_models(variograms: DataFrame, by: list[str]) -> DataFrame:
     return variograms.groupBy(*by).applyInPandas(one, schema)
 
 
-def local_kriging(xy: np.ndarray, v: np.ndarray, target: np.ndarray, model: tuple[float, float, float], k: int = 48, batch: int = 256) -> np.ndarray:
-    """Ordinary kriging of each target from its k nearest points, solved in batches; the neighbours' mean where a system is singular."""
-    k, out = min(k, len(xy)), np.empty(len(target))
-    for s in range(0, len(target), batch):
-        t = target[s : s + batch]
-        d = np.sqrt(((t[:, None, :] - xy[None, :, :]) ** 2).sum(-1))
-        near = np.argpartition(d, k - 1, axis=1)[:, :k]
-        p, values = xy[near], v[near]
-        system = np.ones((len(t), k + 1, k + 1))
-        system[:, :k, :k] = spherical(np.sqrt(((p[:, :, None, :] - p[:, None, :, :]) ** 2).sum(-1)), *model)
+def solve_each(system: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Solutions of a batch of systems; NaN where one is singular."""
+    try:
+        return np.linalg.solve(system, right)
+    except np.linalg.LinAlgError:
+        if len(system) == 1:
+            return np.full_like(right, np.nan)
+        half = len(system) // 2
+        return np.concatenate([solve_each(system[:half], right[:half]), solve_each(system[half:], right[half:])])
+
+
+def krige(target: np.ndarray, place: np.ndarray, value: np.ndarray, model: np.ndarray, batch: int = 256) -> np.ndarray:
+    """Ordinary kriging of targets (n, 2) from k points of each (n, k, 2), their values (n, k) and a model of each (n, 3); the points' mean where a system is singular or a model is missing."""
+    n, k = value.shape
+    out = value.mean(1)
+    for s in range(0, n, batch):
+        at = s + np.nonzero(np.isfinite(model[s : s + batch]).all(1))[0]
+        if not len(at):
+            continue
+        p, m = place[at], model[at].T
+        system = np.ones((len(at), k + 1, k + 1))
+        system[:, :k, :k] = spherical(np.sqrt(((p[:, :, None, :] - p[:, None, :, :]) ** 2).sum(-1)), *m[:, :, None, None])
         system[:, k, k] = 0
         system += np.eye(k + 1) * 1e-10
-        right = np.ones((len(t), k + 1, 1))
-        right[:, :k, 0] = spherical(np.take_along_axis(d, near, 1), *model)
-        try:
-            w = np.linalg.solve(system, right)[:, :k, 0]
-            out[s : s + batch] = (w * values).sum(1)
-        except np.linalg.LinAlgError:
-            out[s : s + batch] = values.mean(1)
+        right = np.ones((len(at), k + 1, 1))
+        right[:, :k, 0] = spherical(np.sqrt(((target[at][:, None, :] - p) ** 2).sum(-1)), *m[:, :, None])
+        got = (solve_each(system, right)[:, :k, 0] * value[at]).sum(1)
+        out[at] = np.where(np.isfinite(got), got, out[at])
     return out
 
 
+def local_kriging(targets: DataFrame, points: DataFrame, by: list[str], k: int = 48) -> DataFrame:
+    """by, id, estimates: each value of points (by, id, x, y, values: array) at targets (by, id, x, y, models: an array of as many models, null ones for the neighbours' mean), from the k nearest points of the same by.
+
+    All points take part and all targets are estimated; see `regions.with_neighbours` for ties, missing places and the size of groups. Values and models have the same length within a by.
+    """
+
+    def work(t: pd.DataFrame, p: pd.DataFrame, near: np.ndarray) -> pd.DataFrame:
+        place, values = p[["x", "y"]].to_numpy()[near], np.stack(p["values"].to_list())
+        models = np.array([[[np.nan] * 3 if m is None else [m["nugget"], m["sill"], m["range"]] for m in row] for row in t.models], float)
+        target = t[["x", "y"]].to_numpy()
+        out = np.stack([krige(target, place, values[:, f][near], models[:, f]) for f in range(models.shape[1])], axis=1)
+        return pd.DataFrame({"id": t.id.to_numpy(), "estimates": list(out)})
+
+    return regions.with_neighbours(targets.select(*by, "id", "x", "y", "models"), points.select(*by, "id", "x", "y", "values"), by, k, work, f"id {points.schema['id'].dataType.simpleString()}, estimates array<double>")
+
+
+def window_models(targets: DataFrame, points: DataFrame, by: str, k: int = 48, every: int = 200) -> DataFrame:
+    """targets (by, id, x, y) with `moving`: the model of the k points (by, id, x, y, value) around the first of each `every` targets by id, or that of the window before where it can't be fitted.
+
+    Windows of a by are one row each, in one order.
+    """
+    first = targets.groupBy(by).agg(F.count("*").alias("__c"))
+    before = first.select(by, (F.sum("__c").over(Window.orderBy(by)) - F.col("__c")).alias("__base"))  # a row a fold
+    numbered = ranges.row_numbers(targets, [by, "id"], "__n").join(F.broadcast(before), by)
+    windows = numbered.withColumn("__w", F.floor((F.col("__n") - F.col("__base")) / every)).withColumn("__lead", (F.col("__n") - F.col("__base")) % every == 0).drop("__n", "__base")
+
+    def work(t: pd.DataFrame, p: pd.DataFrame, near: np.ndarray) -> pd.DataFrame:
+        xy, v = p[["x", "y"]].to_numpy(), p.value.to_numpy()
+        found = [fit_spherical(*empirical(xy[n], v[n], n_bins=8)) for n in near]
+        return pd.DataFrame({"__w": t["__w"].to_numpy(), "own": [None if m is None else dict(zip(("nugget", "sill", "range"), m, strict=True)) for m in found]})
+
+    led = regions.with_neighbours(windows.where("__lead").select(by, "id", "x", "y", "__w"), points.select(by, "id", "x", "y", "value"), [by], k, work, f"__w bigint, own {MODEL}")
+    carried = F.last("own", True).over(Window.partitionBy(by).orderBy("__w"))
+    return windows.join(led.select(by, "__w", carried.alias("moving")), [by, "__w"], "left").drop("__w", "__lead")
+
+
 def empirical(xy: np.ndarray, v: np.ndarray, n_bins: int = 15, max_frac: float = 0.5, sample: int = 1_500, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Lags and semivariances of an array of points, as `variogram`."""
     some = np.random.default_rng(seed).permutation(len(xy))[:sample]
@@ -120,51 +176,63 @@ def block_folds(points: DataFrame, n_blocks: int = 4) -> DataFrame:
 
 
 METHODS = ("global", "class_drift", "moving_window", "per_class")
-
-
-def predict_fold(train: pd.DataFrame, test: pd.DataFrame, k: int = 48) -> dict[str, np.ndarray] | None:
-    """Each method's values at the test points; none where the global model can't be fitted."""
-    xy, v, c = train[["x", "y"]].to_numpy(), train.value.to_numpy(), train.cls.to_numpy()
-    txy, tc = test[["x", "y"]].to_numpy(), test.cls.to_numpy()
-    mean = v.mean()
-    whole = fit_spherical(*empirical(xy, v - mean))
-    if whole is None:
-        return None
-    means = train.groupby("cls").value.mean()
-    drift = pd.Series(c).map(means).to_numpy()
-    t_drift = pd.Series(tc).map(means).fillna(mean).to_numpy()
-    out = {"global": mean + local_kriging(xy, v - mean, txy, whole, k), "class_drift": t_drift + local_kriging(xy, v - drift, txy, fit_spherical(*empirical(xy, v - drift)) or whole, k)}
-    moving, model = np.empty(len(txy)), None
-    for s in range(0, len(txy), 200):
-        part = txy[s : s + 200]
-        near = np.argsort(((xy - part[0]) ** 2).sum(1))[:k]
-        model = fit_spherical(*empirical(xy[near], v[near] - mean, n_bins=8)) or model
-        moving[s : s + 200] = mean + (local_kriging(xy, v - mean, part, model, k) if model else v[near].mean() - mean)
-    out["moving_window"] = moving
-    own = out["class_drift"].copy()
-    for cls in np.unique(tc):
-        here, there = tc == cls, c == cls
-        if there.sum() >= 60:
-            model = fit_spherical(*empirical(xy[there], v[there] - v[there].mean()))
-            if model:
-                own[here] = v[there].mean() + local_kriging(xy[there], v[there] - v[there].mean(), txy[here], model, k)
-    return out | {"per_class": own}
-
-
-def block_cv(points: DataFrame, n_blocks: int = 4, sample: int = SAMPLE, seed: int = 0) -> DataFrame:
-    """fold, method, rmse, n of kriging with each spatial block held out (points: id, x, y, value, cls). Folds are tasks; each gets the bounded sample."""
-    some = block_folds(hashed_sample(points, sample, seed), n_blocks)
-    folds = some.select("fold").distinct().withColumnRenamed("fold", "held")
-    copies = folds.crossJoin(some)  # n_blocks copies of the sample
-
-    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        train, test = pdf[pdf.fold != key[0]], pdf[pdf.fold == key[0]]
-        got = predict_fold(train, test) if len(test) >= 20 and len(train) >= 200 else None
-        rows = [[key[0], m, float(np.sqrt(np.mean((p - test.value.to_numpy()) ** 2))), len(test)] for m, p in (got or {}).items()]
-        return pd.DataFrame(rows, columns=["fold", "method", "rmse", "n"])
-
-    return copies.groupBy("held").applyInPandas(one, "fold int, method string, rmse double, n bigint")
+#: Least points of a fold and outside it, and of a class outside it, for kriging (fixed values).
+LEAST_HELD, LEAST_TRAIN, LEAST_CLASS = 20, 200, 60
+
+
+def block_predictions(points: DataFrame, n_blocks: int = 4, sample: int = 0, seed: int = 0, k: int = 48) -> DataFrame:
+    """fold, id, value and a column for each method: kriging of every point (id, x, y, value, cls) from the points outside its spatial block.
+
+    global: one mean and one model; class_drift: the classes' means and one model of what is left; moving_window: models of windows of 200 points; per_class: each class for itself, or class_drift
+    where it has few points or no model. All points are used unless `sample` says how many. Points without a finite place or value take no part, nor do folds with few points or without a model.
+    """
+    spark, path = points.sparkSession, io.scratch(points.sparkSession, "kriging")
+    fine = points.select("id", "cls", *[C.finite(F.col(c).cast("double")).alias(c) for c in ("x", "y", "value")]).dropna(subset=["x", "y", "value"])
+    folded = block_folds(hashed_sample(fine, sample, seed) if sample else fine, n_blocks).withColumn("cls", F.coalesce(F.col("cls").cast("string"), F.lit("none")))
+    folded.write.parquet(path)
+    rows = spark.read.schema(folded.schema).parquet(path)
+
+    sums = rows.groupBy("fold", "cls").agg(F.count("*").alias("n"), F.sum("value").alias("s"))  # a row a fold and class
+    folds = sums.groupBy("fold").agg(F.sum("n").alias("n_held")).where(F.col("n_held") >= LEAST_HELD).select(F.col("fold").alias("held"))
+    outside = folds.crossJoin(F.broadcast(sums)).where("held <> fold")
+    means = outside.groupBy("held").agg((F.sum("s") / F.sum("n")).alias("mean"), F.sum("n").alias("n_train")).where(F.col("n_train") >= LEAST_TRAIN)
+    of_class = outside.groupBy("held", "cls").agg((F.sum("s") / F.sum("n")).alias("class_mean"), F.sum("n").alias("n_class"))
+    known = F.broadcast(of_class.join(means.drop("n_train"), "held"))
+
+    train = rows.join(known, "cls").where("held <> fold")
+    residual = lambda pool, *of: train.select("held", pool.alias("pool"), "id", "x", "y", "n_class", F.array(*[F.col("value") - F.col(m) for m in of]).alias("values"))
+    whole = residual(F.lit("all"), "mean", "class_mean", "mean")
+    classes = residual(F.concat(F.lit("class "), "cls"), "class_mean").where(F.col("n_class") >= LEAST_CLASS)
+    pools = whole.unionAll(classes)
+    fields = pools.where("pool = 'all'").select("held", "pool", "id", "x", "y", F.posexplode(F.slice("values", 1, 2)).alias("field", "value"))
+    fields = fields.unionAll(pools.where("pool <> 'all'").select("held", "pool", "id", "x", "y", F.lit(0).alias("field"), F.get("values", F.lit(0)).alias("value")))
+    fitted = fit_models(variogram(fields, by=["held", "pool", "field"]), ["held", "pool", "field"])
+    model = F.struct("nugget", "sill", F.col("range"))
+    fitted = fitted.select("held", "pool", "field", model.alias("model"))
+    common = fitted.where("pool = 'all'").groupBy("held").agg(F.max(F.when(F.col("field") == 0, F.col("model"))).alias("m0"), F.max(F.when(F.col("field") == 1, F.col("model"))).alias("m1")).where("m0 is not null")
+    own = fitted.where("pool <> 'all'").select("held", "pool", F.col("model").alias("own"))
+
+    asked = rows.withColumnRenamed("fold", "held").join(F.broadcast(means.join(common, "held")), "held")
+    moved = window_models(asked.select("held", "id", "x", "y", "m0", "m1"), whole.select("held", "id", "x", "y", F.get("values", F.lit(0)).alias("value")), "held", k)
+    to_all = moved.select("held", F.lit("all").alias("pool"), "id", "x", "y", F.array("m0", F.coalesce("m1", "m0"), "moving").alias("models"))
+    to_class = asked.withColumn("pool", F.concat(F.lit("class "), "cls")).join(F.broadcast(own), ["held", "pool"]).select("held", "pool", "id", "x", "y", F.array("own").alias("models"))
+    path = io.scratch(spark, "kriging")
+    got = local_kriging(to_all.unionAll(to_class), pools, ["held", "pool"], k)
+    got.write.parquet(path)
+    got = spark.read.schema(got.schema).parquet(path)
+    estimate = lambda n: F.get("estimates", F.lit(n))
+    common_of = got.where("pool = 'all'").select("held", "id", *[estimate(n).alias(f"e{n}") for n in range(3)])
+    class_of = got.where("pool <> 'all'").select("held", "id", estimate(0).alias("e3"))
+    drift = F.coalesce("class_mean", "mean")
+    both = asked.join(common_of, ["held", "id"]).join(class_of, ["held", "id"], "left").join(F.broadcast(of_class), ["held", "cls"], "left")
+    out = [F.col("mean") + F.col("e0"), drift + F.col("e1"), F.col("mean") + F.col("e2"), F.coalesce(F.col("class_mean") + F.col("e3"), drift + F.col("e1"))]
+    return both.select(F.col("held").alias("fold"), "id", "value", *[e.alias(m) for e, m in zip(out, METHODS, strict=True)])
+
+
+def block_cv(points: DataFrame, n_blocks: int = 4, sample: int = 0, seed: int = 0, k: int = 48) -> DataFrame:
+    """fold, method, rmse, n of `block_predictions`."""
+    long = block_predictions(points, n_blocks, sample, seed, k).unpivot(["fold", "id", "value"], list(METHODS), "method", "guess")
+    return long.groupBy("fold", "method").agg(F.sqrt(F.avg((F.col("guess") - F.col("value")) ** 2)).alias("rmse"), F.count("*").alias("n"))
 
 
 def cv_summary(scores: DataFrame) -> DataFrame:

@@ -325,10 +325,8 @@ def variogram(spark, d):
 
 @query()
 def spherical_models(spark, d):
-    """G4."""
-    rows = residual_points(spark, d)
-    of = [geostat.variogram(rows.where(F.col("cls") == k)).withColumn("cls", F.lit(k)) for k in range(3)]
-    return geostat.fit_models(of[0].union(of[1]).union(of[2]), ["cls"])
+    """G4, for each class."""
+    return geostat.fit_models(geostat.variogram(residual_points(spark, d), by=["cls"]), ["cls"])
 
 
 @query(f"WITH {STATIC}, p AS (SELECT p_partkey AS id, x * 0.1::DOUBLE AS x, y * 0.1::DOUBLE AS y FROM static), q AS (SELECT quantile_cont(x, 0.5) AS qx, quantile_cont(y, 0.5) AS qy FROM p) SELECT id, CAST((CASE WHEN qx <= x THEN 1 ELSE 0 END) * 2 + (CASE WHEN qy <= y THEN 1 ELSE 0 END) AS INT) AS fold FROM p, q")
