@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heatloom.functions import columns as C
+from heatloom.sources import io
 
 #: The smallest square is this many halvings of the field, at most; halvings at a time; distances that a task holds at once.
 LEVELS, STEP, AT_ONCE = 18, 3, 1 << 21
@@ -46,7 +47,7 @@ def with_neighbours(targets: DataFrame, points: DataFrame, by: list[str], k: int
     width = max(x1 - x0, y1 - y0) * (1 + 1e-9) or 1.0
     deepest = 1 << LEVELS
     at = lambda c, low: F.least(F.floor((F.col(c) - low) / width * deepest), F.lit(deepest - 1)).cast("int")
-    counted = points.groupBy(*by, at("x", x0).alias("__cx"), at("y", y0).alias("__cy")).agg(F.count("*").alias("__n"))
+    counted = io.written(points.groupBy(*by, at("x", x0).alias("__cx"), at("y", y0).alias("__cy")).agg(F.count("*").alias("__n")), "squares")
     up = lambda c, level: F.expr(f"shiftright({c}, {LEVELS} - {level})").alias(c)
     sizes = counted.select(*by, "__n", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("__l"), "__cx", "__cy").groupBy(*by, "__l", up("__cx", "__l"), up("__cy", "__l"))
     fullest = sizes.agg(F.sum("__n").alias("__n")).groupBy("__l").agg(F.max("__n").alias("n")).collect()
@@ -94,4 +95,6 @@ def with_neighbours(targets: DataFrame, points: DataFrame, by: list[str], k: int
         return pd.concat(parts)[names] if parts else pd.DataFrame(columns=names)
 
     names = points.sparkSession.createDataFrame([], out_schema).columns
-    return dealt.groupBy(*tile).cogroup(met.groupBy(*tile)).applyInPandas(one, out_schema)
+    # small rows, dear work: the session's number of partitions, which isn't lowered by their bytes
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(tasks, *tile).groupBy(*tile).cogroup(met.repartition(tasks, *tile).groupBy(*tile)).applyInPandas(one, out_schema)

@@ -134,6 +134,13 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a table in the shared folder, for what is read several times."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Scratch folders of this program.
 _FOLDERS: list[tuple[SparkSession, str]] = []
 
