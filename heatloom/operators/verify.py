@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heatloom.functions import columns as C
+from heatloom.sources import io
 
 
 def correlation(a: Column, b: Column, least: int = 2) -> Column:
@@ -101,9 +102,12 @@ def first_n_times(df: DataFrame, n: int, stride: int = 1) -> DataFrame:
 
 def align_times(hr: DataFrame, lr: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Both tables at their common hours, and one row with the numbers of hours kept and dropped; an error where there are none."""
-    a, b = hr.select("time").distinct(), lr.select("time").distinct()
-    both = a.join(b, "time")
-    counts = both.agg(F.count("*").alias("n_common")).crossJoin(a.join(b, "time", "left_anti").agg(F.count("*").alias("hr_dropped"))).crossJoin(b.join(a, "time", "left_anti").agg(F.count("*").alias("lr_dropped")))
+    a, b = hr.select("time", F.lit(1).alias("__a")).distinct(), lr.select("time", F.lit(1).alias("__b")).distinct()
+    times = io.written(a.join(b, "time", "full"), "times")  # one join for the counts and both tables
+    number = lambda of: F.count(F.when(of, 1))
+    in_a, in_b = F.col("__a").isNotNull(), F.col("__b").isNotNull()
+    counts = times.agg(number(in_a & in_b).alias("n_common"), number(~in_b).alias("hr_dropped"), number(~in_a).alias("lr_dropped"))
+    both = times.where(in_a & in_b).select("time")
     if both.isEmpty():
         raise ValueError("no common hours")
     return hr.join(both, "time", "left_semi"), lr.join(both, "time", "left_semi"), counts
