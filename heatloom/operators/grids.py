@@ -163,20 +163,22 @@ def error_map(df: DataFrame, cells: DataFrame, pred: str = "pred_c", ref: str =
 
 
 def hour_residuals(rows: DataFrame, hours: tuple[int, ...] = (3, 14), cell: tuple[str, ...] = ("y", "x"), least: int = 10) -> DataFrame:
-    """hour, mae, pred_mean, ref_mean, r2 of rows (hour, cell, pred_c, t_c, feature) at some hours of the day.
+    """hour, mae, bias, pred_mean, ref_mean, r2 of rows (hour, cell, pred_c, t_c, feature) at some hours of the day.
 
     r2 is that of a line through the cells' mean absolute errors over the feature (a cell's mean one), for at least `least` cells where both are finite.
     """
-    wanted = rows.where(F.col("hour").isin(*hours)).withColumn("__e", F.abs(F.col("pred_c") - F.col("t_c")))
+    d = F.col("pred_c") - F.col("t_c")
+    wanted = rows.where(F.col("hour").isin(*hours)).withColumns({"__e": F.abs(d), "__d": d})
     cells = wanted.groupBy("hour", *cell).agg(
-        F.avg("__e").alias("e"), F.avg("feature").alias("f"), F.sum("__e").alias("__se"), F.count("__e").alias("__ne"),
+        F.avg("__e").alias("e"), F.avg("feature").alias("f"), F.sum("__e").alias("__se"), F.count("__e").alias("__ne"), F.sum("__d").alias("__sd"),
         *[x for c in ("pred_c", "t_c") for x in (F.sum(c).alias(f"__s_{c}"), F.count(c).alias(f"__n_{c}"))],
     )
     e, f = C.finite(F.col("e")), C.finite(F.col("f"))
     both = e.isNotNull() & f.isNotNull()
     line = F.when(F.count(F.when(both, 1)) >= least, F.regr_r2(F.when(both, e), F.when(both, f)))
     mean = lambda c: F.try_divide(F.sum(f"__s_{c}"), F.sum(f"__n_{c}"))
-    return cells.groupBy("hour").agg(F.try_divide(F.sum("__se"), F.sum("__ne")).alias("mae"), mean("pred_c").alias("pred_mean"), mean("t_c").alias("ref_mean"), line.alias("r2"))
+    mae, bias = (F.try_divide(F.sum(s), F.sum("__ne")) for s in ("__se", "__sd"))
+    return cells.groupBy("hour").agg(mae.alias("mae"), bias.alias("bias"), mean("pred_c").alias("pred_mean"), mean("t_c").alias("ref_mean"), line.alias("r2"))
 
 
 def overall_residuals(rows: DataFrame) -> DataFrame:
@@ -186,9 +188,9 @@ def overall_residuals(rows: DataFrame) -> DataFrame:
 
 
 def day_night_delta(residuals: DataFrame, day: int = 14, night: int = 3) -> DataFrame:
-    """One row with the night's means less the day's, of hour_residuals."""
+    """One row with the night's figures less the day's, of hour_residuals."""
     at = lambda c, h: F.max(F.when(F.col("hour") == h, F.col(c)))
-    return residuals.agg(*[(at(c, night) - at(c, day)).alias(f"delta_{c}") for c in ("mae", "pred_mean", "ref_mean")])
+    return residuals.agg(*[(at(c, night) - at(c, day)).alias(f"delta_{c}") for c in ("mae", "bias", "pred_mean", "ref_mean", "r2")])
 
 
 def tile_grid(frames: DataFrame, patch: int = 96, stride: int = 48) -> DataFrame:

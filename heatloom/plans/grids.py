@@ -391,7 +391,7 @@ def hour_rows(spark, d):
 @query(f"WITH {HOUR_RES}, {HOUR_FIGURES} SELECT hour, mae, pred_mean, ref_mean, r2 FROM h JOIN q USING (hour)", "mae pred_mean ref_mean r2")
 def hour_residuals(spark, d):
     """A31, hours 3 and 14."""
-    return grids.hour_residuals(hour_rows(spark, d))
+    return grids.hour_residuals(hour_rows(spark, d)).drop("bias")
 
 
 @query(f"WITH {HOUR_RES} SELECT avg(pred_c - t_c) AS bias, avg(abs(pred_c - t_c)) AS mae, sqrt(avg((pred_c - t_c) * (pred_c - t_c))) AS rmse FROM hr", "bias mae rmse")
@@ -401,12 +401,13 @@ def overall_residuals(spark, d):
 
 
 @query(
-    f"""WITH {HOUR_RES}, {HOUR_FIGURES}
-SELECT n.mae - d.mae AS delta_mae, n.pred_mean - d.pred_mean AS delta_pred_mean, n.ref_mean - d.ref_mean AS delta_ref_mean FROM h AS n, h AS d WHERE n.hour = 3 AND d.hour = 14""",
-    "delta_mae delta_pred_mean delta_ref_mean",
+    f"""WITH {HOUR_RES}, {HOUR_FIGURES}, b AS (SELECT hour, avg(pred_c - t_c) AS bias FROM hr GROUP BY hour), f AS (SELECT * FROM h JOIN b USING (hour) JOIN q USING (hour))
+SELECT n.mae - d.mae AS delta_mae, n.bias - d.bias AS delta_bias, n.pred_mean - d.pred_mean AS delta_pred_mean, n.ref_mean - d.ref_mean AS delta_ref_mean, n.r2 - d.r2 AS delta_r2
+FROM f AS n, f AS d WHERE n.hour = 3 AND d.hour = 14""",
+    "delta_mae delta_bias delta_pred_mean delta_ref_mean delta_r2",
 )
 def day_night_delta(spark, d):
-    """A31, the night's means less the day's."""
+    """A31, the night's figures less the day's."""
     return grids.day_night_delta(grids.hour_residuals(hour_rows(spark, d)))
 
 

@@ -174,6 +174,16 @@ def test_hour_residuals(spark):
     assert grids.overall_residuals(df).first().bias == pytest.approx(0)
 
 
+def test_day_night_delta_of_all_figures(spark):
+    """Bias and R2 too: at night errors grow with the feature and are all positive; by day they have another sign and no line."""
+    errors = {3: lambda x: 1.0 + x, 14: lambda x: -2.0 if x % 2 else -4.0}
+    df = spark.createDataFrame([(h, 0, x, 20.0 + error(x), 20.0, float(x)) for h, error in errors.items() for x in range(12)], "hour int, y int, x int, pred_c double, t_c double, feature double")
+    delta = grids.day_night_delta(grids.hour_residuals(df)).first()
+    assert delta.delta_mae == pytest.approx(6.5 - 3) and delta.delta_bias == pytest.approx(6.5 + 3)
+    r = np.corrcoef(range(12), [abs(errors[14](x)) for x in range(12)])[0, 1]
+    assert delta.delta_r2 == pytest.approx(1 - r * r)
+
+
 def test_dynamic_thresholds_need_rows(spark):
     rows = [(T0 + timedelta(days=k), 40.0 + k % 3) for k in range(30)] + [(T0 + timedelta(hours=5), 50.0)]
     got = {r.hour: r for r in heat.dynamic_thresholds(spark.createDataFrame(rows, "time timestamp, max double")).where("month = 7").collect()}
