@@ -32,6 +32,21 @@ def corr(a: Column | str, b: Column | str) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b)))
 
 
+def exact_mean(c: Column) -> Column:
+    """Mean of doubles whose sum doesn't depend on the rows' order: whole parts and 60 bits behind the point are summed as whole numbers, and rounded once.
+
+    Null for no value. Values of 2^31 or more are summed as doubles; NaN stays NaN.
+    """
+    c = c.cast("double")
+    small = F.abs(c) < 2**31
+    whole = F.floor(F.when(small, c))
+    rest = (c - whole) * 2**30
+    high = F.floor(rest)
+    low = F.floor((rest - high) * 2**30)
+    total = ((F.sum(whole).cast("decimal(20)") * 2**30 + F.sum(high)) * 2**30 + F.sum(low)).cast("double") / 2**60
+    return F.try_divide(F.coalesce(total, F.lit(0.0)) + F.coalesce(F.sum(F.when(~small, c)), F.lit(0.0)), F.count(c))
+
+
 def clip(c: Column, low: float, high: float) -> Column:
     """c within [low, high]; null stays null."""
     return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(low)), F.lit(high)))

@@ -79,12 +79,12 @@ def frame_metrics(df: DataFrame, by: list[str] = ("model", "time"), pred: str =
 
 
 def frame_metrics_pair(df: DataFrame, a: str = "pred_a", b: str = "pred_b", ref: str = "t_c", by: list[str] = ("time",)) -> DataFrame:
-    """by, hour, and MAE, RMSE and means of two models' fields against the same reference in each frame: one pass, no join of two results."""
+    """by, hour, and MAE, RMSE and means of two models' fields against the same reference in each frame: one pass, no join of two results. Means don't depend on the rows' order."""
     out = []
     for name, c in (("a", a), ("b", b)):
         e = C.finite(F.col(c) - F.col(ref))
-        out += [F.avg(F.abs(e)).alias(f"mae_model_{name}"), F.sqrt(F.avg(e * e)).alias(f"rmse_model_{name}"), F.avg(C.finite(F.col(c))).alias(f"pred_{name}_mean")]
-    return df.groupBy(*by).agg(*out, F.avg(C.finite(F.col(ref))).alias("hr_mean")).withColumn("hour", F.hour("time"))
+        out += [C.exact_mean(F.abs(e)).alias(f"mae_model_{name}"), F.sqrt(C.exact_mean(e * e)).alias(f"rmse_model_{name}"), C.exact_mean(C.finite(F.col(c))).alias(f"pred_{name}_mean")]
+    return df.groupBy(*by).agg(*out, C.exact_mean(C.finite(F.col(ref))).alias("hr_mean")).withColumn("hour", F.hour("time"))
 
 
 def split_metrics(df: DataFrame, pred: str = "pred_c", ref: str = "t_c") -> DataFrame:

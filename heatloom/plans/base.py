@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,10 +53,10 @@ def obs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def grid(spark: SparkSession, d: str) -> DataFrame:
+def grid(spark: SparkSession, d: str, mean: Callable[[Column], Column] = F.avg) -> DataFrame:
     k = F.col("l_suppkey")
     cell = [F.floor(k / 10).cast("int").alias("y"), (k % 10).cast("int").alias("x")]
-    return table(spark, d, "lineitem").groupBy(F.date_trunc("week", F.col("l_shipdate").cast("timestamp")).alias("time"), *cell).agg(F.avg("l_quantity").alias("pred_c"), F.avg(F.col("l_quantity") * (1 + F.col("l_tax") - F.col("l_discount"))).alias("t_c"))
+    return table(spark, d, "lineitem").groupBy(F.date_trunc("week", F.col("l_shipdate").cast("timestamp")).alias("time"), *cell).agg(mean(F.col("l_quantity")).alias("pred_c"), mean(F.col("l_quantity") * (1 + F.col("l_tax") - F.col("l_discount"))).alias("t_c"))
 
 
 def cells(spark: SparkSession, d: str) -> DataFrame:

@@ -1,13 +1,18 @@
 """Further forms of operators on hand-made rows: periods, two models, fine fields, draws and areas in batches."""
 
 import math
+from collections import defaultdict
 from datetime import datetime
+from decimal import ROUND_HALF_UP, Decimal
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from heatloom.functions import columns as C
 from heatloom.operators import clean, grids, stats, urban, verify
+from heatloom.plans import registry
 
 
 def test_last_step_of_the_training_period(spark):
@@ -30,6 +35,40 @@ def test_two_models_in_one_frame(spark):
     assert (r.hour, r.mae_model_a, r.pred_a_mean, r.hr_mean) == (14, 2.0, 3.0, 2.0) and math.isclose(r.rmse_model_a, 5**0.5) and math.isclose(r.mae_model_b, 1 / 3)
 
 
+def test_means_of_two_models_are_exact_in_any_order(spark):
+    """Means are correctly rounded, as math.fsum gives them; 2 ** 40 takes the way of large values."""
+    rng = np.random.default_rng(5)
+    rows = [(datetime(2020, 1, 1), *(float(v) for v in rng.normal(20, 8, 3))) for _ in range(3_000)]
+    for order in (rows, rows[::-1]):
+        r = verify.frame_metrics_pair(spark.createDataFrame(order, "time timestamp, pred_a double, pred_b double, t_c double").repartition(7)).first()
+        mean = lambda f: math.fsum(f(x) for x in rows) / len(rows)
+        assert (r.pred_a_mean, r.pred_b_mean, r.hr_mean) == (mean(lambda x: x[1]), mean(lambda x: x[2]), mean(lambda x: x[3]))
+        assert (r.mae_model_a, r.rmse_model_b) == (mean(lambda x: abs(x[1] - x[3])), mean(lambda x: (x[2] - x[3]) * (x[2] - x[3])) ** 0.5)
+    far = spark.createDataFrame([(1.0, None, float("nan")), (2.0**40, None, 1.0), (-0.5, None, 1.0)], "a double, b double, c double")
+    got = far.agg(*[C.exact_mean(F.col(c)).alias(c) for c in "abc"]).first()
+    assert got.a == (2.0**40 + 0.5) / 3 and got.b is None and math.isnan(got.c)
+
+
+def test_two_models_round_their_exact_means(spark):
+    """All frames of sf0.01: 15 of their means lie half-way between two rounded numbers, but for the error of single rows' products, which sums in any order lose."""
+    sf = "/root/testdata/sf0.01"
+    cells, frames = defaultdict(list), defaultdict(list)
+    for week, k, q, tax, less in duckdb.sql(f"SELECT date_trunc('week', l_shipdate), l_suppkey, l_quantity, l_tax, l_discount FROM '{sf}/lineitem.parquet'").fetchall():
+        cells[week, k].append((q, q * (1 + tax - less)))
+    mean = lambda v: math.fsum(v) / len(v)
+    for (week, k), v in cells.items():
+        a, r = (mean(x) for x in zip(*v, strict=True))
+        frames[week].append((a, a * 0.9 + k % 10, r))
+    got = {r.time.replace(tzinfo=None): r for r in registry.queries()["frame_metrics_pair"](spark, sf).collect()}
+    rounded = lambda v: float(Decimal(repr(v)).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+    for week, v in frames.items():
+        a, b, ref = zip(*v, strict=True)
+        want = (mean(a), mean(b), mean(ref), mean([abs(x - y) for x, y in zip(a, ref, strict=True)]), mean([abs(x - y) for x, y in zip(b, ref, strict=True)]))
+        r = got.pop(week)
+        assert (r.pred_a_mean, r.pred_b_mean, r.hr_mean, r.mae_model_a, r.mae_model_b) == tuple(map(rounded, want))
+    assert not got
+
+
 def test_fine_field_has_no_time_pass(spark):
     rows = [("a", 0, 0, None), ("a", 0, 1, None), ("b", 0, 0, 4.0), ("b", 0, 1, None)]
     df = spark.createDataFrame(rows, "time string, y int, x int, v double")
