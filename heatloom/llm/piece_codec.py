@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heatloom.llm.common import texts_of
-from heatloom.llm.pretokens import Bounded
+from heatloom.llm.pretokens import Bounded, Recent
 
 SPACE = "▁"
 
 
 class PieceCodec:
-    def __init__(self, path: str, cached: int = 300_000):
+    def __init__(self, path: str, cached: int = 600_000):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = range(model.get_piece_size())
         self.begin, self.end = model.bos_id(), model.eos_id()
@@ -41,6 +41,7 @@ class PieceCodec:
         self.surface = {i: b"" for i in control}
         self.surface |= {i: bytes([b]) for i, b in byte_of.items()}
         self.surface |= {i: p.replace(SPACE, " ").encode() for i, p in self.piece.items()}
+        self.surfaces = [self.surface[i] for i in ids]
         # Pieces that merging can reach, for the automaton; each one's longest proper prefix that is such a piece too.
         usable = {p for p in self.id if len(p) == 1 or (p.strip(SPACE) and self.merged(p) == [p])}
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in usable), None) for p in usable}
@@ -53,7 +54,8 @@ class PieceCodec:
         alone = "" if "\n" in known else r"\n|"
         gap = "" if "\n" in known else r"\n"
         self.stretches = re.compile(f"{alone}{SPACE}+[^{SPACE}{gap}]*|[^{SPACE}{gap}]+").findall
-        self.coded = Bounded(lambda s: np.array(self.encode_stretch(s), "<u4").tobytes(), most=cached)
+        self.packed = {p: np.uint32(i).astype("<u4").tobytes() for p, i in self.id.items()}
+        self.coded = Recent(self.encode_stretch, most=cached)
 
     def merged(self, text: str) -> list[str]:
         """Pieces of the text after all merges: best score first, the leftmost of equal ones."""
@@ -81,60 +83,60 @@ class PieceCodec:
                 offer(left[i], i)
         return [p for p in parts if p is not None]
 
-    def numbered(self, pieces: list[str]) -> list[int]:
-        """Ids; a character that is no piece becomes its bytes."""
-        out: list[int] = []
-        for p in pieces:
-            i = self.id.get(p)
-            out += [i] if i is not None else [self.byte_id[b] for b in p.encode()]
-        return out
+    def numbered(self, pieces: list[str]) -> bytes:
+        """Ids, packed; a character that is no piece becomes its bytes."""
+        return b"".join([self.packed[p] if p in self.packed else np.array([self.byte_id[b] for b in p.encode()], "<u4").tobytes() for p in pieces])
 
-    def encode_stretch(self, text: str) -> list[int]:
-        """Ids of a stretch over whose ends no piece reaches."""
+    def encode_stretch(self, text: str) -> bytes:
+        """Packed ids of a stretch over whose ends no piece reaches."""
         if SPACE * 2 in text:
             return self.numbered(self.merged(text))
         n = len(text)
-        longest: list[str | None] = [None] * n
-        for end, p in self.starts.iter(text[::-1]):
-            at = n - 1 - end
-            if longest[at] is None or len(p) > len(longest[at]):
-                longest[at] = p
-        out: list[int] = []
+        # of the matches at a place the automaton gives the longest one first, and the last one put into a dict stays
+        found = dict(reversed(list(self.starts.iter(text[::-1]))))
+        longest = list(map(found.get, range(n - 1, -1, -1)))
+        if len(found) == n:
+            return self.stretch_of_pieces(text, longest)
+        out: list[bytes] = []
         at = 0
         while at < n:
             if longest[at] is None:
-                out += self.numbered([text[at]])
+                out.append(self.numbered([text[at]]))
                 at += 1
                 continue
             stop = at
             while stop < n and longest[stop] is not None:
                 stop += 1
-            found = self.backtrack(text[at:stop], longest[at:stop])
-            out += self.numbered(found if found is not None else self.merged(text[at:stop]))
+            out.append(self.stretch_of_pieces(text[at:stop], longest[at:stop]))
             at = stop
-        return out
+        return b"".join(out)
 
-    def backtrack(self, text: str, longest: list[str | None]) -> list[str] | None:
+    def stretch_of_pieces(self, text: str, longest: list[str]) -> bytes:
+        """Packed ids of a text at each of whose places a piece starts."""
+        found = self.backtrack(longest)
+        return self.numbered(self.merged(text)) if found is None else b"".join(map(self.packed.__getitem__, found))
+
+    def backtrack(self, longest: list[str]) -> list[str] | None:
+        """Pieces of a text whose longest piece from each place on is given, each pair of which stays when its text is merged again."""
+        fits, shorter, n = self.fits, self.shorter, len(longest)
         taken: list[str] = []
-        at, failed, token = 0, 0, longest[0]
-        while at < len(text):
-            last = taken[-1] if taken else None
+        at, failed, token, last = 0, 0, longest[0], None
+        while at < n:
             while token is not None:
-                to = at + len(token)
-                if not failed >> to & 1 and (last is None or self.fits[last, token]):
+                if (last is None or fits[last, token]) and not (failed and failed >> at + len(token) & 1):
                     break
-                token = self.shorter[token]
+                token = shorter[token]
             if token is not None:
                 taken.append(token)
                 at += len(token)
-                token = longest[at] if at < len(text) else None
+                last, token = token, longest[at] if at < n else None
             elif last is None:
                 return None
             else:
                 failed |= 1 << at
                 taken.pop()
                 at -= len(last)
-                token = self.shorter[last]
+                token, last = shorter[last], taken[-1] if taken else None
         return taken
 
     def encode(self, text: str) -> bytes:
@@ -146,7 +148,7 @@ class PieceCodec:
 
     def decode(self, ids: list[int]) -> bytes:
         """UTF-8 of the text; the space that encoding puts before the text goes."""
-        out = b"".join(map(self.surface.__getitem__, ids))
+        out = b"".join(map(self.surfaces.__getitem__, ids))
         return (out[1:] if out[:1] == b" " else out).decode("utf-8", "replace").encode()
 
 

@@ -96,3 +96,23 @@ class Bounded(dict):
             self[key] = value = self.make(key)
             return value
         return self.make(key)
+
+
+class Recent(dict):
+    """A dict that makes missing values. It holds about `most` of them in two generations: when the young one is full, it becomes the old one, whose values stay if they are asked for again."""
+
+    def __init__(self, make, most: int = 300_000):
+        super().__init__()
+        self.make, self.most, self.old = make, most // 2, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > 64:
+                return value
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value

@@ -14,7 +14,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from heatloom.llm import decontaminate, line_dedup, neighbours, pii, quality, registry, shingle_sets, simhash, suffix_dedup, token_counts, token_store
+from heatloom.llm import decontaminate, line_dedup, neighbours, pii, pretokens, quality, registry, shingle_sets, simhash, suffix_dedup, token_counts, token_store
 from heatloom.llm.components import components
 from heatloom.llm.piece_codec import encode_decode
 
@@ -590,6 +590,16 @@ def test_quality_sample(spark):
     assert quality.shape("aB" * 250) == "xX" * 250 and quality.shape("a" * 500 + "9-9") == "x9-9"
 
 
+def test_recent_values_stay():
+    """Values that are asked for again outlive many that aren't; no more than about `most` are held; long keys are made anew."""
+    made = []
+    kept = pretokens.Recent(lambda key: made.append(key) or key.upper(), most=20)
+    for i in range(200):
+        assert kept["often"] == "OFTEN" and kept[f"once {i}"] == f"ONCE {i}" and len(kept) + len(kept.old) <= 21
+    assert made.count("often") == 1 and len(made) == 201
+    assert kept["x" * 65] == kept["x" * 65] == "X" * 65 and len(made) == 203
+
+
 def test_near_copies(spark, docs, empty):
     kept = simhash.first_of_near_copies(docs)
     assert kept.columns == docs.columns
