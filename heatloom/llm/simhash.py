@@ -43,8 +43,12 @@ def majority_bits(hashes: np.ndarray) -> bytes:
     return np.packbits(2 * total > len(hashes)).tobytes()
 
 
-def fingerprint(text: str, k: int = 3, seed: int = 42) -> bytes:
-    found = shingles(text.encode().lower().split(), k)  # bytes: only A-Z are lower-cased, only ASCII white space splits
+def fingerprint(text: str, k: int = 3) -> bytes:
+    return fingerprint_of(text.encode().lower().split(), k)  # bytes: only A-Z are lower-cased, only ASCII white space splits
+
+
+def fingerprint_of(words: list[bytes], k: int = 3, seed: int = 42) -> bytes:
+    found = shingles(words, k)
     if not found:
         return bytes(8)
     return majority_bits(np.array(list(map(xxhash.xxh64_intdigest, found, repeat(seed))), ">u8"))
@@ -147,7 +151,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
     return table.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# Near copies by exact similarity. Candidates share a shingle of their prefixes; the numbers of shingles by segment of their hashes bound how far two sets can
+# Near copies by fingerprints, then by exact similarity: links of fingerprints are tested on the texts' whole shingle sets. Similar texts whose fingerprints are further
+# apart follow. Candidates share a shingle of their prefixes; the numbers of shingles by segment of their hashes bound how far two sets can
 # be apart (their Manhattan distance is at most the number of shingles that only one of them has); the whole sets decide.
 
 #: Shingles that are counted in one text of SAMPLE are frequent; at most LISTED, the most frequent ones, come last in the order of shingles.
@@ -189,22 +194,40 @@ def gram_prefix(grams: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], simi
 
 
 def prefix_table(docs: DataFrame, k: int, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """k1, k2, node (hash of the text's words), size (distinct shingles), prefix, counts (of segments) of every row of docs (k1, k2, text)."""
+    """k1, k2, node (hash of the text's words), fp (fingerprint), size (distinct shingles), prefix, counts (of segments) of every row of docs (k1, k2, text)."""
 
     def run(batches):
         for batch in batches:
-            nodes, sizes, prefixes, counts = [], [], [], []
+            nodes, fps, sizes, prefixes, counts = [], [], [], [], []
             for text in texts_of(batch):
                 words = text.encode().lower().split()
                 grams = gram_set(words, k)
                 nodes.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
+                fps.append(fingerprint_of(words))
                 sizes.append(len(grams))
                 prefixes.append(gram_prefix(grams, frequent, similarity).view(np.int64))
                 counts.append(segment_counts(grams).tobytes())
-            arrays = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(counts, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), *arrays], ["k1", "k2", "node", "size", "prefix", "counts"])
+            numbers = [np.array(nodes, np.uint64).view(np.int64), np.frombuffer(b"".join(fps), ">i8").astype(np.int64)]
+            arrays = [*map(pa.array, numbers), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(counts, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), *arrays], ["k1", "k2", "node", "fp", "size", "prefix", "counts"])
+
+    return docs.mapInArrow(run, "k1 bigint, k2 bigint, node bigint, fp bigint, size int, prefix array<bigint>, counts binary")
+
 
-    return docs.mapInArrow(run, "k1 bigint, k2 bigint, node bigint, size int, prefix array<bigint>, counts binary")
+def fingerprint_pairs(nodes: DataFrame, radius: int, block: int = 512) -> DataFrame:
+    """a, b: pairs that connect all of nodes (node, fp) whose fingerprints are equal or linked. Of equal ones, about `block` meet at one node, and these at the first."""
+    sizes = nodes.groupBy("fp").agg(F.count("*").alias("n"), F.min("node").alias("first"))
+    own = stored(nodes.join(sizes, "fp").withColumn("own", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / block))).select("node", "fp", "own", "first"), "near-points")
+    heads = stored(own.groupBy("fp", "own").agg(F.min("node").alias("head"), F.min("first").alias("first")), "near-heads")
+    points = stored(heads.where("head = first").select("fp", "first"), "near-firsts")
+    links = fingerprint_links(points.select("fp"), radius)
+    first = lambda end: points.select(F.col("fp").alias(end), F.col("first").alias(f"first_{end}"))
+    between = links.join(first("a"), "a").join(first("b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    equal = own.join(heads.drop("first"), ["fp", "own"]).select(F.col("head").alias("a"), F.col("node").alias("b"))
+    pairs = between.union(equal).union(heads.select(F.col("first").alias("a"), F.col("head").alias("b"))).where("a <> b")
+    pairs = stored(pairs, "near-fingerprints")
+    drop(own, heads, points, links)
+    return pairs
 
 
 def similar_pairs(pairs: DataFrame, k: int, similarity: float) -> DataFrame:
@@ -237,13 +260,36 @@ def possible_pairs(pairs: DataFrame, nodes: DataFrame, similarity: float) -> Dat
     return both.select("a", "b", "size_a", "size_b", "counts_a", "counts_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def first_of_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+def texts_of_nodes(texts: DataFrame, wanted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, size, text of the wanted nodes; texts (k1, k2, text), nodes (k1, k2, node, size)."""
+    chosen = stored(wanted.distinct().join(nodes, "node").select("k1", "k2", "node", "size"), "near-nodes")
+    # texts travel, not shingle sets: they are smaller
+    near = stored(texts.join(chosen, ["k1", "k2"]).select("node", "size", "text").dropDuplicates(["node"]), "near-texts")
+    drop(chosen)
+    return near
+
+
+def both_texts(pairs: DataFrame, near: DataFrame) -> DataFrame:
+    """The pairs (a, b) with their texts x and y."""
+    x, y = near.select(F.col("node").alias("a"), F.col("text").alias("x")), near.select(F.col("node").alias("b"), F.col("text").alias("y"))
+    return pairs.join(x, "a").join(y, "b")
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+
+
+def first_of_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, radius: int = 3) -> DataFrame:
     """docs with one row of each group of near copies: the smallest doc_id (null first), by text where ids repeat.
 
     Texts with the same lower-cased words are one node. Nodes whose sets of k-word shingles (the whole text, if shorter) have a Jaccard similarity of at least
-    `similarity` are linked, and groups are connected components. Candidates are nodes that share a shingle of their prefixes: with one order of all
+    `similarity` are linked, and groups are connected components.
+
+    First come the links of near_duplicates: fingerprints that are equal or, by the grid join of their segments' bit counts, at most `radius` bits apart. Those whose
+    texts are similar count (fingerprints of short texts may agree by chance) and form the first groups.
+    What fingerprints can't tell follows: similar texts that are further apart. Candidates are nodes of different groups that share a shingle of their prefixes: with one order of all
     shingles, two similar sets always do, so no pair is lost. The order puts frequent shingles last, which keeps cells small. Cells with
-    the same nodes count once, and large ones with the same smallest node are one. Pairs of small cells, and nodes of large ones, go on if the Manhattan
+    the same nodes count once, large ones with the same smallest node are one, and large ones within a first group are done. Pairs of small cells, and nodes of large ones, go on if the Manhattan
     distance of segment counts leaves them similar. Then their texts' shingle sets are made and compared. A large cell is split into blocks by hash; each pair
     of blocks compares all its nodes with one another and returns a forest, not its pairs, so that no cell meets in one task. Null and empty texts are one node.
     Columns of any name pass unchanged. An empty table gives an empty one; long texts are read whole.
@@ -251,7 +297,12 @@ def first_of_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -
     rows = keyed(docs)
     texts = rows.select("k1", "k2", "text")
     table = prefix_table(texts, k, similarity, frequent_grams(texts, k))
-    nodes = stored(table.groupBy("node").agg(F.min(F.struct("k1", "k2", "size", "prefix", "counts")).alias("first")).select("node", "first.*"), "prefix-nodes")
+    nodes = stored(table.groupBy("node").agg(F.min(F.struct("k1", "k2", "fp", "size", "prefix", "counts")).alias("first")).select("node", "first.*"), "prefix-nodes")
+    alike = fingerprint_pairs(nodes.select("node", "fp"), radius)
+    near = texts_of_nodes(texts, ends(alike), nodes)
+    agreed = stored(similar_pairs(both_texts(alike, near), k, similarity), "near-agreed")
+    drop(alike, near)
+    early = components(agreed)
     cells = nodes.select("node", F.explode("prefix").alias("cell"))
     sizes = stored(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "prefix-sizes")
     met = stored(cells.join(sizes, "cell"), "prefix-cells")
@@ -264,6 +315,9 @@ def first_of_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -
     close = F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size") - 1e-6
     both = x.join(y, (F.col("x.cell") == F.col("y.cell")) & (F.col("x.node") < F.col("y.node")) & close)
     pairs = both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    for end in "ab":
+        pairs = pairs.join(early.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    pairs = pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
     pairs = stored(possible_pairs(pairs, nodes, similarity), "near-pairs")
     led = stored(met.where(F.col("n") > FEW).join(different, "cell").select(F.col("leader").alias("cell"), "node").distinct(), "prefix-led")
     drop(sizes, met, different, few)
@@ -271,22 +325,20 @@ def first_of_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8) -
     def possible(group: pd.DataFrame) -> pd.DataFrame:
         return group.loc[near_somebody(group.counts.to_list(), group["size"].to_numpy(), similarity), ["cell", "node"]]
 
-    leaders = stored(led.groupBy("cell").agg(F.count("*").alias("n")), "prefix-leaders")
+    root = F.coalesce("root", "node")
+    leaders = led.join(early, "node", "left").groupBy("cell").agg(F.count("*").alias("n"), F.min(root).alias("low"), F.max(root).alias("high"))
+    leaders = stored(leaders.where("low <> high").select("cell", "n"), "prefix-leaders")
     counted = led.join(leaders, "cell").join(nodes.select("node", "size", "counts"), "node")
     many = blocks_of(counted, "node", BLOCK).groupBy("cell", "i", "j").applyInPandas(possible, "cell bigint, node bigint")
     many = stored(many.distinct(), "prefix-many")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(many.select("node")).distinct()
-    chosen = stored(wanted.join(nodes, "node").select("k1", "k2", "node", "size"), "near-nodes")
-    # texts travel, not shingle sets: they are smaller
-    near = stored(texts.join(chosen, ["k1", "k2"]).select("node", "size", "text").dropDuplicates(["node"]), "near-texts")
-    drop(led, leaders, chosen)
-    both = pairs.join(near.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(near.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    near = texts_of_nodes(texts, ends(pairs).union(many.select("node")), nodes)
+    drop(led, leaders, early)
     left = stored(many.join(near.select("node", "size"), "node").groupBy("cell").agg(F.count("*").alias("n"), F.max("size").alias("most")), "prefix-left")
     dealt = blocks_of(many.join(left, "cell").join(near.select("node", "text"), "node"), "node", BLOCK)
 
-    links = similar_pairs(both, k, similarity).union(dense_links(dealt, k, round(100 * similarity)))
+    links = agreed.union(similar_pairs(both_texts(pairs, near), k, similarity)).union(dense_links(dealt, k, round(100 * similarity)))
     links = stored(links, "near-links")
-    drop(pairs, many, left, near)
+    drop(agreed, pairs, many, left, near)
     roots = components(links)
     drop(links)
     grouped = nodes.select("node", F.struct("k1", "k2").alias("first")).join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))

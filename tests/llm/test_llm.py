@@ -658,6 +658,31 @@ def test_near_copies_extended_and_truncated(spark, monkeypatch, few, sample):
     assert kept == want
 
 
+def test_near_copies_meet_by_fingerprints(spark, monkeypatch):
+    """Without the way for what fingerprints can't tell, texts whose fingerprints are equal or near are still one group, but not those that agree by chance; with it, groups are those of all pairs."""
+    rnd = random.Random(8)
+    base = prose(900, rnd).split()
+    texts = [" ".join([*base[:i], "another", *base[i + 1 :]]) for i in range(100, 900, 20)]
+    texts += [" ".join(base[:450]), "three words stay " * 90 + prose(30, rnd), "three words stay " * 90 + prose(30, rnd), "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    points = [int.from_bytes(simhash.fingerprint(t or ""), "big") for t in texts]
+    near = np.array([[(a ^ b).bit_count() <= 3 for b in points] for a in points])
+    grams = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (x or "" for x in texts)]
+    similar = np.array([[len(a & b) >= 0.8 * len(a | b) for b in grams] for a in grams])
+    assert near[41, 42] and not similar[41, 42]  # repeated words rule their fingerprints
+    assert {r.doc_id for r in simhash.first_of_near_copies(docs).collect()} == {int(x) for x in reach(similar)} == {0, 40, 41, 42, 43}
+    nodes = spark.createDataFrame([(i, simhash.signed(p)) for i, p in enumerate(points)], "node bigint, fp bigint")
+    for block in (512, 2):
+        pairs = simhash.fingerprint_pairs(nodes, 3, block).collect()
+        linked = np.eye(len(texts), dtype=bool)
+        for r in pairs:
+            linked[r.a, r.b] = linked[r.b, r.a] = True
+        assert list(reach(linked)) == list(reach(near))
+    monkeypatch.setattr(simhash, "possible_pairs", lambda pairs, nodes, similarity: pairs.limit(0))
+    monkeypatch.setattr(simhash, "near_somebody", lambda counts, sizes, similarity: np.zeros(len(counts), bool))
+    assert {r.doc_id for r in simhash.first_of_near_copies(docs).collect()} == {int(x) for x in reach(near & similar)}
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = docs
