@@ -108,16 +108,21 @@ ALERT_HOURLY = f"{GRID_THR}, h AS (SELECT time, {FIGURES} FROM (SELECT *, pred_c
 ALERT_DAILY = f"{ALERT_HOURLY}, dm AS (SELECT y, x, CAST(time AS DATE) AS day, max(pred_c) AS v FROM grid GROUP BY 1, 2, 3), dd AS (SELECT day, {FIGURES} FROM dm JOIN thr USING (y, x) GROUP BY 1), days AS (SELECT *, {LEVEL} AS alert_level FROM dd)"
 
 
+def alert_grid(spark, d):
+    """The grid with exact means: whether a value that ties with its threshold is over it doesn't depend on the rows' order."""
+    return grid(spark, d, C.exact_mean)
+
+
 def grid_thr(spark, d):
-    return grid(spark, d).groupBy("y", "x").agg(F.percentile("t_c", 0.9).alias("thr"))
+    return alert_grid(spark, d).groupBy("y", "x").agg(F.percentile("t_c", 0.9).alias("thr"))
 
 
 def alerts_of(spark, d):
-    return heat.hourly_alerts(grid(spark, d), grid_thr(spark, d))
+    return heat.hourly_alerts(alert_grid(spark, d), grid_thr(spark, d))
 
 
 def days_of(spark, d):
-    return heat.daily_alerts(grid(spark, d), grid_thr(spark, d))
+    return heat.daily_alerts(alert_grid(spark, d), grid_thr(spark, d))
 
 
 @query(f"WITH {ALERT_HOURLY} SELECT * FROM alerts", FIGURE_NAMES)
