@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,18 +17,18 @@ def correlation(a: Column, b: Column, least: int = 2) -> Column:
     return F.when(n >= least, C.corr(a, b))
 
 
-def metrics(pred: str, obs: str, suffix: str = "") -> list[Column]:
-    """MAE, RMSE, Bias, Corr and N of pairs that are both finite."""
+def metrics(pred: str, obs: str, suffix: str = "", mean: Callable[[Column], Column] = F.avg) -> list[Column]:
+    """MAE, RMSE, Bias, Corr and N of pairs that are both finite; with C.exact_mean the first three don't depend on the rows' order."""
     p, o = C.finite(F.col(pred)), C.finite(F.col(obs))
     error = p - o
     return [
-        F.avg(F.abs(error)).alias(f"MAE{suffix}"), F.sqrt(F.avg(error * error)).alias(f"RMSE{suffix}"), F.avg(error).alias(f"Bias{suffix}"),
+        mean(F.abs(error)).alias(f"MAE{suffix}"), F.sqrt(mean(error * error)).alias(f"RMSE{suffix}"), mean(error).alias(f"Bias{suffix}"),
         correlation(F.when(error.isNotNull(), p), F.when(error.isNotNull(), o)).alias(f"Corr{suffix}"), F.count(error).alias(f"N{suffix}"),
     ]
 
 
-def verify(df: DataFrame, pred: str, obs: str, by: list[str] = ()) -> DataFrame:
-    return df.groupBy(*by).agg(*metrics(pred, obs))
+def verify(df: DataFrame, pred: str, obs: str, by: list[str] = (), mean: Callable[[Column], Column] = F.avg) -> DataFrame:
+    return df.groupBy(*by).agg(*metrics(pred, obs, mean=mean))
 
 
 def verify_grouping_sets(df: DataFrame, pred: str, obs: str, reference: str, sets: list[list[str]]) -> DataFrame:

@@ -274,8 +274,8 @@ def robustness_curve(spark, d):
 
 @query(f"WITH {PAIRS}, m AS (SELECT station_id, avg(CASE WHEN model = 'F' THEN abs(pred_c - obs_c) END) AS \"F\", avg(CASE WHEN model = 'O' THEN abs(pred_c - obs_c) END) AS \"O\" FROM pairs GROUP BY 1) SELECT *, row_number() OVER (ORDER BY \"F\" NULLS LAST, station_id) AS \"order\" FROM m", "F O")
 def station_model_matrix(spark, d):
-    """A43."""
-    return report.station_model_matrix(verify.verify(pairs(spark, d), "pred_c", "obs_c", ["station_id", "model"]), ["F", "O"], "F")
+    """A43, with exact means: stations with equal ones are in order of their names."""
+    return report.station_model_matrix(verify.verify(pairs(spark, d), "pred_c", "obs_c", ["station_id", "model"], C.exact_mean), ["F", "O"], "F")
 
 
 @query(f"WITH {RUNS} SELECT model, time, avg(mae) AS mae, avg(rmse) AS rmse FROM raw GROUP BY 1, 2", "mae rmse")

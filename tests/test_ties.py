@@ -29,3 +29,11 @@ def weeks_of_ties():
 def test_a_value_that_equals_its_threshold_is_not_over_it(spark, tmp_path, name, step):
     got = registry.queries()[name](spark, lineitem(tmp_path, weeks_of_ties()[::step])).collect()
     assert len(got) == 12 and {(r.affected_cells, r.alert_level, r.mean_exceedance_c) for r in got} == {(0, "normal", 0.0)}
+
+
+def test_stations_with_equal_errors_are_in_order_of_their_names(spark, tmp_path):
+    """Errors of 0.1, 0.3, 0.4 and 0 in two orders, each station's own: plain sums put 2 and 4 before 1 and 3."""
+    errors = {1: (0.1, 0.3, 0.4, 0.0), 2: (0.4, 0.3, 0.1, 0.0), 3: (0.1, 0.3, 0.4, 0.0), 4: (0.4, 0.3, 0.1, 0.0)}
+    rows = [(k, q, 0.0, 1.0, "F", datetime(1996, 1, 1)) for k, own in errors.items() for q in own]
+    got = registry.queries()["station_model_matrix"](spark, lineitem(tmp_path, rows)).collect()
+    assert [(r.station_id, r.order, r.F, r.O) for r in sorted(got, key=lambda r: r.order)] == [(str(k), k, 0.2, None) for k in (1, 2, 3, 4)]
