@@ -128,13 +128,14 @@ def sequences(df: DataFrame, seq_len: int = 6, stride: int = 1, include_last: bo
     return grouped.select(F.col("start").cast("bigint").alias("start"), F.element_at("rows", -1)["time"].alias("label_time"), F.transform("rows", lambda r: r[value]).alias("values"))
 
 
-def perturb(lr: DataFrame, variable: str, eps: list[float], n_trials: int, seed: int = 0) -> DataFrame:
-    """A copy of lr for each noise and trial, with normal noise of that size on one variable (long rows: variable, value)."""
+def perturb(lr: DataFrame, variable: str, eps: list[float], n_trials: int, seed: int = 0, clean: str | None = None) -> DataFrame:
+    """A copy of lr for each noise and trial, with normal noise of that size on one variable (long rows: variable, value). `clean` names a further column for the value without noise."""
     copies = lr.withColumn("epsilon_K", F.explode(F.array(*[F.lit(float(e)) for e in eps]))).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(n_trials - 1))))
     # normal numbers from two uniform ones, which come from a hash of the whole row, so that they don't depend on partitions
     uniform = lambda k: (F.pmod(F.xxhash64(*[F.col(c) for c in copies.columns], F.lit(seed), F.lit(k)), F.lit(2**53)).cast("double") + 1) / float(2**53 + 1)
     normal = F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * math.pi * uniform(2))
-    return copies.withColumn("value", F.when(F.col("variable") == variable, F.col("value") + normal * F.col("epsilon_K")).otherwise(F.col("value")))
+    noisy = F.when(F.col("variable") == variable, F.col("value") + normal * F.col("epsilon_K")).otherwise(F.col("value"))
+    return copies.withColumns({"value": noisy} | ({clean: F.col("value")} if clean else {}))
 
 
 def subsample_stations(df: DataFrame, n: int, seed: int = 0) -> DataFrame:

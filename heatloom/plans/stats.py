@@ -279,7 +279,7 @@ def sequences(spark, d):
 def perturb(spark, d):
     """R7, with the spread of each noise."""
     rows = stats.long_form(static(spark, d), FEATURES[:2], ["y", "x"])
-    noisy = sampling.perturb(rows, "avg_height", [0.1, 0.25, 0.5, 1.0], 40, 4).join(rows.withColumnRenamed("value", "clean"), ["y", "x", "variable"])
+    noisy = sampling.perturb(rows, "avg_height", [0.1, 0.25, 0.5, 1.0], 40, 4, "clean")
     return noisy.groupBy("variable", "epsilon_K").agg(F.stddev_pop(F.col("value") - F.col("clean")).alias("spread"), F.count("*").alias("n"))
 
 
