@@ -61,10 +61,11 @@ def counters(texts: DataFrame, k: int) -> np.ndarray:
                 total[chunk] = total.get(chunk, 0) + np.frombuffer(counts, "<i8")
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([t.tobytes() for t in total.values()], pa.binary())], ["chunk", "counts"])
 
-    rows = texts.select("text").mapInArrow(count, "chunk bigint, counts binary").repartition("chunk").mapInArrow(add, "chunk bigint, counts binary").collect()
+    sums = stored(texts.select("text").mapInArrow(count, "chunk bigint, counts binary").repartition("chunk").mapInArrow(add, "chunk bigint, counts binary"), "counters")
     out = np.zeros(width, np.int64)
-    for r in rows:
+    for r in sums.collect():
         out[r.chunk : r.chunk + CHUNK] = np.frombuffer(r.counts, "<i8")
+    drop(sums)
     return out
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from heatloom.llm.common import drop, keyed, stored, texts_of, unkeyed
 from heatloom.llm.components import components
+from heatloom.llm.jaccard_join import COUNTER_BITS, counters
 from heatloom.llm.shingle_sets import blocks_of, dense_links, gram_set, grams_of, may_be_similar, near_somebody, segment_counts
 
 ODD = 0x5555555555555555  # the lower bit of every segment
@@ -155,46 +156,22 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3) -> DataFrame:
 # apart follow. Candidates share a shingle of their prefixes; the numbers of shingles by segment of their hashes bound how far two sets can
 # be apart (their Manhattan distance is at most the number of shingles that only one of them has); the whole sets decide.
 
-#: Shingles that are counted in one text of SAMPLE are frequent; at most LISTED, the most frequent ones, come last in the order of shingles.
-SAMPLE, LISTED = 16, 100_000
+#: Not read any more: the shingles of all texts are counted (see counters). An older test sets it.
+SAMPLE = 1
 #: A cell of up to this many nodes gives its pairs to a join; a larger one is compared in blocks of BLOCK nodes.
 FEW, BLOCK = 12, 512
 
 
-def frequent_grams(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and counts of at most LISTED shingles that are frequent in a sample of docs (k2, text). They order shingles, no more."""
-
-    def run(batches):
-        for batch in batches:
-            for text in texts_of(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(gram_set(text.encode().lower().split(), k).view(np.int64))], ["gram"])
-
-    sample = docs.where(F.pmod("k2", F.lit(SAMPLE)) == 0).dropDuplicates(["k2"]).select("text")
-    counts = stored(sample.mapInArrow(run, "gram bigint").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "gram-counts")
-    total, least = 0, None
-    for n, grams in sorted((tuple(r) for r in counts.groupBy("n").agg(F.count("*")).collect()), reverse=True):
-        total += grams
-        if total > LISTED:
-            break
-        least = n
-    found = sorted((r.gram & (2**64 - 1), r.n) for r in counts.where(F.col("n") >= least).collect()) if least else []
-    drop(counts)
-    return np.array([g for g, _ in found], np.uint64), np.array([n for _, n in found], np.int64)
-
-
-def gram_prefix(grams: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+def gram_prefix(grams: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
     """The first shingles, rare ones before frequent ones, of which two sets of at least this Jaccard similarity have one in common."""
-    listed, counts = frequent
-    times = np.zeros(len(grams), np.int64)
-    if len(listed) and len(grams):
-        at = np.minimum(np.searchsorted(listed, grams), len(listed) - 1)
-        times = np.where(listed[at] == grams, counts[at], 0)
+    times = counts[(grams >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
     # similar sets share at least similarity * size shingles, so less than the prefix lies outside the common ones
     return grams[np.lexsort((grams, times))][: len(grams) - int(np.ceil(similarity * len(grams) - 1e-6)) + 1]
 
 
-def prefix_table(docs: DataFrame, k: int, similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def prefix_table(docs: DataFrame, k: int, similarity: float, times: np.ndarray) -> DataFrame:
     """k1, k2, node (hash of the text's words), fp (fingerprint), size (distinct shingles), prefix, counts (of segments) of every row of docs (k1, k2, text)."""
+    shared = docs.sparkSession.sparkContext.broadcast(times)  # a table of fixed size
 
     def run(batches):
         for batch in batches:
@@ -205,7 +182,7 @@ def prefix_table(docs: DataFrame, k: int, similarity: float, frequent: tuple[np.
                 nodes.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
                 fps.append(fingerprint_of(words))
                 sizes.append(len(grams))
-                prefixes.append(gram_prefix(grams, frequent, similarity).view(np.int64))
+                prefixes.append(gram_prefix(grams, shared.value, similarity).view(np.int64))
                 counts.append(segment_counts(grams).tobytes())
             numbers = [np.array(nodes, np.uint64).view(np.int64), np.frombuffer(b"".join(fps), ">i8").astype(np.int64)]
             arrays = [*map(pa.array, numbers), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(counts, pa.binary())]
@@ -288,7 +265,7 @@ def first_of_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, r
     First come the links of near_duplicates: fingerprints that are equal or, by the grid join of their segments' bit counts, at most `radius` bits apart. Those whose
     texts are similar count (fingerprints of short texts may agree by chance) and form the first groups.
     What fingerprints can't tell follows: similar texts that are further apart. Candidates are nodes of different groups that share a shingle of their prefixes: with one order of all
-    shingles, two similar sets always do, so no pair is lost. The order puts frequent shingles last, which keeps cells small. Cells with
+    shingles, two similar sets always do, so no pair is lost. The order puts shingles last that are frequent in all texts (by counters, a table of fixed size), which keeps cells small. Cells with
     the same nodes count once, large ones with the same smallest node are one, and large ones within a first group are done. Pairs of small cells, and nodes of large ones, go on if the Manhattan
     distance of segment counts leaves them similar. Then their texts' shingle sets are made and compared. A large cell is split into blocks by hash; each pair
     of blocks compares all its nodes with one another and returns a forest, not its pairs, so that no cell meets in one task. Null and empty texts are one node.
@@ -296,7 +273,7 @@ def first_of_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, r
     """
     rows = keyed(docs)
     texts = rows.select("k1", "k2", "text")
-    table = prefix_table(texts, k, similarity, frequent_grams(texts, k))
+    table = prefix_table(texts, k, similarity, counters(texts, k))
     nodes = stored(table.groupBy("node").agg(F.min(F.struct("k1", "k2", "fp", "size", "prefix", "counts")).alias("first")).select("node", "first.*"), "prefix-nodes")
     alike = fingerprint_pairs(nodes.select("node", "fp"), radius)
     near = texts_of_nodes(texts, ends(alike), nodes)
